@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fantasy
+from . import fantasy, real_estate
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,9 @@ def all_queries() -> dict[str, QueryFn]:
         "zero_amount_share": fantasy.zero_amount_share,
         "item_popularity": fantasy.item_popularity,
         "group_activity": fantasy.group_activity,
+        "listing_activity": real_estate.listing_activity,
+        "listing_seasonality": real_estate.listing_seasonality,
+        "listings_monitor": real_estate.listings_monitor,
     }
     return q
 
