@@ -49,12 +49,14 @@ def attach_group_min(df: DataFrame, key: str | Sequence[str], value: str, out: s
     return df.join(mins, keys, "inner")
 
 
-def days_since_previous(df: DataFrame, key: str, ts: str, tie: str, out: str = "days_since_prev") -> DataFrame:
+def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[str],
+                        out: str = "days_since_prev") -> DataFrame:
     """Whole days since the same key's previous row (NULL on the first).
 
-    Rows are ordered by (ts, tie) inside a key; ``lag`` needs the key's rows in
-    one ordered sequence.
+    Rows are ordered by (ts, *tie) inside a key; ``tie`` must make the order
+    total so the result does not depend on row arrival order.
     """
-    w = Window.partitionBy(key).orderBy(ts, tie)
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    w = Window.partitionBy(key).orderBy(ts, *ties)
     prev = F.lag(ts).over(w)
     return df.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))

@@ -222,3 +222,209 @@ SELECT CASE WHEN month(first_day_exposition) IN (12, 1, 2) THEN 'winter'
        {R('AVG(last_price)', 2)} AS avg_price,
        {R('AVG(last_price / total_area)', 2)} AS avg_price_for_metre
 FROM flats GROUP BY ALL"""
+
+# ---------------------------------------------------------------- ticket sales
+CTE["t_orders"] = """t_orders AS (
+    SELECT l.l_orderkey * 10 + l.l_linenumber AS order_id, o.o_custkey AS user_id,
+           CAST(l.l_shipdate AS DATE) AS created_dt_msk, l.l_shipdate AS created_ts_msk,
+           l.l_partkey AS event_id, CAST((l.l_partkey % 5) * 4 AS INTEGER) AS age_limit,
+           CASE WHEN o.o_orderstatus = 'P' THEN 'kzt' ELSE 'rub' END AS currency_code,
+           CASE WHEN l.l_suppkey % 4 = 0 THEN 'desktop' ELSE 'mobile' END AS device_type_canonical,
+           l.l_extendedprice / 100 AS revenue,
+           'partner_' || CAST(l.l_suppkey % 12 AS VARCHAR) AS service_name,
+           CAST(l.l_quantity AS INTEGER) % 6 + 1 AS tickets_count,
+           l.l_extendedprice / 100 * (1 + l.l_tax) AS total,
+           p.p_name AS event_type_description, p.p_type AS event_type_main,
+           p.p_brand AS region_name, CAST(p.p_size AS BIGINT) AS city_id
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey)"""
+CTE["t_rates"] = """t_rates AS (
+    SELECT DISTINCT CAST(o_orderdate AS DATE) AS data,
+           CAST(19.0 + (day(o_orderdate) % 7) * 0.25 AS DOUBLE) AS curs
+    FROM orders)"""
+CTE["t_clean"] = """t_capped AS (
+    SELECT t.* FROM t_orders t
+    JOIN (SELECT currency_code, quantile_cont(revenue, 0.99) AS cap FROM t_orders
+          WHERE currency_code IN ('rub', 'kzt') GROUP BY currency_code) c
+      ON t.currency_code = c.currency_code
+    WHERE t.revenue <= c.cap),
+t_dedup AS (
+    SELECT * EXCLUDE (rn) FROM (
+      SELECT *, row_number() OVER (
+          PARTITION BY user_id, event_id, created_ts_msk, tickets_count, revenue, currency_code,
+                       event_type_description, event_type_main
+          ORDER BY order_id, created_dt_msk, age_limit, device_type_canonical, service_name, total,
+                   region_name, city_id) AS rn
+      FROM t_capped) WHERE rn = 1),
+t_feat AS (
+    SELECT d.*, r.curs,
+           CASE WHEN d.currency_code = 'rub' THEN d.revenue ELSE d.revenue * r.curs / 100 END AS revenue_rub
+    FROM t_dedup d LEFT JOIN t_rates r ON d.created_dt_msk = r.data),
+t_clean AS (
+    SELECT *, revenue_rub / tickets_count AS one_ticket_revenue_rub,
+           month(created_dt_msk) AS month,
+           CASE WHEN month(created_dt_msk) IN (12, 1, 2) THEN 'winter'
+                WHEN month(created_dt_msk) IN (3, 4, 5) THEN 'spring'
+                WHEN month(created_dt_msk) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season,
+           date_diff('day', CAST(lag(created_ts_msk) OVER (PARTITION BY user_id ORDER BY created_ts_msk, order_id, event_id, tickets_count, revenue, event_type_description) AS DATE),
+                     CAST(created_ts_msk AS DATE)) AS days_since_prev
+    FROM t_feat)"""
+
+_T = with_("t_orders", "t_rates", "t_clean")
+
+SQL["tickets_clean"] = _T + f"""
+SELECT order_id, user_id, strftime(created_dt_msk, '%Y-%m-%d') AS created_dt_msk,
+       strftime(created_ts_msk, '%Y-%m-%d %H:%M:%S') AS created_ts_msk, event_id, currency_code,
+       device_type_canonical, revenue, tickets_count, event_type_main, region_name, service_name, curs,
+       {R('revenue_rub', 6)} AS revenue_rub, {R('one_ticket_revenue_rub', 6)} AS one_ticket_revenue_rub,
+       CAST(month AS BIGINT) AS month, season, days_since_prev
+FROM t_clean"""
+
+
+def _season_share(dim_name: str, expr: str) -> str:
+    return f"""
+  SELECT '{dim_name}' AS dimension, COALESCE(s.value, a.value) AS value, s.summer_share, a.autumn_share
+  FROM (SELECT CAST({expr} AS VARCHAR) AS value,
+               {R('COUNT(*)::DOUBLE * 100 / SUM(COUNT(*)) OVER ()', 6)} AS summer_share
+        FROM t_clean WHERE season = 'summer' GROUP BY 1) s
+  FULL JOIN (SELECT CAST({expr} AS VARCHAR) AS value,
+               {R('COUNT(*)::DOUBLE * 100 / SUM(COUNT(*)) OVER ()', 6)} AS autumn_share
+        FROM t_clean WHERE season = 'autumn' GROUP BY 1) a ON s.value = a.value"""
+
+
+SQL["season_mix"] = _T + "\n" + "\nUNION ALL".join([
+    _season_share("event_type", "event_type_main"), _season_share("device", "device_type_canonical"),
+    _season_share("age_limit", "age_limit")])
+
+SQL["season_unit_revenue"] = _T + f"""
+, s AS (SELECT event_type_main AS event_type, AVG(one_ticket_revenue_rub) AS summer_mean
+        FROM t_clean WHERE season = 'summer' GROUP BY 1),
+a AS (SELECT event_type_main AS event_type, AVG(one_ticket_revenue_rub) AS autumn_mean
+      FROM t_clean WHERE season = 'autumn' GROUP BY 1)
+SELECT COALESCE(s.event_type, a.event_type) AS event_type, {R('summer_mean', 6)} AS summer_mean,
+       {R('autumn_mean', 6)} AS autumn_mean,
+       {R('(autumn_mean - summer_mean) / summer_mean * 100', 1)} AS change_percent
+FROM s FULL JOIN a ON s.event_type = a.event_type
+WHERE summer_mean IS NOT NULL OR autumn_mean IS NOT NULL"""
+
+_DAILY = """
+, daily AS (
+  SELECT created_dt_msk, COUNT(order_id) AS orders_count, COUNT(DISTINCT user_id) AS dau,
+         AVG(one_ticket_revenue_rub) AS avg_ticket_price
+  FROM t_clean WHERE season = 'autumn' GROUP BY created_dt_msk)"""
+
+SQL["daily_dynamics"] = _T + _DAILY + f"""
+SELECT strftime(created_dt_msk, '%Y-%m-%d') AS day, orders_count, dau,
+       {R('avg_ticket_price', 6)} AS avg_ticket_price,
+       {R('orders_count::DOUBLE / dau', 6)} AS avg_orders_per_user,
+       CAST(isodow(created_dt_msk) - 1 AS BIGINT) AS day_of_week,
+       strftime(created_dt_msk, '%A') AS weekday_name,
+       CASE WHEN isodow(created_dt_msk) >= 6 THEN 'weekend' ELSE 'weekday' END AS type_of_day
+FROM daily"""
+
+SQL["weekday_cycle"] = _T + _DAILY + f"""
+SELECT CAST(isodow(created_dt_msk) - 1 AS BIGINT) AS day_of_week,
+       MIN(strftime(created_dt_msk, '%A')) AS weekday_name,
+       {R('AVG(orders_count)', 2)} AS avg_orders, {R('AVG(dau)', 2)} AS avg_dau
+FROM daily GROUP BY 1"""
+
+SQL["day_type_cycle"] = _T + _DAILY + f"""
+SELECT CASE WHEN isodow(created_dt_msk) >= 6 THEN 'weekend' ELSE 'weekday' END AS type_of_day,
+       {R('AVG(orders_count)', 2)} AS avg_orders, {R('AVG(dau)', 2)} AS avg_dau
+FROM daily GROUP BY 1"""
+
+
+def _leader_sql(key: str, by: str, revenue: bool) -> str:
+    rev = ""
+    if revenue:
+        rev = f""", {R('SUM(revenue_rub)', 2)} AS ticket_revenue,
+       {R('SUM(revenue_rub) / (SELECT SUM(revenue_rub) FROM t_clean) * 100', 2)} AS revenue_share"""
+    order = "SUM(revenue_rub)" if by == "ticket_revenue" else by
+    return _T + f"""
+SELECT {key}, COUNT(DISTINCT event_id) AS events_count, COUNT(order_id) AS orders_count,
+       {R('COUNT(DISTINCT event_id)::DOUBLE / (SELECT COUNT(DISTINCT event_id) FROM t_clean) * 100', 2)} AS events_share,
+       {R('COUNT(order_id)::DOUBLE / (SELECT COUNT(*) FROM t_clean) * 100', 2)} AS orders_share{rev}
+FROM t_clean GROUP BY {key} ORDER BY {order} DESC, {key} LIMIT 5"""
+
+
+SQL["region_top5_events"] = _leader_sql("region_name", "events_count", False)
+SQL["region_top5_orders"] = _leader_sql("region_name", "orders_count", False)
+SQL["partner_top5_events"] = _leader_sql("service_name", "events_count", True)
+SQL["partner_top5_orders"] = _leader_sql("service_name", "orders_count", True)
+SQL["partner_top5_revenue"] = _leader_sql("service_name", "ticket_revenue", True)
+
+SQL["first_last_change"] = _T + f"""
+, m AS (SELECT month, COUNT(order_id) AS order_count FROM t_clean GROUP BY month)
+SELECT CAST(f.month AS BIGINT) AS first_month, CAST(l.month AS BIGINT) AS last_month,
+       f.order_count AS first_count, l.order_count AS last_count,
+       {R('(l.order_count - f.order_count)::DOUBLE / f.order_count * 100', 2)} AS change_percent
+FROM (SELECT * FROM m ORDER BY month LIMIT 1) f, (SELECT * FROM m ORDER BY month DESC LIMIT 1) l"""
+
+SQL["overlap_percent"] = _T + f"""
+, mob AS (SELECT DISTINCT user_id FROM t_clean WHERE season = 'autumn' AND device_type_canonical = 'mobile'),
+desk AS (SELECT DISTINCT user_id FROM t_clean WHERE season = 'autumn' AND device_type_canonical = 'desktop'),
+both_ AS (SELECT user_id FROM mob INTERSECT SELECT user_id FROM desk),
+any_ AS (SELECT user_id FROM mob UNION SELECT user_id FROM desk)
+SELECT (SELECT COUNT(*) FROM mob) AS users_a, (SELECT COUNT(*) FROM desk) AS users_b,
+       (SELECT COUNT(*) FROM both_) AS users_both, (SELECT COUNT(*) FROM any_) AS users_any,
+       {R('(SELECT COUNT(*) FROM both_)::DOUBLE / (SELECT COUNT(*) FROM any_) * 100', 4)} AS overlap_pct"""
+
+
+def simpson_sql(upper: str, integrand_of_x: str) -> str:
+    """Composite Simpson integral of integrand(x) on [0, upper], 2000 panels."""
+    x = f"(i * (({upper}) / 2000.0))"
+    f = integrand_of_x.replace("{x}", x)
+    return (f"(list_sum(list_transform(range(0, 2001), lambda i: "
+            f"(CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * {f}))"
+            f" * (({upper}) / 2000.0) / 3.0)")
+
+
+def t_sf_sql(t: str, df: str) -> str:
+    bound = f"least(pi() / 2, 40.0 / sqrt({df}))"
+    angle = f"least(atan(abs({t}) / sqrt({df})), {bound})"
+    dens = f"power(cos({{x}}), {df} - 1.0)"
+    tail = f"greatest(0.0, (1.0 - {simpson_sql(angle, dens)} / {simpson_sql(bound, dens)}) / 2.0)"
+    return f"(CASE WHEN {t} >= 0 THEN {tail} ELSE 1.0 - {tail} END)"
+
+
+def normal_cdf_sql(z: str) -> str:
+    half = f"({simpson_sql(f'abs({z})', 'exp(-{x} * {x} / 2.0)')} / sqrt(2 * pi()))"
+    return f"(CASE WHEN {z} >= 0 THEN 0.5 + {half} ELSE 0.5 - {half} END)"
+
+
+def welch_sql(per_cte: str, group: str, value: str, a: str, b: str) -> str:
+    return f"""{per_cte}
+, m AS (
+  SELECT COUNT({value}) FILTER (WHERE {group} = '{a}') AS n_a,
+         AVG({value}) FILTER (WHERE {group} = '{a}') AS mean_a,
+         VAR_SAMP({value}) FILTER (WHERE {group} = '{a}') AS var_a,
+         COUNT({value}) FILTER (WHERE {group} = '{b}') AS n_b,
+         AVG({value}) FILTER (WHERE {group} = '{b}') AS mean_b,
+         VAR_SAMP({value}) FILTER (WHERE {group} = '{b}') AS var_b
+  FROM per),
+s AS (
+  SELECT *, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS t,
+         power(var_a / n_a + var_b / n_b, 2)
+           / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)) AS dof
+  FROM m)
+SELECT n_a, {R('mean_a', 6)} AS mean_a, {R('var_a', 6)} AS var_a, n_b, {R('mean_b', 6)} AS mean_b,
+       {R('var_b', 6)} AS var_b, {R('t', 6)} AS t_stat, {R('dof', 6)} AS dof,
+       {R(t_sf_sql('t', 'dof'), 6)} AS p_value
+FROM s"""
+
+
+SQL["welch_orders"] = _T + welch_sql("""
+, per AS (SELECT user_id, device_type_canonical AS device, COUNT(order_id) AS orders_count
+          FROM t_clean WHERE season = 'autumn' GROUP BY 1, 2)""", "device", "orders_count", "mobile", "desktop")
+
+SQL["welch_order_gap"] = _T + welch_sql("""
+, per AS (SELECT user_id, device_type_canonical AS device, AVG(days_since_prev) AS gap
+          FROM t_clean WHERE season = 'autumn' AND days_since_prev IS NOT NULL GROUP BY 1, 2)""",
+                                        "device", "gap", "mobile", "desktop")
+
+SQL["order_gap"] = _T + f"""
+, per AS (SELECT user_id, device_type_canonical AS device, AVG(days_since_prev) AS gap
+          FROM t_clean WHERE days_since_prev IS NOT NULL GROUP BY 1, 2)
+SELECT device, COUNT(gap) AS users, {R('AVG(gap)', 6)} AS mean_gap, {R('STDDEV_SAMP(gap)', 6)} AS std_gap,
+       {R('MIN(gap)', 6)} AS min_gap, {R('quantile_cont(gap, 0.5)', 6)} AS median_gap,
+       {R('MAX(gap)', 6)} AS max_gap
+FROM per GROUP BY device"""

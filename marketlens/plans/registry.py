@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fantasy, real_estate
+from functools import partial
+
+from . import fantasy, real_estate, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,22 @@ def all_queries() -> dict[str, QueryFn]:
         "listing_activity": real_estate.listing_activity,
         "listing_seasonality": real_estate.listing_seasonality,
         "listings_monitor": real_estate.listings_monitor,
+        "tickets_clean": tickets.tickets_clean_report,
+        "season_mix": tickets.season_mix,
+        "season_unit_revenue": tickets.season_unit_revenue,
+        "daily_dynamics": tickets.daily_dynamics,
+        "weekday_cycle": tickets.weekday_cycle,
+        "day_type_cycle": tickets.day_type_cycle,
+        "region_top5_events": partial(tickets.region_leaderboard, by="events_count"),
+        "region_top5_orders": partial(tickets.region_leaderboard, by="orders_count"),
+        "partner_top5_events": partial(tickets.partner_leaderboard, by="events_count"),
+        "partner_top5_orders": partial(tickets.partner_leaderboard, by="orders_count"),
+        "partner_top5_revenue": partial(tickets.partner_leaderboard, by="ticket_revenue"),
+        "first_last_change": tickets.first_last_change,
+        "overlap_percent": tickets.overlap_percent,
+        "welch_orders": tickets.welch_orders,
+        "welch_order_gap": tickets.welch_order_gap,
+        "order_gap": tickets.order_gap,
     }
     return q
 

@@ -88,3 +88,44 @@ def real_estate_listings(t: Tables) -> DataFrame:
                   F.col("o_orderdate").alias("first_day_exposition"),
                   F.when(days >= 0, days).alias("days_exposition"),
               ))
+
+
+# ---------------------------------------------------------------- ticket sales
+
+def ticket_orders(t: Tables) -> DataFrame:
+    """Ticket orders joined with their events (J1): one order per order line,
+    the event is the part, the currency follows the order status."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                           "l_extendedprice", "l_tax", "l_shipdate")
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    p = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return (li.join(o, li.l_orderkey == o.o_orderkey)
+              .join(p, F.col("l_partkey") == F.col("p_partkey"))
+              .select(
+                  (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_id"),
+                  F.col("o_custkey").alias("user_id"),
+                  F.to_date("l_shipdate").alias("created_dt_msk"),
+                  F.col("l_shipdate").alias("created_ts_msk"),
+                  F.col("l_partkey").alias("event_id"),
+                  ((F.col("l_partkey") % 5) * 4).cast("int").alias("age_limit"),
+                  F.when(F.col("o_orderstatus") == "P", "kzt").otherwise("rub").alias("currency_code"),
+                  F.when(F.col("l_suppkey") % 4 == 0, "desktop").otherwise("mobile").alias("device_type_canonical"),
+                  (F.col("l_extendedprice") / 100).alias("revenue"),
+                  F.concat(F.lit("partner_"), (F.col("l_suppkey") % 12).cast("string")).alias("service_name"),
+                  ((F.col("l_quantity").cast("int") % 6) + 1).alias("tickets_count"),
+                  (F.col("l_extendedprice") / 100 * (1 + F.col("l_tax"))).alias("total"),
+                  F.col("p_name").alias("event_type_description"),
+                  F.col("p_type").alias("event_type_main"),
+                  F.col("p_brand").alias("region_name"),
+                  F.col("p_size").cast("bigint").alias("city_id"),
+              ))
+
+
+def tenge_rates(t: Tables) -> DataFrame:
+    """Daily KZT rate per 100 units, one row per calendar day that has an
+    order; days without an order have no rate (N19)."""
+    d = F.to_date("o_orderdate")
+    return (t.orders.select(d.alias("data")).distinct()
+            .select("data", F.lit(100).alias("nominal"),
+                    (F.lit(19.0) + (F.dayofmonth("data") % 7) * 0.25).alias("curs"),
+                    F.lit("kzt").alias("cdx")))
