@@ -76,9 +76,9 @@ def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def impute_midpoint_date(first, last, mid) -> Column:
-    """Missing middle date = first + (last - first) / 2 (whole days)."""
-    half = F.floor(F.datediff(col_(last), col_(first)) / 2).cast("int")
-    return F.coalesce(col_(mid), F.date_add(col_(first), half))
+    """Missing middle timestamp = first + (last - first) / 2, in
+    day-time interval arithmetic (a half day stays a half day)."""
+    return F.coalesce(col_(mid), col_(first) + (col_(last) - col_(first)) / 2)
 
 
 def contains_all(c, words: Sequence[str]) -> Column:

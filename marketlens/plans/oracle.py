@@ -428,3 +428,137 @@ SELECT device, COUNT(gap) AS users, {R('AVG(gap)', 6)} AS mean_gap, {R('STDDEV_S
        {R('MIN(gap)', 6)} AS min_gap, {R('quantile_cont(gap, 0.5)', 6)} AS median_gap,
        {R('MAX(gap)', 6)} AS max_gap
 FROM per GROUP BY device"""
+
+# ---------------------------------------------------------------- startups
+CTE["s_clean"] = """s_raw AS (
+    SELECT CASE WHEN l.l_orderkey % 53 = 0 THEN NULL WHEN l.l_linenumber % 2 = 0 THEN upper(p.p_name)
+                ELSE p.p_name END AS name,
+           CASE WHEN p.p_size <= 30 THEN p.p_type ELSE p.p_type || ' ' || p.p_name END AS market,
+           CASE WHEN l.l_orderkey % 41 = 0 THEN '-'
+                ELSE format('{:,}', CAST(floor(l.l_extendedprice * 10) AS BIGINT)) END AS funding_total_usd,
+           CASE o.o_orderstatus WHEN 'F' THEN 'Operating' WHEN 'O' THEN 'Acquired' ELSE 'Closed' END AS status,
+           CAST(l.l_linenumber AS DOUBLE) AS funding_rounds,
+           CASE WHEN l.l_orderkey % 37 = 0 THEN 'n/a' ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS founded_at,
+           strftime(o.o_orderdate, '%Y-%m-%d') AS first_funding_at,
+           CASE WHEN l.l_linenumber > 2
+                THEN strftime(CAST(o.o_orderdate AS DATE) + CAST(l.l_partkey % 60 AS INTEGER), '%Y-%m-%d') END
+             AS mid_funding_at,
+           strftime(l.l_shipdate, '%Y-%m-%d') AS last_funding_at,
+           CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_extendedprice ELSE 0.0 END AS seed,
+           CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS venture,
+           CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN l_extendedprice ELSE 0.0 END AS angel,
+           CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS debt_financing,
+           CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN l_extendedprice ELSE 0.0 END AS private_equity,
+           CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS grant
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
+s_typed AS (
+    SELECT DISTINCT lower(coalesce(name, 'unknown')) AS name, lower(coalesce(market, 'unknown')) AS market,
+           TRY_CAST(replace(funding_total_usd, ',', '') AS DOUBLE) AS funding_total_usd,
+           lower(coalesce(status, 'unknown')) AS status, CAST(funding_rounds AS BIGINT) AS funding_rounds,
+           try_strptime(founded_at, '%Y-%m-%d') AS founded_at,
+           try_strptime(first_funding_at, '%Y-%m-%d') AS first_funding_at,
+           try_strptime(mid_funding_at, '%Y-%m-%d') AS mid_funding_at,
+           try_strptime(last_funding_at, '%Y-%m-%d') AS last_funding_at,
+           seed, venture, angel, debt_financing, private_equity, grant
+    FROM s_raw),
+s_clean AS (
+    SELECT * REPLACE (coalesce(mid_funding_at, first_funding_at + (last_funding_at - first_funding_at) / 2)
+                      AS mid_funding_at)
+    FROM s_typed
+    WHERE NULLIF(name, 'unknown') IS NOT NULL AND funding_total_usd IS NOT NULL
+      AND first_funding_at IS NOT NULL AND last_funding_at IS NOT NULL),
+s_group AS (
+    SELECT *, date_diff('day', CAST(first_funding_at AS DATE), CAST(last_funding_at AS DATE)) AS funding_duration_days,
+           CASE WHEN funding_rounds = 1 THEN 'single round'
+                WHEN date_diff('day', CAST(first_funding_at AS DATE), CAST(last_funding_at AS DATE)) <= 365
+                  THEN 'up to a year'
+                ELSE 'over a year' END AS funding_group
+    FROM s_clean),
+s_seg AS (
+    SELECT market, COUNT(*) AS count,
+           CASE WHEN COUNT(*) > 120 THEN 'mass' WHEN COUNT(*) >= 35 THEN 'mid' ELSE 'niche' END AS category
+    FROM s_group GROUP BY market),
+s_rel AS (
+    SELECT g.* REPLACE (CASE WHEN s.category = 'mass' THEN g.market ELSE s.category END AS market)
+    FROM s_group g LEFT JOIN s_seg s ON g.market = s.market),
+s_fence AS (
+    SELECT market, quantile_cont(funding_total_usd, 0.25) AS q1, quantile_cont(funding_total_usd, 0.75) AS q3
+    FROM s_rel GROUP BY market),
+s_flag AS (
+    SELECT r.*, coalesce(r.funding_total_usd < f.q1 - 1.5 * (f.q3 - f.q1)
+                         OR r.funding_total_usd > f.q3 + 1.5 * (f.q3 - f.q1), false) AS is_outlier
+    FROM s_rel r LEFT JOIN s_fence f ON r.market = f.market),
+s_normal AS (SELECT *, CAST(year(mid_funding_at) AS BIGINT) AS year FROM s_flag WHERE NOT is_outlier),
+s_final AS (
+    SELECT * FROM s_normal
+    WHERE year IN (SELECT year FROM s_normal GROUP BY year HAVING SUM(funding_rounds) >= 50))"""
+CTE["s_returns"] = """s_returns AS (
+    SELECT CAST(year(o_orderdate) AS BIGINT) AS year,
+           SUM(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0.0 END) / 1e6 AS seed,
+           SUM(CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice ELSE 0.0 END) / 1e6 AS venture,
+           SUM(CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_totalprice ELSE 0.0 END) / 1e6 AS angel,
+           SUM(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN o_totalprice ELSE 0.0 END) / 1e6 AS debt_financing,
+           SUM(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice ELSE 0.0 END) / 1e6 AS private_equity
+    FROM orders GROUP BY 1)"""
+
+SQL["funding_clean"] = with_("s_clean") + """
+SELECT name, market, status, funding_total_usd, funding_rounds,
+       strftime(founded_at, '%Y-%m-%d %H:%M:%S') AS founded_at,
+       strftime(first_funding_at, '%Y-%m-%d %H:%M:%S') AS first_funding_at,
+       strftime(mid_funding_at, '%Y-%m-%d %H:%M:%S') AS mid_funding_at,
+       strftime(last_funding_at, '%Y-%m-%d %H:%M:%S') AS last_funding_at,
+       seed, venture, angel, debt_financing, private_equity, grant
+FROM s_clean"""
+
+SQL["funding_terms"] = with_("s_clean") + f"""
+SELECT funding_group, COUNT(*) AS companies,
+       {R('COUNT(*)::DOUBLE / SUM(COUNT(*)) OVER () * 100', 4)} AS companies_pct,
+       {R('SUM(funding_total_usd) / SUM(SUM(funding_total_usd)) OVER () * 100', 4)} AS money_pct
+FROM s_group GROUP BY funding_group"""
+
+SQL["market_tiers"] = with_("s_clean") + """
+SELECT category, COUNT(market) AS segment_count, CAST(SUM(count) AS BIGINT) AS company_count FROM s_seg GROUP BY category"""
+
+SQL["iqr_outliers"] = with_("s_clean") + f"""
+SELECT market, COUNT(*) AS total, COUNT(*) FILTER (WHERE is_outlier) AS outliers,
+       {R('(COUNT(*) FILTER (WHERE is_outlier))::DOUBLE / COUNT(*) * 100', 4)} AS ratio
+FROM s_flag GROUP BY market ORDER BY ratio DESC, market LIMIT 10"""
+
+SQL["active_years"] = with_("s_clean") + """
+SELECT year, CAST(SUM(funding_rounds) AS BIGINT) AS rounds, COUNT(DISTINCT month(mid_funding_at)) AS n_months,
+       array_to_string(list_sort(list_distinct(list(month(mid_funding_at)))), ',') AS months
+FROM s_final GROUP BY year"""
+
+_TYPES = ("seed", "venture", "angel", "debt_financing", "private_equity", "grant")
+SQL["funding_types"] = with_("s_clean", "s_returns") + """
+, money AS (
+""" + "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS funding_type, SUM({t}) AS total_money, COUNT(*) FILTER (WHERE {t} > 0) AS popularity FROM s_final"
+    for t in _TYPES) + """),
+ret AS (
+""" + "\n  UNION ALL ".join(
+    f"SELECT '{t}' AS funding_type, SUM({t}) AS total_returns FROM s_returns" for t in _TYPES if t != "grant") + f""")
+SELECT m.funding_type, {R('m.total_money', 2)} AS total_money, m.popularity,
+       {R('r.total_returns', 6)} AS total_returns
+FROM money m LEFT JOIN ret r ON m.funding_type = r.funding_type"""
+
+SQL["yearly_rounds"] = with_("s_clean") + f"""
+SELECT year, {R('median(funding_total_usd / funding_rounds)', 4)} AS avg_round_median,
+       CAST(SUM(funding_rounds) AS BIGINT) AS total_rounds
+FROM s_final GROUP BY year"""
+
+SQL["growth_segments"] = with_("s_clean") + f"""
+, pv AS (
+  SELECT market, SUM(CASE WHEN year = 1999 THEN funding_total_usd ELSE 0 END) AS total_from,
+         SUM(CASE WHEN year = 2000 THEN funding_total_usd ELSE 0 END) AS total_to
+  FROM s_final GROUP BY market)
+SELECT market, {R('total_from', 2)} AS total_from, {R('total_to', 2)} AS total_to FROM pv
+WHERE total_to > total_from AND market NOT IN ('mid', 'niche', 'unknown')"""
+
+_RT = ("venture", "debt_financing", "private_equity", "seed", "angel")
+SQL["return_ratio"] = with_("s_clean", "s_returns") + """
+, inv AS (SELECT year, """ + ", ".join(f"SUM({t}) / 1000000 AS {t}" for t in _RT) + """ FROM s_final GROUP BY year)
+SELECT x.year, """ + ",\n  ".join(
+    R(f"CASE WHEN x.{t} / (y.{t} + 1e-60) > 2 THEN NULL ELSE x.{t} / (y.{t} + 1e-60) END", 6) + f" AS {t}_ratio"
+    for t in _RT) + """
+FROM s_returns x JOIN inv y ON x.year = y.year"""

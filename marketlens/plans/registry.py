@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from functools import partial
 
-from . import fantasy, real_estate, tickets
+from . import fantasy, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,15 @@ def all_queries() -> dict[str, QueryFn]:
         "welch_orders": tickets.welch_orders,
         "welch_order_gap": tickets.welch_order_gap,
         "order_gap": tickets.order_gap,
+        "funding_clean": startups.funding_clean_report,
+        "funding_terms": startups.funding_terms,
+        "market_tiers": startups.market_tiers,
+        "iqr_outliers": startups.iqr_outliers,
+        "active_years": startups.active_years,
+        "funding_types": startups.funding_types,
+        "yearly_rounds": startups.yearly_rounds,
+        "growth_segments": startups.growth_segments,
+        "return_ratio": startups.return_ratio,
     }
     return q
 

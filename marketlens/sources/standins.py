@@ -129,3 +129,61 @@ def tenge_rates(t: Tables) -> DataFrame:
             .select("data", F.lit(100).alias("nominal"),
                     (F.lit(19.0) + (F.dayofmonth("data") % 7) * 0.25).alias("curs"),
                     F.lit("kzt").alias("cdx")))
+
+
+# ---------------------------------------------------------------- startups
+
+# Fixed values of the stand-in: funding types carried by the six
+# (return flag, line status) combinations of an order line.
+FUNDING_TYPE_OF = {
+    ("A", "F"): "seed", ("A", "O"): "venture", ("N", "F"): "angel",
+    ("N", "O"): "debt_financing", ("R", "F"): "private_equity", ("R", "O"): "grant",
+}
+FUNDING_TYPES = tuple(FUNDING_TYPE_OF.values())
+# Returns per type come from the order priority.
+RETURN_PRIORITY_OF = {"seed": "1-URGENT", "venture": "2-HIGH", "angel": "3-MEDIUM",
+                      "debt_financing": "4-NOT SPECIFIED", "private_equity": "5-LOW"}
+
+
+def startup_investments_raw(t: Tables) -> DataFrame:
+    """Raw startup records as text, like the ``;`` separated source: amounts
+    with thousands separators or ``-``, dates as text (some unparsable),
+    missing names and mixed-case text."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+                           "l_returnflag", "l_linestatus", "l_shipdate")
+    o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate")
+    p = t.part.select("p_partkey", "p_name", "p_type", "p_size")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    amount = F.floor(F.col("l_extendedprice") * 10).cast("bigint")
+    types = {}
+    for (rf, ls), name in FUNDING_TYPE_OF.items():
+        types[name] = F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls),
+                             F.col("l_extendedprice")).otherwise(F.lit(0.0))
+    return j.select(
+        F.when(F.col("l_orderkey") % 53 == 0, F.lit(None).cast("string"))
+         .when(F.col("l_linenumber") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"),
+        F.when(F.col("p_size") <= 30, F.col("p_type"))
+         .otherwise(F.concat_ws(" ", F.col("p_type"), F.col("p_name"))).alias("market"),
+        F.when(F.col("l_orderkey") % 41 == 0, F.lit("-")).otherwise(F.format_number(amount, 0))
+         .alias("funding_total_usd"),
+        F.when(F.col("o_orderstatus") == "F", "Operating").when(F.col("o_orderstatus") == "O", "Acquired")
+         .otherwise("Closed").alias("status"),
+        F.col("l_linenumber").cast("double").alias("funding_rounds"),
+        F.when(F.col("l_orderkey") % 37 == 0, F.lit("n/a"))
+         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("founded_at"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("first_funding_at"),
+        F.when(F.col("l_linenumber") > 2,
+               F.date_format(F.date_add(F.to_date("o_orderdate"), (F.col("l_partkey") % 60).cast("int")),
+                             "yyyy-MM-dd")).alias("mid_funding_at"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("last_funding_at"),
+        *[c.alias(n) for n, c in types.items()],
+    )
+
+
+def startup_returns(t: Tables) -> DataFrame:
+    """Returns per year and funding type, in millions (order totals by year
+    and priority)."""
+    o = t.orders.select(F.year("o_orderdate").cast("bigint").alias("year"), "o_orderpriority", "o_totalprice")
+    return o.groupBy("year").agg(*[
+        (F.sum(F.when(F.col("o_orderpriority") == pr, F.col("o_totalprice")).otherwise(0.0)) / 1e6).alias(ty)
+        for ty, pr in RETURN_PRIORITY_OF.items()])
