@@ -210,7 +210,7 @@ def chi_square_association(df: DataFrame, target: str, attrs: Sequence[str]) ->
     full = grid.join(cells, ["attr", "__t", "val"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     exp = F.col("n_t") * F.col("n_v") / F.col("n_all")
     chi = full.groupBy("attr", "n_all", "k_t", "k_v").agg(F.sum((F.col("n") - exp) ** 2 / exp).alias("chi2"))
-    v = F.sqrt(F.col("chi2") / (F.col("n_all") * (F.least("k_t", "k_v") - 1)))
+    v = F.sqrt(safe_div("chi2", F.col("n_all") * (F.least("k_t", "k_v") - 1)))
     return chi.select("attr", "n_all", numeric_round("chi2", 6).alias("chi2"),
                       numeric_round(v, 6).alias("cramers_v")).orderBy(F.desc("cramers_v"), "attr")
 

@@ -562,3 +562,118 @@ SELECT x.year, """ + ",\n  ".join(
     R(f"CASE WHEN x.{t} / (y.{t} + 1e-60) > 2 THEN NULL ELSE x.{t} / (y.{t} + 1e-60) END", 6) + f" AS {t}_ratio"
     for t in _RT) + """
 FROM s_returns x JOIN inv y ON x.year = y.year"""
+
+# ---------------------------------------------------------------- catering venues
+CTE["v_clean"] = """v_merged AS (
+    SELECT d.doc_id AS id,
+           'Venue ' || CAST((CASE WHEN d.doc_id % 20 = 1 THEN d.doc_id - 1 ELSE d.doc_id END) % 150 AS VARCHAR) AS name,
+           upper(d.lang) AS category,
+           'Street ' || CAST((CASE WHEN d.doc_id % 20 = 1 THEN d.doc_id - 1 ELSE d.doc_id END) % 997 AS VARCHAR)
+             AS address,
+           d.source AS district,
+           CASE WHEN d.source = 'src0' THEN NULL ELSE d.text END AS hours,
+           CAST(l.quality AS DOUBLE) AS rating, CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS chain,
+           CASE WHEN d.doc_id % 10 = 0 THEN NULL ELSE CAST(d.n_chars AS DOUBLE) END AS seats,
+           CASE WHEN l.toxic IS NULL THEN NULL WHEN d.n_chars < 1000 THEN 'Low' WHEN d.n_chars < 5000 THEN 'Medium'
+                WHEN d.n_chars < 20000 THEN 'High' ELSE 'Very High' END AS price,
+           CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE d.n_chars / 10.0::DOUBLE END AS middle_avg_bill
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+v_norm AS (
+    SELECT id, lower(name) AS name, lower(category) AS category, lower(address) AS address,
+           lower(district) AS district, lower(coalesce(hours, 'unknown')) AS hours, rating,
+           CAST(chain AS BOOLEAN) AS chain, CAST(seats AS BIGINT) AS seats,
+           lower(coalesce(price, 'unknown')) AS price, middle_avg_bill
+    FROM v_merged),
+v_clean AS (
+    SELECT * EXCLUDE (rn),
+           coalesce(contains(hours, 'the') AND contains(hours, 'and'), false) AS is_24_7
+    FROM (SELECT *, row_number() OVER (PARTITION BY name, address ORDER BY id) AS rn FROM v_norm)
+    WHERE rn = 1)"""
+
+_V = with_("v_clean")
+
+SQL["venues_clean"] = _V + """
+SELECT id, name, category, address, district, rating, chain, seats, price, middle_avg_bill, is_24_7 FROM v_clean"""
+
+SQL["hours_flag_check"] = _V + """
+SELECT COUNT(*) FILTER (WHERE hours <> 'the and') AS not_exact, COUNT(*) FILTER (WHERE hours = 'the and') AS exact,
+       COUNT(*) FILTER (WHERE is_24_7) AS flag_true, COUNT(*) FILTER (WHERE NOT is_24_7) AS flag_false
+FROM v_clean"""
+
+SQL["category_counts"] = _V + f"""
+SELECT category, COUNT(*) AS count, {R('COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()', 4)} AS percent
+FROM v_clean WHERE category IS NOT NULL GROUP BY category"""
+
+SQL["chain_by_category"] = _V + f"""
+SELECT category, COUNT(*) FILTER (WHERE NOT chain) AS no_chain, COUNT(*) FILTER (WHERE chain) AS chain,
+       COUNT(*) AS total,
+       {R('(COUNT(*) FILTER (WHERE NOT chain))::DOUBLE / COUNT(*) * 100', 4)} AS no_chain_pct,
+       {R('(COUNT(*) FILTER (WHERE chain))::DOUBLE / COUNT(*) * 100', 4)} AS chain_pct
+FROM v_clean GROUP BY category"""
+
+SQL["rating_by_category"] = _V + f"""
+SELECT category, COUNT(rating) AS count, {R('AVG(rating)', 6)} AS mean, {R('STDDEV_SAMP(rating)', 6)} AS std,
+       {R('MIN(rating)', 6)} AS min, {R('quantile_cont(rating, 0.25)', 6)} AS q25,
+       {R('quantile_cont(rating, 0.5)', 6)} AS q50, {R('quantile_cont(rating, 0.75)', 6)} AS q75,
+       {R('MAX(rating)', 6)} AS max
+FROM v_clean WHERE category IS NOT NULL GROUP BY category"""
+
+SQL["rating_spread"] = _V + f"""
+SELECT {R('(MAX(m) - MIN(m)) / 4.0 * 100', 4)} AS rating_diff_pct
+FROM (SELECT category, AVG(rating) AS m FROM v_clean WHERE category IS NOT NULL GROUP BY category)"""
+
+SQL["seats_by_category"] = _V + f"""
+SELECT category, {R('quantile_cont(seats, 0.5)', 4)} AS median_seats,
+       {R('(SELECT quantile_cont(seats, 0.01) FROM v_clean)', 4)} AS p01_seats,
+       {R('(SELECT quantile_cont(seats, 0.5) FROM v_clean)', 4)} AS p50_seats,
+       {R('(SELECT quantile_cont(seats, 0.99) FROM v_clean)', 4)} AS p99_seats
+FROM v_clean GROUP BY category"""
+
+SQL["large_venues"] = _V + """
+SELECT id, name, category, seats FROM v_clean
+WHERE seats >= (SELECT quantile_cont(seats, 0.99) FROM v_clean)"""
+
+SQL["bill_by_district"] = _V + f"""
+SELECT district, {R('median(middle_avg_bill)', 4)} AS median, {R('AVG(middle_avg_bill)', 4)} AS mean
+FROM v_clean GROUP BY district"""
+
+SQL["rating_by_price"] = _V + f"""
+SELECT price, {R('AVG(rating)', 6)} AS mean_rating FROM v_clean GROUP BY price"""
+
+SQL["chains_top15"] = _V + f"""
+SELECT name, category, COUNT(id) AS count, {R('AVG(rating)', 6)} AS mean_rating
+FROM v_clean WHERE chain GROUP BY name, category ORDER BY count DESC, name, category LIMIT 15"""
+
+SQL["chains_top15_categories"] = _V + """
+SELECT category, COUNT(name) AS chains FROM (
+  SELECT name, category, COUNT(id) AS count FROM v_clean WHERE chain
+  GROUP BY name, category ORDER BY count DESC, name, category LIMIT 15)
+GROUP BY category"""
+
+SQL["association_table"] = _V + f"""
+, rng AS (SELECT MIN(seats) AS lo, MAX(seats) AS hi FROM v_clean),
+vb AS (
+  SELECT v.*, CASE WHEN seats IS NULL THEN NULL
+                   ELSE CAST(least(floor((seats - lo) / ((hi - lo) / 10.0)), 9) AS INTEGER) END AS seats_bin
+  FROM v_clean v, rng),
+lng AS (
+  SELECT CAST(rating AS VARCHAR) AS t, 'category' AS attr, CAST(category AS VARCHAR) AS val FROM vb
+  UNION ALL SELECT CAST(rating AS VARCHAR), 'district', CAST(district AS VARCHAR) FROM vb
+  UNION ALL SELECT CAST(rating AS VARCHAR), 'chain', CAST(chain AS VARCHAR) FROM vb
+  UNION ALL SELECT CAST(rating AS VARCHAR), 'seats_bin', CAST(seats_bin AS VARCHAR) FROM vb
+  UNION ALL SELECT CAST(rating AS VARCHAR), 'price', CAST(price AS VARCHAR) FROM vb
+  UNION ALL SELECT CAST(rating AS VARCHAR), 'is_24_7', CAST(is_24_7 AS VARCHAR) FROM vb),
+cells AS (SELECT attr, t, val, COUNT(*) AS n FROM lng WHERE t IS NOT NULL AND val IS NOT NULL GROUP BY ALL),
+rt AS (SELECT attr, t, SUM(n) AS n_t FROM cells GROUP BY ALL),
+ct AS (SELECT attr, val, SUM(n) AS n_v FROM cells GROUP BY ALL),
+att AS (SELECT attr, SUM(n) AS n_all, COUNT(DISTINCT t) AS k_t, COUNT(DISTINCT val) AS k_v FROM cells GROUP BY attr),
+chi AS (
+  SELECT att.attr, att.n_all, att.k_t, att.k_v,
+         SUM(power(coalesce(c.n, 0) - rt.n_t * ct.n_v / att.n_all, 2) / (rt.n_t * ct.n_v / att.n_all)) AS chi2
+  FROM rt JOIN ct ON rt.attr = ct.attr JOIN att ON rt.attr = att.attr
+  LEFT JOIN cells c ON c.attr = rt.attr AND c.t = rt.t AND c.val = ct.val
+  GROUP BY ALL)
+SELECT attr, CAST(n_all AS BIGINT) AS n_all, {R('chi2', 6)} AS chi2,
+       {R('CASE WHEN least(k_t, k_v) - 1 = 0 THEN NULL ELSE sqrt(chi2 / (n_all * (least(k_t, k_v) - 1))) END', 6)}
+         AS cramers_v
+FROM chi"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from functools import partial
 
-from . import fantasy, real_estate, startups, tickets
+from . import catering, fantasy, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,19 @@ def all_queries() -> dict[str, QueryFn]:
         "yearly_rounds": startups.yearly_rounds,
         "growth_segments": startups.growth_segments,
         "return_ratio": startups.return_ratio,
+        "venues_clean": catering.venues_clean_report,
+        "hours_flag_check": catering.hours_flag_check,
+        "category_counts": catering.category_counts,
+        "chain_by_category": catering.chain_by_category,
+        "rating_by_category": catering.rating_by_category,
+        "rating_spread": catering.rating_spread,
+        "seats_by_category": catering.seats_by_category,
+        "large_venues": catering.large_venues,
+        "bill_by_district": catering.bill_by_district,
+        "rating_by_price": catering.rating_by_price,
+        "chains_top15": catering.chains_top15,
+        "chains_top15_categories": catering.chains_top15_categories,
+        "association_table": catering.association_table,
     }
     return q
 

@@ -187,3 +187,38 @@ def startup_returns(t: Tables) -> DataFrame:
     return o.groupBy("year").agg(*[
         (F.sum(F.when(F.col("o_orderpriority") == pr, F.col("o_totalprice")).otherwise(0.0)) / 1e6).alias(ty)
         for ty, pr in RETURN_PRIORITY_OF.items()])
+
+
+# ---------------------------------------------------------------- catering venues
+
+# Fixed values of the stand-in: two words whose joint presence in the text
+# plays the role of "daily" and "around the clock" in the opening hours.
+HOURS_WORDS = ("the", "and")
+
+
+def venues_merged(t: Tables) -> DataFrame:
+    """Venue info left-joined with prices (J2): documents are venues, labels
+    carry the rating and the price information of the labelled ones."""
+    d = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
+    lab = t.labels.select("doc_id", "quality", "toxic")
+    j = d.join(lab, "doc_id", "left")
+    price = (F.when(F.col("toxic").isNull(), F.lit(None).cast("string"))
+              .when(F.col("n_chars") < 1000, "Low").when(F.col("n_chars") < 5000, "Medium")
+              .when(F.col("n_chars") < 20000, "High").otherwise("Very High"))
+    # every 20th venue repeats the name and address of the one before it
+    key = F.when(F.col("doc_id") % 20 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    return j.select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("Venue "), (key % 150).cast("string")).alias("name"),
+        F.upper("lang").alias("category"),
+        F.concat(F.lit("Street "), (key % 997).cast("string")).alias("address"),
+        F.col("source").alias("district"),
+        F.when(F.col("source") == "src0", F.lit(None).cast("string")).otherwise(F.col("text")).alias("hours"),
+        F.col("quality").cast("double").alias("rating"),
+        F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("chain"),
+        F.when(F.col("doc_id") % 10 == 0, F.lit(None).cast("double"))
+         .otherwise(F.col("n_chars").cast("double")).alias("seats"),
+        price.alias("price"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("double"))
+         .otherwise(F.col("n_chars") / 10.0).alias("middle_avg_bill"),
+    )
