@@ -677,3 +677,44 @@ SELECT attr, CAST(n_all AS BIGINT) AS n_all, {R('chi2', 6)} AS chi2,
        {R('CASE WHEN least(k_t, k_v) - 1 = 0 THEN NULL ELSE sqrt(chi2 / (n_all * (least(k_t, k_v) - 1))) END', 6)}
          AS cramers_v
 FROM chi"""
+
+# ---------------------------------------------------------------- video games
+CTE["g_clean"] = """g_raw AS (
+    SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name,
+           p_brand AS platform,
+           CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE CAST(1995 + p_partkey % 20 AS DOUBLE) END AS year_of_release,
+           upper(p_type[1]) || lower(p_type[2:]) AS genre,
+           p_retailprice / 1000 AS na_sales_mm,
+           CASE WHEN p_partkey % 13 = 0 THEN 'unknown' ELSE CAST(p_retailprice / 2000 AS VARCHAR) END AS eu_sales_mm,
+           CASE WHEN p_partkey % 17 = 0 THEN 'unknown' ELSE CAST(p_size / 100 AS VARCHAR) END AS jp_sales_mm,
+           p_size / 1000 AS other_sales_mm,
+           CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size * 2 AS DOUBLE) END AS critic_score,
+           CASE WHEN p_partkey % 11 = 0 THEN 'tbd' WHEN p_partkey % 19 = 0 THEN NULL
+                ELSE CAST(p_size / 5 AS VARCHAR) END AS user_score,
+           CASE WHEN p_partkey % 23 = 0 THEN NULL
+                ELSE ['E', 'T', 'M', 'K-A', 'e10+'][CAST(p_partkey % 6 + 1 AS INTEGER)] END AS rating
+    FROM part),
+g_clean AS (
+    SELECT DISTINCT lower(name) AS name, platform, CAST(year_of_release AS INTEGER) AS year_of_release,
+           lower(genre) AS genre, na_sales_mm, TRY_CAST(eu_sales_mm AS DOUBLE) AS eu_sales_mm,
+           TRY_CAST(jp_sales_mm AS DOUBLE) AS jp_sales_mm, other_sales_mm,
+           CAST(coalesce(critic_score, -1.0) AS INTEGER) AS critic_score,
+           coalesce(TRY_CAST(user_score AS DOUBLE), -1.0) AS user_score,
+           coalesce(CASE WHEN upper(rating) = 'K-A' THEN 'E' ELSE upper(rating) END, 'unknown') AS rating
+    FROM g_raw WHERE name IS NOT NULL AND genre IS NOT NULL AND year_of_release IS NOT NULL),
+g_actual AS (
+    SELECT *,
+      CASE WHEN user_score >= 0 AND user_score < 3 THEN 'low' WHEN user_score >= 3 AND user_score < 8 THEN 'mid'
+           WHEN user_score >= 8 AND user_score < 10 THEN 'high' ELSE 'unknown' END AS user_score_category,
+      CASE WHEN critic_score >= 0 AND critic_score < 30 THEN 'low'
+           WHEN critic_score >= 30 AND critic_score < 80 THEN 'mid'
+           WHEN critic_score >= 80 AND critic_score < 100 THEN 'high' ELSE 'unknown' END AS critic_score_category
+    FROM g_clean WHERE year_of_release BETWEEN 2000 AND 2013)"""
+
+SQL["games_clean"] = with_("g_clean") + "\nSELECT * FROM g_clean"
+SQL["score_bins"] = with_("g_clean") + """
+SELECT user_score_category, critic_score_category, COUNT(*) AS games FROM g_actual GROUP BY ALL"""
+SQL["platforms_top7"] = with_("g_clean") + """
+SELECT platform, COUNT(name) AS games FROM g_actual GROUP BY platform ORDER BY games DESC, platform LIMIT 7"""
+SQL["games_profile"] = with_("g_clean") + """
+SELECT platform, genre, COUNT(*) AS count FROM g_clean GROUP BY ALL"""

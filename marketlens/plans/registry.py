@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from functools import partial
 
-from . import catering, fantasy, real_estate, startups, tickets
+from . import catering, fantasy, games, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def all_queries() -> dict[str, QueryFn]:
         "chains_top15": catering.chains_top15,
         "chains_top15_categories": catering.chains_top15_categories,
         "association_table": catering.association_table,
+        "games_clean": games.games_clean,
+        "score_bins": games.score_bins,
+        "platforms_top7": games.platforms_top7,
+        "games_profile": games.games_profile,
     }
     return q
 

@@ -222,3 +222,34 @@ def venues_merged(t: Tables) -> DataFrame:
         F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("double"))
          .otherwise(F.col("n_chars") / 10.0).alias("middle_avg_bill"),
     )
+
+
+# ---------------------------------------------------------------- video games
+
+# Fixed values of the stand-in: ESRB-like rating codes by part key.
+GAME_RATINGS = ("E", "T", "M", "K-A", "e10+")
+
+
+def games_raw(t: Tables) -> DataFrame:
+    """Game titles with the source header and dirty values: text sales with
+    'unknown', user score text with 'tbd', missing years, scores and ratings."""
+    p = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    k = F.col("p_partkey")
+    rating = F.try_element_at(F.array(*[F.lit(r) for r in GAME_RATINGS]), (k % 6 + 1).cast("int"))
+    return p.select(
+        F.when(k % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("Name"),
+        F.col("p_brand").alias("Platform"),
+        F.when(k % 31 == 0, F.lit(None).cast("double")).otherwise((F.lit(1995) + k % 20).cast("double"))
+         .alias("Year of Release"),
+        F.initcap("p_type").alias("Genre"),
+        (F.col("p_retailprice") / 1000).alias("NA sales"),
+        F.when(k % 13 == 0, F.lit("unknown")).otherwise((F.col("p_retailprice") / 2000).cast("string"))
+         .alias("EU sales"),
+        F.when(k % 17 == 0, F.lit("unknown")).otherwise((F.col("p_size") / 100).cast("string")).alias("JP sales"),
+        (F.col("p_size") / 1000).alias("Other sales"),
+        F.when(k % 7 == 0, F.lit(None).cast("double")).otherwise((F.col("p_size") * 2).cast("double"))
+         .alias("Critic Score"),
+        F.when(k % 11 == 0, F.lit("tbd")).when(k % 19 == 0, F.lit(None).cast("string"))
+         .otherwise((F.col("p_size") / 5).cast("string")).alias("User Score"),
+        F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(rating).alias("Rating"),
+    )
