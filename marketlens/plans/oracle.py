@@ -718,3 +718,79 @@ SQL["platforms_top7"] = with_("g_clean") + """
 SELECT platform, COUNT(name) AS games FROM g_actual GROUP BY platform ORDER BY games DESC, platform LIMIT 7"""
 SQL["games_profile"] = with_("g_clean") + """
 SELECT platform, genre, COUNT(*) AS count FROM g_clean GROUP BY ALL"""
+
+# ---------------------------------------------------------------- quality profiles
+_VM_COLS = ("id", "name", "category", "address", "district", "hours", "rating", "chain", "seats", "price",
+            "middle_avg_bill")
+
+SQL["null_profile"] = with_("v_clean") + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS n_null, "
+    f"{R(f'(COUNT(*) FILTER (WHERE {c} IS NULL)) * 100.0 / COUNT(*)', 4)} AS null_pct FROM v_merged"
+    for c in _VM_COLS)
+
+SQL["missing_report"] = "SELECT * FROM (" + SQL["null_profile"] + ") WHERE n_null > 0"
+
+SQL["null_totals"] = with_("v_clean") + """
+SELECT CAST(SUM(""" + " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in _VM_COLS) + """) AS BIGINT) AS null_cells,
+       COUNT(*) FILTER (WHERE """ + " OR ".join(f"{c} IS NULL" for c in _VM_COLS) + """) AS rows_with_null,
+       COUNT(*) AS rows
+FROM v_merged"""
+
+SQL["marker_profile"] = with_("g_clean") + """
+SELECT 'EU sales' AS "column", COUNT(*) FILTER (WHERE eu_sales_mm = 'unknown') AS n_marker, 'unknown' AS marker FROM g_raw
+UNION ALL SELECT 'JP sales', COUNT(*) FILTER (WHERE jp_sales_mm = 'unknown'), 'unknown' FROM g_raw
+UNION ALL SELECT 'User Score', COUNT(*) FILTER (WHERE user_score = 'tbd'), 'tbd' FROM g_raw"""
+
+SQL["duplicate_profile"] = """
+SELECT COUNT(*) AS rows, (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS distinct_rows,
+       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicates, 'full_row' AS scope
+FROM lineitem
+UNION ALL
+SELECT COUNT(*), (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), 'order_line_key'
+FROM lineitem"""
+
+SQL["duplicate_lines"] = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+         COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem) WHERE c > 1"""
+
+SQL["cleaning_audit"] = with_("t_orders") + f"""
+, caps AS (SELECT currency_code, quantile_cont(revenue, 0.99) AS cap FROM t_orders
+           WHERE currency_code IN ('rub', 'kzt') GROUP BY 1),
+capped AS (SELECT t.* FROM t_orders t JOIN caps c ON t.currency_code = c.currency_code WHERE t.revenue <= c.cap),
+deduped AS (SELECT DISTINCT user_id, event_id, created_ts_msk, tickets_count, revenue, currency_code,
+                   event_type_description, event_type_main FROM capped),
+n AS (SELECT (SELECT COUNT(*) FROM t_orders WHERE currency_code IN ('rub', 'kzt')) AS rows_before,
+             (SELECT COUNT(*) FROM capped) AS rows_capped, (SELECT COUNT(*) FROM deduped) AS rows_after)
+SELECT rows_before, rows_before - rows_capped AS removed_cap, rows_capped - rows_after AS removed_duplicates,
+       rows_after, {R('(rows_before - rows_after) * 100.0 / rows_before', 4)} AS removed_pct
+FROM n"""
+
+SQL["event_value_describe"] = f"""
+SELECT event_type, COUNT(value) AS count, {R('AVG(value)', 6)} AS mean, {R('STDDEV_SAMP(value)', 6)} AS std,
+       {R('MIN(value)', 6)} AS min, {R('quantile_cont(value, 0.25)', 6)} AS q25,
+       {R('quantile_cont(value, 0.5)', 6)} AS q50, {R('quantile_cont(value, 0.75)', 6)} AS q75,
+       {R('MAX(value)', 6)} AS max
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
+
+SQL["event_value_histogram"] = f"""
+WITH r AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events WHERE value IS NOT NULL),
+b AS (SELECT CASE WHEN hi = lo THEN 0
+                  ELSE CAST(least(floor((value - lo) / ((hi - lo) / 20)), 19) AS BIGINT) END AS bin, lo, hi
+      FROM events, r WHERE value IS NOT NULL)
+SELECT bin, {R('lo + bin * (hi - lo) / 20', 6)} AS bin_left, {R('lo + (bin + 1) * (hi - lo) / 20', 6)} AS bin_right,
+       COUNT(*) AS count
+FROM b GROUP BY bin, lo, hi"""
+
+SQL["event_value_boxplot"] = f"""
+WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
+                  quantile_cont(value, 0.75) AS q3
+           FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type)
+SELECT e.event_type, {R('q1', 6)} AS q1, {R('med', 6)} AS median, {R('q3', 6)} AS q3,
+       {R('MIN(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1))', 6)} AS whisker_low,
+       {R('MAX(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1))', 6)} AS whisker_high,
+       COUNT(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+       COUNT(*) AS n
+FROM events e JOIN q ON e.event_type = q.event_type WHERE value IS NOT NULL
+GROUP BY e.event_type, q1, med, q3"""

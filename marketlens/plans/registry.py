@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from functools import partial
 
-from . import catering, fantasy, games, real_estate, startups, tickets
+from . import catering, fantasy, games, profiles, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,16 @@ def all_queries() -> dict[str, QueryFn]:
         "score_bins": games.score_bins,
         "platforms_top7": games.platforms_top7,
         "games_profile": games.games_profile,
+        "null_profile": profiles.null_profile_venues,
+        "missing_report": profiles.missing_report,
+        "null_totals": profiles.null_totals_venues,
+        "marker_profile": profiles.marker_profile,
+        "duplicate_profile": profiles.duplicate_profile,
+        "duplicate_lines": profiles.duplicate_lines,
+        "cleaning_audit": profiles.cleaning_audit,
+        "event_value_describe": profiles.event_value_describe,
+        "event_value_histogram": profiles.event_value_histogram,
+        "event_value_boxplot": profiles.event_value_boxplot,
     }
     return q
 
