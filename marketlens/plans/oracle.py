@@ -794,3 +794,185 @@ SELECT e.event_type, {R('q1', 6)} AS q1, {R('med', 6)} AS median, {R('q3', 6)} A
        COUNT(*) AS n
 FROM events e JOIN q ON e.event_type = q.event_type WHERE value IS NOT NULL
 GROUP BY e.event_type, q1, med, q3"""
+
+# ---------------------------------------------------------------- app sessions and experiments
+CTE["sessions"] = """sessions AS (
+    SELECT user_id, event_id AS session_id, CAST(ts AS DATE) AS session_date, ts AS session_start_ts,
+           CAST(event_type = 'signup' AS INTEGER) AS registration_flag,
+           1 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 AS page_counter,
+           ['CIS', 'EU', 'MENA'][CAST(user_id % 3 + 1 AS INTEGER)] AS region,
+           ['Android', 'iPhone', 'PC', 'Mac'][CAST(user_id % 4 + 1 AS INTEGER)] AS device,
+           CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS test_group
+    FROM events),
+hist AS (SELECT * FROM sessions WHERE session_start_ts < TIMESTAMP '2024-01-15 00:00:00'),
+test AS (SELECT * FROM sessions WHERE session_start_ts >= TIMESTAMP '2024-01-15 00:00:00'),
+hist_first AS (
+    SELECT * EXCLUDE (rn) FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session_start_ts, session_id) AS rn FROM hist)
+    WHERE rn = 1),
+test_first AS (
+    SELECT * EXCLUDE (rn) FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session_start_ts, session_id) AS rn FROM test)
+    WHERE rn = 1)"""
+_S = with_("sessions")
+
+SQL["sessions_per_user"] = _S + """
+SELECT user_id, COUNT(DISTINCT session_id) AS session_count FROM hist GROUP BY user_id"""
+
+SQL["top_user_sessions"] = _S + """
+, top AS (SELECT user_id FROM hist GROUP BY user_id ORDER BY COUNT(DISTINCT session_id) DESC, user_id LIMIT 1)
+SELECT user_id, session_id, strftime(session_date, '%Y-%m-%d') AS session_date, registration_flag, page_counter,
+       region, device
+FROM hist WHERE user_id IN (SELECT user_id FROM top)"""
+
+SQL["sessions_daily"] = _S + f"""
+SELECT strftime(session_date, '%Y-%m-%d') AS session_date, COUNT(DISTINCT user_id) AS total_users,
+       CAST(SUM(registration_flag) AS BIGINT) AS registered_users,
+       {R('SUM(registration_flag)::DOUBLE / COUNT(DISTINCT user_id)', 6)} AS share_registered_users
+FROM hist GROUP BY session_date"""
+
+SQL["pages_per_first_session"] = _S + """
+SELECT page_counter, COUNT(session_id) AS sessions FROM hist_first GROUP BY page_counter"""
+
+SQL["good_sessions_daily"] = _S + f"""
+SELECT strftime(session_date, '%Y-%m-%d') AS session_date, COUNT(*) AS total_sessions,
+       CAST(SUM(CAST(page_counter >= 4 AS INTEGER)) AS BIGINT) AS good_sessions,
+       {R('SUM(CAST(page_counter >= 4 AS INTEGER))::DOUBLE / COUNT(*)', 6)} AS share_of_good_sessions
+FROM hist_first GROUP BY session_date"""
+
+_NSIZE = "2 * power((1.959964 + 0.841621) / abs(2 * asin(sqrt({t})) - 2 * asin(sqrt(base_rate))), 2)"
+SQL["ab_sample_size"] = _S + f"""
+, base AS (SELECT AVG(CAST(page_counter >= 4 AS DOUBLE)) AS base_rate FROM hist_first),
+daily AS (SELECT CAST(ROUND(AVG(u)) AS BIGINT) AS avg_daily_users
+          FROM (SELECT session_date, COUNT(DISTINCT user_id) AS u FROM hist GROUP BY session_date)),
+k AS (SELECT 'relative' AS mde_kind, 0.03 AS mde, {_NSIZE.format(t='base_rate * (1 + 0.03)')} AS n, base_rate,
+             avg_daily_users FROM base, daily
+      UNION ALL
+      SELECT 'absolute', 0.03, {_NSIZE.format(t='base_rate + 0.03')}, base_rate, avg_daily_users FROM base, daily)
+SELECT mde_kind, {R('base_rate', 6)} AS base_rate, CAST(mde AS DOUBLE) AS mde, {R('n', 2)} AS sample_size,
+       avg_daily_users, CAST(ceil(n / (avg_daily_users / 2)) AS BIGINT) AS test_duration_days
+FROM k"""
+
+SQL["ab_balance"] = _S + f"""
+SELECT test_group, COUNT(DISTINCT user_id) AS users,
+       {R('COUNT(DISTINCT user_id) * 100.0 / SUM(COUNT(DISTINCT user_id)) OVER ()', 2)} AS users_pct
+FROM test GROUP BY test_group"""
+
+SQL["group_pct_diff"] = _S + f"""
+SELECT COUNT(DISTINCT user_id) FILTER (WHERE test_group = 'A') AS users_a,
+       COUNT(DISTINCT user_id) FILTER (WHERE test_group = 'B') AS users_b,
+       {R("(COUNT(DISTINCT user_id) FILTER (WHERE test_group = 'A') - COUNT(DISTINCT user_id) FILTER (WHERE test_group = 'B'))::DOUBLE / COUNT(DISTINCT user_id) FILTER (WHERE test_group = 'A') * 100", 4)} AS pct_diff
+FROM test"""
+
+SQL["ab_overlap"] = _S + """
+SELECT COUNT(*) AS users_in_both_groups FROM (
+  SELECT user_id FROM test GROUP BY user_id HAVING COUNT(DISTINCT test_group) > 1)"""
+
+
+def _attr_balance_sql(attr: str) -> str:
+    return _S + f"""
+, firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+                        ORDER BY session_start_ts, test_group, {attr}) AS rn FROM test) WHERE rn = 1)
+SELECT test_group, {attr}, COUNT(*) AS users,
+       {R(f'COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY test_group)', 4)} AS users_pct
+FROM firsts GROUP BY test_group, {attr}"""
+
+
+SQL["ab_device_balance"] = _attr_balance_sql("device")
+SQL["ab_region_balance"] = _attr_balance_sql("region")
+
+_COUNTS_TEST = """
+, c AS (SELECT COUNT(*) FILTER (WHERE test_group = 'A') AS n_a,
+               CAST(SUM(CASE WHEN test_group = 'A' AND page_counter >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS success_a,
+               COUNT(*) FILTER (WHERE test_group = 'B') AS n_b,
+               CAST(SUM(CASE WHEN test_group = 'B' AND page_counter >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS success_b
+        FROM test_first)"""
+
+SQL["ab_success"] = _S + _COUNTS_TEST + f"""
+SELECT n_a, success_a, n_b, success_b, {R('success_a::DOUBLE / n_a', 6)} AS share_a,
+       {R('success_b::DOUBLE / n_b', 6)} AS share_b,
+       {R('(success_b::DOUBLE / n_b - success_a::DOUBLE / n_a) * 100', 4)} AS diff_points
+FROM c"""
+
+
+def ztest_sql(counts_from: str) -> str:
+    return f"""
+, zz AS (
+  SELECT *, (success_a::DOUBLE / n_a - success_b::DOUBLE / n_b)
+              / sqrt(((success_a + success_b)::DOUBLE / (n_a + n_b)) * (1 - (success_a + success_b)::DOUBLE / (n_a + n_b))
+                     * (1.0 / n_a + 1.0 / n_b)) AS z
+  FROM {counts_from})
+SELECT n_a, success_a, n_b, success_b, {R('success_a::DOUBLE / n_a', 6)} AS share_a,
+       {R('success_b::DOUBLE / n_b', 6)} AS share_b,
+       (success_a >= 5 AND n_a - success_a >= 5 AND success_b >= 5 AND n_b - success_b >= 5) AS enough_data,
+       {R('z', 6)} AS z_stat, {R(normal_cdf_sql('z'), 6)} AS p_value
+FROM zz"""
+
+
+SQL["ab_ztest"] = _S + _COUNTS_TEST + ztest_sql("c")
+
+CTE["site"] = """users_ AS (SELECT DISTINCT user_id FROM events),
+participants AS (
+    SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS "group", 'interface_eu_test' AS ab_test
+    FROM users_ WHERE user_id % 3 <> 0
+    UNION ALL
+    SELECT user_id, CASE WHEN user_id % 4 < 2 THEN 'A' ELSE 'B' END, 'recommender_system_test'
+    FROM users_ WHERE user_id % 5 = 0),
+site_clean AS (
+    SELECT * FROM participants WHERE ab_test = 'interface_eu_test'
+      AND user_id NOT IN (SELECT user_id FROM participants WHERE ab_test = 'recommender_system_test')),
+ev AS (SELECT user_id, ts AS event_dt, event_type AS event_name FROM events
+       WHERE user_id IN (SELECT user_id FROM site_clean)),
+ev7 AS (SELECT e.* FROM ev e JOIN (SELECT user_id, MIN(event_dt) AS start_dt FROM ev GROUP BY user_id) s
+          ON e.user_id = s.user_id WHERE e.event_dt - s.start_dt <= INTERVAL 7 DAYS),
+conv AS (
+    SELECT p."group", COUNT(*) AS total_visitors, CAST(SUM(CASE WHEN b.user_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS buyers_count
+    FROM site_clean p LEFT JOIN (SELECT DISTINCT user_id FROM ev7 WHERE event_name = 'purchase') b
+      ON p.user_id = b.user_id
+    GROUP BY p."group")"""
+
+SQL["site_overlap"] = with_("site") + """
+SELECT COUNT(DISTINCT user_id) FILTER (WHERE ab_test = 'interface_eu_test') AS site_users,
+       COUNT(DISTINCT user_id) FILTER (WHERE ab_test = 'recommender_system_test') AS competing_users,
+       (SELECT COUNT(*) FROM (SELECT user_id FROM participants WHERE ab_test = 'interface_eu_test'
+                              INTERSECT SELECT user_id FROM participants WHERE ab_test = 'recommender_system_test')) AS "both",
+       (SELECT COUNT(*) FROM site_clean) AS site_users_clean
+FROM participants"""
+
+SQL["site_balance"] = with_("site") + f"""
+SELECT "group", COUNT(DISTINCT user_id) AS users,
+       {R('COUNT(DISTINCT user_id) * 100.0 / SUM(COUNT(DISTINCT user_id)) OVER ()', 2)} AS users_pct
+FROM site_clean GROUP BY "group" """
+
+SQL["site_conversion"] = with_("site") + f"""
+SELECT "group", total_visitors, buyers_count, {R('buyers_count::DOUBLE / total_visitors * 100', 2)} AS conversion_rate
+FROM conv"""
+
+SQL["site_ztest"] = with_("site") + """
+, c AS (SELECT SUM(CASE WHEN "group" = 'A' THEN total_visitors ELSE 0 END)::BIGINT AS n_a,
+               SUM(CASE WHEN "group" = 'A' THEN buyers_count ELSE 0 END)::BIGINT AS success_a,
+               SUM(CASE WHEN "group" = 'B' THEN total_visitors ELSE 0 END)::BIGINT AS n_b,
+               SUM(CASE WHEN "group" = 'B' THEN buyers_count ELSE 0 END)::BIGINT AS success_b FROM conv)""" \
+    + ztest_sql("c")
+
+CTE["reading"] = """reading AS (
+    SELECT user_id AS puid, CASE WHEN user_id % 4 = 0 THEN 'city_a' ELSE 'city_b' END AS city,
+           SUM(value) / 60 AS hours, event_type AS source_type
+    FROM events GROUP BY user_id, event_type),
+reading_clean AS (
+    SELECT * EXCLUDE (rn) FROM (
+      SELECT *, row_number() OVER (PARTITION BY puid ORDER BY source_type, city, hours) AS rn FROM reading)
+    WHERE rn = 1)"""
+
+SQL["reading_dedupe_audit"] = with_("reading") + """
+SELECT COUNT(*) AS rows, COUNT(DISTINCT puid) AS distinct_puid, COUNT(*) - COUNT(DISTINCT puid) AS duplicates
+FROM reading"""
+
+SQL["reading_city_stats"] = with_("reading") + f"""
+SELECT city, COUNT(hours) AS count, {R('AVG(hours)', 2)} AS mean, {R('median(hours)', 2)} AS median,
+       {R('STDDEV_SAMP(hours)', 2)} AS std, {R('MIN(hours)', 2)} AS min, {R('MAX(hours)', 2)} AS max
+FROM reading_clean GROUP BY city"""
+
+SQL["welch_by_group"] = with_("reading") + welch_sql(
+    ", per AS (SELECT city, hours FROM reading_clean)", "city", "hours", "city_a", "city_b")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from functools import partial
 
-from . import catering, fantasy, games, profiles, real_estate, startups, tickets
+from . import catering, experiments, fantasy, games, profiles, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,26 @@ def all_queries() -> dict[str, QueryFn]:
         "event_value_describe": profiles.event_value_describe,
         "event_value_histogram": profiles.event_value_histogram,
         "event_value_boxplot": profiles.event_value_boxplot,
+        "sessions_per_user": experiments.sessions_per_user,
+        "top_user_sessions": experiments.top_user_sessions,
+        "sessions_daily": experiments.sessions_daily,
+        "pages_per_first_session": experiments.pages_per_first_session,
+        "good_sessions_daily": experiments.good_sessions_daily,
+        "ab_sample_size": experiments.ab_sample_size,
+        "ab_balance": experiments.ab_balance,
+        "group_pct_diff": experiments.group_pct_diff,
+        "ab_overlap": experiments.ab_overlap,
+        "ab_device_balance": experiments.ab_device_balance,
+        "ab_region_balance": experiments.ab_region_balance,
+        "ab_success": experiments.ab_success,
+        "ab_ztest": experiments.ab_ztest,
+        "site_overlap": experiments.site_overlap,
+        "site_balance": experiments.site_balance,
+        "site_conversion": experiments.site_conversion,
+        "site_ztest": experiments.site_ztest,
+        "reading_dedupe_audit": experiments.reading_dedupe_audit,
+        "reading_city_stats": experiments.reading_city_stats,
+        "welch_by_group": experiments.welch_by_group,
     }
     return q
 

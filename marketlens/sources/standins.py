@@ -253,3 +253,63 @@ def games_raw(t: Tables) -> DataFrame:
          .otherwise((F.col("p_size") / 5).cast("string")).alias("User Score"),
         F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise(rating).alias("Rating"),
     )
+
+
+# ---------------------------------------------------------------- app sessions and experiments
+
+# Fixed values of the stand-ins: region and device labels by user id, the day
+# the recommendation test starts, the two site tests.
+REGIONS = ("CIS", "EU", "MENA")
+DEVICES = ("Android", "iPhone", "PC", "Mac")
+TEST_START = "2024-01-15"
+SITE_TEST = "interface_eu_test"
+COMPETING_TEST = "recommender_system_test"
+
+
+def _pick(labels, idx):
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), (idx % len(labels) + 1).cast("int"))
+
+
+def app_sessions(t: Tables) -> DataFrame:
+    """App sessions: every event is a session of its user; pages viewed come
+    from the JSON properties; the test group follows the user id parity."""
+    e = t.events.select("event_id", "ts", "user_id", "event_type", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(
+        F.col("user_id"), F.col("event_id").alias("session_id"),
+        F.to_date("ts").alias("session_date"), F.col("ts").alias("session_start_ts"),
+        (F.col("event_type") == "signup").cast("int").alias("registration_flag"),
+        (F.lit(1) + k % 7).alias("page_counter"),
+        _pick(REGIONS, F.col("user_id")).alias("region"),
+        _pick(DEVICES, F.col("user_id")).alias("device"),
+        F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("test_group"),
+    )
+
+
+def ab_participants(t: Tables) -> DataFrame:
+    """Experiment participants of two overlapping tests, derived from the
+    users present in the events."""
+    users = t.events.select("user_id").distinct()
+    dev = _pick(DEVICES, F.col("user_id"))
+    site = users.filter(F.col("user_id") % 3 != 0).select(
+        "user_id", F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("group"),
+        F.lit(SITE_TEST).alias("ab_test"), dev.alias("device"))
+    comp = users.filter(F.col("user_id") % 5 == 0).select(
+        "user_id", F.when(F.col("user_id") % 4 < 2, "A").otherwise("B").alias("group"),
+        F.lit(COMPETING_TEST).alias("ab_test"), dev.alias("device"))
+    return site.unionByName(comp)
+
+
+def ab_events(t: Tables) -> DataFrame:
+    return t.events.select("user_id", F.col("ts").alias("event_dt"), F.col("event_type").alias("event_name"),
+                           F.col("props").alias("details"))
+
+
+def reading_activity(t: Tables) -> DataFrame:
+    """Reading hours: one row per (user, event type) so user ids repeat; the
+    city follows the user id."""
+    e = t.events.select("user_id", "event_type", "value")
+    return e.groupBy("user_id", "event_type").agg((F.sum("value") / 60).alias("hours")).select(
+        F.col("user_id").alias("puid"),
+        F.when(F.col("user_id") % 4 == 0, "city_a").otherwise("city_b").alias("city"),
+        "hours", F.col("event_type").alias("source_type"))
