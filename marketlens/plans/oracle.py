@@ -976,3 +976,84 @@ FROM reading_clean GROUP BY city"""
 
 SQL["welch_by_group"] = with_("reading") + welch_sql(
     ", per AS (SELECT city, hours FROM reading_clean)", "city", "hours", "city_a", "city_b")
+
+# ---------------------------------------------------------------- dashboard metrics
+CTE["food"] = """food AS (
+    SELECT user_id, ts, event_type AS event, CASE WHEN event_type = 'purchase' THEN value END AS revenue,
+           'venue_' || CAST(event_id % 11 AS VARCHAR) AS venue,
+           'dish_' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 23 AS VARCHAR) AS dish
+    FROM events)"""
+_F = with_("food")
+
+SQL["dau"] = _F + """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, COUNT(DISTINCT user_id) AS dau FROM food GROUP BY 1"""
+
+SQL["conversion_daily"] = _F + f"""
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, COUNT(DISTINCT user_id) AS active_users,
+       COUNT(DISTINCT user_id) FILTER (WHERE event = 'purchase') AS ordering_users,
+       {R("(COUNT(DISTINCT user_id) FILTER (WHERE event = 'purchase'))::DOUBLE / COUNT(DISTINCT user_id)", 6)} AS conversion
+FROM food GROUP BY 1"""
+
+SQL["avg_check"] = _F + f"""
+SELECT strftime(date_trunc('month', ts), '%Y-%m') AS month, {R('SUM(revenue)', 2)} AS revenue, COUNT(*) AS orders,
+       {R('SUM(revenue) / COUNT(*)', 4)} AS avg_check
+FROM food WHERE event = 'purchase' GROUP BY 1"""
+
+SQL["ltv_top_venues"] = _F + f"""
+SELECT venue, {R('SUM(revenue)', 2)} AS ltv FROM food WHERE event = 'purchase'
+GROUP BY venue ORDER BY SUM(revenue) DESC, venue LIMIT 3"""
+
+SQL["ltv_top_dishes"] = _F + f"""
+SELECT dish, {R('SUM(revenue)', 2)} AS ltv FROM food WHERE event = 'purchase'
+GROUP BY dish ORDER BY SUM(revenue) DESC, dish LIMIT 5"""
+
+_RET = """
+, d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM food),
+f AS (SELECT user_id, MIN(day) AS first_day FROM d GROUP BY user_id),
+act AS (SELECT d.user_id, {cohort} AS cohort, date_diff('day', f.first_day, d.day) AS day_offset
+        FROM d JOIN f ON d.user_id = f.user_id),
+sizes AS (SELECT {cohort} AS cohort, COUNT(*) AS cohort_size FROM f GROUP BY 1),
+grid AS (SELECT a.cohort, s.cohort_size, UNNEST(range(0, MAX(a.day_offset) + 1)) AS day_offset
+         FROM act a JOIN sizes s ON a.cohort = s.cohort GROUP BY a.cohort, s.cohort_size),
+cnt AS (SELECT cohort, day_offset, COUNT(DISTINCT user_id) AS retained_users FROM act GROUP BY ALL)
+SELECT {sel} CAST(g.day_offset AS BIGINT) AS day_offset, g.cohort_size, coalesce(c.retained_users, 0) AS retained_users,
+       CAST(ROUND(CAST(coalesce(c.retained_users, 0)::DOUBLE / g.cohort_size AS DECIMAL(38,9)), 6) AS DOUBLE) AS retention_rate
+FROM grid g LEFT JOIN cnt c ON g.cohort = c.cohort AND g.day_offset = c.day_offset"""
+
+SQL["retention"] = _F + _RET.format(cohort="'all'", sel="")
+SQL["retention_monthly"] = _F + _RET.format(cohort="strftime(date_trunc('month', f.first_day), '%Y-%m-%d')",
+                                            sel="g.cohort,")
+
+CTE["talks"] = """talks AS (
+    SELECT l.l_orderkey * 10 + l.l_linenumber AS talk_id, o.o_orderpriority AS conference, n.n_name AS country,
+           c.c_name AS speaker, c.c_mktsegment AS occupation, string_split(p.p_name, ' ') AS tags,
+           l.l_quantity AS length, l.l_extendedprice AS views,
+           CAST(floor(l.l_discount * 100) AS BIGINT) AS applause, CAST(floor(l.l_tax * 100) AS BIGINT) AS laughter
+    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+    JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey)"""
+_TK = with_("talks")
+
+SQL["talk_counts"] = _TK + """
+SELECT COUNT(DISTINCT conference) AS conferences, COUNT(*) AS talks, COUNT(DISTINCT speaker) AS speakers,
+       (SELECT COUNT(DISTINCT tag) FROM (SELECT UNNEST(tags) AS tag FROM talks)) AS tags
+FROM talks"""
+
+SQL["talk_by_conference"] = _TK + f"""
+SELECT conference, {R('AVG(length)', 4)} AS mean_length, MAX(views) AS max_views,
+       CAST(SUM(applause) AS BIGINT) AS total_applause, COUNT(DISTINCT speaker) AS speakers
+FROM talks GROUP BY conference"""
+
+SQL["talk_filter"] = _TK + f"""
+SELECT COUNT(*) AS talks, {R('SUM(views)', 2)} AS views, COUNT(DISTINCT speaker) AS speakers
+FROM talks WHERE country = 'NATION_3' AND conference = '1-URGENT'"""
+
+SQL["talks_top_laughter"] = _TK + """
+SELECT talk_id, speaker, laughter FROM talks ORDER BY laughter DESC, talk_id LIMIT 10"""
+
+SQL["tags_top20"] = _TK + f"""
+SELECT tag, COUNT(talk_id) AS talks, {R('SUM(views)', 2)} AS views
+FROM (SELECT UNNEST(tags) AS tag, talk_id, views FROM talks) GROUP BY tag ORDER BY talks DESC, tag LIMIT 20"""
+
+SQL["speakers_top"] = _TK + """
+SELECT speaker, occupation, CAST(SUM(applause) AS BIGINT) AS applause FROM talks
+GROUP BY speaker, occupation ORDER BY applause DESC, speaker, occupation LIMIT 10"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from functools import partial
 
-from . import catering, experiments, fantasy, games, profiles, real_estate, startups, tickets
+from . import catering, experiments, fantasy, games, metrics, profiles, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,19 @@ def all_queries() -> dict[str, QueryFn]:
         "reading_dedupe_audit": experiments.reading_dedupe_audit,
         "reading_city_stats": experiments.reading_city_stats,
         "welch_by_group": experiments.welch_by_group,
+        "dau": metrics.dau,
+        "conversion_daily": metrics.conversion_daily,
+        "avg_check": metrics.avg_check,
+        "ltv_top_venues": metrics.ltv_top_venues,
+        "ltv_top_dishes": metrics.ltv_top_dishes,
+        "retention": metrics.retention,
+        "retention_monthly": metrics.retention_monthly,
+        "talk_counts": metrics.talk_counts,
+        "talk_by_conference": metrics.talk_by_conference,
+        "talk_filter": metrics.talk_filter,
+        "talks_top_laughter": metrics.talks_top_laughter,
+        "tags_top20": metrics.tags_top20,
+        "speakers_top": metrics.speakers_top,
     }
     return q
 

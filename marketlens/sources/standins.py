@@ -313,3 +313,36 @@ def reading_activity(t: Tables) -> DataFrame:
         F.col("user_id").alias("puid"),
         F.when(F.col("user_id") % 4 == 0, "city_a").otherwise("city_b").alias("city"),
         "hours", F.col("event_type").alias("source_type"))
+
+
+# ---------------------------------------------------------------- food delivery and talks
+
+def food_events(t: Tables) -> DataFrame:
+    """Delivery-app events: a purchase is an order with revenue = value; the
+    venue and the dish come from the event id and the JSON properties."""
+    e = t.events.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select("user_id", "ts", F.col("event_type").alias("event"),
+                    F.when(F.col("event_type") == "purchase", F.col("value")).alias("revenue"),
+                    F.concat(F.lit("venue_"), (F.col("event_id") % 11).cast("string")).alias("venue"),
+                    F.concat(F.lit("dish_"), (k % 23).cast("string")).alias("dish"))
+
+
+def talks(t: Tables) -> DataFrame:
+    """Conference talks: one per order line; conference = order priority,
+    speaker = customer, tags = words of the part name."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
+                           "l_discount", "l_tax")
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    c = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    n = F.broadcast(t.nation.select("n_nationkey", "n_name"))  # 25 rows, fixed size
+    p = t.part.select("p_partkey", "p_name")
+    j = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
+           .join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(p, F.col("l_partkey") == F.col("p_partkey")))
+    return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("talk_id"),
+                    F.col("o_orderpriority").alias("conference"), F.col("n_name").alias("country"),
+                    F.col("c_name").alias("speaker"), F.col("c_mktsegment").alias("occupation"),
+                    F.split("p_name", " ").alias("tags"), F.col("l_quantity").alias("length"),
+                    F.col("l_extendedprice").alias("views"),
+                    F.floor(F.col("l_discount") * 100).cast("bigint").alias("applause"),
+                    F.floor(F.col("l_tax") * 100).cast("bigint").alias("laughter"))
