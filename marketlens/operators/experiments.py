@@ -83,10 +83,10 @@ def proportions_ztest(counts: DataFrame, alternative: str = "smaller", digits: i
     """Pooled two-proportion z-test on a frame with n_a, success_a,
     n_b, success_b; ``smaller`` tests share_a < share_b. Adds the enough-data
     premise (>= 5 successes and failures in both groups)."""
-    pa = F.col("success_a") / F.col("n_a")
-    pb = F.col("success_b") / F.col("n_b")
-    p = (F.col("success_a") + F.col("success_b")) / (F.col("n_a") + F.col("n_b"))
-    z = (pa - pb) / F.sqrt(p * (1 - p) * (1 / F.col("n_a") + 1 / F.col("n_b")))
+    pa = safe_div("success_a", "n_a")
+    pb = safe_div("success_b", "n_b")
+    p = safe_div(F.col("success_a") + F.col("success_b"), F.col("n_a") + F.col("n_b"))
+    z = safe_div(pa - pb, F.sqrt(p * (1 - p) * (safe_div(F.lit(1.0), "n_a") + safe_div(F.lit(1.0), "n_b"))))
     cdf = normal_cdf(F.col("z"))
     if alternative == "smaller":
         pv = cdf
@@ -105,10 +105,10 @@ def proportions_ztest(counts: DataFrame, alternative: str = "smaller", digits: i
 def welch_from_moments(m: DataFrame, alternative: str = "greater", digits: int = 6) -> DataFrame:
     """Welch t-test on a frame with n_a, mean_a, var_a, n_b, mean_b, var_b
     (sample variances). ``greater`` tests mean_a > mean_b."""
-    se2a = F.col("var_a") / F.col("n_a")
-    se2b = F.col("var_b") / F.col("n_b")
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(se2a + se2b)
-    dof = (se2a + se2b) ** 2 / (se2a ** 2 / (F.col("n_a") - 1) + se2b ** 2 / (F.col("n_b") - 1))
+    se2a = safe_div("var_a", "n_a")
+    se2b = safe_div("var_b", "n_b")
+    t = safe_div(F.col("mean_a") - F.col("mean_b"), F.sqrt(se2a + se2b))
+    dof = safe_div((se2a + se2b) ** 2, safe_div(se2a ** 2, F.col("n_a") - 1) + safe_div(se2b ** 2, F.col("n_b") - 1))
     base = m.select("*", t.alias("__t"), dof.alias("__df"))
     upper = t_sf(F.col("__t"), F.col("__df"))
     pv = {"greater": upper, "less": F.lit(1.0) - upper,

@@ -402,9 +402,10 @@ def welch_sql(per_cte: str, group: str, value: str, a: str, b: str) -> str:
          VAR_SAMP({value}) FILTER (WHERE {group} = '{b}') AS var_b
   FROM per),
 s AS (
-  SELECT *, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS t,
-         power(var_a / n_a + var_b / n_b, 2)
-           / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)) AS dof
+  SELECT *, (mean_a - mean_b) / NULLIF(sqrt(var_a / NULLIF(n_a, 0) + var_b / NULLIF(n_b, 0)), 0) AS t,
+         power(var_a / NULLIF(n_a, 0) + var_b / NULLIF(n_b, 0), 2)
+           / NULLIF(power(var_a / NULLIF(n_a, 0), 2) / NULLIF(n_a - 1, 0)
+                    + power(var_b / NULLIF(n_b, 0), 2) / NULLIF(n_b - 1, 0), 0) AS dof
   FROM m)
 SELECT n_a, {R('mean_a', 6)} AS mean_a, {R('var_a', 6)} AS var_a, n_b, {R('mean_b', 6)} AS mean_b,
        {R('var_b', 6)} AS var_b, {R('t', 6)} AS t_stat, {R('dof', 6)} AS dof,
@@ -899,12 +900,13 @@ FROM c"""
 def ztest_sql(counts_from: str) -> str:
     return f"""
 , zz AS (
-  SELECT *, (success_a::DOUBLE / n_a - success_b::DOUBLE / n_b)
-              / sqrt(((success_a + success_b)::DOUBLE / (n_a + n_b)) * (1 - (success_a + success_b)::DOUBLE / (n_a + n_b))
-                     * (1.0 / n_a + 1.0 / n_b)) AS z
+  SELECT *, (success_a::DOUBLE / NULLIF(n_a, 0) - success_b::DOUBLE / NULLIF(n_b, 0))
+              / NULLIF(sqrt(((success_a + success_b)::DOUBLE / NULLIF(n_a + n_b, 0))
+                            * (1 - (success_a + success_b)::DOUBLE / NULLIF(n_a + n_b, 0))
+                            * (1.0 / NULLIF(n_a, 0) + 1.0 / NULLIF(n_b, 0))), 0) AS z
   FROM {counts_from})
-SELECT n_a, success_a, n_b, success_b, {R('success_a::DOUBLE / n_a', 6)} AS share_a,
-       {R('success_b::DOUBLE / n_b', 6)} AS share_b,
+SELECT n_a, success_a, n_b, success_b, {R('success_a::DOUBLE / NULLIF(n_a, 0)', 6)} AS share_a,
+       {R('success_b::DOUBLE / NULLIF(n_b, 0)', 6)} AS share_b,
        (success_a >= 5 AND n_a - success_a >= 5 AND success_b >= 5 AND n_b - success_b >= 5) AS enough_data,
        {R('z', 6)} AS z_stat, {R(normal_cdf_sql('z'), 6)} AS p_value
 FROM zz"""
