@@ -11,6 +11,7 @@ from ..operators.aggregates import describe, value_counts
 from ..operators.clean import contains_all, dedupe_keep_first, fill_nulls, lower_columns
 from ..operators.experiments import chi_square_association
 from ..operators.outliers import rows_at_or_above_percentile
+from ..session import shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -18,6 +19,11 @@ TEXT_COLUMNS = ("name", "category", "address", "district", "hours", "price")
 
 
 def venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z23, shared by all venue reports (written once per application)."""
+    return shared_table(spark, f"venues_clean:{sf_dir}", lambda: build_venues_clean(spark, sf_dir))
+
+
+def build_venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain to boolean, seats to integer, 'unknown' for missing hours and
     price, lower-case text, duplicates on (name, address) removed keeping the
     smallest id, 24/7 flag from the opening-hours text."""

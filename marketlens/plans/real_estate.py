@@ -10,6 +10,7 @@ from ..functions.dates import month_after_days, month_name, season
 from ..functions.numeric import numeric_round, safe_div
 from ..operators.aggregates import percentile_expr
 from ..operators.outliers import Bound, filter_by_global_percentiles
+from ..session import shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -25,6 +26,13 @@ LISTING_BOUNDS = (
 
 
 def clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
+    """Listings without outliers, shared by the activity and seasonality
+    reports (written once per application)."""
+    return shared_table(spark, f"city_listings:{sf_dir}:{accuracy}",
+                        lambda: build_clean_city_listings(spark, sf_dir, accuracy))
+
+
+def build_clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
     """Listings without outliers (limits over all listings), of the city type,
     published in the year window."""
     listings = S.real_estate_listings(Tables(spark, sf_dir))

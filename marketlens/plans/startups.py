@@ -12,6 +12,7 @@ from ..operators.aggregates import measure_totals, positive_counts, ratio_capped
 from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint_date, lower_columns,
                                normalize_headers, sentinel_to_null, to_number, to_timestamp_text)
 from ..operators.outliers import flagged_share, iqr_flag, keep_groups_over_threshold
+from ..session import shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -26,6 +27,11 @@ RATIO_TYPES = ("venture", "debt_financing", "private_equity", "seed", "angel")
 
 
 def funding_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z15, shared by all startup reports (written once per application)."""
+    return shared_table(spark, f"funding_clean:{sf_dir}", lambda: build_funding_clean(spark, sf_dir))
+
+
+def build_funding_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers, amount text to number, dates with a fixed format, integer
     rounds, text gaps to 'unknown', lower case, full duplicates removed,
     nameless and unfunded rows dropped, missing middle date imputed."""
@@ -89,8 +95,10 @@ def relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F6 on relabelled markets (N25: all rare markets share one fence)."""
-    return iqr_flag(relabelled(spark, sf_dir), "funding_total_usd", "market", 1.5, "is_outlier")
+    """F6 on relabelled markets (N25: all rare markets share one fence);
+    shared by the outlier, year, type and ratio reports."""
+    return shared_table(spark, f"startups_flagged:{sf_dir}", lambda: iqr_flag(
+        relabelled(spark, sf_dir), "funding_total_usd", "market", 1.5, "is_outlier"))
 
 
 def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

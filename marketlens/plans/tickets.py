@@ -12,6 +12,7 @@ from ..operators.clean import dedupe_keep_first
 from ..operators.experiments import overlap_summary, welch_test
 from ..operators.outliers import cap_by_group_percentile
 from ..operators.windows import days_since_previous
+from ..session import shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -22,6 +23,13 @@ CURRENCIES = ("rub", "kzt")
 
 
 def tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
+    """Z9, the cleaned ticket orders shared by all ticket reports (written
+    once per application, see ``session.shared_table``)."""
+    return shared_table(spark, f"tickets_clean:{sf_dir}:{accuracy}",
+                        lambda: build_tickets_clean(spark, sf_dir, accuracy))
+
+
+def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
     """p99 revenue cap per currency, duplicate removal (first by order id),
     daily rate join, revenue in roubles, revenue per ticket, month, season,
     days since the user's previous order."""
