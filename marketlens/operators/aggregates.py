@@ -43,9 +43,14 @@ def percentile_expr(value: str, q: float, kind: str = "cont", accuracy: int | No
 
 def discrete_percentile(df: DataFrame, value: str, q: float, by=None,
                         accuracy: int | None = None, out: str | None = None) -> DataFrame:
-    """``PERCENTILE_DISC(q) WITHIN GROUP (ORDER BY value)`` per group."""
+    """``PERCENTILE_DISC(q) WITHIN GROUP (ORDER BY value)`` per group
+    (exact by histogram refinement; ``accuracy`` switches to a sketch)."""
     keys = _keys(by)
-    return df.groupBy(*keys).agg(percentile_expr(value, q, "disc", accuracy).alias(out or value))
+    if accuracy is not None:
+        return df.groupBy(*keys).agg(percentile_expr(value, q, "disc", accuracy).alias(out or value))
+    from .quantiles import exact_quantiles
+    res = exact_quantiles(df, value, [q], by=keys, kind="disc", out_prefix="__d")
+    return res.select(*keys, F.col("__d_q0").alias(out or value))
 
 
 def continuous_percentile(df: DataFrame, value: str, q: float, by=None,
@@ -82,16 +87,20 @@ def describe(df: DataFrame, value: str, by=None, accuracy: int | None = None) ->
     src = df
     for k in keys:
         src = src.filter(F.col(k).isNotNull())
+    moments = src.groupBy(*keys).agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
     if accuracy is None:
-        qs = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        from .quantiles import exact_quantiles
+        q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=keys, out_prefix="__d").select(
+            *keys, F.col("__d_q0").alias("q25"), F.col("__d_q1").alias("q50"), F.col("__d_q2").alias("q75"))
     else:
         qs = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
-    agg = src.groupBy(*keys).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), qs.alias("_q"), F.max(value).alias("max"))
-    return agg.select(*keys, "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                      F.col("_q")[2].alias("q75"), "max")
+        q = src.groupBy(*keys).agg(qs.alias("_q")).select(
+            *keys, F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"))
+    # groups whose values are all NULL keep NULL quartiles (left join)
+    j = moments.join(q, keys, "left") if keys else moments.crossJoin(q)
+    return j.select(*keys, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, cols: str | Sequence[str], normalize: bool = False,

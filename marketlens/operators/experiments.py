@@ -168,10 +168,14 @@ def boxplot_stats(df: DataFrame, value: str, by: str | None = None, whisker: flo
     src = df.filter(F.col(value).isNotNull())
     for k in keys:
         src = src.filter(F.col(k).isNotNull())
-    qs = (F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if accuracy is None
-          else F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy))
-    q = src.groupBy(*keys).agg(qs.alias("__q")).select(
-        *keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    if accuracy is None:
+        from .quantiles import exact_quantiles
+        q = exact_quantiles(src, value, [0.25, 0.5, 0.75], by=keys, out_prefix="__b").select(
+            *keys, F.col("__b_q0").alias("q1"), F.col("__b_q1").alias("median"), F.col("__b_q2").alias("q3"))
+    else:
+        qs = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
+        q = src.groupBy(*keys).agg(qs.alias("__q")).select(
+            *keys, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
     j = src.join(q, keys, "inner") if keys else src.crossJoin(F.broadcast(q))
     lo = F.col("q1") - whisker * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + whisker * (F.col("q3") - F.col("q1"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import percentile_expr
+from .quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,28 @@ _OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
 
 
 def percentile_limits(df: DataFrame, bounds: Sequence[Bound], accuracy: int | None = None) -> DataFrame:
-    """One-row frame with one limit column per bound (``limits`` CTE)."""
-    return df.agg(*[percentile_expr(b.column, b.q, b.kind, accuracy).alias(f"__lim{i}")
-                    for i, b in enumerate(bounds)])
+    """One-row frame with one limit column per bound (``limits`` CTE).
+
+    Exact limits: the bounded columns are stacked into (column, value) rows
+    and ``exact_quantiles`` runs once per percentile kind with the column
+    name as group, so all limits of a kind share the same passes."""
+    if accuracy is not None:
+        return df.agg(*[percentile_expr(b.column, b.q, b.kind, accuracy).alias(f"__lim{i}")
+                        for i, b in enumerate(bounds)])
+    parts = []
+    for kind in sorted({b.kind for b in bounds}):
+        mine = [(i, b) for i, b in enumerate(bounds) if b.kind == kind]
+        cols = sorted({b.column for _, b in mine})
+        qs = sorted({b.q for _, b in mine})
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__v"))
+                                              for c in cols])).alias("__p")).select("__p.*")
+        res = exact_quantiles(long, "__v", qs, by="__col", kind=kind, out_prefix="__p")
+        parts.append(res.agg(*[F.max(F.when(F.col("__col") == b.column, F.col(f"__p_q{qs.index(b.q)}")))
+                               .alias(f"__lim{i}") for i, b in mine]))
+    lim = parts[0]
+    for p in parts[1:]:
+        lim = lim.crossJoin(p)
+    return lim.select(*[f"__lim{i}" for i in range(len(bounds))])
 
 
 def _bound_condition(bounds: Sequence[Bound]) -> Column:
@@ -69,7 +89,7 @@ def cap_by_group_percentile(df: DataFrame, value: str, group: str, q: float = 0.
     (p99 per currency), in one pass instead of split / cap / concat. Only the
     listed ``groups`` are kept, as splitting by them would do (N8)."""
     src = df.filter(F.col(group).isin(*groups)) if groups else df
-    caps = src.groupBy(group).agg(percentile_expr(value, q, "cont", accuracy).alias("__cap"))
+    caps = group_caps(src, value, group, q, accuracy).withColumnRenamed("cap", "__cap")
     # one row per group of a categorical key: small, but its size is only
     # known at run time, so AQE decides on broadcasting it.
     return src.join(caps, group, "inner").filter(F.col(value) <= F.col("__cap")).drop("__cap")
@@ -77,16 +97,22 @@ def cap_by_group_percentile(df: DataFrame, value: str, group: str, q: float = 0.
 
 def group_caps(df: DataFrame, value: str, group: str, q: float = 0.99,
                accuracy: int | None = None) -> DataFrame:
-    return df.groupBy(group).agg(percentile_expr(value, q, "cont", accuracy).alias("cap"))
+    """Interpolated percentile ``q`` of ``value`` per group (exact by default)."""
+    if accuracy is not None:
+        return df.groupBy(group).agg(percentile_expr(value, q, "cont", accuracy).alias("cap"))
+    return exact_quantiles(df, value, [q], by=group, out_prefix="__c").withColumnRenamed("__c_q0", "cap")
 
 
 def iqr_flag(df: DataFrame, value: str, group: str, k: float = 1.5, out: str = "is_outlier",
              accuracy: int | None = None) -> DataFrame:
     """flag values outside [Q1 - k*IQR, Q3 + k*IQR] of their group."""
-    qexpr = (F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))) if accuracy is None
-             else F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.75)), accuracy))
-    fences = df.groupBy(group).agg(qexpr.alias("__q")).select(
-        group, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
+    if accuracy is None:
+        fences = exact_quantiles(df, value, [0.25, 0.75], by=group, out_prefix="__f").select(
+            group, F.col("__f_q0").alias("__q1"), F.col("__f_q1").alias("__q3"))
+    else:
+        qexpr = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
+        fences = df.groupBy(group).agg(qexpr.alias("__q")).select(
+            group, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
     iqr = F.col("__q3") - F.col("__q1")
     j = df.join(fences, group, "left")
     flag = (F.col(value) < F.col("__q1") - k * iqr) | (F.col(value) > F.col("__q3") + k * iqr)
@@ -114,7 +140,8 @@ def keep_groups_over_threshold(df: DataFrame, group: str, measure: str | None, t
 
 def rows_at_or_above_percentile(df: DataFrame, value: str, q: float, accuracy: int | None = None) -> DataFrame:
     """rows with value >= the global percentile."""
-    lim = df.agg(percentile_expr(value, q, "cont", accuracy).alias("__p"))
+    lim = (df.agg(percentile_expr(value, q, "cont", accuracy).alias("__p")) if accuracy is not None
+           else exact_quantiles(df, value, [q], out_prefix="__x").select(F.col("__x_q0").alias("__p")))
     return df.crossJoin(F.broadcast(lim)).filter(F.col(value) >= F.col("__p")).drop("__p")
 
 
