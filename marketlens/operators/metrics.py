@@ -27,9 +27,9 @@ def daily_conversion(df: DataFrame, user: str, ts: str, is_order) -> DataFrame:
 
 
 def average_check(df: DataFrame, ts: str, revenue: str, is_order, period: str = "month") -> DataFrame:
-    """M3: revenue / orders per period."""
+    """M3: revenue / orders per period (money summed as exact decimals)."""
     g = df.filter(is_order).groupBy(F.date_trunc(period, ts).alias("period")).agg(
-        F.sum(revenue).alias("revenue"), F.count(F.lit(1)).alias("orders"))
+        F.sum(F.col(revenue).cast("decimal(18,2)")).cast("double").alias("revenue"), F.count(F.lit(1)).alias("orders"))
     return g.withColumn("avg_check", F.col("revenue") / F.col("orders"))
 
 

@@ -16,24 +16,32 @@ refinement instead:
    its values are gathered, sorted and indexed - at most ``cap`` values per
    (group, rank), never a whole group.
 
-The search state is a small frame (groups x ranks rows) checkpointed to the
+The search state is a small frame (groups x ranks rows) written to the
 shared checkpoint folder each pass; the driver only reads the number of
-open searches. Results equal PostgreSQL / DuckDB ``PERCENTILE_CONT`` and
-``PERCENTILE_DISC``.
+open searches. The (group, value) projection is persisted (memory and
+disk; recomputed from lineage if an executor is lost) for the few passes,
+and the result - one row per group - is written there before it is
+released, so the returned frame no longer depends on it. Results equal
+PostgreSQL / DuckDB ``PERCENTILE_CONT`` and ``PERCENTILE_DISC``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_through
 
 BUCKETS = 4096
-CAP = 200_000
+CAP = 1_000_000
 MAX_PASSES = 16
+# The search state (groups x ranks rows) is broadcast to the data when it
+# has at most this many rows (checked on the materialised state); beyond it
+# the state is joined by a shuffle join whose hot keys AQE splits.
+BROADCAST_STATE_ROWS = 1_000_000
 
 
 def _keys(by) -> list[str]:
@@ -42,9 +50,11 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def _join(big: DataFrame, small: DataFrame, keys: list[str], bcast: bool) -> DataFrame:
     # ``small`` is the search state: one row per (group, rank)
-    return big.join(small, keys, "inner") if keys else big.crossJoin(small)
+    if not keys:
+        return big.crossJoin(F.broadcast(small))  # one row per rank
+    return big.join(F.broadcast(small) if bcast else small, keys, "inner")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kind: str = "cont",
@@ -52,9 +62,17 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
     """Exact percentiles of ``value`` per group: one row per group of ``by``
     with one column per q (named ``{out_prefix or value}_q{i}``)."""
     keys = _keys(by)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    src = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    ensure_checkpoint_dir(df.sparkSession)
+    src = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _search(src, keys, value, qs, kind, buckets, cap, out_prefix)
+    finally:
+        src.unpersist()
+
+
+def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], kind: str, buckets: int,
+            cap: int, out_prefix: str | None) -> DataFrame:
     stats = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"),
                                    F.max("__v").alias("__max"))
     # wanted 0-based ranks per group; tid identifies (q index, lower/upper)
@@ -74,7 +92,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
         *keys, "__n", F.col("__t.tid").alias("tid"), F.col("__t.k").alias("k"), "lo", "hi",
         F.lit(0).cast("long").alias("below"), F.col("__n").alias("cnt"),
         F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("found"))
-    state = state.checkpoint(eager=True)
+    state = write_through(state, "quantile-state")
+    bcast = state.count() <= BROADCAST_STATE_ROWS
 
     def open_searches(st: DataFrame) -> DataFrame:
         return st.filter(F.col("found").isNull() & (F.col("cnt") > cap))
@@ -83,7 +102,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
     while passes < MAX_PASSES and open_searches(state).limit(1).count() > 0:
         passes += 1
         act = open_searches(state).select(*keys, "tid", "lo", "hi")
-        j = _join(src, act, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+        j = _join(src, act, keys, bcast).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
         width = (F.col("hi") - F.col("lo")) / buckets
         b = F.least(F.floor((F.col("__v") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int")
         hist = j.groupBy(*keys, "tid", b.alias("bucket")).agg(
@@ -102,11 +121,12 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
             F.coalesce("n_lo", "lo").alias("lo"), F.coalesce("n_hi", "hi").alias("hi"),
             F.coalesce("n_below", "below").alias("below"), F.coalesce("n_cnt", "cnt").alias("cnt"),
             F.coalesce("found", F.when(F.col("n_lo") == F.col("n_hi"), F.col("n_lo"))).alias("found"),
-        ).checkpoint(eager=True)
+        )
+        state = write_through(state, "quantile-state")
 
     # gather the (<= cap) values of every interval still open and index them
     rest = state.filter(F.col("found").isNull()).select(*keys, "tid", "k", "lo", "hi", "below")
-    j = _join(src, rest, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+    j = _join(src, rest, keys, bcast).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
     picked = j.groupBy(*keys, "tid", "k", "below").agg(F.sort_array(F.collect_list("__v")).alias("__vals")) \
         .select(*keys, "tid", F.element_at("__vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("__x"))
     vals = state.join(picked, keys + ["tid"], "left").select(
@@ -123,4 +143,4 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
             h = F.lit(float(q)) * (F.max("__n") - 1)
             frac = h - F.floor(h)
             aggs.append((lo + (hi - lo) * frac).alias(f"{prefix}_q{i}"))
-    return vals.groupBy(*keys).agg(*aggs)
+    return write_through(vals.groupBy(*keys).agg(*aggs), "quantiles")

@@ -36,7 +36,8 @@ def build_venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def venues_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = venues_clean(spark, sf_dir)
-    return v.select("id", "name", "category", "address", "district", "rating", "chain", "seats",
+    return v.select("id", "name", "category", "address", "district", "rating", "chain",
+                    F.col("seats").cast("double").alias("seats"),
                     "price", "middle_avg_bill", "is_24_7")
 
 

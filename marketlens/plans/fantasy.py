@@ -41,7 +41,7 @@ def payer_share_by_group(spark: SparkSession, sf_dir: str, window_form: bool = F
         res = joined.groupBy("race").agg(
             F.count("id").alias("total_users"),
             F.nullif(F.count(F.when(F.col("payer") == 1, F.col("id"))), F.lit(0)).alias("paying_users"))
-    return (res.select("race", "paying_users", "total_users",
+    return (res.select("race", F.col("paying_users").cast("double").alias("paying_users"), "total_users",
                        numeric_round(safe_div("paying_users", "total_users"), 5)
                        .alias("share_paying_users_in_race_context"))
                .orderBy(F.desc("share_paying_users_in_race_context"), "race"))
@@ -109,7 +109,7 @@ def group_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     per_player = (S.fantasy_events(t).filter(F.col("amount") > 0)
                   .groupBy("id").agg(F.count("transaction_id").alias("n_tx"),
-                                     F.sum("amount").alias("amt")))
+                                     F.sum(F.col("amount").cast("decimal(18,2)")).alias("amt")))
     users = S.fantasy_users(t).join(F.broadcast(S.fantasy_race(t)), "race_id", "left")
     j = users.join(per_player, "id", "left")
     buyer = F.col("n_tx").isNotNull()
@@ -126,7 +126,9 @@ def group_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = F.when(known, F.col("total_transaction"))
     amt = F.when(known, F.col("total_amount"))
     return agg.select(
-        "race", "total_users", b.alias("buying_users"), p.alias("paying_users"),
+        # nullable counts are returned as DOUBLE (one numeric type with NULLs
+        # on every client)
+        "race", "total_users", b.cast("double").alias("buying_users"), p.cast("double").alias("paying_users"),
         numeric_round(safe_div(b, "total_users"), 2).alias("share_buying_users"),
         numeric_round(safe_div(p, b), 2).alias("share_paying_users"),
         numeric_round(safe_div(tx, b), 2).alias("avg_purchase_count"),

@@ -108,12 +108,15 @@ def listing_seasonality(spark: SparkSession, sf_dir: str, accuracy: int | None =
     r = side("removal_month", "removed").alias("r")
     j = p.join(r, F.col("p.publish_month") == F.col("r.removal_month"), "full_outer")
     return j.select(
-        F.col("p.publish_month").cast("bigint").alias("publish_month"),
-        F.col("r.removal_month").cast("bigint").alias("removal_month"),
+        # months and counts of a one-sided month are NULL: returned as DOUBLE
+        F.col("p.publish_month").cast("double").alias("publish_month"),
+        F.col("r.removal_month").cast("double").alias("removal_month"),
         month_name(F.col("p.publish_month")).alias("month_name"),
         season(F.col("p.publish_month")).alias("season_name"),
-        "published_ads", "share_of_published_ads", "published_rank",
-        "removed_ads", "share_of_removed_ads", "removed_rank",
+        F.col("published_ads").cast("double").alias("published_ads"), "share_of_published_ads",
+        F.col("published_rank").cast("double").alias("published_rank"),
+        F.col("removed_ads").cast("double").alias("removed_ads"), "share_of_removed_ads",
+        F.col("removed_rank").cast("double").alias("removed_rank"),
         "published_avg_price_for_metre", "removed_avg_price_for_metre",
         "published_avg_total_area", "removed_avg_total_area",
     ).orderBy("publish_month", "removal_month")
@@ -124,7 +127,7 @@ def listings_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     season of publication and number of rooms (dashboard tiles)."""
     lst = S.real_estate_listings(Tables(spark, sf_dir))
     return lst.groupBy(season(F.month("first_day_exposition")).alias("season_name"),
-                       F.col("rooms").cast("bigint").alias("rooms")).agg(
+                       F.col("rooms").cast("double").alias("rooms")).agg(
         F.count("id").alias("listings"),
         F.count_if(F.col("days_exposition").isNull()).alias("active_listings"),
         numeric_round(F.avg("last_price"), 2).alias("avg_price"),

@@ -215,4 +215,5 @@ def tickets_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type_main", "region_name", "service_name", "curs",
         numeric_round("revenue_rub", 6).alias("revenue_rub"),
         numeric_round("one_ticket_revenue_rub", 6).alias("one_ticket_revenue_rub"),
-        F.col("month").cast("bigint").alias("month"), "season", "days_since_prev")
+        F.col("month").cast("bigint").alias("month"), "season",
+        F.col("days_since_prev").cast("double").alias("days_since_prev"))  # NULL on first orders

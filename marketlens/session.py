@@ -95,3 +95,16 @@ def shared_table(spark: SparkSession, key: str, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         _SHARED[memo] = path
     return spark.read.parquet(path)
+
+
+def write_through(df: DataFrame, tag: str = "tmp") -> DataFrame:
+    """Compute ``df`` once, write it as parquet under the shared checkpoint
+    folder and return a frame reading it back: the lineage is cut (a lost
+    executor re-reads the files) at the cost of one computation, where
+    ``checkpoint()`` computes twice without a cache."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/marketlens-tmp/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
