@@ -50,13 +50,40 @@ def attach_group_min(df: DataFrame, key: str | Sequence[str], value: str, out: s
 
 
 def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[str],
-                        out: str = "days_since_prev") -> DataFrame:
+                        out: str = "days_since_prev", skew_safe: bool = True,
+                        partitions: int | None = None) -> DataFrame:
     """Whole days since the same key's previous row (NULL on the first).
 
     Rows are ordered by (ts, *tie) inside a key; ``tie`` must make the order
     total so the result does not depend on row arrival order.
+
+    ``lag`` over ``partitionBy(key)`` puts every row of a key in one task, so
+    a user with a third of all orders would be one straggler. The skew-safe
+    form range-partitions the rows on (key, ts, *tie) - the sampled bounds
+    split a hot key into several balanced ranges - freezes the range number
+    by writing the rows once, takes ``lag`` inside (range, key), and repairs
+    the first row of a key in each range with the last row of the previous
+    range (a table of one row per range, broadcast: its size is the
+    partition count).
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
-    w = Window.partitionBy(key).orderBy(ts, *ties)
-    prev = F.lag(ts).over(w)
-    return df.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
+    order = [ts, *ties]
+    if not skew_safe:
+        prev = F.lag(ts).over(Window.partitionBy(key).orderBy(*order))
+        return df.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
+    from ..session import write_through
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = write_through(df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()),
+                           "lag-ranges")
+    local_prev = F.lag(ts).over(Window.partitionBy("__pid", key).orderBy(*order))
+    last_of_range = ranged.groupBy("__pid").agg(F.max(F.struct(key, *order)).alias("__last"))
+    # previous non-empty range's last row; a window over one row per range
+    bounds = last_of_range.select(
+        "__pid", F.lag("__last").over(Window.orderBy("__pid")).alias("__plast")).select(
+        "__pid", F.col("__plast")[key].alias("__pkey"), F.col("__plast")[ts].alias("__pts"))
+    j = ranged.withColumn("__prev", local_prev).join(F.broadcast(bounds), "__pid", "left")
+    prev = F.when(F.col("__prev").isNull() & (F.col(key) == F.col("__pkey")), F.col("__pts")) \
+        .otherwise(F.col("__prev"))
+    res = j.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
+    return res.select(*df.columns, out)

@@ -192,3 +192,16 @@ def test_exact_quantiles_multi_pass_hot_group(spark):
         exp = con.execute("SELECT g, " + ", ".join(f"{fn}(v, {q})" for q in qs) + " FROM t GROUP BY g ORDER BY g") \
             .fetchdf().set_index("g")
         assert np.allclose(got.values, exp.values, rtol=1e-12, atol=1e-9), (kind, got, exp)
+
+
+def test_days_since_previous_hot_key_across_ranges(spark):
+    """A key spread over several ranges gets the same gaps as the plain window."""
+    import random
+    random.seed(3)
+    base = dt.datetime(2024, 1, 1)
+    data = [(1 if random.random() < 0.6 else random.randint(2, 9), base + dt.timedelta(days=random.randint(0, 400)),
+             i) for i in range(3000)]
+    df = spark.createDataFrame(data, "u long, ts timestamp_ntz, id long")
+    a = rows(days_since_previous(df, "u", "ts", "id", skew_safe=True, partitions=16), "id", "days_since_prev")
+    b = rows(days_since_previous(df, "u", "ts", "id", skew_safe=False), "id", "days_since_prev")
+    assert a == b
