@@ -41,6 +41,17 @@ def percentile_expr(value: str, q: float, kind: str = "cont", accuracy: int | No
     raise ValueError(kind)
 
 
+def with_exact_quantiles(agg: DataFrame, df: DataFrame, value: str, qs, by, names,
+                         kind: str = "cont") -> DataFrame:
+    """Attach exact percentiles of ``value`` (one column per name) to an
+    aggregate ``agg`` keyed by ``by``; groups without values get NULL."""
+    from .quantiles import exact_quantiles
+    keys = _keys(by)
+    q = exact_quantiles(df, value, list(qs), by=keys, kind=kind, out_prefix="__wq").select(
+        *keys, *[F.col(f"__wq_q{i}").alias(n) for i, n in enumerate(names)])
+    return agg.join(q, keys, "left") if keys else agg.crossJoin(q)
+
+
 def discrete_percentile(df: DataFrame, value: str, q: float, by=None,
                         accuracy: int | None = None, out: str | None = None) -> DataFrame:
     """``PERCENTILE_DISC(q) WITHIN GROUP (ORDER BY value)`` per group
@@ -73,7 +84,7 @@ def grouped_stats(df: DataFrame, by, specs: dict[str, tuple[str, str]]) -> DataF
         "min": lambda c: F.min(c),
         "max": lambda c: F.max(c),
         "std": lambda c: F.stddev_samp(c),
-        "median": lambda c: F.percentile(c, F.lit(0.5)),
+        "median": lambda c: F.percentile(c, F.lit(0.5)),  # small groups; see with_exact_quantiles
         "size": lambda c: F.count(F.lit(1)),
     }
     aggs = [fns[fn](c).alias(out) for out, (c, fn) in specs.items()]

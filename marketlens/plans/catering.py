@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_round
-from ..operators.aggregates import describe, value_counts
+from ..operators.aggregates import describe, value_counts, with_exact_quantiles
 from ..operators.clean import contains_all, dedupe_keep_first, fill_nulls, lower_columns
 from ..operators.experiments import chi_square_association
 from ..operators.outliers import rows_at_or_above_percentile
+from ..operators.quantiles import exact_quantiles
 from ..session import shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
@@ -84,12 +85,12 @@ def rating_spread(spark: SparkSession, sf_dir: str, scale_range: float = 4.0) ->
 def seats_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: median seats per category, and the p1 / p50 / p99 of all seats."""
     v = venues_clean(spark, sf_dir)
-    per = v.groupBy("category").agg(F.percentile("seats", F.lit(0.5)).alias("median_seats"))
-    glob = v.agg(F.percentile("seats", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"))
+    per = with_exact_quantiles(v.select("category").distinct(), v, "seats", [0.5], "category", ["median_seats"])
+    glob = exact_quantiles(v, "seats", [0.01, 0.5, 0.99], out_prefix="q")  # one row
     return per.crossJoin(F.broadcast(glob)).select(
         "category", numeric_round("median_seats", 4).alias("median_seats"),
-        numeric_round(F.col("q")[0], 4).alias("p01_seats"), numeric_round(F.col("q")[1], 4).alias("p50_seats"),
-        numeric_round(F.col("q")[2], 4).alias("p99_seats"))
+        numeric_round("q_q0", 4).alias("p01_seats"), numeric_round("q_q1", 4).alias("p50_seats"),
+        numeric_round("q_q2", 4).alias("p99_seats"))
 
 
 def large_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +102,9 @@ def large_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bill_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and mean of the middle bill per district."""
     v = venues_clean(spark, sf_dir)
-    return v.groupBy("district").agg(
-        numeric_round(F.percentile("middle_avg_bill", F.lit(0.5)), 4).alias("median"),
-        numeric_round(F.avg("middle_avg_bill"), 4).alias("mean")).orderBy("median", "district")
+    agg = v.groupBy("district").agg(numeric_round(F.avg("middle_avg_bill"), 4).alias("mean"))
+    agg = with_exact_quantiles(agg, v, "middle_avg_bill", [0.5], "district", ["__m"])
+    return agg.select("district", numeric_round("__m", 4).alias("median"), "mean").orderBy("median", "district")
 
 
 def rating_by_price(spark: SparkSession, sf_dir: str) -> DataFrame:

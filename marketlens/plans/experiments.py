@@ -13,6 +13,7 @@ from ..functions.numeric import numeric_round
 from ..operators.experiments import (attribute_balance, conversion_by_group, events_within, group_balance,
                                      proportions_ztest, sample_size, two_group_counts, users_in_several_groups,
                                      welch_test)
+from ..operators.aggregates import with_exact_quantiles
 from ..operators.clean import dedupe_keep_first
 from ..operators.outliers import rows_of_top_entity
 from ..sources import standins as S
@@ -219,11 +220,12 @@ def reading_dedupe_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reading_city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: count, mean, median, std, min, max of hours per city (2 digits)."""
     r = reading_clean(spark, sf_dir)
-    return r.groupBy("city").agg(
+    agg = r.groupBy("city").agg(
         F.count("hours").alias("count"), numeric_round(F.avg("hours"), 2).alias("mean"),
-        numeric_round(F.percentile("hours", F.lit(0.5)), 2).alias("median"),
         numeric_round(F.stddev_samp("hours"), 2).alias("std"),
         numeric_round(F.min("hours"), 2).alias("min"), numeric_round(F.max("hours"), 2).alias("max"))
+    agg = with_exact_quantiles(agg, r, "hours", [0.5], "city", ["__median"])
+    return agg.select("city", "count", "mean", numeric_round("__median", 2).alias("median"), "std", "min", "max")
 
 
 def welch_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:

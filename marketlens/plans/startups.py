@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_round
-from ..operators.aggregates import measure_totals, positive_counts, ratio_capped
+from ..operators.aggregates import measure_totals, positive_counts, ratio_capped, with_exact_quantiles
 from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint_date, lower_columns,
                                normalize_headers, sentinel_to_null, to_number, to_timestamp_text)
 from ..operators.outliers import flagged_share, iqr_flag, keep_groups_over_threshold
@@ -143,9 +143,9 @@ def yearly_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per year, median of the mean round size and the number of rounds."""
     fd = final_data(spark, sf_dir).withColumn(
         "avg_round_amount", F.col("funding_total_usd") / F.col("funding_rounds"))
-    return fd.groupBy("year").agg(
-        numeric_round(F.percentile("avg_round_amount", F.lit(0.5)), 4).alias("avg_round_median"),
-        F.sum("funding_rounds").alias("total_rounds")).orderBy("year")
+    agg = fd.groupBy("year").agg(F.sum("funding_rounds").alias("total_rounds"))
+    agg = with_exact_quantiles(agg, fd, "avg_round_amount", [0.5], "year", ["__m"])
+    return agg.select("year", numeric_round("__m", 4).alias("avg_round_median"), "total_rounds").orderBy("year")
 
 
 def growth_segments(spark: SparkSession, sf_dir: str, year_from: int = 1999, year_to: int = 2000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_type, season, weekday0, weekday_name
 from ..functions.numeric import numeric_round, pct_change, safe_div
+from ..operators.aggregates import with_exact_quantiles
 from ..operators.clean import dedupe_keep_first
 from ..operators.experiments import overlap_summary, welch_test
 from ..operators.outliers import cap_by_group_percentile
@@ -200,8 +201,8 @@ def order_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("days_since_prev").alias("gap"))
     agg = per.groupBy("device").agg(F.count("gap").alias("users"), F.avg("gap").alias("mean_gap"),
                                     F.stddev_samp("gap").alias("std_gap"), F.min("gap").alias("min_gap"),
-                                    F.percentile("gap", F.lit(0.5)).alias("median_gap"),
                                     F.max("gap").alias("max_gap"))
+    agg = with_exact_quantiles(agg, per, "gap", [0.5], "device", ["median_gap"])
     return _rounded(agg, {"mean_gap", "std_gap", "min_gap", "median_gap", "max_gap"})
 
 
