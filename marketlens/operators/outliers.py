@@ -41,20 +41,14 @@ def percentile_limits(df: DataFrame, bounds: Sequence[Bound], accuracy: int | No
     if accuracy is not None:
         return df.agg(*[percentile_expr(b.column, b.q, b.kind, accuracy).alias(f"__lim{i}")
                         for i, b in enumerate(bounds)])
-    parts = []
-    for kind in sorted({b.kind for b in bounds}):
-        mine = [(i, b) for i, b in enumerate(bounds) if b.kind == kind]
-        cols = sorted({b.column for _, b in mine})
-        qs = sorted({b.q for _, b in mine})
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__v"))
-                                              for c in cols])).alias("__p")).select("__p.*")
-        res = exact_quantiles(long, "__v", qs, by="__col", kind=kind, out_prefix="__p")
-        parts.append(res.agg(*[F.max(F.when(F.col("__col") == b.column, F.col(f"__p_q{qs.index(b.q)}")))
-                               .alias(f"__lim{i}") for i, b in mine]))
-    lim = parts[0]
-    for p in parts[1:]:
-        lim = lim.crossJoin(p)
-    return lim.select(*[f"__lim{i}" for i in range(len(bounds))])
+    cols = sorted({b.column for b in bounds})
+    specs = sorted({(b.q, b.kind) for b in bounds})
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__v"))
+                                          for c in cols])).alias("__p")).select("__p.*")
+    res = exact_quantiles(long, "__v", [q for q, _ in specs], by="__col", kind=[k for _, k in specs],
+                          out_prefix="__p")
+    return res.agg(*[F.max(F.when(F.col("__col") == b.column, F.col(f"__p_q{specs.index((b.q, b.kind))}")))
+                     .alias(f"__lim{i}") for i, b in enumerate(bounds)])
 
 
 def _bound_condition(bounds: Sequence[Bound]) -> Column:

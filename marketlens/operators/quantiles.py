@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, write_through
 
 BUCKETS = 4096
-CAP = 1_000_000
+CAP = 50_000
 MAX_PASSES = 16
 # The search state (groups x ranks rows) is broadcast to the data when it
 # has at most this many rows (checked on the materialised state); beyond it
@@ -57,10 +57,11 @@ def _join(big: DataFrame, small: DataFrame, keys: list[str], bcast: bool) -> Dat
     return big.join(F.broadcast(small) if bcast else small, keys, "inner")
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kind: str = "cont",
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kind: str | Sequence[str] = "cont",
                     buckets: int = BUCKETS, cap: int = CAP, out_prefix: str | None = None) -> DataFrame:
     """Exact percentiles of ``value`` per group: one row per group of ``by``
-    with one column per q (named ``{out_prefix or value}_q{i}``)."""
+    with one column per q (named ``{out_prefix or value}_q{i}``). ``kind``
+    is 'cont' (interpolated), 'disc' (discrete) or one of them per q."""
     keys = _keys(by)
     ensure_checkpoint_dir(df.sparkSession)
     src = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
@@ -71,18 +72,19 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
         src.unpersist()
 
 
-def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], kind: str, buckets: int,
+def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], kind, buckets: int,
             cap: int, out_prefix: str | None) -> DataFrame:
+    kinds = [kind] * len(qs) if isinstance(kind, str) else list(kind)
     stats = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"),
                                    F.max("__v").alias("__max"))
     # wanted 0-based ranks per group; tid identifies (q index, lower/upper)
     targets = []
-    for i, q in enumerate(qs):
-        if kind == "cont":
+    for i, (q, kd) in enumerate(zip(qs, kinds)):
+        if kd == "cont":
             h = F.lit(float(q)) * (F.col("__n") - 1)
             targets.append((2 * i, F.floor(h)))
             targets.append((2 * i + 1, F.ceil(h)))
-        elif kind == "disc":
+        elif kd == "disc":
             targets.append((2 * i, F.greatest(F.ceil(F.lit(float(q)) * F.col("__n")) - 1, F.lit(0))))
         else:
             raise ValueError(kind)
@@ -101,16 +103,18 @@ def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], ki
     passes = 0
     while passes < MAX_PASSES and open_searches(state).limit(1).count() > 0:
         passes += 1
-        act = open_searches(state).select(*keys, "tid", "lo", "hi")
+        # searches of a group that share an interval share its histogram, so
+        # a row is counted once per interval, not once per wanted rank
+        act = open_searches(state).select(*keys, "lo", "hi").distinct()
         j = _join(src, act, keys, bcast).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
         width = (F.col("hi") - F.col("lo")) / buckets
         b = F.least(F.floor((F.col("__v") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int")
-        hist = j.groupBy(*keys, "tid", b.alias("bucket")).agg(
+        hist = j.groupBy(*keys, "lo", "hi", b.alias("bucket")).agg(
             F.count(F.lit(1)).alias("c"), F.min("__v").alias("bmin"), F.max("__v").alias("bmax"))
-        w = Window.partitionBy(*keys, "tid").orderBy("bucket")  # <= buckets rows per search
+        w = Window.partitionBy(*keys, "lo", "hi").orderBy("bucket")  # <= buckets rows per interval
         hist = hist.withColumn("cum_before", F.sum("c").over(w) - F.col("c"))
-        prev = open_searches(state).select(*keys, "tid", "k", "below")
-        hit = hist.join(prev, keys + ["tid"]).filter(
+        prev = open_searches(state).select(*keys, "tid", "k", "below", "lo", "hi")
+        hit = hist.join(prev, keys + ["lo", "hi"]).filter(
             (F.col("below") + F.col("cum_before") <= F.col("k"))
             & (F.col("k") < F.col("below") + F.col("cum_before") + F.col("c"))).select(
             *keys, "tid", F.col("bmin").alias("n_lo"), F.col("bmax").alias("n_hi"),
@@ -124,19 +128,22 @@ def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], ki
         )
         state = write_through(state, "quantile-state")
 
-    # gather the (<= cap) values of every interval still open and index them
-    rest = state.filter(F.col("found").isNull()).select(*keys, "tid", "k", "lo", "hi", "below")
-    j = _join(src, rest, keys, bcast).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-    picked = j.groupBy(*keys, "tid", "k", "below").agg(F.sort_array(F.collect_list("__v")).alias("__vals")) \
-        .select(*keys, "tid", F.element_at("__vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("__x"))
+    # gather the (<= cap) values of every interval still open, once per
+    # interval, and index them for each rank that points into it
+    rest = state.filter(F.col("found").isNull())
+    iv = rest.select(*keys, "lo", "hi").distinct()
+    j = _join(src, iv, keys, bcast).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+    lists = j.groupBy(*keys, "lo", "hi").agg(F.sort_array(F.collect_list("__v")).alias("__vals"))
+    picked = rest.select(*keys, "tid", "k", "below", "lo", "hi").join(lists, keys + ["lo", "hi"]).select(
+        *keys, "tid", F.element_at("__vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("__x"))
     vals = state.join(picked, keys + ["tid"], "left").select(
         *keys, "__n", "tid", F.coalesce("found", "__x").alias("__x"))
 
     prefix = out_prefix or value
     aggs = []
-    for i, q in enumerate(qs):
+    for i, (q, kd) in enumerate(zip(qs, kinds)):
         lo = F.max(F.when(F.col("tid") == 2 * i, F.col("__x")))
-        if kind == "disc":
+        if kd == "disc":
             aggs.append(lo.alias(f"{prefix}_q{i}"))
         else:
             hi = F.max(F.when(F.col("tid") == 2 * i + 1, F.col("__x")))

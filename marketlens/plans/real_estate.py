@@ -10,7 +10,7 @@ from ..functions.dates import month_after_days, month_name, season
 from ..functions.numeric import numeric_round, safe_div
 from ..operators.aggregates import percentile_expr
 from ..operators.outliers import Bound, filter_by_global_percentiles
-from ..session import shared_table
+from ..session import hold, shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -35,7 +35,7 @@ def clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None =
 def build_clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
     """Listings without outliers (limits over all listings), of the city type,
     published in the year window."""
-    listings = S.real_estate_listings(Tables(spark, sf_dir))
+    listings = hold(S.real_estate_listings(Tables(spark, sf_dir)))
     kept = filter_by_global_percentiles(listings, LISTING_BOUNDS, accuracy=accuracy)
     lo, hi = S.REAL_ESTATE_YEARS
     return kept.filter((F.col("type") == S.REAL_ESTATE_CITY_TYPE)

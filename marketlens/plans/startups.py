@@ -12,7 +12,7 @@ from ..operators.aggregates import measure_totals, positive_counts, ratio_capped
 from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint_date, lower_columns,
                                normalize_headers, sentinel_to_null, to_number, to_timestamp_text)
 from ..operators.outliers import flagged_share, iqr_flag, keep_groups_over_threshold
-from ..session import shared_table
+from ..session import hold, shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -98,7 +98,7 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6 on relabelled markets (N25: all rare markets share one fence);
     shared by the outlier, year, type and ratio reports."""
     return shared_table(spark, f"startups_flagged:{sf_dir}", lambda: iqr_flag(
-        relabelled(spark, sf_dir), "funding_total_usd", "market", 1.5, "is_outlier"))
+        hold(relabelled(spark, sf_dir)), "funding_total_usd", "market", 1.5, "is_outlier"))
 
 
 def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

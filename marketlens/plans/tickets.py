@@ -13,7 +13,7 @@ from ..operators.clean import dedupe_keep_first
 from ..operators.experiments import overlap_summary, welch_test
 from ..operators.outliers import cap_by_group_percentile
 from ..operators.windows import days_since_previous
-from ..session import shared_table
+from ..session import hold, shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -35,7 +35,7 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
     daily rate join, revenue in roubles, revenue per ticket, month, season,
     days since the user's previous order."""
     t = Tables(spark, sf_dir)
-    raw = S.ticket_orders(t)
+    raw = hold(S.ticket_orders(t))
     capped = cap_by_group_percentile(raw, "revenue", "currency_code", 0.99, CURRENCIES, accuracy)
     dedup = dedupe_keep_first(capped, TICKET_DUP_SUBSET, ["order_id"])
     rates = S.tenge_rates(t).select("data", "curs")

@@ -75,6 +75,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 _SHARED: dict[tuple[str, str], str] = {}
+_HOLDS: list[list[DataFrame]] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist ``df`` (memory and disk) while the shared table being built
+    reads it more than once (e.g. percentile bounds, then the filter);
+    released right after that table is written. Outside a build it is
+    returned unchanged."""
+    if not _HOLDS:
+        return df
+    from pyspark import StorageLevel
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HOLDS[-1].append(p)
+    return p
 
 
 def shared_table(spark: SparkSession, key: str, build) -> DataFrame:
@@ -92,7 +106,12 @@ def shared_table(spark: SparkSession, key: str, build) -> DataFrame:
         base = ensure_checkpoint_dir(spark).rstrip("/")
         safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
         path = f"{base}/marketlens-shared/{app}/{safe}"
-        build().write.mode("overwrite").parquet(path)
+        _HOLDS.append([])
+        try:
+            build().write.mode("overwrite").parquet(path)
+        finally:
+            for p in _HOLDS.pop():
+                p.unpersist()
         _SHARED[memo] = path
     return spark.read.parquet(path)
 
