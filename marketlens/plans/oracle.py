@@ -81,6 +81,13 @@ SELECT t.race, CAST(p.paying_users AS DOUBLE) AS paying_users, t.total_users,
        {R('p.paying_users::DOUBLE / t.total_users', 5)} AS share_paying_users_in_race_context
 FROM total_race t LEFT JOIN paying_race p ON t.race = p.race"""
 
+SQL["payer_share_by_group_window"] = with_("f_users", "f_race") + f"""
+SELECT r.race, CAST(NULLIF(COUNT(u.id) FILTER (WHERE u.payer = 1), 0) AS DOUBLE) AS paying_users,
+       COUNT(u.id) AS total_users,
+       {R('NULLIF(COUNT(u.id) FILTER (WHERE u.payer = 1), 0)::DOUBLE / COUNT(u.id)', 5)}
+         AS share_paying_users_in_race_context
+FROM f_users u JOIN f_race r ON u.race_id = r.race_id GROUP BY r.race"""
+
 SQL["purchase_stats"] = with_("f_events") + f"""
 SELECT COUNT(e.transaction_id) AS purchase_count,
        CAST(SUM(CAST(e.amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,

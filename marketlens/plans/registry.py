@@ -17,6 +17,7 @@ def all_queries() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {
         "payer_share": fantasy.payer_share,
         "payer_share_by_group": fantasy.payer_share_by_group,
+        "payer_share_by_group_window": partial(fantasy.payer_share_by_group, window_form=True),
         "purchase_stats": fantasy.purchase_stats,
         "zero_amount_share": fantasy.zero_amount_share,
         "item_popularity": fantasy.item_popularity,
