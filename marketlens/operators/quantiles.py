@@ -33,7 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, write_through
+from ..session import ensure_checkpoint_dir, small_input, write_through
 
 BUCKETS = 4096
 CAP = 50_000
@@ -61,8 +61,20 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
                     buckets: int = BUCKETS, cap: int = CAP, out_prefix: str | None = None) -> DataFrame:
     """Exact percentiles of ``value`` per group: one row per group of ``by``
     with one column per q (named ``{out_prefix or value}_q{i}``). ``kind``
-    is 'cont' (interpolated), 'disc' (discrete) or one of them per q."""
+    is 'cont' (interpolated), 'disc' (discrete) or one of them per q.
+    Inputs above ``session.small_input`` take the bounded search below."""
     keys = _keys(by)
+    kinds = [kind] * len(qs) if isinstance(kind, str) else list(kind)
+    prefix = out_prefix or value
+    if small_input(df):
+        # a small input (see session.small_input): Spark's exact percentile
+        # aggregates in one pass; their value maps are bounded by the input
+        aggs = []
+        for i, (q, kd) in enumerate(zip(qs, kinds)):
+            e = (F.percentile(F.col(value).cast("double"), F.lit(float(q))) if kd == "cont" else
+                 F.expr(f"percentile_disc({float(q)!r}) WITHIN GROUP (ORDER BY CAST(`{value}` AS DOUBLE))"))
+            aggs.append(e.alias(f"{prefix}_q{i}"))
+        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*aggs)
     ensure_checkpoint_dir(df.sparkSession)
     src = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
         .persist(StorageLevel.MEMORY_AND_DISK)

@@ -68,10 +68,10 @@ def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[st
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
     order = [ts, *ties]
-    if not skew_safe:
+    from ..session import small_input, write_through
+    if not skew_safe or small_input(df):
         prev = F.lag(ts).over(Window.partitionBy(key).orderBy(*order))
         return df.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
-    from ..session import write_through
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = write_through(df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()),
