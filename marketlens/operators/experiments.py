@@ -149,7 +149,9 @@ def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> Da
     keys = [by] if by else []
     src = df.filter(F.col(value).isNotNull())
     rng = src.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    j = src.join(F.broadcast(rng), keys, "inner") if keys else src.crossJoin(F.broadcast(rng))
+    # one range row per group: broadcast only the single global row; per-group
+    # ranges grow with the number of groups and are left to AQE
+    j = src.join(rng, keys, "inner") if keys else src.crossJoin(F.broadcast(rng))
     width = (F.col("__hi") - F.col("__lo")) / bins
     idx = F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
