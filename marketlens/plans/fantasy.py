@@ -113,10 +113,15 @@ def group_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = S.fantasy_users(t).join(F.broadcast(S.fantasy_race(t)), "race_id", "left")
     j = users.join(per_player, "id", "left")
     buyer = F.col("n_tx").isNotNull()
-    agg = j.groupBy("race").agg(
-        F.count_distinct("id").alias("total_users"),
-        F.count_distinct(F.when(buyer, F.col("id"))).alias("buying_users"),
-        F.count_distinct(F.when(buyer & (F.col("payer") == 1), F.col("id"))).alias("paying_users"),
+    # one row per (race, player) first: the three distinct counts become plain
+    # conditional counts, with no Expand of the rows per distinct column
+    per_id = j.groupBy("race", "id").agg(
+        F.max(buyer).alias("is_buyer"), F.max(buyer & (F.col("payer") == 1)).alias("is_paying"),
+        F.max("n_tx").alias("n_tx"), F.max("amt").alias("amt"))
+    agg = per_id.groupBy("race").agg(
+        F.count("id").alias("total_users"),
+        F.count_if("is_buyer").alias("buying_users"),
+        F.count_if("is_paying").alias("paying_users"),
         F.sum("n_tx").alias("total_transaction"),
         F.sum("amt").alias("total_amount"),
     )
