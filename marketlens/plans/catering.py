@@ -11,6 +11,7 @@ from ..operators.aggregates import describe, value_counts, with_exact_quantiles
 from ..operators.clean import contains_all, dedupe_keep_first, fill_nulls, lower_columns
 from ..operators.experiments import chi_square_association
 from ..operators.outliers import rows_at_or_above_percentile
+from ..operators.phik import phik_association
 from ..operators.quantiles import exact_quantiles
 from ..session import shared_table
 from ..sources import standins as S
@@ -130,6 +131,23 @@ def chains_top15_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains_top15(spark, sf_dir).groupBy("category").agg(F.count("name").alias("chains"))
 
 
+def _binned_venues(spark: SparkSession, sf_dir: str, bins: int) -> DataFrame:
+    v = venues_clean(spark, sf_dir)
+    rng = v.agg(F.min("seats").alias("lo"), F.max("seats").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    seat_bin = F.when(F.col("seats").isNull(), F.lit(None).cast("int")).otherwise(
+        F.least(F.floor((F.col("seats") - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
+    return v.crossJoin(F.broadcast(rng)).withColumn("seats_bin", seat_bin)
+
+
+def association_phik(spark: SparkSession, sf_dir: str, bins: int = 10) -> DataFrame:
+    """phi_K of the rating with category, district, chain, seats (10
+    equal-width bins), price and the 24/7 flag (``phik_matrix`` column of the
+    rating), highest first."""
+    b = _binned_venues(spark, sf_dir, bins)
+    return phik_association(b, "rating", ["category", "district", "chain", "seats_bin", "price", "is_24_7"])
+
+
 def association_table(spark: SparkSession, sf_dir: str, bins: int = 10) -> DataFrame:
     """Association of the rating with category, district, chain, seats,
     price and the 24/7 flag: chi-square and Cramer's V per attribute. The

@@ -63,6 +63,7 @@ def all_queries() -> dict[str, QueryFn]:
         "chains_top15": catering.chains_top15,
         "chains_top15_categories": catering.chains_top15_categories,
         "association_table": catering.association_table,
+        "association_phik": catering.association_phik,
         "games_clean": games.games_clean,
         "score_bins": games.score_bins,
         "platforms_top7": games.platforms_top7,

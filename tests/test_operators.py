@@ -205,3 +205,19 @@ def test_days_since_previous_hot_key_across_ranges(spark):
     a = rows(days_since_previous(df, "u", "ts", "id", skew_safe=True, partitions=16), "id", "days_since_prev")
     b = rows(days_since_previous(df, "u", "ts", "id", skew_safe=False), "id", "days_since_prev")
     assert a == b
+
+
+def test_phik_recovers_correlation_of_binned_normals(spark):
+    import numpy as np
+
+    from marketlens.operators.phik import phik_association
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal(20000)
+    y = 0.6 * x + 0.8 * rng.standard_normal(20000)
+    z = rng.standard_normal(20000)
+    rows = list(zip(np.digitize(x, [-1, 0, 1]).tolist(), np.digitize(y, [-1.5, -0.5, 0.5, 1.5]).tolist(),
+                    np.digitize(z, [0]).tolist()))
+    df = spark.createDataFrame(rows, "t int, a int, b int")
+    got = {r.attr: r.phik for r in phik_association(df, "t", ["a", "b"]).collect()}
+    assert abs(got["a"] - 0.6) < 0.03
+    assert got["b"] < 0.05
