@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from functools import partial
-
 from . import catering, experiments, fantasy, games, metrics, profiles, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, QueryFn]:
-    q: dict[str, QueryFn] = {
+    return {
         "payer_share": fantasy.payer_share,
         "payer_share_by_group": fantasy.payer_share_by_group,
         "payer_share_by_group_window": partial(fantasy.payer_share_by_group, window_form=True),
@@ -112,7 +111,6 @@ def all_queries() -> dict[str, QueryFn]:
         "tags_top20": metrics.tags_top20,
         "speakers_top": metrics.speakers_top,
     }
-    return q
 
 
 def all_oracle_sql() -> dict[str, str]:
