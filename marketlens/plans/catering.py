@@ -115,7 +115,7 @@ def rating_by_price(spark: SparkSession, sf_dir: str) -> DataFrame:
         .orderBy(F.desc("mean_rating"), "price")
 
 
-def chains_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain venues per (name, category) with mean rating; the 15
     largest, re-sorted by the mean rating. Ties at the cut go to the smaller
     (name, category)."""
@@ -126,9 +126,9 @@ def chains_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.orderBy(F.desc_nulls_last("mean_rating"), "name", "category")
 
 
-def chains_top15_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_chains_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: categories inside the top-15 chains."""
-    return chains_top15(spark, sf_dir).groupBy("category").agg(F.count("name").alias("chains"))
+    return top_chains(spark, sf_dir).groupBy("category").agg(F.count("name").alias("chains"))
 
 
 def _binned_venues(spark: SparkSession, sf_dir: str, bins: int) -> DataFrame:

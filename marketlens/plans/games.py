@@ -66,7 +66,7 @@ def score_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("user_score_category", "critic_score_category").agg(F.count(F.lit(1)).alias("games"))
 
 
-def platforms_top7(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: the 7 platforms with the most titles in the year window."""
     g = games_actual(spark, sf_dir)
     return g.groupBy("platform").agg(F.count("name").alias("games")) \

@@ -88,7 +88,7 @@ def talks_top_laughter(spark: SparkSession, sf_dir: str) -> DataFrame:
         .orderBy(F.desc("laughter"), "talk_id").limit(10)
 
 
-def tags_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 tags with the most talks, with their views."""
     t = _talks(spark, sf_dir).select(F.explode("tags").alias("tag"), "talk_id", "views")
     return t.groupBy("tag").agg(F.count("talk_id").alias("talks"), numeric_round(F.sum("views"), 2).alias("views")) \

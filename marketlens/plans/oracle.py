@@ -354,11 +354,11 @@ SELECT {key}, COUNT(DISTINCT event_id) AS events_count, COUNT(order_id) AS order
 FROM t_clean GROUP BY {key} ORDER BY {order} DESC, {key} LIMIT 5"""
 
 
-SQL["region_top5_events"] = _leader_sql("region_name", "events_count", False)
-SQL["region_top5_orders"] = _leader_sql("region_name", "orders_count", False)
-SQL["partner_top5_events"] = _leader_sql("service_name", "events_count", True)
-SQL["partner_top5_orders"] = _leader_sql("service_name", "orders_count", True)
-SQL["partner_top5_revenue"] = _leader_sql("service_name", "ticket_revenue", True)
+SQL["region_leaders_by_events"] = _leader_sql("region_name", "events_count", False)
+SQL["region_leaders_by_orders"] = _leader_sql("region_name", "orders_count", False)
+SQL["partner_leaders_by_events"] = _leader_sql("service_name", "events_count", True)
+SQL["partner_leaders_by_orders"] = _leader_sql("service_name", "orders_count", True)
+SQL["partner_leaders_by_revenue"] = _leader_sql("service_name", "ticket_revenue", True)
 
 SQL["first_last_change"] = _T + f"""
 , m AS (SELECT month, COUNT(order_id) AS order_count FROM t_clean GROUP BY month)
@@ -650,11 +650,11 @@ FROM v_clean GROUP BY district"""
 SQL["rating_by_price"] = _V + f"""
 SELECT price, {R('AVG(rating)', 6)} AS mean_rating FROM v_clean GROUP BY price"""
 
-SQL["chains_top15"] = _V + f"""
+SQL["top_chains"] = _V + f"""
 SELECT name, category, COUNT(id) AS count, {R('AVG(rating)', 6)} AS mean_rating
 FROM v_clean WHERE chain GROUP BY name, category ORDER BY count DESC, name, category LIMIT 15"""
 
-SQL["chains_top15_categories"] = _V + """
+SQL["top_chains_categories"] = _V + """
 SELECT category, COUNT(name) AS chains FROM (
   SELECT name, category, COUNT(id) AS count FROM v_clean WHERE chain
   GROUP BY name, category ORDER BY count DESC, name, category LIMIT 15)
@@ -724,7 +724,7 @@ g_actual AS (
 SQL["games_clean"] = with_("g_clean") + "\nSELECT * FROM g_clean"
 SQL["score_bins"] = with_("g_clean") + """
 SELECT user_score_category, critic_score_category, COUNT(*) AS games FROM g_actual GROUP BY ALL"""
-SQL["platforms_top7"] = with_("g_clean") + """
+SQL["top_platforms"] = with_("g_clean") + """
 SELECT platform, COUNT(name) AS games FROM g_actual GROUP BY platform ORDER BY games DESC, platform LIMIT 7"""
 SQL["games_profile"] = with_("g_clean") + """
 SELECT platform, genre, COUNT(*) AS count FROM g_clean GROUP BY ALL"""
@@ -1061,7 +1061,7 @@ FROM talks WHERE country = 'NATION_3' AND conference = '1-URGENT'"""
 SQL["talks_top_laughter"] = _TK + """
 SELECT talk_id, speaker, laughter FROM talks ORDER BY laughter DESC, talk_id LIMIT 10"""
 
-SQL["tags_top20"] = _TK + f"""
+SQL["top_tags"] = _TK + f"""
 SELECT tag, COUNT(talk_id) AS talks, {R('SUM(views)', 2)} AS views
 FROM (SELECT UNNEST(tags) AS tag, talk_id, views FROM talks) GROUP BY tag ORDER BY talks DESC, tag LIMIT 20"""
 

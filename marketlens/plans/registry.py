@@ -30,11 +30,11 @@ def all_queries() -> dict[str, QueryFn]:
         "daily_dynamics": tickets.daily_dynamics,
         "weekday_cycle": tickets.weekday_cycle,
         "day_type_cycle": tickets.day_type_cycle,
-        "region_top5_events": partial(tickets.region_leaderboard, by="events_count"),
-        "region_top5_orders": partial(tickets.region_leaderboard, by="orders_count"),
-        "partner_top5_events": partial(tickets.partner_leaderboard, by="events_count"),
-        "partner_top5_orders": partial(tickets.partner_leaderboard, by="orders_count"),
-        "partner_top5_revenue": partial(tickets.partner_leaderboard, by="ticket_revenue"),
+        "region_leaders_by_events": partial(tickets.region_leaderboard, by="events_count"),
+        "region_leaders_by_orders": partial(tickets.region_leaderboard, by="orders_count"),
+        "partner_leaders_by_events": partial(tickets.partner_leaderboard, by="events_count"),
+        "partner_leaders_by_orders": partial(tickets.partner_leaderboard, by="orders_count"),
+        "partner_leaders_by_revenue": partial(tickets.partner_leaderboard, by="ticket_revenue"),
         "first_last_change": tickets.first_last_change,
         "overlap_percent": tickets.overlap_percent,
         "welch_orders": tickets.welch_orders,
@@ -59,13 +59,13 @@ def all_queries() -> dict[str, QueryFn]:
         "large_venues": catering.large_venues,
         "bill_by_district": catering.bill_by_district,
         "rating_by_price": catering.rating_by_price,
-        "chains_top15": catering.chains_top15,
-        "chains_top15_categories": catering.chains_top15_categories,
+        "top_chains": catering.top_chains,
+        "top_chains_categories": catering.top_chains_categories,
         "association_table": catering.association_table,
         "association_phik": catering.association_phik,
         "games_clean": games.games_clean,
         "score_bins": games.score_bins,
-        "platforms_top7": games.platforms_top7,
+        "top_platforms": games.top_platforms,
         "games_profile": games.games_profile,
         "null_profile": profiles.null_profile_venues,
         "missing_report": profiles.missing_report,
@@ -108,7 +108,7 @@ def all_queries() -> dict[str, QueryFn]:
         "talk_by_conference": metrics.talk_by_conference,
         "talk_filter": metrics.talk_filter,
         "talks_top_laughter": metrics.talks_top_laughter,
-        "tags_top20": metrics.tags_top20,
+        "top_tags": metrics.top_tags,
         "speakers_top": metrics.speakers_top,
     }
 
