@@ -66,8 +66,11 @@ def narrow(c, dtype: str) -> Column:
 
 
 def to_timestamp_text(c, fmt: str | None = None) -> Column:
-    """Text to timestamp; with a format, bad text becomes NULL."""
-    return F.try_to_timestamp(col_(c), F.lit(fmt)) if fmt else F.try_to_timestamp(col_(c))
+    """Text to a wall-clock timestamp (TIMESTAMP_NTZ, like the
+    time-zone-free source); with a format, bad text becomes NULL. Interval
+    arithmetic on the result does not depend on the session time zone."""
+    ts = F.try_to_timestamp(col_(c), F.lit(fmt)) if fmt else F.try_to_timestamp(col_(c))
+    return ts.cast("timestamp_ntz")
 
 
 def fill_nulls(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
