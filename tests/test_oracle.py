@@ -54,3 +54,18 @@ def test_bounded_paths_match_oracle(spark, con, name):
         session._SHARED.clear()
     d_cols, d_rows = rows_of(con.execute(oracle_sql()[name]).fetchdf())
     assert s_cols == d_cols and s_rows == d_rows
+
+
+@pytest.mark.parametrize("name", ["funding_clean", "dau", "retention_monthly", "listing_seasonality",
+                                  "sessions_daily", "tickets_clean"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    import marketlens.session as session
+    session._SHARED.clear()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        s_cols, s_rows = rows_of(queries()[name](spark, SF).toPandas())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        session._SHARED.clear()
+    d_cols, d_rows = rows_of(con.execute(oracle_sql()[name]).fetchdf())
+    assert s_cols == d_cols and s_rows == d_rows
