@@ -279,6 +279,13 @@ t_clean AS (
 
 _T = with_("t_orders", "t_rates", "t_clean")
 
+SQL["revenue_caps"] = with_("t_orders") + f"""
+, caps AS (SELECT currency_code, quantile_cont(revenue, 0.99) AS cap FROM t_orders
+           WHERE currency_code IN ('rub', 'kzt') GROUP BY currency_code)
+SELECT t.currency_code, {R('c.cap', 2)} AS cap, COUNT(*) AS orders,
+       COUNT(*) FILTER (WHERE t.revenue <= c.cap) AS kept, COUNT(*) FILTER (WHERE t.revenue > c.cap) AS cut
+FROM t_orders t JOIN caps c ON t.currency_code = c.currency_code GROUP BY t.currency_code, c.cap"""
+
 SQL["tickets_clean"] = _T + f"""
 SELECT order_id, user_id, strftime(created_dt_msk, '%Y-%m-%d') AS created_dt_msk,
        strftime(created_ts_msk, '%Y-%m-%d %H:%M:%S') AS created_ts_msk, event_id, currency_code,

@@ -25,6 +25,7 @@ def all_queries() -> dict[str, QueryFn]:
         "listing_seasonality": real_estate.listing_seasonality,
         "listings_monitor": real_estate.listings_monitor,
         "tickets_clean": tickets.tickets_clean_report,
+        "revenue_caps": tickets.revenue_caps,
         "season_mix": tickets.season_mix,
         "season_unit_revenue": tickets.season_unit_revenue,
         "daily_dynamics": tickets.daily_dynamics,

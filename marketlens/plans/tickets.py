@@ -11,7 +11,7 @@ from ..functions.numeric import numeric_round, pct_change, safe_div
 from ..operators.aggregates import with_exact_quantiles
 from ..operators.clean import dedupe_keep_first
 from ..operators.experiments import overlap_summary, welch_test
-from ..operators.outliers import cap_by_group_percentile
+from ..operators.outliers import cap_by_group_percentile, group_caps
 from ..operators.windows import days_since_previous
 from ..session import shared_table
 from ..sources import standins as S
@@ -50,6 +50,18 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
                                ["order_id", "event_id", "tickets_count", "revenue", "event_type_description"])
 
 
+def revenue_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 report: the p99 revenue cap of each currency and the orders kept and
+    cut by it (the printed caps and cut count of the cleaning step)."""
+    raw = S.ticket_orders(Tables(spark, sf_dir)).filter(F.col("currency_code").isin(*CURRENCIES))
+    caps = group_caps(raw, "revenue", "currency_code", 0.99)
+    j = raw.join(caps, "currency_code")
+    return j.groupBy("currency_code", "cap").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(F.col("revenue") <= F.col("cap")).alias("kept"),
+        F.count_if(F.col("revenue") > F.col("cap")).alias("cut")).select(
+        "currency_code", numeric_round("cap", 2).alias("cap"), "orders", "kept", "cut")
+
+
 def _rounded(df: DataFrame, cols, digits=6) -> DataFrame:
     return df.select(*[numeric_round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
