@@ -12,7 +12,8 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 from check_oracle import rows_of  # noqa: E402
 
-from __spark_entry__ import oracle_sql, queries  # noqa: E402
+from marketlens.plans.registry import all_oracle_sql as oracle_sql  # noqa: E402
+from marketlens.plans.registry import all_queries as queries  # noqa: E402
 from marketlens.sources.tables import TABLE_NAMES  # noqa: E402
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")

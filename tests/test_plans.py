@@ -3,7 +3,8 @@ broadcast of one-row aggregates and fixed-size dimensions."""
 
 import pytest
 
-from __spark_entry__ import entry, queries
+from __spark_entry__ import entry
+from marketlens.plans.registry import all_queries as queries
 
 SF = "/root/testdata/sf0.001"
 
