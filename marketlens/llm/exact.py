@@ -61,7 +61,8 @@ def _merge_sorted(key_leaf: bool):
             first = np.flatnonzero(np.concatenate(([True], ~same)))
             copies = np.add.reduceat(t["copies"].to_numpy(), first)
             t = t.take(pa.array(first))
-            t = t.set_column(t.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
+            at = t.schema.get_field_index("copies")
+            t = t.set_column(at, t.schema.field(at), pa.array(copies, pa.int64()))
             held = t.slice(t.num_rows - 1)
             yield from t.slice(0, t.num_rows - 1).to_batches()
         if held is not None:
