@@ -74,7 +74,7 @@ def tokens(page: str) -> list[tuple[str, str, int, bool]]:
             n = len(text.split())
             if n:
                 inner = "a" if any(x == "a" for x, _ in stack) else next((x for x, _ in reversed(stack) if x in BLOCK), "")
-                out.append(("x:" if never else "w:" + inner, text, n, never))
+                out.append(("w:" + inner, text, n, never))
             elif out and out[-1][1]:
                 out.append(("s:", text, 0, never))  # white space between inline elements
             continue
@@ -82,6 +82,7 @@ def tokens(page: str) -> list[tuple[str, str, int, bool]]:
         if name is None:
             continue
         name = name.lower()
+        apart = never
         if m[2]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
@@ -101,7 +102,7 @@ def tokens(page: str) -> list[tuple[str, str, int, bool]]:
                     bool(m[4]) and name not in ("html", "body", "article", "main") and _not_content(m[4]))
                 stack.append((name, apart))
                 never = apart
-        out.append(("t:" + name, "", 0, never))
+        out.append(("t:" + name, "", 0, apart))
     return out
 
 
@@ -117,8 +118,8 @@ def learn(pages: list[str]) -> dict[str, float]:
                 outside[feature] += 1
                 continue
             # each such element has two tags; one left open reaches to the end
-            side = inside if depth % 2 and not never else outside
-            side[feature] += n or 1
+            if not never:
+                (inside if depth % 2 else outside)[feature] += n or 1
     if not inside or not outside:
         return dict(DEFAULT)
     a, b = sum(inside.values()), sum(outside.values())
@@ -126,20 +127,20 @@ def learn(pages: list[str]) -> dict[str, float]:
     for f in inside.keys() | outside.keys():
         w = math.log((inside[f] + SMOOTH) / (a + SMOOTH)) - math.log((outside[f] + SMOOTH) / (b + SMOOTH))
         w = max(-MAX_WEIGHT, min(MAX_WEIGHT, w))
-        # words can only speak for a region, tags against it, except words in parts that are never content
+        # words speak for a region or against it, tags only against it
         out[f] = (max(w, 0.1) if inside[f] > outside[f] else min(w, -0.1)) if f[0] == "w" else min(w, -0.05)
     return out
 
 
 def region(found: list[tuple[str, str, int, bool]], weights: dict[str, float]) -> tuple[int, int]:
-    """The contiguous token range of the highest score; of equal ones the first."""
+    """The contiguous token range of the highest score; of equal ones the
+    first. Parts that are never content neither add nor end a region: they are
+    left out of its text."""
     best, best_at, score, begin = 0.0, (0, 0), 0.0, 0
     for i, (feature, _, n, never) in enumerate(found):
-        if feature[0] == "s":
+        if never or feature[0] == "s":
             continue
-        w = weights.get(feature)
-        if w is None:
-            w = (-1.0 if never else WORD_DEFAULT) if n else TAG_DEFAULT
+        w = weights.get(feature, WORD_DEFAULT if n else TAG_DEFAULT)
         if score <= 0:
             score, begin = 0.0, i
         score += w * (n or 1)
