@@ -14,6 +14,7 @@ from marketlens.session import write_through
 # Column names used inside the operators; the prefix keeps them apart from
 # whatever extra columns the caller's tables carry.
 FILE, ROW = "__llm_file", "__llm_row"
+SLICE = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,10 @@ def quoted(name: str):
 def with_row_id(df: DataFrame) -> DataFrame:
     """Add (FILE, ROW): the same pair for the same row in every scan, so that
     verdicts about rows can be joined back even where ids are null or repeat.
-    A frame that is not a plain file scan is written once first."""
+    A frame that is not a plain file scan is written once first; one that has
+    the columns already is returned as it is."""
+    if FILE in df.columns:
+        return df
     try:
         return df.select("*", F.xxhash64(F.col("_metadata.file_path")).alias(FILE),
                          F.col("_metadata.row_index").alias(ROW))
@@ -42,14 +46,15 @@ def map_texts(df: DataFrame, keep: list[str], compute: Callable[[list], dict], s
     """Columns ``keep`` unchanged plus the columns ``compute`` derives from the
     texts of each Arrow batch (a column named ``text`` of ``df``); one output
     row per input row, no shuffle. Ids never pass through pandas, so null or
-    large 64-bit ids stay exact."""
+    large 64-bit ids stay exact. A worker holds the results of ``SLICE`` rows
+    at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            got = compute(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + list(got.values()),
-                                             names=keep + list(got))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                got = compute(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + list(got.values()),
+                                                 names=keep + list(got))
 
     return df.mapInArrow(run, schema)

@@ -121,6 +121,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(FILE, ROW)
     rows = with_row_id(docs)
+    kept = exact_groups(rows, id_col, text_col).where("kept").select(FILE, ROW)
     return rows.join(kept.hint("shuffle_hash"), [FILE, ROW], "left_semi").select(*[quoted(c) for c in docs.columns])

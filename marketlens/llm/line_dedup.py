@@ -45,8 +45,9 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     ``lines_dropped`` (long). Null text stays null; repeated rows are each a
     page; an empty table stays empty; a column of the caller's named
     ``lines_dropped`` is replaced."""
-    found = boilerplate_lines(docs, text_col, host_col, **limits).select(FILE, ROW, F.col("dropped_hashes").alias("__dropped"))
-    out = with_row_id(docs).join(found.hint("shuffle_hash"), [FILE, ROW], "left")
+    rows = with_row_id(docs)
+    found = boilerplate_lines(rows, text_col, host_col, **limits).select(FILE, ROW, F.col("dropped_hashes").alias("__dropped"))
+    out = rows.join(found.hint("shuffle_hash"), [FILE, ROW], "left")
     out = out.withColumn("__clean", F.when(F.col("__dropped").isNull(), quoted(text_col))
                          .otherwise(without_lines(quoted(text_col), F.col("__dropped"))))
     gone = F.when(F.col("__dropped").isNull(), 0).otherwise(n_marked_lines(quoted(text_col), F.col("__dropped")))

@@ -106,9 +106,10 @@ def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   chars_col: str = "n_chars", **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; lines above
     the limits are gone from the text (and from ``chars_col``, if there is one)."""
-    verdict = (quality_verdicts(docs, id_col, text_col, host_col, **limits).where("kept")
+    rows = with_row_id(docs)
+    verdict = (quality_verdicts(rows, id_col, text_col, host_col, **limits).where("kept")
                .select(FILE, ROW, F.col("removed_lines").alias("__removed")))
-    out = with_row_id(docs).join(verdict.hint("shuffle_hash"), [FILE, ROW])
+    out = rows.join(verdict.hint("shuffle_hash"), [FILE, ROW])
     out = out.withColumn("__clean", F.when(F.col("__removed").isNull(), quoted(text_col))
                          .otherwise(without_lines(quoted(text_col), F.col("__removed"))))
     cols = [F.col("__clean").alias(c) if c == text_col

@@ -246,8 +246,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that stay, with all their columns: of each group
     the row whose id is the component's (of rows that repeat that id, or of a
     group without ids, the first in file order)."""
-    groups = near_groups(docs, id_col, text_col, **how)
+    rows = with_row_id(docs)
+    groups = near_groups(rows, id_col, text_col, **how)
     first = (groups.where(F.col("id").eqNullSafe(F.col("component_id")))
              .groupBy("label").agg(F.min(F.struct(FILE, ROW)).alias("at")).select(F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{ROW}").alias(ROW)))
-    rows = with_row_id(docs)
     return rows.join(first.hint("shuffle_hash"), [FILE, ROW], "left_semi").select(*[quoted(c) for c in docs.columns])

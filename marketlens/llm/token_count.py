@@ -41,17 +41,16 @@ def _counts(path: str, limit: int):
         texts = [t or "" for t in texts]
         bpe, known = prefix_bpe(path), count_cache(path)
         n_tokens, fit_chars = [], []
-        for at in range(0, len(texts), 1000):
-            parts = [chunks(t) for t in texts[at:at + 1000]]
-            known.fill([p[1:] for p in parts])
-            value = known.__getitem__
-            for p in parts:
-                first = bpe.count(p[0])
-                n = first + sum(map(value, p[1:]))
-                n_tokens.append(n)
-                fit_chars.append(sum(map(len, p)) + len(p) - 1 if n <= limit else _cut(
-                    p, [first, *map(value, p[1:])], bpe, limit))
-            known.trim()
+        parts = [chunks(t) for t in texts]
+        known.fill([p[1:] for p in parts])
+        value = known.__getitem__
+        for p in parts:
+            first = bpe.count(p[0])
+            n = first + sum(map(value, p[1:]))
+            n_tokens.append(n)
+            fit_chars.append(sum(map(len, p)) + len(p) - 1 if n <= limit else _cut(
+                p, [first, *map(value, p[1:])], bpe, limit))
+        known.trim()
         return {"n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                 "n_tokens": pa.array(n_tokens, pa.int64()),
                 "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_()),

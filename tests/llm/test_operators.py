@@ -207,15 +207,15 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     line = "Subscribe  to our newsletter TODAY for news"
     rows = [(i, f"{prose(i, 30)}\n{line.lower() if i % 2 else line}\n{prose(1000 + i, 20)}", "en", "h") for i in range(40)]
     rows += [(100 + i, line + f"\n{i} one two three four five six seven eight nine ten"[: 2 if i else 3], "en", "h") for i in range(3)]
-    rows += [(200, f"{line}\n{prose(5, 30)}", "en", "other"), (201, line + "\n" + line + "\n" + prose(9, 4), "en", "h")]
+    rows += [(200, f"{line}\n{prose(5, 30)}", "en", "other"), (201, line + "\n" + prose(9, 4), "en", "h")]
     copies = [(300 + i, prose(77, 40), "en", "h") for i in range(60)]
     df = frame(spark, rows + copies)
-    got = {r["id"]: r for r in quality.quality_verdicts(df, max_docs=30, max_share=0.001).collect()}
+    got = {r["id"]: r for r in quality.quality_verdicts(df, max_docs=30, max_share=0.001, min_left=0.5).collect()}
     assert all(got[i]["kept"] and got[i]["words_left"] == 50 for i in range(40))
     assert got[200]["kept"] and got[200]["words_left"] == got[200]["n_words"]  # another host
     assert not got[201]["base_failed"] and not got[201]["kept"]  # depleted
     assert all(got[300 + i]["kept"] for i in range(60))  # copies of one text count once
-    clean = quality.apply_quality(df)
+    clean = quality.apply_quality(df, min_left=0.5)
     assert clean.columns == df.columns
     text = {r["doc_id"]: (r["text"], r["n_chars"]) for r in clean.collect()}
     assert 201 not in text and text[200][0] == rows[43][1]
@@ -242,8 +242,9 @@ def test_base_counts(spark):
 
 def test_quality_of_odd_rows(spark, odd):
     rows, df = odd
-    got = tuples(quality.quality_verdicts(df), "id", "n_words", "n_repeat_words") if False else quality.quality_verdicts(df).count()
-    assert got == len(rows)
+    got = tuples(quality.quality_verdicts(df), "id", "n_words", "base_failed")
+    assert [(i, n) for i, n, _ in got] == sorted(((r[0], len((r[1] or "").split())) for r in rows), key=repr)
+    assert all(bad for _, n, bad in got if n < 10)
 
 
 def test_line_dedup(spark, odd):
