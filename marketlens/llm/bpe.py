@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,12 +40,12 @@ class ChunkCache(dict):
     """Values of chunks that follow a space. ``fill`` makes the values of all
     unknown chunks of a batch at once; the size stays bounded."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int = CACHE):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, size
 
     def fill(self, parts: list[list[str]]) -> None:
-        if len(self) > CACHE:
+        if len(self) > self.size:
             self.clear()
         new: set[str] = set()
         for p in parts:
@@ -199,11 +200,26 @@ def library(path: str):
 
 @lru_cache(maxsize=4)
 def id_cache(path: str) -> ChunkCache:
-    """Chunk -> its ids as little-endian 32-bit numbers, by the library."""
-    t = library(path)
+    """Chunk -> its ids as little-endian 32-bit numbers, by the library's
+    model. An unknown chunk is cut into pre-tokenizer pieces, which recur more
+    often than chunks, and only an unknown piece is encoded."""
+    bpe, model = prefix_bpe(path), library(path).model
+    letter = {b: c for c, b in _byte_letters().items()}
+    known: dict[str | int, bytes] = {i: array("I", [i]).tobytes() for i in bpe.special.values()}
+    fixed = dict(known)
+
+    def encode(piece: str) -> bytes:
+        word = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letter)
+        got = array("I", [t.id for t in model.tokenize(word)]).tobytes()
+        if len(piece) <= LONG:
+            if len(known) > CACHE:
+                known.clear()
+                known.update(fixed)
+            known[piece] = got
+        return got
 
     def make(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+        return [b"".join([known.get(p) or encode(p) for p in bpe.pieces(t)]) for t in texts]
     return ChunkCache(make)
 
 
