@@ -128,7 +128,10 @@ def learn(pages: list[str]) -> dict[str, float]:
         w = math.log((inside[f] + SMOOTH) / (a + SMOOTH)) - math.log((outside[f] + SMOOTH) / (b + SMOOTH))
         w = max(-MAX_WEIGHT, min(MAX_WEIGHT, w))
         # words speak for a region or against it, tags only against it
-        out[f] = (max(w, 0.1) if inside[f] > outside[f] else min(w, -0.1)) if f[0] == "w" else min(w, -0.05)
+        if f[0] == "w":
+            out[f] = max(w, 0.1) if inside[f] > outside[f] else min(w, -0.1)
+        else:
+            out[f] = -0.05 if inside[f] > outside[f] else min(w, -0.05)
     return out
 
 
