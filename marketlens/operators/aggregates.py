@@ -45,11 +45,11 @@ def with_exact_quantiles(agg: DataFrame, df: DataFrame, value: str, qs, by, name
                          kind: str = "cont") -> DataFrame:
     """Attach exact percentiles of ``value`` (one column per name) to an
     aggregate ``agg`` keyed by ``by``; groups without values get NULL."""
-    from .quantiles import exact_quantiles
+    from .quantiles import exact_quantiles, null_safe_join
     keys = _keys(by)
     q = exact_quantiles(df, value, list(qs), by=keys, kind=kind, out_prefix="__wq").select(
         *keys, *[F.col(f"__wq_q{i}").alias(n) for i, n in enumerate(names)])
-    return agg.join(q, keys, "left") if keys else agg.crossJoin(q)
+    return null_safe_join(agg, q, keys, "left") if keys else agg.crossJoin(q)
 
 
 def discrete_percentile(df: DataFrame, value: str, q: float, by=None,

@@ -16,6 +16,12 @@ refinement instead:
    its values are gathered, sorted and indexed - at most ``cap`` values per
    (group, rank), never a whole group.
 
+Infinities and NaN (which sorts last) have buckets of their own, and an
+interval's least and greatest finite value always fall into different
+buckets, so every pass narrows every open interval. A NULL group key is a
+group like any other: all joins are null-safe. Inputs of every size take
+this path.
+
 The search state is a small frame (groups x ranks rows) written to the
 shared checkpoint folder each pass; the driver only reads the number of
 open searches. The (group, value) projection is persisted (memory and
@@ -33,15 +39,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, small_input, write_through
+from ..session import ensure_checkpoint_dir, write_through
 
 BUCKETS = 4096
 CAP = 50_000
-MAX_PASSES = 16
-# The search state (groups x ranks rows) is broadcast to the data when it
-# has at most this many rows (checked on the materialised state); beyond it
-# the state is joined by a shuffle join whose hot keys AQE splits.
-BROADCAST_STATE_ROWS = 1_000_000
+# Passes an interval of doubles can take at most: each divides its finite
+# range by ``buckets``; beyond it the search would not be making progress.
+MAX_PASSES = 400
 
 
 def _keys(by) -> list[str]:
@@ -50,31 +54,24 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _join(big: DataFrame, small: DataFrame, keys: list[str], bcast: bool) -> DataFrame:
-    # ``small`` is the search state: one row per (group, rank)
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys appear once. Without
+    keys every row meets every row: ``right`` is then one row per rank."""
     if not keys:
-        return big.crossJoin(F.broadcast(small))  # one row per rank
-    return big.join(F.broadcast(small) if bcast else small, keys, "inner")
+        return left.crossJoin(F.broadcast(right)) if how == "inner" else left.join(F.broadcast(right), how=how)
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(other, cond, how).drop(*[f"__r_{c}" for c in keys])
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kind: str | Sequence[str] = "cont",
                     buckets: int = BUCKETS, cap: int = CAP, out_prefix: str | None = None) -> DataFrame:
     """Exact percentiles of ``value`` per group: one row per group of ``by``
     with one column per q (named ``{out_prefix or value}_q{i}``). ``kind``
-    is 'cont' (interpolated), 'disc' (discrete) or one of them per q.
-    Inputs above ``session.small_input`` take the bounded search below."""
+    is 'cont' (interpolated), 'disc' (discrete) or one of them per q."""
     keys = _keys(by)
-    kinds = [kind] * len(qs) if isinstance(kind, str) else list(kind)
-    prefix = out_prefix or value
-    if small_input(df):
-        # a small input (see session.small_input): Spark's exact percentile
-        # aggregates in one pass; their value maps are bounded by the input
-        aggs = []
-        for i, (q, kd) in enumerate(zip(qs, kinds)):
-            e = (F.percentile(F.col(value).cast("double"), F.lit(float(q))) if kd == "cont" else
-                 F.expr(f"percentile_disc({float(q)!r}) WITHIN GROUP (ORDER BY CAST(`{value}` AS DOUBLE))"))
-            aggs.append(e.alias(f"{prefix}_q{i}"))
-        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*aggs)
     ensure_checkpoint_dir(df.sparkSession)
     src = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -84,11 +81,27 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kin
         src.unpersist()
 
 
+def _finite(v):
+    return ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+
+def _bucket(v, low, high, buckets: int):
+    """Bucket of ``v`` by equal widths between the finite ``low`` and ``high``,
+    which fall into the first and the last one; below and above them those of
+    the infinities and of NaN. Halves keep the widest range from overflowing."""
+    span = high / 2 - low / 2
+    inner = F.when(span > 0, F.floor((v / 2 - low / 2) / span * buckets)).when(v == high, buckets - 1).otherwise(0)
+    return (F.when(F.isnan(v), buckets + 1).when(v == float("inf"), buckets).when(v == float("-inf"), -1)
+            .otherwise(F.least(inner, F.lit(buckets - 1)))).cast("int")
+
+
 def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], kind, buckets: int,
             cap: int, out_prefix: str | None) -> DataFrame:
     kinds = [kind] * len(qs) if isinstance(kind, str) else list(kind)
     stats = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"),
-                                   F.max("__v").alias("__max"))
+                                   F.max("__v").alias("__max"),
+                                   F.min(F.when(_finite(F.col("__v")), F.col("__v"))).alias("__fmin"),
+                                   F.max(F.when(_finite(F.col("__v")), F.col("__v"))).alias("__fmax"))
     # wanted 0-based ranks per group; tid identifies (q index, lower/upper)
     targets = []
     for i, (q, kd) in enumerate(zip(qs, kinds)):
@@ -102,39 +115,40 @@ def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], ki
             raise ValueError(kind)
     tarr = F.array(*[F.struct(F.lit(t).alias("tid"), k.cast("long").alias("k")) for t, k in targets])
     state = stats.select(*keys, "__n", F.explode(tarr).alias("__t"), F.col("__min").alias("lo"),
-                         F.col("__max").alias("hi")).select(
-        *keys, "__n", F.col("__t.tid").alias("tid"), F.col("__t.k").alias("k"), "lo", "hi",
+                         F.col("__max").alias("hi"), F.col("__fmin").alias("flo"), F.col("__fmax").alias("fhi")).select(
+        *keys, "__n", F.col("__t.tid").alias("tid"), F.col("__t.k").alias("k"), "lo", "hi", "flo", "fhi",
         F.lit(0).cast("long").alias("below"), F.col("__n").alias("cnt"),
         F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("found"))
     state = write_through(state, "quantile-state")
-    bcast = state.count() <= BROADCAST_STATE_ROWS
 
     def open_searches(st: DataFrame) -> DataFrame:
         return st.filter(F.col("found").isNull() & (F.col("cnt") > cap))
 
     passes = 0
-    while passes < MAX_PASSES and open_searches(state).limit(1).count() > 0:
+    while open_searches(state).limit(1).count() > 0:
         passes += 1
+        if passes > MAX_PASSES:
+            raise RuntimeError("quantile search makes no progress")
         # searches of a group that share an interval share its histogram, so
         # a row is counted once per interval, not once per wanted rank
-        act = open_searches(state).select(*keys, "lo", "hi").distinct()
-        j = _join(src, act, keys, bcast).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-        width = (F.col("hi") - F.col("lo")) / buckets
-        b = F.least(F.floor((F.col("__v") - F.col("lo")) / width), F.lit(buckets - 1)).cast("int")
+        act = open_searches(state).select(*keys, "lo", "hi", "flo", "fhi").distinct()
+        j = null_safe_join(src, act, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+        b = _bucket(F.col("__v"), F.col("flo"), F.col("fhi"), buckets)
         hist = j.groupBy(*keys, "lo", "hi", b.alias("bucket")).agg(
             F.count(F.lit(1)).alias("c"), F.min("__v").alias("bmin"), F.max("__v").alias("bmax"))
         w = Window.partitionBy(*keys, "lo", "hi").orderBy("bucket")  # <= buckets rows per interval
         hist = hist.withColumn("cum_before", F.sum("c").over(w) - F.col("c"))
         prev = open_searches(state).select(*keys, "tid", "k", "below", "lo", "hi")
-        hit = hist.join(prev, keys + ["lo", "hi"]).filter(
+        hit = null_safe_join(hist, prev, keys + ["lo", "hi"]).filter(
             (F.col("below") + F.col("cum_before") <= F.col("k"))
             & (F.col("k") < F.col("below") + F.col("cum_before") + F.col("c"))).select(
             *keys, "tid", F.col("bmin").alias("n_lo"), F.col("bmax").alias("n_hi"),
             (F.col("below") + F.col("cum_before")).alias("n_below"), F.col("c").alias("n_cnt"))
-        upd = state.join(hit, keys + ["tid"], "left")
+        upd = null_safe_join(state, hit, keys + ["tid"], "left")
         state = upd.select(
             *keys, "__n", "tid", "k",
             F.coalesce("n_lo", "lo").alias("lo"), F.coalesce("n_hi", "hi").alias("hi"),
+            F.coalesce("n_lo", "flo").alias("flo"), F.coalesce("n_hi", "fhi").alias("fhi"),
             F.coalesce("n_below", "below").alias("below"), F.coalesce("n_cnt", "cnt").alias("cnt"),
             F.coalesce("found", F.when(F.col("n_lo") == F.col("n_hi"), F.col("n_lo"))).alias("found"),
         )
@@ -144,11 +158,11 @@ def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], ki
     # interval, and index them for each rank that points into it
     rest = state.filter(F.col("found").isNull())
     iv = rest.select(*keys, "lo", "hi").distinct()
-    j = _join(src, iv, keys, bcast).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+    j = null_safe_join(src, iv, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
     lists = j.groupBy(*keys, "lo", "hi").agg(F.sort_array(F.collect_list("__v")).alias("__vals"))
-    picked = rest.select(*keys, "tid", "k", "below", "lo", "hi").join(lists, keys + ["lo", "hi"]).select(
+    picked = null_safe_join(rest.select(*keys, "tid", "k", "below", "lo", "hi"), lists, keys + ["lo", "hi"]).select(
         *keys, "tid", F.element_at("__vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("__x"))
-    vals = state.join(picked, keys + ["tid"], "left").select(
+    vals = null_safe_join(state, picked, keys + ["tid"], "left").select(
         *keys, "__n", "tid", F.coalesce("found", "__x").alias("__x"))
 
     prefix = out_prefix or value
@@ -161,5 +175,6 @@ def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], ki
             hi = F.max(F.when(F.col("tid") == 2 * i + 1, F.col("__x")))
             h = F.lit(float(q)) * (F.max("__n") - 1)
             frac = h - F.floor(h)
-            aggs.append((lo + (hi - lo) * frac).alias(f"{prefix}_q{i}"))
+            # equal ends first: between two infinities there is no difference
+            aggs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac).alias(f"{prefix}_q{i}"))
     return write_through(vals.groupBy(*keys).agg(*aggs), "quantiles")

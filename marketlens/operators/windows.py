@@ -68,8 +68,8 @@ def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[st
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
     order = [ts, *ties]
-    from ..session import small_input, write_through
-    if not skew_safe or small_input(df):
+    from ..session import write_through
+    if not skew_safe:
         prev = F.lag(ts).over(Window.partitionBy(key).orderBy(*order))
         return df.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
     spark = df.sparkSession
@@ -83,7 +83,7 @@ def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[st
         "__pid", F.lag("__last").over(Window.orderBy("__pid")).alias("__plast")).select(
         "__pid", F.col("__plast")[key].alias("__pkey"), F.col("__plast")[ts].alias("__pts"))
     j = ranged.withColumn("__prev", local_prev).join(F.broadcast(bounds), "__pid", "left")
-    prev = F.when(F.col("__prev").isNull() & (F.col(key) == F.col("__pkey")), F.col("__pts")) \
+    prev = F.when(F.col("__prev").isNull() & F.col(key).eqNullSafe(F.col("__pkey")), F.col("__pts")) \
         .otherwise(F.col("__prev"))
     res = j.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
     return res.select(*df.columns, out)

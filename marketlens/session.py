@@ -101,26 +101,3 @@ def write_through(df: DataFrame, tag: str = "tmp") -> DataFrame:
     path = f"{base}/marketlens-tmp/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-# Inputs whose scanned files total at most this many bytes take the
-# single-aggregate / single-window paths (a whole group of such an input fits
-# in one task); larger inputs take the bounded, skew-safe paths.
-SMALL_INPUT_CONF = "marketlens.smallInputBytes"
-SMALL_INPUT_DEFAULT = 128 * 1024 * 1024
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Upper bound of the bytes ``df`` reads: the sum of the size statistics
-    of the leaves of its optimized plan (file sizes for parquet scans)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        size = leaves.apply(i).stats().sizeInBytes()
-        total += size if isinstance(size, int) else int(size.toString())
-    return total
-
-
-def small_input(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT_CONF, str(SMALL_INPUT_DEFAULT)))
-    return scanned_bytes(df) <= limit

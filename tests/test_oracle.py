@@ -36,27 +36,6 @@ def test_query_matches_oracle(spark, con, name):
     assert s_rows == d_rows
 
 
-BOUNDED = ["tickets_clean", "listing_activity", "listing_seasonality", "iqr_outliers", "purchase_stats",
-           "event_value_describe", "event_value_boxplot", "order_gap", "cleaning_audit", "seats_by_category",
-           "reading_city_stats", "yearly_rounds", "large_venues"]
-
-
-@pytest.mark.parametrize("name", BOUNDED)
-def test_bounded_paths_match_oracle(spark, con, name):
-    """The same queries with the large-input paths forced (histogram-refined
-    exact percentiles, range-partitioned lag) still equal the oracle."""
-    import marketlens.session as session
-    session._SHARED.clear()
-    spark.conf.set(session.SMALL_INPUT_CONF, "0")
-    try:
-        s_cols, s_rows = rows_of(queries()[name](spark, SF).toPandas())
-    finally:
-        spark.conf.unset(session.SMALL_INPUT_CONF)
-        session._SHARED.clear()
-    d_cols, d_rows = rows_of(con.execute(oracle_sql()[name]).fetchdf())
-    assert s_cols == d_cols and s_rows == d_rows
-
-
 @pytest.mark.parametrize("name", ["funding_clean", "dau", "retention_monthly", "listing_seasonality",
                                   "sessions_daily", "tickets_clean"])
 def test_results_do_not_depend_on_session_time_zone(spark, con, name):
