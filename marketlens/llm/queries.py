@@ -68,10 +68,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_BPE)
-    ids = spm.spm_encode(read_table(spark, sf_dir, "documents"), path)
-    back = spm.spm_decode(ids, path, ["id", "ids"])
-    return back.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids",
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = spm.spm_encode(read_table(spark, sf_dir, "documents"), path, decode=True)
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids",
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

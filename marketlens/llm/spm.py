@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import ChunkCache
+from .bpe import LONG, ChunkCache
 from .common import map_texts, quoted
 
 SPACE = "▁"
 WINDOW = 1 << 18  # positions indexed at once
+KNOWN = 200_000  # words, word parts and pairs of tokens a worker remembers of each kind
 _END = 0x110000  # stands between words; no code point
 _BITS = 22  # a token in a pair: a piece's id, or _CHAR + code point of a character without a piece
 _CHAR = 1 << 21
@@ -51,6 +52,8 @@ class SuffixEncoder:
         self.unknown = sp.unk_id()
         self.text = {i: p for p, i in self.ids.items()}
         self.fits: dict[int, bool] = {}
+        # neighbours that some piece holds; between others no merge ever crosses
+        self.joined = {x for p in self.ids for x in zip(p, p[1:])}
         # pieces as rows of code points, in the order of their strings
         order = sorted(self.ids)
         self.longest = max(map(len, order))
@@ -92,7 +95,7 @@ class SuffixEncoder:
             else:
                 a = self._string(u)
                 got = self.fit(-1, t) and self.merge(a + b) == [a, b]
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 2 * KNOWN:
                 self.fits.clear()
             self.fits[key] = got
         return got
@@ -142,6 +145,12 @@ class SuffixEncoder:
         order = np.argsort(start, kind="stable")
         return start[order], length[order], token[order]
 
+    def parts(self, word: str) -> list[str]:
+        """The word cut wherever no piece holds the two characters: the parts
+        encode independently and recur more often than words."""
+        cuts = [i for i, x in enumerate(zip(word, word[1:]), 1) if x not in self.joined]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (spaces already as U+2581)."""
         joined = "".join(w + "\x00" for w in words)
@@ -155,16 +164,18 @@ class SuffixEncoder:
         fits, fit = self.fits, self.fit
         for at in range(0, total, WINDOW):
             n = min(WINDOW, total - at)
-            for s, size, t in zip(*(x.tolist() for x in self._edges(cp[at:at + n + self.longest], n))):
-                s += at
-                u = last[s]
-                if u is None:
-                    continue
-                ok = fits.get((u << _BITS) | t)
-                if ok is None:
-                    ok = fit(u, t)
-                if ok:
-                    last[s + size], back[s + size] = t, s
+            edges = self._edges(cp[at:at + n + self.longest], n)
+            for k in range(0, len(edges[0]), 1 << 16):
+                for s, size, t in zip(*(x[k:k + (1 << 16)].tolist() for x in edges)):
+                    s += at
+                    u = last[s]
+                    if u is None:
+                        continue
+                    ok = fits.get((u << _BITS) | t)
+                    if ok is None:
+                        ok = fit(u, t)
+                    if ok:
+                        last[s + size], back[s + size] = t, s
         out, begin = [], 0
         for e in ends.tolist():
             ids: list[int] = []
@@ -219,11 +230,21 @@ def encoder(path: str) -> SuffixEncoder:
 @lru_cache(maxsize=2)
 def word_cache(path: str) -> ChunkCache:
     enc = encoder(path)
+    known: dict[str, bytes] = {}
 
     def make(words: list[str]) -> list[bytes]:
         # ChunkCache puts one space before each word
-        return [np.array(x, "<i4").tobytes() for x in enc.encode_words([SPACE + w[1:] for w in words])]
-    return ChunkCache(make)
+        cut = [enc.parts(SPACE + w[1:]) for w in words]
+        if len(known) > KNOWN:
+            known.clear()
+        new = list({p for c in cut for p in c}.difference(known))
+        known.update(zip(new, (np.array(x, "<i4").tobytes() for x in enc.encode_words(new))))
+        out = [b"".join([known[p] for p in c]) for c in cut]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+        return out
+    return ChunkCache(make, KNOWN)
 
 
 def encode_batch(texts: list, path: str) -> list[bytes]:
@@ -247,20 +268,23 @@ def _as_lists(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
 
 
-def spm_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every row: the encoding of the whole text.
+def spm_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(id, ids array<int>) of every row: the encoding of the whole text; with
+    ``decode`` also ``decoded``, the text that the ids give back.
 
     Null and empty texts have no ids; repeated rows are each encoded; an empty
     table gives an empty result; other columns are ignored. No shuffle.
     """
     def compute(texts: list) -> dict:
-        raw: list[bytes] = []
-        for at in range(0, len(texts), 1000):
-            raw += encode_batch(texts[at:at + 1000], path)
-        return {"ids": _as_lists(raw)}
+        raw = encode_batch(texts, path)
+        out = {"ids": _as_lists(raw)}
+        if decode:
+            out["decoded"] = pa.array([encoder(path).decode(np.frombuffer(r, "<i4")) for r in raw], pa.string())
+        return out
 
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    return map_texts(rows, ["id"], compute, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return map_texts(rows, ["id"], compute, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>"
+                     + ", decoded string" * decode)
 
 
 def spm_decode(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
@@ -271,10 +295,7 @@ def spm_decode(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            ids = b.column("ids")
-            flat = np.asarray(ids.values)
-            at = np.asarray(ids.offsets)
-            texts = [enc.decode(flat[x:y]) for x, y in zip(at[:-1], at[1:])]
+            texts = [enc.decode(np.array(x, np.int64)) if x else "" for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     return encoded.mapInArrow(run, f"{schema}, decoded string")
