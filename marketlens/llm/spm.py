@@ -22,7 +22,7 @@ from .common import map_texts, quoted
 
 SPACE = "▁"
 WINDOW = 1 << 18  # positions indexed at once
-KNOWN = 200_000  # words, word parts and pairs of tokens a worker remembers of each kind
+KNOWN = 450_000  # words, word parts and pairs of tokens a worker remembers of each kind
 _END = 0x110000  # stands between words; no code point
 _BITS = 22  # a token in a pair: a piece's id, or _CHAR + code point of a character without a piece
 _CHAR = 1 << 21
