@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import numeric_round, safe_div
 from ..functions.stats import (Z_ALPHA_TWO_SIDED_05, Z_POWER_80, arcsine_effect, normal_cdf,
                                t_sf)
+from .quantiles import null_safe_join
 
 
 def group_balance(df: DataFrame, group: str, user: str) -> DataFrame:
@@ -143,23 +144,27 @@ def sample_size(base_rate: Column, effect: Column, relative: bool = True,
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:
-    """Equal-width bins between min and max; the last bin is closed on the
-    right (numpy). Bounds come from a one-row aggregate; counts are a
-    partial aggregate by bin index."""
+    """Equal-width bins between min and max, empty ones included (count
+    0); the last bin is closed on the right (numpy). Bounds come from a one-row
+    aggregate; counts are a partial aggregate by bin index."""
     keys = [by] if by else []
     src = df.filter(F.col(value).isNotNull())
     rng = src.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    if not keys:
+        rng = rng.filter(F.col("__lo").isNotNull())
     # one range row per group: broadcast only the single global row; per-group
     # ranges grow with the number of groups and are left to AQE
-    j = src.join(rng, keys, "inner") if keys else src.crossJoin(F.broadcast(rng))
+    j = null_safe_join(src, rng, keys) if keys else src.crossJoin(F.broadcast(rng))
     width = (F.col("__hi") - F.col("__lo")) / bins
     idx = F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(bins - 1))).cast("int")
-    counts = j.groupBy(*keys, idx.alias("bin"), "__lo", "__hi").agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(*keys, "bin", (F.col("__lo") + F.col("bin") * (F.col("__hi") - F.col("__lo")) / bins)
-                         .alias("bin_left"),
-                         (F.col("__lo") + (F.col("bin") + 1) * (F.col("__hi") - F.col("__lo")) / bins)
-                         .alias("bin_right"), "count")
+    counts = j.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    every = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = null_safe_join(every, counts, [*keys, "bin"], "left")
+    return out.select(*keys, "bin", (F.col("__lo") + F.col("bin") * (F.col("__hi") - F.col("__lo")) / bins)
+                      .alias("bin_left"),
+                      (F.col("__lo") + (F.col("bin") + 1) * (F.col("__hi") - F.col("__lo")) / bins)
+                      .alias("bin_right"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def boxplot_stats(df: DataFrame, value: str, by: str | None = None, whisker: float = 1.5,
@@ -211,11 +216,12 @@ def chi_square_association(df: DataFrame, target: str, attrs: Sequence[str]) ->
     all_tot = cells.groupBy("attr").agg(F.sum("n").alias("n_all"),
                                         F.count_distinct("__t").alias("k_t"),
                                         F.count_distinct("val").alias("k_v"))
-    # expected counts need every (t, v) pair, observed or not
-    grid = row_tot.join(col_tot, "attr").join(all_tot, "attr")
-    full = grid.join(cells, ["attr", "__t", "val"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    exp = F.col("n_t") * F.col("n_v") / F.col("n_all")
-    chi = full.groupBy("attr", "n_all", "k_t", "k_v").agg(F.sum((F.col("n") - exp) ** 2 / exp).alias("chi2"))
+    # sum((o - e)^2 / e) over all cells = n * (sum(o^2 / (r * c)) - 1), and cells
+    # that were not observed add nothing to the right side: no grid of all pairs
+    seen = cells.join(row_tot, ["attr", "__t"]).join(col_tot, ["attr", "val"])
+    part = seen.groupBy("attr").agg(F.sum(F.col("n") * F.col("n").cast("double") / (
+        F.col("n_t").cast("double") * F.col("n_v"))).alias("__s"))
+    chi = part.join(all_tot, "attr").withColumn("chi2", F.greatest(F.col("n_all") * (F.col("__s") - 1), F.lit(0.0)))
     v = F.sqrt(safe_div("chi2", F.col("n_all") * (F.least("k_t", "k_v") - 1)))
     return chi.select("attr", "n_all", numeric_round("chi2", 6).alias("chi2"),
                       numeric_round(v, 6).alias("cramers_v")).orderBy(F.desc("cramers_v"), "attr")

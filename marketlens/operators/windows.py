@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 
 def count_over_partition_distinct(df: DataFrame, part: str, counted: str, out: str) -> DataFrame:
-    """``SELECT DISTINCT k, COUNT(x) OVER (PARTITION BY k)``, kept for
-    parity with the source; ``groupBy(k).agg(count(x))`` gives the same rows
-    and is what the plans use by default."""
-    w = Window.partitionBy(part)
-    return df.select(part, F.count(counted).over(w).alias(out)).distinct()
+    """``SELECT DISTINCT k, COUNT(x) OVER (PARTITION BY k)``: one count per
+    key, combined map-side, instead of a window over the raw rows that would
+    put a whole key in one task."""
+    return df.groupBy(part).agg(F.count(counted).alias(out))
 
 
 def share_within(df: DataFrame, value: str, part: Sequence[str], out: str) -> DataFrame:

@@ -11,7 +11,6 @@ from ..operators.aggregates import describe, value_counts, with_exact_quantiles
 from ..operators.clean import contains_all, dedupe_keep_first, fill_nulls, lower_columns
 from ..operators.experiments import chi_square_association
 from ..operators.outliers import rows_at_or_above_percentile
-from ..operators.phik import phik_association
 from ..operators.quantiles import exact_quantiles
 from ..session import shared_table
 from ..sources import standins as S
@@ -131,32 +130,25 @@ def top_chains_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_chains(spark, sf_dir).groupBy("category").agg(F.count("name").alias("chains"))
 
 
-def _binned_venues(spark: SparkSession, sf_dir: str, bins: int) -> DataFrame:
-    v = venues_clean(spark, sf_dir)
-    rng = v.agg(F.min("seats").alias("lo"), F.max("seats").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    seat_bin = F.when(F.col("seats").isNull(), F.lit(None).cast("int")).otherwise(
-        F.least(F.floor((F.col("seats") - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
-    return v.crossJoin(F.broadcast(rng)).withColumn("seats_bin", seat_bin)
+def _equal_width(value: str, lo: str, hi: str, bins: int):
+    """Bin of a value between lo and hi, the last one closed; one bin if they are equal."""
+    inner = F.floor((F.col(value) - F.col(lo)) / ((F.col(hi) - F.col(lo)) / bins))
+    return F.when(F.col(value).isNull(), F.lit(None).cast("int")).when(F.col(hi) == F.col(lo), F.lit(0)).otherwise(
+        F.least(inner, F.lit(bins - 1)).cast("int"))
 
 
-def association_phik(spark: SparkSession, sf_dir: str, bins: int = 10) -> DataFrame:
-    """phi_K of the rating with category, district, chain, seats (10
-    equal-width bins), price and the 24/7 flag (``phik_matrix`` column of the
-    rating), highest first."""
-    b = _binned_venues(spark, sf_dir, bins)
-    return phik_association(b, "rating", ["category", "district", "chain", "seats_bin", "price", "is_24_7"])
+def _binned_venues(spark: SparkSession, sf_dir: str, bins: int) -> DataFrame:
+    """Venues with rating_bin and seats_bin, both cut into equal-width bins."""
+    v = venues_clean(spark, sf_dir)
+    rng = v.agg(*[f(c).alias(f"{c}_{n}") for c in ("rating", "seats") for n, f in (("lo", F.min), ("hi", F.max))])
+    return v.crossJoin(F.broadcast(rng)).withColumns(
+        {f"{c}_bin": _equal_width(c, f"{c}_lo", f"{c}_hi", bins) for c in ("rating", "seats")})
 
 
 def association_table(spark: SparkSession, sf_dir: str, bins: int = 10) -> DataFrame:
     """Association of the rating with category, district, chain, seats,
     price and the 24/7 flag: chi-square and Cramer's V per attribute. The
-    interval column (seats) is cut into 10 equal-width bins (N29), NULL pairs
-    are dropped."""
-    v = venues_clean(spark, sf_dir)
-    rng = v.agg(F.min("seats").alias("lo"), F.max("seats").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    seat_bin = F.when(F.col("seats").isNull(), F.lit(None).cast("int")).otherwise(
-        F.least(F.floor((F.col("seats") - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
-    b = v.crossJoin(F.broadcast(rng)).withColumn("seats_bin", seat_bin)
-    return chi_square_association(b, "rating", ["category", "district", "chain", "seats_bin", "price", "is_24_7"])
+    interval columns (rating, seats) are cut into 10 equal-width bins (N29),
+    NULL pairs are dropped."""
+    b = _binned_venues(spark, sf_dir, bins)
+    return chi_square_association(b, "rating_bin", ["category", "district", "chain", "seats_bin", "price", "is_24_7"])

@@ -796,9 +796,9 @@ WITH r AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events WHERE value IS
 b AS (SELECT CASE WHEN hi = lo THEN 0
                   ELSE CAST(least(floor((value - lo) / ((hi - lo) / 20)), 19) AS BIGINT) END AS bin, lo, hi
       FROM events, r WHERE value IS NOT NULL)
-SELECT bin, {R('lo + bin * (hi - lo) / 20', 6)} AS bin_left, {R('lo + (bin + 1) * (hi - lo) / 20', 6)} AS bin_right,
-       COUNT(*) AS count
-FROM b GROUP BY bin, lo, hi"""
+SELECT g.bin, {R('lo + g.bin * (hi - lo) / 20', 6)} AS bin_left, {R('lo + (g.bin + 1) * (hi - lo) / 20', 6)} AS bin_right,
+       (SELECT COUNT(*) FROM b WHERE b.bin = g.bin) AS count
+FROM r, (SELECT unnest(range(20)) AS bin) g"""
 
 SQL["event_value_boxplot"] = f"""
 WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,

@@ -63,7 +63,6 @@ def all_queries() -> dict[str, QueryFn]:
         "top_chains": catering.top_chains,
         "top_chains_categories": catering.top_chains_categories,
         "association_table": catering.association_table,
-        "association_phik": catering.association_phik,
         "games_clean": games.games_clean,
         "score_bins": games.score_bins,
         "top_platforms": games.top_platforms,

@@ -113,7 +113,7 @@ def test_numeric_round_half_up_on_decimal_value(spark):
 def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, 4, 10)], "v double")
     h = {r.bin: r["count"] for r in histogram(df, "v", 5).collect()}
-    assert h == {0: 2, 1: 2, 2: 1, 4: 1}  # the maximum 10 falls in the last bin
+    assert h == {0: 2, 1: 2, 2: 1, 3: 0, 4: 1}
 
 
 def test_iqr_flag_per_group(spark):
@@ -207,17 +207,24 @@ def test_days_since_previous_hot_key_across_ranges(spark):
     assert a == b
 
 
-def test_phik_recovers_correlation_of_binned_normals(spark):
+def test_chi_square_of_observed_cells_equals_the_definition(spark):
     import numpy as np
 
-    from marketlens.operators.phik import phik_association
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal(20000)
-    y = 0.6 * x + 0.8 * rng.standard_normal(20000)
-    z = rng.standard_normal(20000)
-    rows = list(zip(np.digitize(x, [-1, 0, 1]).tolist(), np.digitize(y, [-1.5, -0.5, 0.5, 1.5]).tolist(),
-                    np.digitize(z, [0]).tolist()))
-    df = spark.createDataFrame(rows, "t int, a int, b int")
-    got = {r.attr: r.phik for r in phik_association(df, "t", ["a", "b"]).collect()}
-    assert abs(got["a"] - 0.6) < 0.03
-    assert got["b"] < 0.05
+    from marketlens.operators.experiments import chi_square_association
+    r = np.random.default_rng(0)
+    x = r.integers(0, 4, 500)
+    y = (x + r.integers(0, 3, 500)) % 5
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), [1] * 500)), "t int, a int, one int")
+    got = {k.attr: k for k in chi_square_association(df, "t", ["a", "one"]).collect()}
+    o = np.zeros((4, 5))
+    np.add.at(o, (x, y), 1)
+    e = o.sum(1, keepdims=True) * o.sum(0) / 500
+    assert abs(float(got["a"].chi2) - ((o - e) ** 2 / e).sum()) < 1e-5
+    assert float(got["one"].chi2) == 0
+
+
+def test_histogram_keeps_empty_bins(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 10.0), (None, 1.0)], "g string, v double")
+    assert [x["count"] for x in histogram(df.where("g = 'a'"), "v", 10).orderBy("bin").collect()] == [1] + [0] * 8 + [1]
+    by = histogram(df, "v", 4, by="g").collect()
+    assert len(by) == 8 and sum(x["count"] for x in by if x["g"] is None) == 1
