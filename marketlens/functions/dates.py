@@ -50,6 +50,3 @@ def month_after_days(ts, days) -> Column:
     """``EXTRACT(MONTH FROM ts + INTERVAL '1 day' * n)``; NULL n gives NULL."""
     return F.month(F.date_add(F.to_date(col_(ts)), col_(days).cast("int")))
 
-
-def days_between(later, earlier) -> Column:
-    return F.datediff(F.to_date(col_(later)), F.to_date(col_(earlier)))

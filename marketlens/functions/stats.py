@@ -19,9 +19,6 @@ from .numeric import col_
 # 40 standard deviations of the transformed density.
 SIMPSON_STEPS = 2000
 T_TRUNCATION = 40.0
-# Two-sided alpha = 0.05 and power = 0.8 normal quantiles.
-Z_ALPHA_TWO_SIDED_05 = 1.959964
-Z_POWER_80 = 0.841621
 
 
 def _simpson(upper: Column, integrand) -> Column:

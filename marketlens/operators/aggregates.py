@@ -45,7 +45,8 @@ def with_exact_quantiles(agg: DataFrame, df: DataFrame, value: str, qs, by, name
                          kind: str = "cont") -> DataFrame:
     """Attach exact percentiles of ``value`` (one column per name) to an
     aggregate ``agg`` keyed by ``by``; groups without values get NULL."""
-    from .quantiles import exact_quantiles, null_safe_join
+    from .joins import null_safe_join
+    from .quantiles import exact_quantiles
     keys = _keys(by)
     q = exact_quantiles(df, value, list(qs), by=keys, kind=kind, out_prefix="__wq").select(
         *keys, *[F.col(f"__wq_q{i}").alias(n) for i, n in enumerate(names)])
@@ -64,33 +65,8 @@ def discrete_percentile(df: DataFrame, value: str, q: float, by=None,
     return res.select(*keys, F.col("__d_q0").alias(out or value))
 
 
-def continuous_percentile(df: DataFrame, value: str, q: float, by=None,
-                          accuracy: int | None = None, out: str | None = None) -> DataFrame:
-    """A10: ``quantile(q)`` / ``PERCENTILE_CONT`` per group (linear interpolation)."""
-    keys = _keys(by)
-    return df.groupBy(*keys).agg(percentile_expr(value, q, "cont", accuracy).alias(out or value))
-
-
 # ------------------------------------------------------------- grouped summaries
 
-def grouped_stats(df: DataFrame, by, specs: dict[str, tuple[str, str]]) -> DataFrame:
-    """A1/A2: named aggregations ``{out: (column, fn)}`` with fn in
-    count, nunique, sum, mean, min, max, std, median, size."""
-    fns = {
-        "count": lambda c: F.count(c),
-        "nunique": lambda c: F.count_distinct(c),
-        "sum": lambda c: F.sum(c),
-        "mean": lambda c: F.avg(c),
-        "min": lambda c: F.min(c),
-        "max": lambda c: F.max(c),
-        "std": lambda c: F.stddev_samp(c),
-        "median": lambda c: F.percentile(c, F.lit(0.5)),  # small groups; see with_exact_quantiles
-        "size": lambda c: F.count(F.lit(1)),
-    }
-    aggs = [fns[fn](c).alias(out) for out, (c, fn) in specs.items()]
-    return df.groupBy(*_keys(by)).agg(*aggs)
-
-
 def describe(df: DataFrame, value: str, by=None, accuracy: int | None = None) -> DataFrame:
     """A4/A5: count, mean, std, min, 25%, 50%, 75%, max (pandas ``describe``),
     per group when ``by`` is given (NULL group keys dropped, as pandas does)."""
@@ -131,24 +107,13 @@ def value_counts(df: DataFrame, cols: str | Sequence[str], normalize: bool = Fal
         *keys, out, (F.col(out) * 100.0 / F.col("__total")).alias("percent"))
 
 
-def sorted_distinct(df: DataFrame, c: str) -> DataFrame:
-    """Distinct values in order (NULL dropped)."""
-    return df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c)
-
-
-def share_of_total(df: DataFrame, value: str, out: str, scale: float = 100.0) -> DataFrame:
-    """Value / global total * scale on an aggregated frame."""
-    total = df.agg(F.sum(value).alias("__total"))
-    return df.crossJoin(F.broadcast(total)).withColumn(out, F.col(value) * scale / F.col("__total")).drop("__total")
-
-
-def first_to_last_change(df: DataFrame, order_col: str, value: str) -> DataFrame:
-    """Percent change from the value at the first to the value at the last
-    ``order_col`` (``iloc[0]`` / ``iloc[-1]`` of a sorted series)."""
-    return df.agg(F.min_by(value, order_col).alias("first_value"),
-                  F.max_by(value, order_col).alias("last_value")).select(
-        "first_value", "last_value",
-        (safe_div(F.col("last_value") - F.col("first_value"), "first_value") * 100).alias("change_pct"))
+def sorted_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct values of each column in order, in long form (NULL
+    dropped); one pass over the rows for all columns."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                for c in cols]))
+    return df.select(pairs.alias("__p")).select("__p.*").filter(F.col("value").isNotNull()) \
+        .distinct().orderBy("column", "value")
 
 
 def pivot_sum(df: DataFrame, index: str | Sequence[str], columns: str, values: str,
@@ -159,12 +124,6 @@ def pivot_sum(df: DataFrame, index: str | Sequence[str], columns: str, values: s
               .na.fill(fill, subset=[str(v) for v in column_values]))
 
 
-def pivot_counts(df: DataFrame, index: str, columns: str, column_values: Sequence) -> DataFrame:
-    """``groupby([a, b]).size().unstack(fill_value=0)``."""
-    return (df.groupBy(index).pivot(columns, list(column_values)).agg(F.count(F.lit(1)))
-              .na.fill(0, subset=[str(v) for v in column_values]))
-
-
 def measure_totals(df: DataFrame, measures: Sequence[str], name_col: str = "measure",
                    value_col: str = "total") -> DataFrame:
     """Sum of each measure column, in long form (one row per measure)."""
@@ -172,23 +131,14 @@ def measure_totals(df: DataFrame, measures: Sequence[str], name_col: str = "meas
     return wide.unpivot([], list(measures), name_col, value_col)
 
 
-def positive_counts(df: DataFrame, measures: Sequence[str], name_col: str = "measure",
-                    value_col: str = "n_positive") -> DataFrame:
-    """Number of rows with a positive value, per measure column."""
-    wide = df.agg(*[F.count_if(F.col(m) > 0).alias(m) for m in measures])
-    return wide.unpivot([], list(measures), name_col, value_col)
-
-
-def first_by_time(df: DataFrame, key: str, order_col: str, cols: Sequence[str]) -> DataFrame:
-    """Per key, the values of ``cols`` on its earliest row (deterministic
-    ``first``): ``min_by`` is a partial aggregate, safe for a hot key."""
-    return df.groupBy(key).agg(*[F.min_by(c, F.struct(order_col, c)).alias(c) for c in cols])
-
-
-def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """K3: ``sort_values(desc).head(k)``; planned as TakeOrderedAndProject
-    (per-partition top-k, then a k-row merge)."""
-    return df.orderBy(*order).limit(k)
+def totals_and_positive_counts(df: DataFrame, measures: Sequence[str], name_col: str, total_col: str,
+                               count_col: str) -> DataFrame:
+    """Per measure column its sum and the number of rows with a
+    positive value, in long form, from one aggregate over the rows."""
+    pairs = df.agg(*[F.struct(F.lit(m).alias(name_col), F.sum(m).alias(total_col),
+                              F.count_if(F.col(m) > 0).alias(count_col)).alias(f"__{i}")
+                     for i, m in enumerate(measures)])
+    return pairs.select(F.explode(F.array(*[f"__{i}" for i in range(len(measures))])).alias("__m")).select("__m.*")
 
 
 def ratio_capped(num, den, cap: float | None = None) -> Column:

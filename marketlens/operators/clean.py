@@ -8,11 +8,14 @@ all rows is combined map-side instead of landing in one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import col_
+from .joins import null_safe_join
 
 
 def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -20,11 +23,6 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping))
 
 
-def replace_header(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Replace the whole header."""
-    return df.toDF(*names)
-
-
 def normalize_headers(df: DataFrame) -> DataFrame:
     """Trim + lower-case every column name."""
     return df.toDF(*[c.strip().lower() for c in df.columns])
@@ -36,9 +34,9 @@ def lower_columns(df: DataFrame, cols: Sequence[str], upper: bool = False) -> Da
     return df.withColumns({c: fn(F.col(c)) for c in cols})
 
 
-def replace_text(df: DataFrame, col: str, old: str, new: str) -> DataFrame:
+def replace_text(c, old: str, new: str) -> Column:
     """P5: literal substring replace."""
-    return df.withColumn(col, F.replace(F.col(col), F.lit(old), F.lit(new)))
+    return F.replace(col_(c), F.lit(old), F.lit(new))
 
 
 def recode(df: DataFrame, col: str, mapping: Mapping) -> DataFrame:
@@ -92,11 +90,6 @@ def contains_all(c, words: Sequence[str]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def drop_null_keys(df: DataFrame, subset: Sequence[str]) -> DataFrame:
-    """``dropna(subset=..)``."""
-    return df.na.drop(subset=list(subset))
-
-
 def drop_full_duplicates(df: DataFrame) -> DataFrame:
     """Q9: ``drop_duplicates()`` (hash aggregate on all columns, partial)."""
     return df.distinct()
@@ -104,13 +97,34 @@ def drop_full_duplicates(df: DataFrame) -> DataFrame:
 
 def dedupe_keep_first(df: DataFrame, subset: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Q10: ``drop_duplicates(subset, keep='first')`` with "first" made
-    deterministic: the row with the smallest ``order_by`` values (then the
-    remaining columns) is kept. Implemented as ``min(struct(...))`` per key,
-    a partial aggregate: duplicates collapse map-side, so a hot key never
-    gathers its rows in one task the way a row_number window would."""
+    deterministic: of the rows of a key, the one with the smallest ``order_by``
+    values stays; ties go to the smallest hash of the other columns, equal
+    rows to one of them. NULL keys form a key, NULL order values come last.
+
+    Each step is a minimum per key over one fixed-width value, which Spark
+    combines map-side in a hash aggregate, and a semi join with it; a minimum
+    over a struct or a text would sort all rows first. The wide columns are
+    only moved by the join, so drop those not needed before the call.
+    """
     keys = list(subset)
-    rest = [c for c in df.columns if c not in keys]
-    ordered = list(order_by) + [c for c in rest if c not in order_by]
-    packed = F.min(F.struct(*[F.col(c).alias(f"__{i}") for i, c in enumerate(ordered)])).alias("__first")
-    agg = df.groupBy(*keys).agg(packed)
-    return agg.select(*keys, *[F.col(f"__first.__{i}").alias(c) for i, c in enumerate(ordered)]).select(*df.columns)
+    *leading, last = order_by
+    rest = [c for c in df.columns if c not in keys and c not in order_by]
+    kept = df
+    for c in leading:
+        kept = _keep_smallest(kept, keys, F.col(c))
+    if isinstance(df.schema[last].dataType, T.IntegralType):
+        # order value and tie-break share one 38-digit number: one step
+        tie = F.xxhash64(*rest).bitwiseAND(F.lit(0xFFFFFFFF)) if rest else F.lit(0)
+        rank = F.coalesce(F.col(last), F.lit(2 ** 63 - 1)).cast("decimal(20,0)") * F.lit(Decimal(2 ** 32)) + tie
+        kept = _keep_smallest(kept, keys, rank.cast("decimal(38,0)"))
+    else:
+        kept = _keep_smallest(kept, keys, F.col(last))
+        kept = _keep_smallest(kept, keys, F.xxhash64(*rest)) if rest else kept
+    return kept.distinct()
+
+
+def _keep_smallest(df: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:
+    """Rows whose rank is the smallest of their key (all rows of a key without ranks)."""
+    ranked = df.withColumn("__rank", rank)
+    best = ranked.groupBy(*keys).agg(F.min("__rank").alias("__rank"))
+    return null_safe_join(ranked, best, [*keys, "__rank"], "left_semi").drop("__rank")

@@ -10,14 +10,15 @@ driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_round, safe_div
-from ..functions.stats import (Z_ALPHA_TWO_SIDED_05, Z_POWER_80, arcsine_effect, normal_cdf,
-                               t_sf)
-from .quantiles import null_safe_join
+from ..functions.stats import arcsine_effect, normal_cdf, t_sf
+from .clean import dedupe_keep_first
+from .joins import null_safe_join
 
 
 def group_balance(df: DataFrame, group: str, user: str) -> DataFrame:
@@ -48,9 +49,8 @@ def overlap_summary(df: DataFrame, group: str, user: str, a, b) -> DataFrame:
 def attribute_balance(df: DataFrame, user: str, group: str, attr: str, order_col: str) -> DataFrame:
     """Each user's first attribute value (A33, by time), then the percent of
     users per attribute value inside each group."""
-    first = df.groupBy(user).agg(F.min_by(F.struct(group, attr), F.struct(order_col, group, attr)).alias("__f"))
-    per = first.select(F.col("__f")[group].alias(group), F.col("__f")[attr].alias(attr)) \
-        .groupBy(group, attr).agg(F.count(F.lit(1)).alias("users"))
+    first = dedupe_keep_first(df.select(user, group, attr, order_col), [user], [order_col])
+    per = first.groupBy(group, attr).agg(F.count(F.lit(1)).alias("users"))
     tot = per.groupBy(group).agg(F.sum("users").alias("__t"))
     return per.join(tot, group).select(group, attr, "users",
                                        numeric_round(F.col("users") * 100.0 / F.col("__t"), 4).alias("users_pct"))
@@ -134,13 +134,15 @@ def welch_test(df: DataFrame, group: str, value: str, a, b, alternative: str = "
 
 
 def sample_size(base_rate: Column, effect: Column, relative: bool = True,
-                z_alpha: float = Z_ALPHA_TWO_SIDED_05, z_power: float = Z_POWER_80) -> Column:
+                alpha: float = 0.05, power: float = 0.8) -> Column:
     """X11: users per group to detect ``effect`` on a proportion (arcsine effect
-    size, two-sided alpha, equal groups): 2 * ((z_a + z_b) / h)^2. With
-    ``relative`` the effect is a share of the base rate (N15)."""
+    size, two-sided ``alpha``, equal groups): 2 * ((z_a + z_b) / h)^2 with the
+    normal quantiles of 1 - alpha / 2 and of the power. With ``relative`` the
+    effect is a share of the base rate (N15)."""
+    z = NormalDist().inv_cdf
     target = base_rate * (1 + effect) if relative else base_rate + effect
     h = arcsine_effect(target, base_rate)
-    return 2 * ((F.lit(z_alpha) + F.lit(z_power)) / h) ** 2
+    return 2 * (F.lit(z(1 - alpha / 2) + z(power)) / h) ** 2
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: str | None = None) -> DataFrame:

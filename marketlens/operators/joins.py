@@ -1,8 +1,9 @@
-"""Join operators.
+"""Join operators (J1-J11) that are more than one ``join`` call.
 
-Dimension tables whose size is fixed (nation, region, one-row aggregates)
-are broadcast explicitly. Every other join is left to AQE, which converts it
-to a broadcast hash join only when the measured shuffle output is under
+Plain equi-joins, semi and anti joins are written in the plans. Dimension
+tables whose size is fixed (nation, one-row aggregates) are broadcast
+explicitly; every other join is left to AQE, which converts it to a broadcast
+hash join only when the measured shuffle output is under
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and splits skewed
 partitions of a sort-merge join otherwise.
 """
@@ -15,38 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def equi_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner",
-              small_fixed_right: bool = False) -> DataFrame:
-    """``USING`` join; ``small_fixed_right`` marks a dimension of fixed size."""
-    r = F.broadcast(right) if small_fixed_right else right
-    return left.join(r, on=list(on) if not isinstance(on, str) else on, how=how)
-
-
-def join_on_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                 how: str = "left") -> DataFrame:
-    """Join on differently named keys; the right key column is dropped."""
-    return left.join(right, left[left_key] == right[right_key], how).drop(right[right_key])
-
-
-def full_outer_on(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None,
-                  keep_raw: bool = False) -> DataFrame:
-    """Full outer join of two aggregates; the key is coalesced.
-    ``keep_raw`` also keeps the right key as it came (NULL where unmatched)."""
-    rk = right_key or key
-    r = right.withColumnRenamed(rk, "__rk")
-    j = left.join(r, left[key] == r["__rk"], "full_outer")
-    extra = [r["__rk"].alias(rk if rk != key else key + "_right")] if keep_raw else []
-    return j.select(F.coalesce(left[key], r["__rk"]).alias(key),
-                    *[left[c] for c in left.columns if c != key],
-                    *[r[c] for c in r.columns if c != "__rk"], *extra)
-
-
-def join_suffixed(left: DataFrame, right: DataFrame, on: str, suffixes=("_x", "_y")) -> DataFrame:
-    """Inner join where same-named measures get ``_x``/``_y`` suffixes."""
-    common = (set(left.columns) & set(right.columns)) - {on}
-    l2 = left.select(*[F.col(c).alias(c + suffixes[0]) if c in common else F.col(c) for c in left.columns])
-    r2 = right.select(*[F.col(c).alias(c + suffixes[1]) if c in common else F.col(c) for c in right.columns])
-    return l2.join(r2, on, "inner")
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys appear once. Without
+    keys every row meets every row: ``right`` is then one row per rank."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right)) if how == "inner" else left.join(F.broadcast(right), how=how)
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(other, cond, how).drop(*[f"__r_{c}" for c in keys])
 
 
 def cross_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -55,11 +34,20 @@ def cross_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Keep rows whose key is present (``isin(list)`` without a driver list)."""
-    return df.join(keys, on=on, how="left_semi")
+def join_unique(left: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str) -> DataFrame:
+    """Left join on differently named keys with one ``value`` of the
+    right side; a right key with several rows is an error, not a silent
+    multiplication of the left rows."""
+    once = right.groupBy(right_key).agg(F.count(F.lit(1)).alias("__n"), F.max(value).alias("__v")).select(
+        F.col(right_key).alias("__k"),
+        F.when(F.col("__n") == 1, F.col("__v")).otherwise(
+            F.raise_error(F.concat(F.lit(f"several rows of {right_key} "), F.col(right_key).cast("string"))))
+        .alias(value))
+    return left.join(once, F.col(left_key) == F.col("__k"), "left").drop("__k")
 
 
-def anti(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Drop rows whose key is present."""
-    return df.join(keys, on=on, how="left_anti")
+def full_outer_on(left: DataFrame, right: DataFrame, left_key: str, right_key: str, out: str) -> DataFrame:
+    """Full outer join of two aggregates; ``out`` is the coalesced
+    key, both raw keys stay (NULL where unmatched)."""
+    j = left.join(right, F.col(left_key) == F.col(right_key), "full_outer")
+    return j.withColumn(out, F.coalesce(left_key, right_key))

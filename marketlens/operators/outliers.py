@@ -146,10 +146,3 @@ def rows_of_top_entity(df: DataFrame, key: str, child: str) -> DataFrame:
              .orderBy(F.desc("__n"), F.asc(key)).limit(1).select(key))
     return df.join(F.broadcast(top), key, "left_semi")
 
-
-def period_coverage(df: DataFrame, ts: str, by: str | None = None) -> DataFrame:
-    """which months occur and how many of the 12."""
-    m = F.month(ts)
-    keys = [by] if by else []
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_set(m)).alias("months"),
-                                 F.count_distinct(m).alias("n_months"))

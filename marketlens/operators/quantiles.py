@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, write_through
+from .joins import null_safe_join
 
 BUCKETS = 4096
 CAP = 50_000
@@ -54,18 +55,6 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` with NULL equal to NULL; the keys appear once. Without
-    keys every row meets every row: ``right`` is then one row per rank."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right)) if how == "inner" else left.join(F.broadcast(right), how=how)
-    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = F.lit(True)
-    for c in keys:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
-    return left.join(other, cond, how).drop(*[f"__r_{c}" for c in keys])
-
-
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kind: str | Sequence[str] = "cont",
                     buckets: int = BUCKETS, cap: int = CAP, out_prefix: str | None = None) -> DataFrame:
     """Exact percentiles of ``value`` per group: one row per group of ``by``

@@ -23,31 +23,6 @@ def count_over_partition_distinct(df: DataFrame, part: str, counted: str, out: s
     return df.groupBy(part).agg(F.count(counted).alias(out))
 
 
-def share_within(df: DataFrame, value: str, part: Sequence[str], out: str) -> DataFrame:
-    """Value / SUM(value) OVER (PARTITION BY part), on aggregated rows."""
-    w = Window.partitionBy(*part)
-    return df.withColumn(out, F.col(value) / F.sum(value).over(w))
-
-
-def share_of_all(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Value / SUM(value) OVER (), on aggregated rows (one row per group)."""
-    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy()))
-
-
-def rank_by(df: DataFrame, value: str, out: str, descending: bool = True) -> DataFrame:
-    """RANK() OVER (ORDER BY value DESC), on aggregated rows."""
-    order = F.desc(value) if descending else F.asc(value)
-    return df.withColumn(out, F.rank().over(Window.orderBy(order)))
-
-
-def attach_group_min(df: DataFrame, key: str | Sequence[str], value: str, out: str) -> DataFrame:
-    """The group minimum on every row (first event time per user), as a
-    partial aggregate joined back rather than a window over the key."""
-    keys = [key] if isinstance(key, str) else list(key)
-    mins = df.groupBy(*keys).agg(F.min(value).alias(out))
-    return df.join(mins, keys, "inner")
-
-
 def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[str],
                         out: str = "days_since_prev", skew_safe: bool = True,
                         partitions: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_round
 from ..operators.aggregates import describe, value_counts, with_exact_quantiles
-from ..operators.clean import contains_all, dedupe_keep_first, fill_nulls, lower_columns
+from ..operators.clean import contains_all, dedupe_keep_first, fill_nulls, lower_columns, narrow
 from ..operators.experiments import chi_square_association
 from ..operators.outliers import rows_at_or_above_percentile
 from ..operators.quantiles import exact_quantiles
@@ -27,12 +27,14 @@ def venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain to boolean, seats to integer, 'unknown' for missing hours and
     price, lower-case text, duplicates on (name, address) removed keeping the
-    smallest id, 24/7 flag from the opening-hours text."""
+    smallest id. The opening-hours text becomes its two flags (24/7, exactly
+    the 24/7 phrase) before the dedupe, so the long text is never shuffled."""
     m = S.venues_merged(Tables(spark, sf_dir))
-    typed = m.withColumns({"chain": F.col("chain").cast("boolean"), "seats": F.col("seats").cast("bigint")})
+    typed = m.withColumns({"chain": narrow("chain", "boolean"), "seats": narrow("seats", "bigint")})
     filled = lower_columns(fill_nulls(typed, {"hours": "unknown", "price": "unknown"}), TEXT_COLUMNS)
-    dedup = dedupe_keep_first(filled, ["name", "address"], ["id"])
-    return dedup.withColumn("is_24_7", contains_all("hours", S.HOURS_WORDS))
+    flagged = filled.withColumns({"is_24_7": contains_all("hours", S.HOURS_WORDS),
+                                  "hours_exact": F.col("hours") == F.lit(" ".join(S.HOURS_WORDS))}).drop("hours")
+    return dedupe_keep_first(flagged, ["name", "address"], ["id"])
 
 
 def venues_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +48,7 @@ def hours_flag_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venues whose hours text is exactly the 24/7 phrase, the others,
     and the flag counts, in one conditional aggregate."""
     v = venues_clean(spark, sf_dir)
-    exact = F.col("hours") == F.lit(" ".join(S.HOURS_WORDS))
-    return v.agg(F.count_if(~exact).alias("not_exact"), F.count_if(exact).alias("exact"),
+    return v.agg(F.count_if(~F.col("hours_exact")).alias("not_exact"), F.count_if("hours_exact").alias("exact"),
                  F.count_if("is_24_7").alias("flag_true"), F.count_if(~F.col("is_24_7")).alias("flag_false"))
 
 
@@ -57,6 +58,19 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vc.select("category", "count", numeric_round("percent", 4).alias("percent"))
 
 
+def district_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Venues per district and percent of all venues."""
+    vc = value_counts(venues_clean(spark, sf_dir), "district", normalize=True)
+    return vc.select("district", "count", numeric_round("percent", 4).alias("percent"))
+
+
+def district_category_mix(spark: SparkSession, sf_dir: str, district: str = "src0") -> DataFrame:
+    """Categories of the venues of one district, counts and percent."""
+    inside = venues_clean(spark, sf_dir).filter(F.col("district") == district)
+    vc = value_counts(inside, "category", normalize=True)
+    return vc.select("category", "count", numeric_round("percent", 4).alias("percent"))
+
+
 def chain_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain / non-chain venues per category with total and percents."""
     v = venues_clean(spark, sf_dir)

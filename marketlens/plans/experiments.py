@@ -4,8 +4,6 @@ Welch test (Z27-Z29, X1-X12, A16, A18, A21, A22, F2, F12, J9, J10, U4, W5)."""
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +31,9 @@ def _test(spark, sf_dir) -> DataFrame:
 
 
 def first_sessions(df: DataFrame) -> DataFrame:
-    """each user's first session (``session_number == 1``) as one partial
-    aggregate: min over (start time, session id)."""
-    packed = F.min(F.struct("session_start_ts", "session_id", *[c for c in SESSION_COLS
-                                                                 if c not in ("session_start_ts", "session_id")]))
-    return df.groupBy("user_id").agg(packed.alias("__f")).select("user_id", "__f.*")
+    """each user's first session (``session_number == 1``) by start time,
+    then session id."""
+    return dedupe_keep_first(df.select("user_id", *SESSION_COLS), ["user_id"], ["session_start_ts", "session_id"])
 
 
 def sessions_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,25 +78,34 @@ def good_sessions_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
                     numeric_round(F.col("good_sessions") / F.col("total_sessions"), 6).alias("share_of_good_sessions"))
 
 
-def ab_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users per group to detect a 3% relative and a 3-point
-    absolute lift of the good-first-session rate, and the test duration from
-    the mean daily users of the history (rounded), half of them per group."""
+def _sample_sizes(spark: SparkSession, sf_dir: str, cases) -> DataFrame:
+    """Users per group for each (kind, effect, alpha, power) case and
+    the test duration from the mean daily users of the history (rounded),
+    half of them per group. The base rate is the good-first-session rate."""
     h = _history(spark, sf_dir)
-    fs = first_sessions(h)
-    base = fs.agg(F.avg((F.col("page_counter") >= GOOD_PAGES).cast("double")).alias("base_rate"))
+    base = first_sessions(h).agg(F.avg((F.col("page_counter") >= GOOD_PAGES).cast("double")).alias("base_rate"))
     daily = h.groupBy("session_date").agg(F.count_distinct("user_id").alias("u")) \
         .agg(F.round(F.avg("u")).cast("bigint").alias("avg_daily_users"))
-    one = base.crossJoin(daily)
-    rows = []
-    for kind, eff, rel in (("relative", 0.03, True), ("absolute", 0.03, False)):
-        n = sample_size(F.col("base_rate"), F.lit(eff), relative=rel)
-        rows.append(one.select(F.lit(kind).alias("mde_kind"), numeric_round("base_rate", 6).alias("base_rate"),
-                               F.lit(eff).alias("mde"), n.alias("__n"), "avg_daily_users"))
-    u = rows[0].unionByName(rows[1])
-    return u.select("mde_kind", "base_rate", "mde", numeric_round("__n", 2).alias("sample_size"),
-                    "avg_daily_users",
-                    F.ceil(F.col("__n") / (F.col("avg_daily_users") / 2)).cast("bigint").alias("test_duration_days"))
+    sizes = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("mde_kind"), F.lit(effect).alias("mde"), F.lit(alpha).alias("alpha"),
+                 F.lit(power).alias("power"),
+                 sample_size(F.col("base_rate"), F.lit(effect), kind == "relative", alpha, power).alias("n"))
+        for kind, effect, alpha, power in cases])).alias("s")
+    one = base.crossJoin(F.broadcast(daily)).select("base_rate", "avg_daily_users", sizes)
+    return one.select("s.mde_kind", numeric_round("base_rate", 6).alias("base_rate"), "s.mde", "s.alpha", "s.power",
+                      numeric_round("s.n", 2).alias("sample_size"), "avg_daily_users",
+                      F.ceil(F.col("s.n") / (F.col("avg_daily_users") / 2)).cast("bigint").alias("test_duration_days"))
+
+
+def ab_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 3% relative and a 3-point absolute lift at alpha 0.05, power 0.8."""
+    cases = [(kind, 0.03, 0.05, 0.8) for kind in ("relative", "absolute")]
+    return _sample_sizes(spark, sf_dir, cases).drop("alpha", "power")
+
+
+def ab_sample_size_grid(spark: SparkSession, sf_dir: str, alphas=(0.01, 0.05, 0.1), powers=(0.8, 0.9)) -> DataFrame:
+    """X11 with alpha and power as inputs: a 3-point lift for each pair."""
+    return _sample_sizes(spark, sf_dir, [("absolute", 0.03, a, p) for a in alphas for p in powers])
 
 
 def ab_balance(spark: SparkSession, sf_dir: str) -> DataFrame:

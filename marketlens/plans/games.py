@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import drop_full_duplicates, recode, rename_columns
+from ..operators.aggregates import sorted_distinct
+from ..operators.clean import drop_full_duplicates, narrow, recode, rename_columns
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -45,8 +46,8 @@ def games_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         "eu_sales_mm": F.col("eu_sales_mm").try_cast("double"),
         "jp_sales_mm": F.col("jp_sales_mm").try_cast("double"),
         "user_score": F.coalesce(F.col("user_score").try_cast("double"), F.lit(-1.0)),
-        "critic_score": F.coalesce(F.col("critic_score"), F.lit(-1.0)).cast("int"),
-        "year_of_release": F.col("year_of_release").cast("int"),
+        "critic_score": narrow(F.coalesce(F.col("critic_score"), F.lit(-1.0)), "int"),
+        "year_of_release": narrow("year_of_release", "int"),
         "name": F.lower("name"), "genre": F.lower("genre"), "rating": F.upper("rating"),
     })
     df = recode(df, "rating", {"K-A": "E"}).withColumn("rating", F.coalesce("rating", F.lit("unknown")))
@@ -74,6 +75,11 @@ def top_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def games_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games per (platform, genre) of the cleaned table."""
+    """Games per (platform, genre) of the cleaned table."""
     g = games_clean(spark, sf_dir)
     return g.groupBy("platform", "genre").agg(F.count(F.lit(1)).alias("count"))
+
+
+def games_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted distinct platforms, years and ratings of the cleaned table."""
+    return sorted_distinct(games_clean(spark, sf_dir), ["platform", "year_of_release", "rating"])

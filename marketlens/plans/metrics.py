@@ -88,11 +88,11 @@ def talks_top_laughter(spark: SparkSession, sf_dir: str) -> DataFrame:
         .orderBy(F.desc("laughter"), "talk_id").limit(10)
 
 
-def top_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20 tags with the most talks, with their views."""
+def top_tags(spark: SparkSession, sf_dir: str, by: str = "talks") -> DataFrame:
+    """20 tags with the most talks (or views, ``by``), with both numbers."""
     t = _talks(spark, sf_dir).select(F.explode("tags").alias("tag"), "talk_id", "views")
     return t.groupBy("tag").agg(F.count("talk_id").alias("talks"), numeric_round(F.sum("views"), 2).alias("views")) \
-        .orderBy(F.desc("talks"), "tag").limit(20)
+        .orderBy(F.desc(by), "tag").limit(20)
 
 
 def speakers_top(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,12 +170,12 @@ ranked AS (
          1 + (SELECT count(*) FROM monthly x WHERE x.what = a.what AND x.ads > a.ads)::DOUBLE AS place
   FROM monthly a),
 side AS (
-  SELECT """ + ", ".join(f"max({c}) FILTER (what = '{w}') AS {w}_{c}" for w in ("published", "removed") for c in (
+  SELECT m, """ + ", ".join(f"max({c}) FILTER (what = '{w}') AS {w}_{c}" for w in ("published", "removed") for c in (
     "m", "ads", "share", "place", "price", "size")) + """
   FROM ranked GROUP BY m)
-SELECT published_m::DOUBLE AS publish_month, removed_m::DOUBLE AS removal_month,
-       monthname(make_date(2023, published_m::INTEGER, 1)) AS month_name,
-       ['winter', 'spring', 'summer', 'autumn'][(published_m % 12) // 3 + 1] AS season_name,
+SELECT m::DOUBLE AS month, published_m::DOUBLE AS publish_month, removed_m::DOUBLE AS removal_month,
+       monthname(make_date(2023, m::INTEGER, 1)) AS month_name,
+       ['winter', 'spring', 'summer', 'autumn'][(m % 12) // 3 + 1] AS season_name,
        published_ads, published_share AS share_of_published_ads, published_place AS published_rank,
        removed_ads, removed_share AS share_of_removed_ads, removed_place AS removed_rank,
        published_price AS published_avg_price_for_metre, removed_price AS removed_avg_price_for_metre,
@@ -345,26 +345,22 @@ SELECT (SELECT COUNT(*) FROM mob) AS users_a, (SELECT COUNT(*) FROM desk) AS use
        {R('(SELECT COUNT(*) FROM both_)::DOUBLE / (SELECT COUNT(*) FROM any_) * 100', 4)} AS overlap_pct"""
 
 
-def simpson_sql(upper: str, integrand_of_x: str) -> str:
-    """Composite Simpson integral of integrand(x) on [0, upper], 2000 panels."""
-    x = f"(i * (({upper}) / 2000.0))"
-    f = integrand_of_x.replace("{x}", x)
-    return (f"(list_sum(list_transform(range(0, 2001), lambda i: "
-            f"(CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * {f}))"
-            f" * (({upper}) / 2000.0) / 3.0)")
-
-
 def t_sf_sql(t: str, df: str) -> str:
-    bound = f"least(pi() / 2, 40.0 / sqrt({df}))"
-    angle = f"least(atan(abs({t}) / sqrt({df})), {bound})"
-    dens = f"power(cos({{x}}), {df} - 1.0)"
-    tail = f"greatest(0.0, (1.0 - {simpson_sql(angle, dens)} / {simpson_sql(bound, dens)}) / 2.0)"
-    return f"(CASE WHEN {t} >= 0 THEN {tail} ELSE 1.0 - {tail} END)"
+    """Upper tail of Student's t from the power series of the regularized
+    incomplete beta function I_y(1/2, df/2), y = t^2 / (df + t^2)."""
+    y = f"(({t}) * ({t}) / (({df}) + ({t}) * ({t})))"
+    term = (f"exp((i + 0.5) * ln({y}) + ({df}) / 2 * ln(1 - {y}) + lgamma(i + 0.5 + ({df}) / 2)"
+            f" - lgamma(({df}) / 2) - lgamma(i + 1.5))")
+    inside = f"least(1.0, list_sum(list_transform(range(0, 5000), lambda i: {term})))"
+    return f"(CASE WHEN ({t}) = 0 THEN 0.5 ELSE (1 - sign({t}) * {inside}) / 2 END)"
 
 
 def normal_cdf_sql(z: str) -> str:
-    half = f"({simpson_sql(f'abs({z})', 'exp(-{x} * {x} / 2.0)')} / sqrt(2 * pi()))"
-    return f"(CASE WHEN {z} >= 0 THEN 0.5 + {half} ELSE 0.5 - {half} END)"
+    """Normal CDF from the series of odd powers over odd double factorials."""
+    a = f"least(abs({z}), 20.0)"
+    term = f"exp((2 * i + 1) * ln({a}) - {a} * {a} / 2 - (i + 1.5) * ln(2.0) - lgamma(i + 1.5))"
+    half = f"least(0.5, list_sum(list_transform(range(0, 500), lambda i: {term})))"
+    return f"(CASE WHEN ({z}) = 0 THEN 0.5 ELSE 0.5 + sign({z}) * {half} END)"
 
 
 def welch_sql(per_cte: str, group: str, value: str, a: str, b: str) -> str:
@@ -532,6 +528,20 @@ SQL["growth_segments"] = with_("s_clean") + f"""
 SELECT market, {R('total_from', 2)} AS total_from, {R('total_to', 2)} AS total_to FROM pv
 WHERE total_to > total_from AND market NOT IN ('mid', 'niche', 'unknown')"""
 
+_YEARS = range(1995, 2003)
+SQL["segment_year_matrix"] = with_("s_clean") + "\nSELECT market, " + ", ".join(
+    R(f"coalesce(SUM(funding_total_usd) FILTER (WHERE year = {y}), 0)", 2) + f" AS y{y}" for y in _YEARS) + """
+FROM s_final WHERE market IS NOT NULL AND year BETWEEN 1995 AND 2002 GROUP BY market"""
+
+SQL["growing_segments_by_year"] = with_("s_clean") + f"""
+, money AS (SELECT market, year, SUM(funding_total_usd) AS total FROM s_final GROUP BY ALL),
+grown AS (
+  SELECT market FROM money WHERE market NOT IN ('mid', 'niche', 'unknown') GROUP BY market
+  HAVING coalesce(SUM(total) FILTER (WHERE year = 2000), 0) > coalesce(SUM(total) FILTER (WHERE year = 1999), 0)),
+years AS (SELECT unnest(range(1995, 2003)) AS year)
+SELECT g.market, y.year, {R('coalesce(m.total, 0)', 2)} AS total
+FROM grown g CROSS JOIN years y LEFT JOIN money m ON m.market = g.market AND m.year = y.year"""
+
 _RT = ("venture", "debt_financing", "private_equity", "seed", "angel")
 SQL["return_ratio"] = with_("s_clean", "s_returns") + """
 , inv AS (SELECT year, """ + ", ".join(f"SUM({t}) / 1000000 AS {t}" for t in _RT) + """ FROM s_final GROUP BY year)
@@ -549,7 +559,7 @@ CTE["v_clean"] = """v_merged AS (
              AS address,
            d.source AS district,
            CASE WHEN d.source = 'src0' THEN NULL ELSE d.text END AS hours,
-           CAST(l.quality AS DOUBLE) AS rating, CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS chain,
+           CAST(l.quality + d.doc_id % 31 / 10 AS DOUBLE) AS rating, CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS chain,
            CASE WHEN d.doc_id % 10 = 0 THEN NULL ELSE CAST(d.n_chars AS DOUBLE) END AS seats,
            CASE WHEN l.toxic IS NULL THEN NULL WHEN d.n_chars < 1000 THEN 'Low' WHEN d.n_chars < 5000 THEN 'Medium'
                 WHEN d.n_chars < 20000 THEN 'High' ELSE 'Very High' END AS price,
@@ -582,6 +592,15 @@ SQL["category_counts"] = _V + f"""
 SELECT category, COUNT(*) AS count, {R('COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()', 4)} AS percent
 FROM v_clean WHERE category IS NOT NULL GROUP BY category"""
 
+SQL["district_counts"] = _V + f"""
+SELECT district, COUNT(*) AS count, {R('COUNT(*) * 100.0 / SUM(COUNT(*)) OVER ()', 4)} AS percent
+FROM v_clean WHERE district IS NOT NULL GROUP BY district"""
+
+SQL["district_category_mix"] = _V + f"""
+, inside AS (SELECT category FROM v_clean WHERE district = 'src0' AND category IS NOT NULL)
+SELECT category, COUNT(*) AS count, {R('COUNT(*) * 100.0 / (SELECT COUNT(*) FROM inside)', 4)} AS percent
+FROM inside GROUP BY category"""
+
 SQL["chain_by_category"] = _V + f"""
 SELECT category, COUNT(*) FILTER (WHERE NOT chain) AS no_chain, COUNT(*) FILTER (WHERE chain) AS chain,
        COUNT(*) AS total,
@@ -628,19 +647,21 @@ SELECT category, COUNT(name) AS chains FROM (
   GROUP BY name, category ORDER BY count DESC, name, category LIMIT 15)
 GROUP BY category"""
 
-SQL["association_table"] = _V + f"""
-, rng AS (SELECT MIN(seats) AS lo, MAX(seats) AS hi FROM v_clean),
+SQL["association_table"] = _V + """
+, rng AS (SELECT MIN(seats) AS s_lo, MAX(seats) AS s_hi, MIN(rating) AS r_lo, MAX(rating) AS r_hi FROM v_clean),
 vb AS (
-  SELECT v.*, CASE WHEN seats IS NULL THEN NULL
-                   ELSE CAST(least(floor((seats - lo) / ((hi - lo) / 10.0)), 9) AS INTEGER) END AS seats_bin
+  SELECT v.*, CASE WHEN s_hi = s_lo THEN seats - s_lo
+                   ELSE least(floor((seats - s_lo) / ((s_hi - s_lo) / 10.0)), seats * 0 + 9) END AS seats_bin,
+         CASE WHEN r_hi = r_lo THEN rating - r_lo
+              ELSE least(floor((rating - r_lo) / ((r_hi - r_lo) / 10.0)), rating * 0 + 9) END AS t
   FROM v_clean v, rng),
 lng AS (
-  SELECT CAST(rating AS VARCHAR) AS t, 'category' AS attr, CAST(category AS VARCHAR) AS val FROM vb
-  UNION ALL SELECT CAST(rating AS VARCHAR), 'district', CAST(district AS VARCHAR) FROM vb
-  UNION ALL SELECT CAST(rating AS VARCHAR), 'chain', CAST(chain AS VARCHAR) FROM vb
-  UNION ALL SELECT CAST(rating AS VARCHAR), 'seats_bin', CAST(seats_bin AS VARCHAR) FROM vb
-  UNION ALL SELECT CAST(rating AS VARCHAR), 'price', CAST(price AS VARCHAR) FROM vb
-  UNION ALL SELECT CAST(rating AS VARCHAR), 'is_24_7', CAST(is_24_7 AS VARCHAR) FROM vb),
+  SELECT t, 'category' AS attr, CAST(category AS VARCHAR) AS val FROM vb
+  UNION ALL SELECT t, 'district', CAST(district AS VARCHAR) FROM vb
+  UNION ALL SELECT t, 'chain', CAST(chain AS VARCHAR) FROM vb
+  UNION ALL SELECT t, 'seats_bin', CAST(seats_bin AS VARCHAR) FROM vb
+  UNION ALL SELECT t, 'price', CAST(price AS VARCHAR) FROM vb
+  UNION ALL SELECT t, 'is_24_7', CAST(is_24_7 AS VARCHAR) FROM vb),
 cells AS (SELECT attr, t, val, COUNT(*) AS n FROM lng WHERE t IS NOT NULL AND val IS NOT NULL GROUP BY ALL),
 rt AS (SELECT attr, t, SUM(n) AS n_t FROM cells GROUP BY ALL),
 ct AS (SELECT attr, val, SUM(n) AS n_v FROM cells GROUP BY ALL),
@@ -650,7 +671,7 @@ chi AS (
          SUM(power(coalesce(c.n, 0) - rt.n_t * ct.n_v / att.n_all, 2) / (rt.n_t * ct.n_v / att.n_all)) AS chi2
   FROM rt JOIN ct ON rt.attr = ct.attr JOIN att ON rt.attr = att.attr
   LEFT JOIN cells c ON c.attr = rt.attr AND c.t = rt.t AND c.val = ct.val
-  GROUP BY ALL)
+  GROUP BY ALL)""" + f"""
 SELECT attr, CAST(n_all AS BIGINT) AS n_all, {R('chi2', 6)} AS chi2,
        {R('CASE WHEN least(k_t, k_v) - 1 = 0 THEN NULL ELSE sqrt(chi2 / (n_all * (least(k_t, k_v) - 1))) END', 6)}
          AS cramers_v
@@ -697,6 +718,10 @@ SELECT platform, COUNT(name) AS games FROM g_actual GROUP BY platform ORDER BY g
 SQL["games_profile"] = with_("g_clean") + """
 SELECT platform, genre, COUNT(*) AS count FROM g_clean GROUP BY ALL"""
 
+SQL["games_values"] = with_("g_clean") + "\n" + " UNION ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM g_clean WHERE {c} IS NOT NULL"
+    for c in ("platform", "year_of_release", "rating"))
+
 # ---------------------------------------------------------------- quality profiles
 _VM_COLS = ("id", "name", "category", "address", "district", "hours", "rating", "chain", "seats", "price",
             "middle_avg_bill")
@@ -752,6 +777,13 @@ SELECT event_type, COUNT(value) AS count, {R('AVG(value)', 6)} AS mean, {R('STDD
        {R('MAX(value)', 6)} AS max
 FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
 
+SQL["event_value_summary"] = f"""
+SELECT COUNT(value) AS count, {R('AVG(value)', 6)} AS mean, {R('STDDEV_SAMP(value)', 6)} AS std,
+       {R('MIN(value)', 6)} AS min, {R('quantile_cont(value, 0.25)', 6)} AS q25,
+       {R('quantile_cont(value, 0.5)', 6)} AS q50, {R('quantile_cont(value, 0.75)', 6)} AS q75,
+       {R('MAX(value)', 6)} AS max
+FROM events"""
+
 SQL["event_value_histogram"] = f"""
 WITH r AS (SELECT MIN(value) AS lo, MAX(value) AS hi FROM events WHERE value IS NOT NULL),
 b AS (SELECT CASE WHEN hi = lo THEN 0
@@ -818,19 +850,31 @@ SELECT strftime(session_date, '%Y-%m-%d') AS session_date, COUNT(*) AS total_ses
        {R('SUM(CAST(page_counter >= 4 AS INTEGER))::DOUBLE / COUNT(*)', 6)} AS share_of_good_sessions
 FROM hist_first GROUP BY session_date"""
 
-_NSIZE = "2 * power((1.959964 + 0.841621) / abs(2 * asin(sqrt({t})) - 2 * asin(sqrt(base_rate))), 2)"
-SQL["ab_sample_size"] = _S + f"""
+# Normal quantiles of 1 - alpha / 2 and of the power.
+_Z_ALPHA = {0.01: 2.5758293035489004, 0.05: 1.959963984540054, 0.1: 1.6448536269514722}
+_Z_POWER = {0.8: 0.8416212335729143, 0.9: 1.2815515655446004}
+
+
+def _sizes_sql(cases) -> str:
+    per = "\n  UNION ALL ".join(
+        f"SELECT '{kind}' AS mde_kind, {mde}::DOUBLE AS mde, {a}::DOUBLE AS alpha, {p}::DOUBLE AS power, "
+        f"2 * power({_Z_ALPHA[a] + _Z_POWER[p]!r} / (2 * asin(sqrt({'base_rate * ' if kind == 'relative' else ''}"
+        f"({'1' if kind == 'relative' else 'base_rate'} + {mde}))) - 2 * asin(sqrt(base_rate))), 2) AS n, "
+        f"base_rate, avg_daily_users FROM base, daily" for kind, mde, a, p in cases)
+    return _S + f"""
 , base AS (SELECT AVG(CAST(page_counter >= 4 AS DOUBLE)) AS base_rate FROM hist_first),
 daily AS (SELECT CAST(ROUND(AVG(u)) AS BIGINT) AS avg_daily_users
           FROM (SELECT session_date, COUNT(DISTINCT user_id) AS u FROM hist GROUP BY session_date)),
-k AS (SELECT 'relative' AS mde_kind, 0.03 AS mde, {_NSIZE.format(t='base_rate * (1 + 0.03)')} AS n, base_rate,
-             avg_daily_users FROM base, daily
-      UNION ALL
-      SELECT 'absolute', 0.03, {_NSIZE.format(t='base_rate + 0.03')}, base_rate, avg_daily_users FROM base, daily)
-SELECT mde_kind, {R('base_rate', 6)} AS base_rate, CAST(mde AS DOUBLE) AS mde, {R('n', 2)} AS sample_size,
+k AS ({per})
+SELECT mde_kind, alpha, power, {R('base_rate', 6)} AS base_rate, mde, {R('n', 2)} AS sample_size,
        avg_daily_users, CAST(ceil(n / (avg_daily_users / 2)) AS BIGINT) AS test_duration_days
 FROM k"""
 
+
+SQL["ab_sample_size"] = "SELECT * EXCLUDE (alpha, power) FROM (" + _sizes_sql(
+    [(kind, 0.03, 0.05, 0.8) for kind in ("relative", "absolute")]) + ")"
+SQL["ab_sample_size_grid"] = _sizes_sql([("absolute", 0.03, a, p) for a in _Z_ALPHA for p in _Z_POWER])
+
 SQL["ab_balance"] = _S + f"""
 SELECT test_group, COUNT(DISTINCT user_id) AS users,
        {R('COUNT(DISTINCT user_id) * 100.0 / SUM(COUNT(DISTINCT user_id)) OVER ()', 2)} AS users_pct
@@ -1036,3 +1080,27 @@ FROM (SELECT UNNEST(tags) AS tag, talk_id, views FROM talks) GROUP BY tag ORDER
 SQL["speakers_top"] = _TK + """
 SELECT speaker, occupation, CAST(SUM(applause) AS BIGINT) AS applause FROM talks
 GROUP BY speaker, occupation ORDER BY applause DESC, speaker, occupation LIMIT 10"""
+
+SQL["top_tags_by_views"] = _TK + f"""
+, t AS (SELECT UNNEST(tags) AS tag, talk_id, views FROM talks)
+SELECT tag, COUNT(talk_id) AS talks, {R('SUM(views)', 2)} AS views FROM t GROUP BY tag
+ORDER BY 3 DESC, tag LIMIT 20"""
+
+# ---------------------------------------------------------------- intake
+SQL["csv_orders"] = f"""
+SELECT o_orderstatus, COUNT(o_orderkey) AS orders, {R('SUM(CAST(o_totalprice AS DECIMAL(28,6)))', 2)} AS money
+FROM orders GROUP BY 1"""
+SQL["csv_row_counts"] = """
+SELECT source, n_rows FROM (SELECT COUNT(*) AS n_rows FROM customer), (VALUES ('table'), ('csv')) v(source)"""
+SQL["csv_dirty_funding"] = with_("s_clean") + """
+SELECT status, COUNT(*) AS companies, COUNT(*) FILTER (WHERE funding_total_usd <> '-') AS with_amount,
+       COUNT(*) FILTER (WHERE funding_total_usd = '-') AS bad_amount,
+       SUM(TRY_CAST(replace(funding_total_usd, ',', '') AS DOUBLE)) AS money
+FROM s_raw GROUP BY status"""
+SQL["csv_gzip_events"] = """
+SELECT strftime(ts, '%Y-%m-%d') AS day, hour(ts) AS hour, COUNT(*) AS events FROM events GROUP BY ALL"""
+SQL["csv_text_dates"] = """
+SELECT CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%Y-%m') END AS month, COUNT(*) AS orders
+FROM orders GROUP BY 1"""
+SQL["catalog_orders"] = """
+SELECT o_orderpriority, COUNT(*) AS orders, MAX(o_orderkey) AS last_order FROM orders GROUP BY 1"""

@@ -76,12 +76,18 @@ def cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_value_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4/A5: describe() of the event value per event type."""
+    """A5: describe() of the event value per event type."""
     d = describe(Tables(spark, sf_dir).events, "value", by="event_type")
     return d.select("event_type", "count", *[numeric_round(c, 6).alias(c) for c in
                                              ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
+def event_value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: describe() of the event value over all events."""
+    d = describe(Tables(spark, sf_dir).events, "value")
+    return d.select("count", *[numeric_round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
 def event_value_histogram(spark: SparkSession, sf_dir: str, bins: int = 20) -> DataFrame:
     """20 equal-width bins of the event value (last bin closed)."""
     h = histogram(Tables(spark, sf_dir).events, "value", bins)

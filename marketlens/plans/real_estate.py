@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_after_days, month_name, season
 from ..functions.numeric import numeric_round, safe_div
 from ..operators.aggregates import percentile_expr
+from ..operators.joins import full_outer_on
 from ..operators.outliers import Bound, filter_by_global_percentiles
 from ..session import shared_table
 from ..sources import standins as S
@@ -104,22 +105,22 @@ def listing_seasonality(spark: SparkSession, sf_dir: str, accuracy: int | None =
             .alias(f"share_of_{prefix}_ads"),
             F.rank().over(Window.orderBy(F.desc(f"{prefix}_ads"))).cast("bigint").alias(f"{prefix}_rank"))
 
-    p = side("publish_month", "published").alias("p")
-    r = side("removal_month", "removed").alias("r")
-    j = p.join(r, F.col("p.publish_month") == F.col("r.removal_month"), "full_outer")
+    j = full_outer_on(side("publish_month", "published"), side("removal_month", "removed"),
+                      "publish_month", "removal_month", "month")
     return j.select(
-        # months and counts of a one-sided month are NULL: returned as DOUBLE
-        F.col("p.publish_month").cast("double").alias("publish_month"),
-        F.col("r.removal_month").cast("double").alias("removal_month"),
-        month_name(F.col("p.publish_month")).alias("month_name"),
-        season(F.col("p.publish_month")).alias("season_name"),
+        # the month of either side (N22) names the row; both raw months and the
+        # counts of a one-sided month are NULL: returned as DOUBLE
+        F.col("month").cast("double").alias("month"),
+        F.col("publish_month").cast("double").alias("publish_month"),
+        F.col("removal_month").cast("double").alias("removal_month"),
+        month_name("month").alias("month_name"), season("month").alias("season_name"),
         F.col("published_ads").cast("double").alias("published_ads"), "share_of_published_ads",
         F.col("published_rank").cast("double").alias("published_rank"),
         F.col("removed_ads").cast("double").alias("removed_ads"), "share_of_removed_ads",
         F.col("removed_rank").cast("double").alias("removed_rank"),
         "published_avg_price_for_metre", "removed_avg_price_for_metre",
         "published_avg_total_area", "removed_avg_total_area",
-    ).orderBy("publish_month", "removal_month")
+    ).orderBy("month")
 
 
 def listings_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catering, experiments, fantasy, games, metrics, profiles, real_estate, startups, tickets
+from . import catering, experiments, fantasy, games, intake, metrics, profiles, real_estate, startups, tickets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -49,10 +49,14 @@ def all_queries() -> dict[str, QueryFn]:
         "funding_types": startups.funding_types,
         "yearly_rounds": startups.yearly_rounds,
         "growth_segments": startups.growth_segments,
+        "segment_year_matrix": startups.segment_year_matrix,
+        "growing_segments_by_year": startups.growing_segments_by_year,
         "return_ratio": startups.return_ratio,
         "venues_clean": catering.venues_clean_report,
         "hours_flag_check": catering.hours_flag_check,
         "category_counts": catering.category_counts,
+        "district_counts": catering.district_counts,
+        "district_category_mix": catering.district_category_mix,
         "chain_by_category": catering.chain_by_category,
         "rating_by_category": catering.rating_by_category,
         "rating_spread": catering.rating_spread,
@@ -67,6 +71,7 @@ def all_queries() -> dict[str, QueryFn]:
         "score_bins": games.score_bins,
         "top_platforms": games.top_platforms,
         "games_profile": games.games_profile,
+        "games_values": games.games_values,
         "null_profile": profiles.null_profile_venues,
         "missing_report": profiles.missing_report,
         "null_totals": profiles.null_totals_venues,
@@ -75,6 +80,7 @@ def all_queries() -> dict[str, QueryFn]:
         "duplicate_lines": profiles.duplicate_lines,
         "cleaning_audit": profiles.cleaning_audit,
         "event_value_describe": profiles.event_value_describe,
+        "event_value_summary": profiles.event_value_summary,
         "event_value_histogram": profiles.event_value_histogram,
         "event_value_boxplot": profiles.event_value_boxplot,
         "sessions_per_user": experiments.sessions_per_user,
@@ -83,6 +89,7 @@ def all_queries() -> dict[str, QueryFn]:
         "pages_per_first_session": experiments.pages_per_first_session,
         "good_sessions_daily": experiments.good_sessions_daily,
         "ab_sample_size": experiments.ab_sample_size,
+        "ab_sample_size_grid": experiments.ab_sample_size_grid,
         "ab_balance": experiments.ab_balance,
         "group_pct_diff": experiments.group_pct_diff,
         "ab_overlap": experiments.ab_overlap,
@@ -109,7 +116,14 @@ def all_queries() -> dict[str, QueryFn]:
         "talk_filter": metrics.talk_filter,
         "talks_top_laughter": metrics.talks_top_laughter,
         "top_tags": metrics.top_tags,
+        "top_tags_by_views": partial(metrics.top_tags, by="views"),
         "speakers_top": metrics.speakers_top,
+        "csv_orders": intake.csv_orders,
+        "csv_row_counts": intake.csv_row_counts,
+        "csv_dirty_funding": intake.csv_dirty_funding,
+        "csv_gzip_events": intake.csv_gzip_events,
+        "csv_text_dates": intake.csv_text_dates,
+        "catalog_orders": intake.catalog_orders,
     }
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_round
-from ..operators.aggregates import measure_totals, positive_counts, ratio_capped, with_exact_quantiles
-from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint_date, lower_columns,
-                               normalize_headers, sentinel_to_null, to_number, to_timestamp_text)
+from ..operators.aggregates import (measure_totals, pivot_sum, ratio_capped, totals_and_positive_counts,
+                                    with_exact_quantiles)
+from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint_date, lower_columns, narrow,
+                               normalize_headers, replace_text, sentinel_to_null, to_number, to_timestamp_text)
 from ..operators.outliers import flagged_share, iqr_flag, keep_groups_over_threshold
 from ..session import shared_table
 from ..sources import standins as S
@@ -23,6 +24,8 @@ DATE_COLUMNS = ("founded_at", "first_funding_at", "mid_funding_at", "last_fundin
 MASS_ABOVE = 120
 MID_FROM = 35
 MIN_YEAR_ROUNDS = 50
+# The years of the segment-by-year table.
+MATRIX_YEARS = tuple(range(1995, 2003))
 RATIO_TYPES = ("venture", "debt_financing", "private_equity", "seed", "angel")
 
 
@@ -37,8 +40,8 @@ def build_funding_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     nameless and unfunded rows dropped, missing middle date imputed."""
     raw = normalize_headers(S.startup_investments_raw(Tables(spark, sf_dir)))
     typed = raw.withColumns({
-        "funding_total_usd": to_number(F.replace("funding_total_usd", F.lit(","), F.lit("")), "double"),
-        "funding_rounds": F.col("funding_rounds").cast("bigint"),
+        "funding_total_usd": to_number(replace_text("funding_total_usd", ",", ""), "double"),
+        "funding_rounds": narrow("funding_rounds", "bigint"),
         **{c: to_timestamp_text(c, "yyyy-MM-dd") for c in DATE_COLUMNS},
     })
     filled = lower_columns(fill_nulls(typed, {c: "unknown" for c in TEXT_COLUMNS}), TEXT_COLUMNS)
@@ -130,11 +133,10 @@ def funding_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Money and popularity per funding type, and the returns of
     the type over all years."""
     fd = final_data(spark, sf_dir)
-    money = measure_totals(fd, S.FUNDING_TYPES, "funding_type", "total_money")
-    pop = positive_counts(fd, S.FUNDING_TYPES, "funding_type", "popularity")
+    money = totals_and_positive_counts(fd, S.FUNDING_TYPES, "funding_type", "total_money", "popularity")
     ret_types = list(S.RETURN_PRIORITY_OF)
     ret = measure_totals(S.startup_returns(Tables(spark, sf_dir)), ret_types, "funding_type", "total_returns")
-    return money.join(pop, "funding_type").join(ret, "funding_type", "left").select(
+    return money.join(ret, "funding_type", "left").select(
         "funding_type", numeric_round("total_money", 2).alias("total_money"), "popularity",
         numeric_round("total_returns", 6).alias("total_returns"))
 
@@ -161,6 +163,23 @@ def growth_segments(spark: SparkSession, sf_dir: str, year_from: int = 1999, yea
         "market", numeric_round("total_from", 2).alias("total_from"), numeric_round("total_to", 2).alias("total_to"))
 
 
+def segment_year_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total funding per market and year as a wide table, missing = 0. The
+    years are the fixed window of the stand-in, so no job looks for them."""
+    fd = final_data(spark, sf_dir).filter(F.col("market").isNotNull())
+    wide = pivot_sum(fd, "market", "year", "funding_total_usd", MATRIX_YEARS)
+    return wide.select("market", *[numeric_round(F.col(str(y)), 2).alias(f"y{y}") for y in MATRIX_YEARS])
+
+
+def growing_segments_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The growing mass segments with their totals of every year, in
+    long form (the transposed table), years without money = 0."""
+    wide = segment_year_matrix(spark, sf_dir)
+    grown = wide.join(growth_segments(spark, sf_dir).select("market"), "market", "left_semi")
+    return grown.unpivot(["market"], [f"y{y}" for y in MATRIX_YEARS], "y", "total").select(
+        "market", F.substring("y", 2, 4).cast("bigint").alias("year"), "total")
+
+
 def return_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invested millions per year and type against the returns
     of the year; ratio above 2 set to NULL; only years in both tables."""

@@ -11,6 +11,7 @@ from ..functions.numeric import numeric_round, pct_change, safe_div
 from ..operators.aggregates import with_exact_quantiles
 from ..operators.clean import dedupe_keep_first
 from ..operators.experiments import overlap_summary, welch_test
+from ..operators.joins import join_unique
 from ..operators.outliers import cap_by_group_percentile, group_caps
 from ..operators.windows import days_since_previous
 from ..session import shared_table
@@ -38,8 +39,7 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
     raw = S.ticket_orders(t)
     capped = cap_by_group_percentile(raw, "revenue", "currency_code", 0.99, CURRENCIES, accuracy)
     dedup = dedupe_keep_first(capped, TICKET_DUP_SUBSET, ["order_id"])
-    rates = S.tenge_rates(t).select("data", "curs")
-    j = dedup.join(rates, dedup.created_dt_msk == rates.data, "left").drop("data")
+    j = join_unique(dedup, S.tenge_rates(t), "created_dt_msk", "data", "curs")
     rub = F.when(F.col("currency_code") == "rub", F.col("revenue")).otherwise(
         F.col("revenue") * F.col("curs") / 100)
     feat = j.select("*", rub.alias("revenue_rub")).select(

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.dates import month_name, season, weekday0
 from marketlens.functions.numeric import numeric_round, safe_div
-from marketlens.operators.aggregates import describe, first_by_time, top_k, value_counts
+from marketlens.operators.aggregates import describe, sorted_distinct, totals_and_positive_counts, value_counts
 from marketlens.operators.clean import dedupe_keep_first, impute_midpoint_date
 from marketlens.operators.experiments import (chi_square_association, conversion_by_group, events_within,
                                               histogram, users_in_several_groups)
-from marketlens.operators.joins import full_outer_on
+from marketlens.operators.joins import full_outer_on, join_unique
 from marketlens.operators.metrics import retention
 from marketlens.operators.outliers import Bound, cap_by_group_percentile, filter_by_global_percentiles, iqr_flag
 from marketlens.operators.quality import duplicate_counts, duplicated_rows, null_profile
@@ -38,11 +38,6 @@ def test_describe_single_row_group_std_null(spark):
     assert d["b"]["std"] is None
 
 
-def test_top_k_tie_at_cut_is_deterministic(spark):
-    df = spark.createDataFrame([("x", 5), ("b", 3), ("a", 3), ("c", 1)], "k string, n int")
-    assert [r.k for r in top_k(df, [F.desc("n"), F.asc("k")], 2).collect()] == ["x", "a"]
-
-
 def test_percentile_bounds_strict_and_null_passes(spark):
     df = spark.createDataFrame([(float(i), None if i == 3 else float(200 - i)) for i in range(1, 101)],
                                "a double, b double")
@@ -74,6 +69,49 @@ def test_dedupe_keeps_smallest_id(spark):
     assert rows(dedupe_keep_first(df, ["k", "v"], ["id"]), "id", "k") == [(1, "a"), (3, "b")]
 
 
+def test_dedupe_nulls_ties_and_copies(spark):
+    data = [(None, "x", 5, "p"), (None, "x", 4, "q"), ("k", "x", None, "p"), ("k", "x", None, "q"), ("k", "x", None, "q"),
+            ("k", "y", 1, "p"), ("k", "y", 1, "q"), ("k", "y", None, "a"), ("big", "z", 2 ** 62, "p"), ("big", "z", -5, "q")]
+    df = spark.createDataFrame(data, "a string, b string, n long, t string")
+    got = dedupe_keep_first(df, ["a", "b"], ["n"])
+    r = {(x.a, x.b): x for x in got.collect()}
+    assert got.count() == len(r) == 4
+    assert r[(None, "x")].n == 4 and r[("k", "x")].n is None and r[("k", "y")].n == 1 and r[("big", "z")].n == -5
+    by_text = dedupe_keep_first(df, ["a", "b"], ["t"])
+    assert sorted(x.t for x in by_text.collect()) == ["a", "p", "p", "p"]
+    assert dedupe_keep_first(df.limit(0), ["a", "b"], ["n"]).count() == 0
+
+
+@pytest.mark.parametrize("build", ["venues", "tickets", "sessions", "devices"])
+def test_dedupe_plans_combine_by_hash(spark, build):
+    from marketlens.plans import catering, experiments, tickets
+    sf = "/root/testdata/sf0.001"
+    df = {"venues": lambda: catering.build_venues_clean(spark, sf),
+          "tickets": lambda: dedupe_keep_first(tickets.S.ticket_orders(tickets.Tables(spark, sf)),
+                                               tickets.TICKET_DUP_SUBSET, ["order_id"]),
+          "sessions": lambda: experiments.first_sessions(experiments._history(spark, sf)),
+          "devices": lambda: experiments.ab_device_balance(spark, sf)}[build]()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_association_bins_with_constant_seats(spark, monkeypatch):
+    from marketlens.plans import catering
+    v = spark.createDataFrame([("a" if i % 2 else "b", "d", i % 3 == 0, 7, "p", True, i / 10) for i in range(60)],
+                              "category string, district string, chain boolean, seats long, price string, "
+                              "is_24_7 boolean, rating double")
+    monkeypatch.setattr(catering, "venues_clean", lambda spark, sf_dir: v)
+    got = {r.attr: r for r in catering.association_table(spark, "").collect()}
+    assert got["seats_bin"].cramers_v is None and got["seats_bin"].chi2 == 0 and got["chain"].n_all == 60
+    assert {r.rating_bin for r in catering._binned_venues(spark, "", 10).collect()} == set(range(10))
+
+
+def test_distinct_values_and_measures_in_one_pass(spark):
+    df = spark.createDataFrame([("b", 1.0, 0.0), ("a", -2.0, None), (None, 3.0, 4.0)], "k string, u double, v double")
+    assert [tuple(r) for r in sorted_distinct(df, ["k"]).collect()] == [("k", "a"), ("k", "b")]
+    assert rows(totals_and_positive_counts(df, ["u", "v"], "m", "t", "n"), "m", "t", "n") == [("u", 2.0, 2), ("v", 4.0, 1)]
+
+
 def test_users_in_both_groups(spark):
     df = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (2, "A")], "u long, g string")
     assert rows(users_in_several_groups(df, "g", "u"), "u") == [(1,)]
@@ -94,10 +132,20 @@ def test_event_exactly_seven_days_after_first_is_kept(spark):
 
 
 def test_full_outer_month_on_one_side(spark):
-    a = spark.createDataFrame([(1, 10), (2, 20)], "m int, pub int")
-    b = spark.createDataFrame([(2, 5), (3, 7)], "m int, rem int")
-    j = full_outer_on(a, b, "m")
+    a = spark.createDataFrame([(1, 10), (2, 20)], "p int, pub int")
+    b = spark.createDataFrame([(2, 5), (3, 7)], "r int, rem int")
+    j = full_outer_on(a, b, "p", "r", "m")
     assert rows(j, "m", "pub", "rem") == [(1, 10, None), (2, 20, 5), (3, None, 7)]
+    assert {r.m: (r.p, r.r) for r in j.collect()} == {1: (1, None), 2: (2, 2), 3: (None, 3)}
+
+
+def test_second_rate_of_a_day_is_an_error(spark):
+    orders = spark.createDataFrame([(1, "d1"), (2, "d2"), (3, None)], "id int, day string")
+    once = spark.createDataFrame([("d1", 1.5)], "data string, curs double")
+    assert rows(join_unique(orders, once, "day", "data", "curs"), "id", "curs") == [(1, 1.5), (2, None), (3, None)]
+    twice = once.union(once)
+    with pytest.raises(Exception, match="several rows"):
+        join_unique(orders, twice, "day", "data", "curs").collect()
 
 
 def test_zero_divisor_gives_null(spark):
@@ -153,10 +201,7 @@ def test_quality_profiles(spark):
     assert duplicated_rows(df, ["a"]).count() == 2
 
 
-def test_first_by_time_and_dates(spark):
-    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), "PC"), (1, dt.datetime(2024, 1, 1), "Mac")],
-                               "u long, ts timestamp_ntz, d string")
-    assert first_by_time(df, "u", "ts", ["d"]).collect()[0].d == "Mac"
+def test_date_parts(spark):
     x = spark.createDataFrame([(12, dt.datetime(2024, 1, 1))], "m int, ts timestamp_ntz").select(
         season("m").alias("s"), month_name("m").alias("n"), weekday0("ts").alias("w")).collect()[0]
     assert (x.s, x.n, x.w) == ("winter", "December", 0)
