@@ -42,12 +42,12 @@ def retention(df: DataFrame, user: str, ts: str, cohort: str | None = None) -> D
     """M5/M6: share of the cohort active on each day since its first day.
     ``cohort`` = None for one common cohort, or a ``date_trunc`` unit
     ('month') for calendar cohorts of the first day."""
-    d = df.select(user, F.to_date(ts).alias("__d"))
+    d = df.select(user, F.to_date(ts).alias("__d")).distinct()  # one row per user and day for all that follows
     first = d.groupBy(user).agg(F.min("__d").alias("__first"))
     coh = F.lit("all") if cohort is None else F.date_format(F.date_trunc(cohort, "__first"), "yyyy-MM-dd")
     first = first.withColumn("cohort", coh)
     act = d.join(first, user).select(user, "cohort", F.datediff("__d", "__first").alias("day_offset"))
-    counts = act.groupBy("cohort", "day_offset").agg(F.count_distinct(user).alias("retained_users"))
+    counts = act.groupBy("cohort", "day_offset").agg(F.count(user).alias("retained_users"))
     sizes = first.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
     span = act.groupBy("cohort").agg(F.max("day_offset").alias("__max"))
     grid = sizes.join(span, "cohort").select(

@@ -97,18 +97,21 @@ def group_caps(df: DataFrame, value: str, group: str, q: float = 0.99,
     return exact_quantiles(df, value, [q], by=group, out_prefix="__c").withColumnRenamed("__c_q0", "cap")
 
 
-def iqr_flag(df: DataFrame, value: str, group: str, k: float = 1.5, out: str = "is_outlier",
-             accuracy: int | None = None) -> DataFrame:
-    """flag values outside [Q1 - k*IQR, Q3 + k*IQR] of their group."""
+def iqr_quartiles(df: DataFrame, value: str, group: str, accuracy: int | None = None) -> DataFrame:
+    """Q1 and Q3 of ``value`` per group: one row per group."""
     if accuracy is None:
-        fences = exact_quantiles(df, value, [0.25, 0.75], by=group, out_prefix="__f").select(
+        return exact_quantiles(df, value, [0.25, 0.75], by=group, out_prefix="__f").select(
             group, F.col("__f_q0").alias("__q1"), F.col("__f_q1").alias("__q3"))
-    else:
-        qexpr = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
-        fences = df.groupBy(group).agg(qexpr.alias("__q")).select(
-            group, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
+    qexpr = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.75)), accuracy)
+    return df.groupBy(group).agg(qexpr.alias("__q")).select(
+        group, F.col("__q")[0].alias("__q1"), F.col("__q")[1].alias("__q3"))
+
+
+def iqr_flag(df: DataFrame, value: str, group: str, k: float = 1.5, out: str = "is_outlier",
+             quartiles: DataFrame | None = None) -> DataFrame:
+    """flag values outside [Q1 - k*IQR, Q3 + k*IQR] of their group."""
+    j = df.join(iqr_quartiles(df, value, group) if quartiles is None else quartiles, group, "left")
     iqr = F.col("__q3") - F.col("__q1")
-    j = df.join(fences, group, "left")
     flag = (F.col(value) < F.col("__q1") - k * iqr) | (F.col(value) > F.col("__q3") + k * iqr)
     return j.withColumn(out, F.coalesce(flag, F.lit(False))).drop("__q1", "__q3")
 

@@ -79,16 +79,17 @@ def zero_amount_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def item_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item name, distinct paid sales and the shares of all paid sales
-    and of all paying buyers. Items are aggregated by code, then the rows are
-    made distinct by (name, counts) as the source query does."""
+    and of all paying buyers. Sales are counted once per (item, player) - a
+    transaction has one player - so no aggregate counts two things distinctly;
+    then the rows are made distinct by (name, counts) as the source query does."""
     t = Tables(spark, sf_dir)
     paid = S.fantasy_events(t).filter(F.col("amount") > 0).select(
         "item_code", "transaction_id", F.col("id").alias("player_id"))
-    sales = paid.groupBy("item_code").agg(
-        F.count_distinct("transaction_id").alias("total_sales"),
-        F.count_distinct("player_id").alias("total_paying_players"))
-    totals = paid.agg(F.count_distinct("transaction_id").alias("all_sales"),
-                      F.count_distinct("player_id").alias("all_players"))
+    per_player = paid.groupBy("item_code", "player_id").agg(F.count_distinct("transaction_id").alias("n_tx"))
+    sales = per_player.groupBy("item_code").agg(
+        F.sum("n_tx").alias("total_sales"), F.count("player_id").alias("total_paying_players"))
+    totals = cross_one_row(paid.agg(F.count_distinct("transaction_id").alias("all_sales")),
+                           per_player.agg(F.count_distinct("player_id").alias("all_players")))
     named = (sales.join(S.fantasy_items(t), "item_code", "inner")
                   .select("game_items", "total_sales", "total_paying_players").distinct())
     return (cross_one_row(named, totals)

@@ -12,7 +12,7 @@ from ..operators.aggregates import (measure_totals, pivot_sum, ratio_capped, tot
                                     with_exact_quantiles)
 from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint_date, lower_columns, narrow,
                                normalize_headers, replace_text, sentinel_to_null, to_number, to_timestamp_text)
-from ..operators.outliers import flagged_share, iqr_flag, keep_groups_over_threshold
+from ..operators.outliers import flagged_share, iqr_flag, iqr_quartiles, keep_groups_over_threshold
 from ..session import shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
@@ -98,10 +98,13 @@ def relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F6 on relabelled markets (N25: all rare markets share one fence);
-    shared by the outlier, year, type and ratio reports."""
-    return shared_table(spark, f"startups_flagged:{sf_dir}", lambda: iqr_flag(
-        relabelled(spark, sf_dir), "funding_total_usd", "market", 1.5, "is_outlier"))
+    """F6 on relabelled markets (N25: all rare markets share one fence). Only
+    the quartiles, one row per market, are written for the outlier, year, type
+    and ratio reports; the flag is derived from them in each."""
+    labelled = relabelled(spark, sf_dir)
+    quartiles = shared_table(spark, f"startup_quartiles:{sf_dir}",
+                             lambda: iqr_quartiles(labelled, "funding_total_usd", "market"))
+    return iqr_flag(labelled, "funding_total_usd", "market", 1.5, "is_outlier", quartiles)
 
 
 def iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,14 +44,14 @@ def daily_revenue(events: DataFrame, lateness: str = "1 day") -> DataFrame:
         .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "orders", F.col("revenue").cast("double"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all available input (``availableNow``) into an
-    in-memory table and return it; progress is checkpointed under the shared
-    checkpoint folder, so a restarted query resumes."""
-    spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    q = (stream.writeStream.outputMode("append").format("memory").queryName(name)
-         .option("checkpointLocation", checkpoint or f"{base}/streams/{name}")
+def run_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run a stream over all available input (``availableNow``) into Parquet
+    files and return them as a table. Output and progress lie under the shared
+    checkpoint folder (or ``path``), so a restarted query resumes and the
+    driver holds no rows."""
+    base = path or f"{ensure_checkpoint_dir(stream.sparkSession).rstrip('/')}/streams/{name}"
+    q = (stream.writeStream.outputMode("append").format("parquet").queryName(name)
+         .option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
