@@ -24,39 +24,43 @@ import regex
 # The pre-tokenizer pattern of the vocabulary, and its special string.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Latin letters and then marks other than an apostrophe: after a space these
+# are a piece of letters and, if there are marks, a piece of marks.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+_RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" \s|\s |\A | \Z")
-CACHE = 400_000  # chunks a worker remembers; beyond that it starts afresh
+CACHE = 600_000  # chunks a worker remembers, and a sixth as many pieces
 LONG = 64  # longer chunks are not remembered
 
 
 def chunks(text: str) -> list[str]:
     """The text without its single inner spaces: chunk 0 stands as it is,
     every other chunk is preceded by one space."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or (
+        _RARE.search(text) and _ODD.search(text))
+    return _CUT.split(text) if odd else text.split(" ")
 
 
 class ChunkCache(dict):
-    """Values of chunks that follow a space. ``fill`` makes the values of all
-    unknown chunks of a batch at once; the size stays bounded."""
+    """Value of each chunk that follows a space, made when first asked for.
+    Chunks are remembered in two generations of half the size: when the young
+    one is full it replaces the old one, so frequent chunks stay."""
 
     def __init__(self, make, size: int = CACHE):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.half, self.older = make, size // 2, {}
 
-    def fill(self, parts: list[list[str]]) -> None:
-        if len(self) > self.size:
-            self.clear()
-        new: set[str] = set()
-        for p in parts:
-            new.update(p)
-        new.difference_update(self.keys())
-        new = list(new)
-        self.update(zip(new, self.make([" " + c for c in new])))
-
-    def trim(self) -> None:
-        for c in [c for c in self if len(c) > LONG]:
-            del self[c]
+    def __missing__(self, chunk: str):
+        got = self.older.get(chunk)
+        if got is None:
+            got = self.make(chunk)
+        if len(chunk) <= LONG:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = got
+        return got
 
 
 def _byte_letters() -> dict[str, int]:
@@ -86,6 +90,9 @@ class PrefixBPE:
         self.fits: dict[int, bool] = {}
         self.pattern = regex.compile(PATTERN)
         self.stop = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        # a special string that may lie inside a plain chunk forbids the short way
+        self.plain = _PLAIN.fullmatch if not any(
+            _PLAIN.fullmatch("x" + w.strip(" ")) for w in self.special) else lambda chunk: None
 
     def merge(self, piece: bytes) -> list[int]:
         """Encoding by definition: the best-ranked pair first, leftmost on ties."""
@@ -201,30 +208,52 @@ def library(path: str):
 @lru_cache(maxsize=4)
 def id_cache(path: str) -> ChunkCache:
     """Chunk -> its ids as little-endian 32-bit numbers, by the library's
-    model. An unknown chunk is cut into pre-tokenizer pieces, which recur more
-    often than chunks, and only an unknown piece is encoded."""
-    bpe, model = prefix_bpe(path), library(path).model
+    model. Only a piece that is not remembered is encoded."""
+    bpe, tokenize = prefix_bpe(path), library(path).model.tokenize
     letter = {b: c for c, b in _byte_letters().items()}
+    space = letter[32]
     known: dict[str | int, bytes] = {i: array("I", [i]).tobytes() for i in bpe.special.values()}
     fixed = dict(known)
 
     def encode(piece: str) -> bytes:
         word = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letter)
-        got = array("I", [t.id for t in model.tokenize(word)]).tobytes()
-        if len(piece) <= LONG:
-            if len(known) > CACHE:
-                known.clear()
-                known.update(fixed)
-            known[piece] = got
+        return array("I", [t.id for t in tokenize(word)]).tobytes()
+
+    def remembered(piece: str) -> bytes:
+        got = known.get(piece)
+        if got is None:
+            got = encode(piece)
+            if len(piece) <= LONG:
+                if len(known) > CACHE // 6:
+                    known.clear()
+                    known.update(fixed)
+                known[piece] = got
         return got
 
-    def make(texts: list[str]) -> list[bytes]:
-        return [b"".join([known.get(p) or encode(p) for p in bpe.pieces(t)]) for t in texts]
-    return ChunkCache(make)
+    def make(chunk: str) -> bytes:
+        if m := bpe.plain(chunk):
+            word, marks = m.groups()
+            if marks:
+                return cache[word] + remembered(marks)
+            if word.isascii():
+                return array("I", [t.id for t in tokenize(space + word)]).tobytes()
+            return encode(" " + word)
+        return b"".join(map(remembered, bpe.pieces(" " + chunk)))
+
+    cache = ChunkCache(make)
+    return cache
 
 
 @lru_cache(maxsize=4)
 def count_cache(path: str) -> ChunkCache:
     """Chunk -> its token count, by prefix dynamic programming."""
     bpe = prefix_bpe(path)
-    return ChunkCache(lambda texts: [bpe.count(t) for t in texts])
+
+    def make(chunk: str) -> int:
+        if m := bpe.plain(chunk):
+            word, marks = m.groups()
+            return cache[word] + bpe.piece_total(marks) if marks else bpe.piece_counts((" " + word).encode())[-1]
+        return bpe.count(" " + chunk)
+
+    cache = ChunkCache(make)
+    return cache

@@ -104,7 +104,6 @@ def _pieces(path: str, window: int, with_ids: bool):
             ids, texts = b.column("id"), [t or "" for t in b.column("text").to_pylist()]
             for at in range(0, len(texts), 1000):
                 parts = [chunks(t) for t in texts[at:at + 1000]]
-                known.fill([p[1:] for p in parts])
                 value = known.__getitem__
                 heads = library(path).encode_batch([p[0] for p in parts], add_special_tokens=False)
                 rows, start, length, crc, tokens, rank, raw = [], [], [], [], [], [], []
@@ -123,7 +122,6 @@ def _pieces(path: str, window: int, with_ids: bool):
                         seen[m] += 1
                         if with_ids:
                             raw.append(np.frombuffer(piece, "<u4").astype(np.int32))
-                known.trim()
                 cols = {"id": ids.take(pa.array(rows, pa.int64())), "start": pa.array(start, pa.int64()),
                         "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                         "doc_tokens": pa.array(tokens, pa.int64()), "part": pa.array([part] * len(rows), pa.int32()),

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import LONG, ChunkCache
+from .bpe import LONG
 from .common import map_texts, quoted
 
 SPACE = "▁"
@@ -227,13 +227,36 @@ def encoder(path: str) -> SuffixEncoder:
     return SuffixEncoder(path)
 
 
+class WordCache(dict):
+    """Values of chunks that follow a space. ``fill`` makes the values of all
+    unknown chunks of a batch at once; the size stays bounded."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size = make, size
+
+    def fill(self, parts: list[list[str]]) -> None:
+        if len(self) > self.size:
+            self.clear()
+        new: set[str] = set()
+        for p in parts:
+            new.update(p)
+        new.difference_update(self.keys())
+        new = list(new)
+        self.update(zip(new, self.make([" " + c for c in new])))
+
+    def trim(self) -> None:
+        for c in [c for c in self if len(c) > LONG]:
+            del self[c]
+
+
 @lru_cache(maxsize=2)
-def word_cache(path: str) -> ChunkCache:
+def word_cache(path: str) -> WordCache:
     enc = encoder(path)
     known: dict[str, bytes] = {}
 
     def make(words: list[str]) -> list[bytes]:
-        # ChunkCache puts one space before each word
+        # WordCache puts one space before each word
         cut = [enc.parts(SPACE + w[1:]) for w in words]
         if len(known) > KNOWN:
             known.clear()
@@ -244,7 +267,7 @@ def word_cache(path: str) -> ChunkCache:
             if len(p) > LONG:
                 del known[p]
         return out
-    return ChunkCache(make, KNOWN)
+    return WordCache(make, KNOWN)
 
 
 def encode_batch(texts: list, path: str) -> list[bytes]:

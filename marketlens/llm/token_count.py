@@ -20,7 +20,6 @@ def longest_prefix(text: str | None, path: str, budget: int) -> int:
     from the counts of the chunks and of the prefixes of one chunk."""
     parts = chunks(text or "")
     bpe, known = prefix_bpe(path), count_cache(path)
-    known.fill([parts[1:]])
     return _cut(parts, [bpe.count(parts[0]), *(known[c] for c in parts[1:])], bpe, budget)
 
 
@@ -42,7 +41,6 @@ def _counts(path: str, limit: int):
         bpe, known = prefix_bpe(path), count_cache(path)
         n_tokens, fit_chars = [], []
         parts = [chunks(t) for t in texts]
-        known.fill([p[1:] for p in parts])
         value = known.__getitem__
         for p in parts:
             first = bpe.count(p[0])
@@ -50,7 +48,6 @@ def _counts(path: str, limit: int):
             n_tokens.append(n)
             fit_chars.append(sum(map(len, p)) + len(p) - 1 if n <= limit else _cut(
                 p, [first, *map(value, p[1:])], bpe, limit))
-        known.trim()
         return {"n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                 "n_tokens": pa.array(n_tokens, pa.int64()),
                 "over_limit": pa.array([n > limit for n in n_tokens], pa.bool_()),
