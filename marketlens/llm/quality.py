@@ -1,9 +1,16 @@
 """Quality rules: base counts of a text, and cross-document line frequency.
 
 A line is hashed in normalised form, and per host the distinct documents that
-hold it are counted (documents with identical texts count once, so a group of
-copies is not taken for boilerplate). Lines above the limits are removed, and
-a document that is depleted by that is rejected. DataFrame functions only.
+hold it are counted. A group of copies is not boilerplate: texts that are equal
+without white space and case count once, and so do near copies. Lines above
+the limits are removed, and a document that is depleted by that is rejected.
+DataFrame functions only.
+
+Near copies matter only among the documents that hold a line of more than the
+allowed number of different texts. Of each such text the smallest hashes of its
+5-word windows are a sketch; a text is compared with the first text that has one
+of its few smallest hashes, and linked if the sketches agree in 7 of 8 hashes.
+The components of the links are the classes that count once.
 """
 
 from __future__ import annotations
@@ -14,7 +21,8 @@ from pyspark.sql import functions as F
 from marketlens.session import write_through
 
 from .common import FILE, ROW, quoted, with_row_id
-from .lines import WORD, normal_lines, without_lines
+from .lines import WHITE, WORD, normal_lines, without_lines
+from .simhash import components
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -22,6 +30,9 @@ MAX_REPEAT_PERCENT = 20
 MAX_DOCS = 30  # a line in at most so many documents of a host is never removed
 MAX_SHARE = 0.001  # nor one in at most this share of the host's documents
 MIN_LEFT = 0.3  # a document keeps at least this share of its words
+SKETCH = 128  # smallest window hashes of a text, and
+KEYS = 8  # how many of them it is compared by
+NEAR = 7 / 8  # share of the sketch that near copies have in common
 
 
 def _window_hashes(words: Column, n: Column) -> Column:
@@ -66,6 +77,23 @@ def base_counts(rows: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.col("__at").isNotNull(), _span(F.col("__at"))), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
+def near_classes(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_key, class) of the texts that have near copies among ``texts``
+    (text_key, FILE, ROW: one row of ``docs`` for each text)."""
+    texts = write_through(texts, "candidates")  # its size decides how the join is done
+    found = with_row_id(docs).select(FILE, ROW, F.lower(F.coalesce(quoted(text_col), F.lit(""))).alias("t")).join(texts, [FILE, ROW])
+    found = found.withColumn("w", F.regexp_extract_all("t", F.lit(WORD + "+"), F.lit(0))).withColumn("n", F.size("w"))
+    hashes = F.array_distinct(_window_hashes(F.col("w"), F.col("n")))
+    nodes = write_through(found.select("text_key", F.slice(F.sort_array(hashes), 1, SKETCH).alias("sketch")), "sketches")
+    keys = nodes.select("text_key", F.explode(F.slice("sketch", 1, KEYS)).alias("k"))
+    first = keys.groupBy("k").agg(F.min("text_key").alias("v"))
+    pairs = keys.join(first, "k").where("text_key != v").select(F.col("text_key").alias("u"), "v").distinct()
+    pairs = (pairs.join(nodes.select(F.col("text_key").alias("u"), F.col("sketch").alias("a")), "u")
+             .join(nodes.select(F.col("text_key").alias("v"), F.col("sketch").alias("b")), "v"))
+    near = F.size(F.array_intersect("a", "b")) >= NEAR * F.greatest(F.size("a"), F.size("b"))
+    return components(pairs.where(near).select("u", "v")).select(F.col("node").alias("text_key"), F.col("label").alias("class"))
+
+
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                      max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of ``docs``: (FILE, ROW, id, the base counts,
@@ -73,30 +101,39 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null text has no words and fails the base rule; a null host is the host
     named by the empty string. A line is removed when more than ``max_docs``
-    documents of different text of its host hold it, and more than
-    ``max_share`` of them. ``removed_lines`` holds the hashes of the document's
+    different documents of its host hold it, and more than ``max_share`` of
+    them; copies and near copies are one document. ``removed_lines`` holds the hashes of the document's
     removed lines (null: none). Repeated rows get the same verdict; an empty
     table gives an empty result; other columns are ignored.
     """
-    rows = with_row_id(docs).select(
+    docs = with_row_id(docs)
+    rows = docs.select(
         FILE, ROW, quoted(id_col).alias("id"), F.coalesce(quoted(host_col).cast("string"), F.lit("")).alias("host"),
         F.coalesce(quoted(text_col), F.lit("")).alias("__text"))
     prof = base_counts(rows)
     lines = F.transform(normal_lines(F.col("__text")), lambda x: F.struct(
         F.xxhash64(x).alias("h"), F.size(F.split(x, " ", -1)).alias("w")))
-    prof = write_through(prof.withColumn("lines", lines).withColumn("text_hash", F.xxhash64("__text")).drop("__text"),
-                         "profile")
-
-    held = prof.select(FILE, ROW, "host", "text_hash", F.inline("lines"))
-    docs_of_line = held.select("host", "h", "text_hash").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
-    frequent = docs_of_line.where(F.col("n_docs") > max_docs)
-    hosts = prof.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    above = (frequent.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h"))
+    key = F.xxhash64(F.lower(F.regexp_replace("__text", WHITE, "")))
+    prof = write_through(prof.withColumn("lines", lines).withColumn("text_key", key).drop("__text"), "profile")
+
+    held = prof.select(FILE, ROW, "host", "text_key", F.inline("lines"))
+    texts_of_line = held.select("host", "h", "text_key").distinct().groupBy("host", "h").agg(F.count("*").alias("n_texts"))
+    frequent = write_through(texts_of_line.where(F.col("n_texts") > max_docs).select("host", "h"), "frequent")
+    holders = write_through(held.select("host", "h", "text_key", FILE, ROW).join(frequent, ["host", "h"], "left_semi")
+                            .groupBy("host", "h", "text_key").agg(F.min(F.struct(FILE, ROW)).alias("at")), "holders")
+    one = holders.groupBy("text_key").agg(F.min("at").alias("at"))
+    near = near_classes(docs, one.select("text_key", F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{ROW}").alias(ROW)), text_col)
+    class_of = F.coalesce("class", "text_key").alias("class")
+    docs_of_line = (holders.join(near, "text_key", "left").select("host", "h", class_of).distinct()
+                    .groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs))
+    hosts = (prof.select("host", "text_key").distinct().join(near, "text_key", "left").select("host", class_of).distinct()
+             .groupBy("host").agg(F.count("*").alias("host_docs")))
+    above = (docs_of_line.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h"))
     lost = (held.join(above, ["host", "h"]).groupBy(FILE, ROW)
             .agg(F.sum("w").alias("lost"), F.collect_set("h").alias("removed_lines")))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
-    return (prof.drop("lines", "text_hash", "host").join(lost, [FILE, ROW], "left")
+    return (prof.drop("lines", "text_key", "host").join(lost, [FILE, ROW], "left")
             .withColumn("words_left", left).withColumn("base_failed", base_failed)
             .withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= min_left * F.col("n_words")))
             .drop("lost"))

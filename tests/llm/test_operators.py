@@ -223,6 +223,32 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert text[0] == (want, len(want))
 
 
+def lines_of(words, n=20):
+    k = len(words) // n
+    return "\n".join(" ".join(words[i * k:(i + 1) * k]) for i in range(n))
+
+
+def test_groups_of_copies_are_not_boilerplate(spark, tmp_path):
+    """One of a group stays to the end: 40 copies with one other word each, 40
+    that differ in white space and case; pages of one frame are no copies."""
+    near, white = prose(7001, 200).split(), prose(7002, 200).split()
+    rows = [(i, lines_of(near[:5 * i + 2] + [f"edit{i}"] + near[5 * i + 3:]), "en", "h") for i in range(40)]
+    rows += [(100 + i, lines_of(white).replace(" ", " " * (i // 2 + 1)).replace("\n", " \n" if i % 2 else "\n"), "en", "h") for i in range(38)]
+    rows += [(138, lines_of(white).upper(), "en", "h"), (139, lines_of(white).title(), "en", "h")]
+    rows += [(200 + i, f"{lines_of(prose(7003, 160).split())}\n{prose(8000 + i, 40)}", "en", "h") for i in range(40)]
+    rows += [(1000 + i, prose(9000 + i, 30), "en", "h") for i in range(60)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    got = {r["id"]: r for r in quality.quality_verdicts(docs).collect()}
+    assert all(got[i]["kept"] and got[i]["words_left"] == got[i]["n_words"] for i in (*range(40), *range(100, 140)))
+    assert not any(got[200 + i]["kept"] for i in range(40))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, None).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = {r["doc_id"] for r in docs.collect()}
+    assert 1 <= len(left & set(range(40))) < 40 and left & set(range(100, 140)) and not left & set(range(200, 240))
+
+
 def slow_quality(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     win = [tuple(ws[i:i + 5]) for i in range(len(ws) - 4)]
