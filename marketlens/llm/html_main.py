@@ -32,6 +32,7 @@ RAW = "script style noscript template iframe svg math textarea select option obj
 NEVER = frozenset("nav header footer aside form button dialog menu head title".split()) | frozenset(RAW)
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 "
                   "h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | NEVER
+LABEL = ("article", "main")  # elements that mark up the content
 # Words in class, id and role that name parts which are never content.
 NOT_CONTENT = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
                         "disqus footer header hidden menu modal nav navbar navigation newsletter notice overlay pagination popup "
@@ -61,31 +62,33 @@ def _not_content(attributes: str) -> bool:
     return False
 
 
-def tokens(page: str) -> list[tuple[str, str, int, bool]]:
-    """(feature, text, words, never) in page order. Tags have an empty text;
-    ``never`` marks what stands in a part that is no content. Elements left
+def tokens(page: str) -> list[tuple[str, str, int, bool, bool]]:
+    """(feature, text, words, never, inside) in page order. Tags have an empty text;
+    ``never`` marks what stands in a part that is no content, ``inside`` what
+    stands in ``article`` or ``main`` (their outermost tags do not). Elements left
     open are closed as HTML does for paragraphs and list items."""
-    out: list[tuple[str, str, int, bool]] = []
+    out: list[tuple[str, str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each begins or lies in a never part
-    never = False
+    never, depth = False, 0
     for m in _TOKEN.finditer(page):
         text = m[5]
         if text is not None:
             n = len(text.split())
             if n:
                 inner = "a" if any(x == "a" for x, _ in stack) else next((x for x, _ in reversed(stack) if x in BLOCK), "")
-                out.append(("w:" + inner, text, n, never))
+                out.append(("w:" + inner, text, n, never, depth > 0))
             elif out and out[-1][1]:
-                out.append(("s:", text, 0, never))  # white space between inline elements
+                out.append(("s:", text, 0, never, depth > 0))  # white space between inline elements
             continue
         name = m[3]
         if name is None:
             continue
         name = name.lower()
-        apart = never
+        apart, above = never, depth
         if m[2]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
+                depth -= sum(x in LABEL for x, _ in stack[at:])
                 del stack[at:]
                 never = bool(stack) and stack[-1][1]
         else:
@@ -102,7 +105,8 @@ def tokens(page: str) -> list[tuple[str, str, int, bool]]:
                     bool(m[4]) and name not in ("html", "body", "article", "main") and _not_content(m[4]))
                 stack.append((name, apart))
                 never = apart
-        out.append(("t:" + name, "", 0, apart))
+                depth += name in LABEL
+        out.append(("t:" + name, "", 0, apart, min(above, depth) > 0))
     return out
 
 
@@ -111,15 +115,9 @@ def learn(pages: list[str]) -> dict[str, float]:
     inside: Counter = Counter()
     outside: Counter = Counter()
     for page in pages:
-        depth = 0
-        for feature, _, n, never in tokens(page):
-            if feature in ("t:article", "t:main"):
-                depth += 1
-                outside[feature] += 1
-                continue
-            # each such element has two tags; one left open reaches to the end
-            if not never:
-                (inside if depth % 2 else outside)[feature] += n or 1
+        for feature, _, n, never, within in tokens(page):
+            if not never or feature in ("t:article", "t:main"):
+                (inside if within else outside)[feature] += n or 1
     if not inside or not outside:
         return dict(DEFAULT)
     a, b = sum(inside.values()), sum(outside.values())
@@ -135,12 +133,12 @@ def learn(pages: list[str]) -> dict[str, float]:
     return out
 
 
-def region(found: list[tuple[str, str, int, bool]], weights: dict[str, float]) -> tuple[int, int]:
+def region(found: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
     """The contiguous token range of the highest score; of equal ones the
     first. Parts that are never content neither add nor end a region: they are
     left out of its text."""
     best, best_at, score, begin = 0.0, (0, 0), 0.0, 0
-    for i, (feature, _, n, never) in enumerate(found):
+    for i, (feature, _, n, never, *_) in enumerate(found):
         if never or feature[0] == "s":
             continue
         w = weights.get(feature, WORD_DEFAULT if n else TAG_DEFAULT)
@@ -160,7 +158,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     found = tokens(page)
     begin, end = region(found, weights)
     blocks, now = [], []
-    for feature, text, _, never in found[begin:end]:
+    for feature, text, _, never, _ in found[begin:end]:
         if text:
             if not never:
                 now.append(text)

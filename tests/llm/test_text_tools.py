@@ -248,3 +248,12 @@ def test_region_is_the_best_contiguous_run():
             return sum(weights[f] * n for f, _, n, _ in found[i:j])
         best = max((score(i, j) for i in range(len(found) + 1) for j in range(i, len(found) + 1)), default=0)
         assert score(a, b) == pytest.approx(max(best, 0))
+
+
+def test_articles_nested_in_main_are_inside():
+    words = "some words of a real article that goes on for a while"
+    page = (f"<html><body><div><span>menu entry list</span></div><main><div><span>by line</span></div><article><h1>Title here</h1><p>{words}</p><p>{words}</p></article></main>"
+            "<div><span>other foot words</span></div></body></html>")
+    weights = html_main.learn([page] * 20)
+    assert weights["w:p"] > 0 and weights["w:h1"] > 0 and weights["w:div"] < 0
+    assert html_main.main_text(page, weights) == f"Title here\n\n{words}\n\n{words}"
