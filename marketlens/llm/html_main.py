@@ -42,34 +42,37 @@ NOT_CONTENT = frozenset("ad ads advert adverts advertisement banner breadcrumb b
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_PARTS = re.compile("[-_]+")
 DEFAULT = {"w:p": 1.0, "w:h1": 1.0, "w:h2": 1.0, "w:article": 1.0, "w:main": 1.0, "t:p": -0.1}
 TAG_DEFAULT, WORD_DEFAULT = -0.5, 0.2
 
 
-def _not_content(attributes: str) -> bool:
-    for m in _NAMES.finditer(attributes):
-        name = m[0][:6].lower()
-        if name.startswith("hidden") and m[1] is None:
-            return True
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if name == "aria-h":
-            if value == "true":
-                return True
-        elif not NOT_CONTENT.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+def _not_content(attributes: str) -> tuple[bool, bool]:
+    """Whether the attributes hide the element, and whether a name in its class,
+    id or role says, in all its parts, that it is never content."""
+    hidden = named = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            hidden = True
+        elif name in ("class", "id", "role") and any(NOT_CONTENT.issuperset(_PARTS.split(x)) for x in value.split()):
+            named = True
+    return hidden, named
 
 
-def tokens(page: str) -> list[tuple[str, str, int, bool, bool]]:
+def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, str, int, bool, bool]]:
     """(feature, text, words, never, inside) in page order. Tags have an empty text;
     ``never`` marks what stands in a part that is no content, ``inside`` what
     stands in ``article`` or ``main`` (their outermost tags do not). Elements left
-    open are closed as HTML does for paragraphs and list items."""
+    open are closed as HTML does for paragraphs and list items. A class, id or
+    role does not take away an element that holds the page's first ``article``
+    or ``main``: such elements (their places are ``spared``) are read again."""
     out: list[tuple[str, str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each begins or lies in a never part
     never, depth = False, 0
+    named: list[tuple[int, int]] = []  # place in the stack and the page of elements named as no content
+    seen: set[str] = set()
     for m in _TOKEN.finditer(page):
         text = m[5]
         if text is not None:
@@ -90,6 +93,7 @@ def tokens(page: str) -> list[tuple[str, str, int, bool, bool]]:
             if at is not None:
                 depth -= sum(x in LABEL for x, _ in stack[at:])
                 del stack[at:]
+                named = [x for x in named if x[0] < at]
                 never = bool(stack) and stack[-1][1]
         else:
             if name in BLOCK or name == "li":
@@ -99,10 +103,21 @@ def tokens(page: str) -> list[tuple[str, str, int, bool, bool]]:
                 between = [x for x, _ in stack[at + 1:]] if at is not None else []
                 if at is not None and not any(x in BLOCK for x in between):
                     del stack[at:]
+                    named = [x for x in named if x[0] < at]
                     never = bool(stack) and stack[-1][1]
             if name not in VOID and not m[4].endswith("/"):
-                apart = never or (name in NEVER and not (name == "header" and any(x in ("article", "main") for x, _ in stack))) or (
-                    bool(m[4]) and name not in ("html", "body", "article", "main") and _not_content(m[4]))
+                if name in LABEL and name not in seen:
+                    seen.add(name)
+                    holders = {at for i, at in named if i < len(stack)}
+                    if holders:
+                        return tokens(page, spared | holders)
+                apart = never or (name in NEVER and not (name == "header" and any(x in ("article", "main") for x, _ in stack)))
+                if m[4] and name not in ("html", "body", "article", "main"):
+                    hidden, by_name = _not_content(m[4])
+                    by_name = by_name and m.start() not in spared
+                    apart = apart or hidden or by_name
+                    if by_name:
+                        named.append((len(stack), m.start()))
                 stack.append((name, apart))
                 never = apart
                 depth += name in LABEL

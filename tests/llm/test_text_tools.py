@@ -257,3 +257,18 @@ def test_articles_nested_in_main_are_inside():
     weights = html_main.learn([page] * 20)
     assert weights["w:p"] > 0 and weights["w:h1"] > 0 and weights["w:div"] < 0
     assert html_main.main_text(page, weights) == f"Title here\n\n{words}\n\n{words}"
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'data-path="/hidden/x"', 'title="the hidden truth"',
+                                        'class="with-sidebar"', 'class="entry-header"', 'class="widget"', 'id="related"'])
+def test_wrappers_of_the_article_stay(attributes):
+    body = "<h1>Title here</h1><p>Some words of the text</p>"
+    text = "Title here\n\nSome words of the text"
+    assert html_main.main_text(f"<div {attributes}><article>{body}</article></div>", html_main.DEFAULT) == text
+
+
+def test_hidden_and_named_parts_go():
+    for part in ("<div hidden>x y</div>", '<div hidden="">x y</div>', '<div aria-hidden="true">x y</div>', "<div class='box Widget'>x y</div>",
+                 '<div id="comments"><article>x y</article></div>'):
+        page = f"<main><article><p>Some words</p></article>{part}<p>and more of them</p></main>"
+        assert html_main.main_text(page, html_main.DEFAULT) == "Some words\n\nand more of them", part
