@@ -40,7 +40,7 @@ NOT_CONTENT = frozenset("ad ads advert adverts advertisement banner breadcrumb b
                         "subscribe toolbar widget complementary contentinfo search".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile("[-_]+")

@@ -272,3 +272,9 @@ def test_hidden_and_named_parts_go():
                  '<div id="comments"><article>x y</article></div>'):
         page = f"<main><article><p>Some words</p></article>{part}<p>and more of them</p></main>"
         assert html_main.main_text(page, html_main.DEFAULT) == "Some words\n\nand more of them", part
+
+
+@pytest.mark.parametrize("icon", ["<svg/>", '<svg class="i" />', "<math/>"])
+def test_self_closed_icons_end_themselves(icon):
+    page = f"<div>{icon}</div><article><p>Some {icon}words</p><svg><text>gone</text></svg></article>"
+    assert html_main.main_text(page, html_main.DEFAULT) == "Some words"
