@@ -10,10 +10,63 @@ partitions of a sort-merge join otherwise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+HOT_SHARE = 1 / 400  # a key with more than this share of the rows is heavy
+PIECES = 16  # pieces of a heavy key per shuffle partition it would fill
+
+
+def _key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(c) for c in keys])
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> dict[int, float]:
+    """Key hash -> share of the rows, for the keys that hold more than
+    ``share`` of ``df``. A frequent-items sketch per partition, merged to one
+    row: its size, and the number of keys that come back, are bounded by the
+    share, whatever the data. A sketch may overrate a key, never miss one."""
+    top = math.ceil(1 / share)
+    row = df.select(_key_hash(keys).alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(k, {top}, {25 * top})").alias("top")).first()
+    return {t["item"]: min(1.0, t["count"] / row["n"]) for t in row["top"] or [] if t["count"] > share * row["n"]}
+
+
+def heavy_groups(groups: DataFrame, keys: Sequence[str], count: str, share: float = HOT_SHARE) -> dict[int, float]:
+    """The same from exact counts per key, where they exist already; at most
+    ``1 / share`` keys can be over the share."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    rows = groups.filter(F.col(count) > share * total).select(_key_hash(keys).alias("k"), F.col(count).alias("c")).collect()
+    return {r["k"]: r["c"] / total for r in rows}
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                hot: dict[int, float] | None = None, pieces: int = PIECES) -> DataFrame:
+    """Join on ``keys`` (inner, left, left_semi or left_anti; the keys appear
+    once) whose heavy keys are spread over all tasks: the left rows of a heavy
+    key are dealt over as many salts as its measured share needs, and its right
+    rows are repeated once per salt. Other keys have one salt and nothing is
+    repeated. ``hot`` is the measure (``heavy_keys`` of the left side by
+    default). A left row has one salt, so no row is met twice. For a right side
+    with few rows per key: the repeats of a heavy key are
+    ``pieces * partitions * share``."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(how)
+    hot = heavy_keys(left, keys) if hot is None else hot
+    if not hot:
+        return left.join(right, list(keys), how)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.create_map(*[F.lit(x) for k, s in hot.items() for x in (k, max(1, math.ceil(pieces * parts * s)))])
+    n_salts = F.coalesce(F.try_element_at(salts, _key_hash(keys)), F.lit(1))
+    plain = [c.name for c in left.schema if isinstance(c.dataType, T.AtomicType)]
+    dealt = left.withColumn("__salt", F.pmod(
+        F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in plain]), n_salts).cast("int"))
+    repeated = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
