@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, html_main, langid, line_dedup, packing, quality, simhash, spm, token_count
+from . import chat, exact, html_main, langid, line_dedup, packing, quality, simhash, spm, token_count, warc
 from .common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,10 +73,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_main_text, op3_line_dedup, op4_simhash, op5_packing, op6_token_counts, op7_chat_format,
-        op8_quality_rules, op9_exact_dedup, op10_sentencepiece)}
+        op8_quality_rules, op9_exact_dedup, op10_sentencepiece, op11_warc)}
 
 
 _NORMAL_LINES = r"""
@@ -150,6 +154,15 @@ SQL = {
         g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op11_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        d AS (SELECT page_id, html, array_to_string(list_transform(range(32), lambda i:
+                     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')
+                     AS payload_digest FROM p),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM d)
+        SELECT page_id, octet_length(encode(html)) AS payload_bytes, payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS verified FROM g""",
 }
 
 
