@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,34 @@ def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[st
         .otherwise(F.col("__prev"))
     res = j.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
     return res.select(*df.columns, out)
+
+
+def numbered(df: DataFrame, key: str, order: Sequence[str | Column], out: str = "row_number",
+             partitions: int | None = None) -> DataFrame:
+    """Position (1, 2, ..) of every row among the rows of its ``key`` in
+    ``order`` (ascending; nulls first), as ``ROW_NUMBER() OVER (PARTITION BY
+    key ORDER BY order)``, without a whole key in one task.
+
+    The rows are range-partitioned on (key, *order), so that a heavy key is
+    split into balanced ranges, numbered inside (range, key) and written once
+    with their range. Only the first key of a range can have begun in an
+    earlier one: its rows so far are a running sum over one row per range,
+    which is broadcast. ``order`` should be total: rows equal in it all fall
+    into one range. A NULL key is a key like any other."""
+    from ..session import write_through
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = df.repartitionByRange(n, F.col(key), *cols).withColumn("__pid", F.spark_partition_id())
+    local = F.row_number().over(Window.partitionBy("__pid", key).orderBy(*cols)).cast("long")
+    ranged = write_through(ranged.withColumn("__i", local), "numbered")
+    ends = ranged.groupBy("__pid").agg(F.min(F.struct(key)).alias("__first"), F.max(F.struct(key, "__i")).alias("__last"))
+    ends = ends.select("__pid", F.col("__first")[key].alias("__first"), F.col("__last")[key].alias("__last"),
+                       F.col("__last")["__i"].alias("__n"))
+    so_far = F.sum("__n").over(Window.partitionBy("__last").orderBy("__pid"))
+    before = Window.orderBy("__pid")  # one row per range
+    ends = ends.withColumn("__n", so_far).select(
+        "__pid", "__first", F.lag("__last").over(before).alias("__plast"), F.lag("__n").over(before).alias("__pn"))
+    ends = ends.where(F.col("__pn").isNotNull() & F.col("__first").eqNullSafe(F.col("__plast")))
+    j = ranged.join(F.broadcast(ends), "__pid", "left")
+    earlier = F.when(F.col("__pn").isNotNull() & F.col(key).eqNullSafe(F.col("__first")), F.col("__pn")).otherwise(0)
+    return j.select(*df.columns, (F.col("__i") + earlier).alias(out))
