@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, html_main, langid, line_dedup, packing, quality, simhash, spm, token_count, warc
+from . import chat, exact, html_main, langid, line_dedup, packing, quality, simhash, spm, token_count, trie, warc
 from .common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -77,10 +77,15 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.spliced(trie.turn_rows(read_table(spark, sf_dir, "conversations"))))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_main_text, op3_line_dedup, op4_simhash, op5_packing, op6_token_counts, op7_chat_format,
-        op8_quality_rules, op9_exact_dedup, op10_sentencepiece, op11_warc)}
+        op8_quality_rules, op9_exact_dedup, op10_sentencepiece, op11_warc,
+        op13_prefix_trie)}
 
 
 _NORMAL_LINES = r"""
@@ -163,6 +168,40 @@ SQL = {
         SELECT page_id, octet_length(encode(html)) AS payload_bytes, payload_digest,
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS verified FROM g""",
+    "op13_prefix_trie": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        d AS (SELECT conv_id, turn, sha256(strlen(role) || ':' || role || text) AS digest,
+                     len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM t),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM d),
+        c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS donor,
+                     xor(4294967295, list_reduce(
+                       [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+                       lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y:
+                         CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 4 AS h
+              FROM r GROUP BY conv_id),
+        p AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS given FROM c LEFT JOIN c o ON o.conv_id = c.donor),
+        seq AS (
+          SELECT p.conv_id, r.pos, digest, words FROM p JOIN r ON r.conv_id = p.donor AND r.pos <= p.given
+          UNION ALL
+          SELECT p.conv_id, p.given + r.pos - p.h, digest, words FROM p JOIN r ON r.conv_id = p.conv_id AND r.pos > p.h),
+        rows AS (
+          SELECT conv_id, 0 AS depth, '' AS path, NULL AS parent, 0 AS words FROM p
+          UNION ALL
+          SELECT conv_id, pos, list_sum_path, coalesce(lag(list_sum_path) OVER w, ''), words
+          FROM (SELECT *, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY pos) AS list_sum_path FROM seq)
+          WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+        ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha
+                 FROM (SELECT conv_id, max_by(path, depth) AS path FROM rows GROUP BY conv_id) GROUP BY path),
+        nodes AS (SELECT path, depth, parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words
+                  FROM rows GROUP BY path, depth, parent),
+        kids AS (SELECT parent, count(*) AS n FROM nodes GROUP BY parent),
+        vals AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (nodes.n_convs - 1) * words AS saved
+                 FROM nodes LEFT JOIN kids ON kids.parent = nodes.path),
+        sums AS (SELECT a.path, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum(v.saved)::BIGINT AS saved_tokens
+                 FROM vals v JOIN rows a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.path)
+        SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens,
+               coalesce(sha, sha256('')) AS ends_sha256
+        FROM vals v JOIN sums USING (path) LEFT JOIN nodes u ON u.path = v.parent LEFT JOIN ends USING (path)""",
 }
 
 
