@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, html_main, langid, line_dedup, packing, quality, simhash, spm, token_count, trie, warc
+from . import chat, crosstok, exact, html_main, langid, line_dedup, packing, quality, simhash, spm, token_count, trie, warc
 from .common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -77,6 +77,11 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
+                          public_tokenizers.path(PIECE_BPE)).withColumnRenamed("id", "doc_id")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.spliced(trie.turn_rows(read_table(spark, sf_dir, "conversations"))))
 
@@ -85,7 +90,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_main_text, op3_line_dedup, op4_simhash, op5_packing, op6_token_counts, op7_chat_format,
         op8_quality_rules, op9_exact_dedup, op10_sentencepiece, op11_warc,
-        op13_prefix_trie)}
+        op12_cross_tokenizer, op13_prefix_trie)}
 
 
 _NORMAL_LINES = r"""
