@@ -3,32 +3,28 @@
 Spark's exact ``percentile`` / ``percentile_disc`` keep a value -> count map
 per group and merge a group's maps in one task, so a group with billions of
 distinct values (a currency holding a third of all orders) does not fit.
-``exact_quantiles`` finds the exact k-th smallest values by histogram
-refinement instead:
-
-1. one aggregate gives n, min and max per group; the wanted ranks follow
-   (interpolated: floor/ceil of q*(n-1); discrete: ceil(q*n)-1);
-2. every pass counts the rows of each open search interval in ``buckets``
-   equal-width buckets (a partial aggregate: its output is groups x ranks x
-   buckets rows, however large the data) and narrows the interval to the
-   bucket holding the rank;
-3. once an interval holds at most ``cap`` rows (or a single distinct value)
-   its values are gathered, sorted and indexed - at most ``cap`` values per
-   (group, rank), never a whole group.
-
-Infinities and NaN (which sorts last) have buckets of their own, and an
-interval's least and greatest finite value always fall into different
-buckets, so every pass narrows every open interval. A NULL group key is a
-group like any other: all joins are null-safe. Inputs of every size take
-this path.
-
-The search state is a small frame (groups x ranks rows) written to the
-shared checkpoint folder each pass; the driver only reads the number of
-open searches. The (group, value) projection is persisted (memory and
-disk; recomputed from lineage if an executor is lost) for the few passes,
-and the result - one row per group - is written there before it is
-released, so the returned frame no longer depends on it. Results equal
-PostgreSQL / DuckDB ``PERCENTILE_CONT`` and ``PERCENTILE_DISC``.
+``exact_quantiles`` selects the exact k-th smallest values in two passes:
+
+1. one aggregate per group gives its size and, from a mergeable quantile sketch
+   of bounded size, a bracket (lo, hi) around every wanted rank;
+2. one aggregate counts the values below, above and at the ends of each bracket
+   and the values inside it, by value. The counts are exact, so the k-th value is read off
+   the values inside, and it does not matter how good the sketch is.
+
+A bracket holds a few ten-thousandths of a group. Where that may still be more
+than ``cap`` distinct values, the second pass only counts, and both passes are
+repeated inside the bracket; so they are where a rank lies beside its bracket,
+on the side where it lies. Every round divides an open interval, and the values
+gathered for one rank stay below the cap, never a whole group. Inputs of every
+size take this path; a group under the bound takes the two passes and nothing
+else.
+
+The brackets (one row per group) are kept in executor memory between the
+passes and recomputed from lineage if an executor is lost; the result, one row
+per group, is written to the shared checkpoint folder, and open searches, if
+there are any, are written beside it. A NULL group key is a group like any
+other. Infinities are values; NaN sorts last. Results equal PostgreSQL / DuckDB
+``PERCENTILE_CONT`` and ``PERCENTILE_DISC``.
 """
 
 from __future__ import annotations
@@ -36,17 +32,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, write_through
 from .joins import null_safe_join
 
-BUCKETS = 4096
-CAP = 50_000
-# Passes an interval of doubles can take at most: each divides its finite
-# range by ``buckets``; beyond it the search would not be making progress.
-MAX_PASSES = 400
+ACCURACY = 10_000  # a sketched rank is off by at most n / ACCURACY
+CAP = 50_000  # distinct values gathered for one rank
+GRID = 256  # sketched ranks of an interval from the second round on
+MAX_ROUNDS = 100  # rounds of an interval before the search counts as stuck
+
+BELOW, AT_LO, INSIDE, AT_HI, ABOVE = range(5)
 
 
 def _keys(by) -> list[str]:
@@ -56,114 +53,133 @@ def _keys(by) -> list[str]:
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by=None, kind: str | Sequence[str] = "cont",
-                    buckets: int = BUCKETS, cap: int = CAP, out_prefix: str | None = None) -> DataFrame:
+                    cap: int = CAP, accuracy: int = ACCURACY, out_prefix: str | None = None) -> DataFrame:
     """Exact percentiles of ``value`` per group: one row per group of ``by``
     with one column per q (named ``{out_prefix or value}_q{i}``). ``kind``
-    is 'cont' (interpolated), 'disc' (discrete) or one of them per q."""
+    is 'cont' (interpolated), 'disc' (discrete) or one of them per q. NULL
+    values do not count; a group without values has no row. ``df`` is read
+    twice: pass a projection of a scan or of a written table."""
     keys = _keys(by)
     ensure_checkpoint_dir(df.sparkSession)
-    src = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull()) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _search(src, keys, value, qs, kind, buckets, cap, out_prefix)
-    finally:
-        src.unpersist()
+    kinds = [kind] * len(qs) if isinstance(kind, str) else list(kind)
+    named = [f"__k{i}" for i in range(len(keys))]  # apart from the names used below
+    src = df.select(*[F.col(c).alias(x) for c, x in zip(keys, named)], F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    # wanted 0-based ranks: per q one (discrete) or two (the ends of the interpolation)
+    targets: list[tuple[int, int, Column]] = []  # (number, q, rank in a group of n)
+    for i, (q, kd) in enumerate(zip(qs, kinds)):
+        h = F.lit(float(q)) * (F.col("n") - 1)
+        if kd == "cont":
+            targets += [(2 * i, i, F.floor(h)), (2 * i + 1, i, F.ceil(h))]
+        elif kd == "disc":
+            targets.append((2 * i, i, F.greatest(F.ceil(F.lit(float(q)) * F.col("n")) - 1, F.lit(0))))
+        else:
+            raise ValueError(kd)
+    found = _first_round(src, named, qs, targets, cap, accuracy)
+    prefix = out_prefix or value
+    out = []
+    for i, (q, kd) in enumerate(zip(qs, kinds)):
+        lo, hi, h = F.col(f"x{2 * i}"), F.col(f"x{2 * i + 1}"), F.lit(float(q)) * (F.col("n") - 1)
+        # equal ends first: between two infinities there is no difference
+        x = lo if kd == "disc" else F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (h - F.floor(h)))
+        out.append(x.alias(f"{prefix}_q{i}"))
+    return found.select(*[F.col(x).alias(c) for c, x in zip(keys, named)], *out)
 
 
-def _finite(v):
-    return ~F.isnan(v) & (F.abs(v) != float("inf"))
+def _cells(rows: DataFrame, by: list[str], intervals: Column, carry: list[str]) -> DataFrame:
+    """The second pass: how many values of ``rows`` (by, __v, carry) lie below,
+    inside and above each of ``intervals`` (an array of i, lo, hi, gather), and at
+    its ends, inside by value where they are gathered. One row per such cell, in order of value
+    with the number of values ``before`` it; NaN has the cell of i = -1. The
+    cells of a group meet in one task: five and the gathered ones per interval."""
 
+    def place(x: Column) -> Column:
+        v = F.col("__v")
+        side = (F.when(v < x["lo"], BELOW).when(v == x["lo"], AT_LO).when(v > x["hi"], ABOVE).when(v == x["hi"], AT_HI)
+                .otherwise(INSIDE))
+        return F.struct(x["i"].alias("i"), side.alias("side"), F.when((side == INSIDE) & x["gather"], F.col("__v")).alias("w"))
 
-def _bucket(v, low, high, buckets: int):
-    """Bucket of ``v`` by equal widths between the finite ``low`` and ``high``,
-    which fall into the first and the last one; below and above them those of
-    the infinities and of NaN. Halves keep the widest range from overflowing."""
-    span = high / 2 - low / 2
-    inner = F.when(span > 0, F.floor((v / 2 - low / 2) / span * buckets)).when(v == high, buckets - 1).otherwise(0)
-    return (F.when(F.isnan(v), buckets + 1).when(v == float("inf"), buckets).when(v == float("-inf"), -1)
-            .otherwise(F.least(inner, F.lit(buckets - 1)))).cast("int")
+    nan = F.array(F.struct(F.lit(-1).alias("i"), F.lit(ABOVE).alias("side"), F.lit(None).cast("double").alias("w")))
+    each = rows.select(*by, *carry, "__v", F.explode(F.when(F.isnan(F.col("__v")), nan).otherwise(F.transform(intervals, place))).alias("x"))
+    cells = each.groupBy(*by, F.col("x.i").alias("i"), F.col("x.side").alias("side"), F.col("x.w").alias("w")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("__v").alias("mn"), F.max("__v").alias("mx"), *[F.max(c).alias(c) for c in carry])
+    cells = cells.repartition(*by) if by else cells.repartition(1)
+    order = Window.partitionBy(*by, "i").orderBy("side", "w").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
 
 
-def _search(src: DataFrame, keys: list[str], value: str, qs: Sequence[float], kind, buckets: int,
-            cap: int, out_prefix: str | None) -> DataFrame:
-    kinds = [kind] * len(qs) if isinstance(kind, str) else list(kind)
-    stats = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"),
-                                   F.max("__v").alias("__max"),
-                                   F.min(F.when(_finite(F.col("__v")), F.col("__v"))).alias("__fmin"),
-                                   F.max(F.when(_finite(F.col("__v")), F.col("__v"))).alias("__fmax"))
-    # wanted 0-based ranks per group; tid identifies (q index, lower/upper)
-    targets = []
-    for i, (q, kd) in enumerate(zip(qs, kinds)):
-        if kd == "cont":
-            h = F.lit(float(q)) * (F.col("__n") - 1)
-            targets.append((2 * i, F.floor(h)))
-            targets.append((2 * i + 1, F.ceil(h)))
-        elif kd == "disc":
-            targets.append((2 * i, F.greatest(F.ceil(F.lit(float(q)) * F.col("__n")) - 1, F.lit(0))))
-        else:
-            raise ValueError(kind)
-    tarr = F.array(*[F.struct(F.lit(t).alias("tid"), k.cast("long").alias("k")) for t, k in targets])
-    state = stats.select(*keys, "__n", F.explode(tarr).alias("__t"), F.col("__min").alias("lo"),
-                         F.col("__max").alias("hi"), F.col("__fmin").alias("flo"), F.col("__fmax").alias("fhi")).select(
-        *keys, "__n", F.col("__t.tid").alias("tid"), F.col("__t.k").alias("k"), "lo", "hi", "flo", "fhi",
-        F.lit(0).cast("long").alias("below"), F.col("__n").alias("cnt"),
-        F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("found"))
-    state = write_through(state, "quantile-state")
-
-    def open_searches(st: DataFrame) -> DataFrame:
-        return st.filter(F.col("found").isNull() & (F.col("cnt") > cap))
-
-    passes = 0
-    while open_searches(state).limit(1).count() > 0:
-        passes += 1
-        if passes > MAX_PASSES:
-            raise RuntimeError("quantile search makes no progress")
-        # searches of a group that share an interval share its histogram, so
-        # a row is counted once per interval, not once per wanted rank
-        act = open_searches(state).select(*keys, "lo", "hi", "flo", "fhi").distinct()
-        j = null_safe_join(src, act, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-        b = _bucket(F.col("__v"), F.col("flo"), F.col("fhi"), buckets)
-        hist = j.groupBy(*keys, "lo", "hi", b.alias("bucket")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("__v").alias("bmin"), F.max("__v").alias("bmax"))
-        w = Window.partitionBy(*keys, "lo", "hi").orderBy("bucket")  # <= buckets rows per interval
-        hist = hist.withColumn("cum_before", F.sum("c").over(w) - F.col("c"))
-        prev = open_searches(state).select(*keys, "tid", "k", "below", "lo", "hi")
-        hit = null_safe_join(hist, prev, keys + ["lo", "hi"]).filter(
-            (F.col("below") + F.col("cum_before") <= F.col("k"))
-            & (F.col("k") < F.col("below") + F.col("cum_before") + F.col("c"))).select(
-            *keys, "tid", F.col("bmin").alias("n_lo"), F.col("bmax").alias("n_hi"),
-            (F.col("below") + F.col("cum_before")).alias("n_below"), F.col("c").alias("n_cnt"))
-        upd = null_safe_join(state, hit, keys + ["tid"], "left")
-        state = upd.select(
-            *keys, "__n", "tid", "k",
-            F.coalesce("n_lo", "lo").alias("lo"), F.coalesce("n_hi", "hi").alias("hi"),
-            F.coalesce("n_lo", "flo").alias("flo"), F.coalesce("n_hi", "fhi").alias("fhi"),
-            F.coalesce("n_below", "below").alias("below"), F.coalesce("n_cnt", "cnt").alias("cnt"),
-            F.coalesce("found", F.when(F.col("n_lo") == F.col("n_hi"), F.col("n_lo"))).alias("found"),
-        )
-        state = write_through(state, "quantile-state")
+def _hit(k: Column) -> Column:
+    return (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
 
-    # gather the (<= cap) values of every interval still open, once per
-    # interval, and index them for each rank that points into it
-    rest = state.filter(F.col("found").isNull())
-    iv = rest.select(*keys, "lo", "hi").distinct()
-    j = null_safe_join(src, iv, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
-    lists = j.groupBy(*keys, "lo", "hi").agg(F.sort_array(F.collect_list("__v")).alias("__vals"))
-    picked = null_safe_join(rest.select(*keys, "tid", "k", "below", "lo", "hi"), lists, keys + ["lo", "hi"]).select(
-        *keys, "tid", F.element_at("__vals", (F.col("k") - F.col("below") + 1).cast("int")).alias("__x"))
-    vals = null_safe_join(state, picked, keys + ["tid"], "left").select(
-        *keys, "__n", "tid", F.coalesce("found", "__x").alias("__x"))
 
-    prefix = out_prefix or value
-    aggs = []
-    for i, (q, kd) in enumerate(zip(qs, kinds)):
-        lo = F.max(F.when(F.col("tid") == 2 * i, F.col("__x")))
-        if kd == "disc":
-            aggs.append(lo.alias(f"{prefix}_q{i}"))
-        else:
-            hi = F.max(F.when(F.col("tid") == 2 * i + 1, F.col("__x")))
-            h = F.lit(float(q)) * (F.max("__n") - 1)
-            frac = h - F.floor(h)
-            # equal ends first: between two infinities there is no difference
-            aggs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac).alias(f"{prefix}_q{i}"))
-    return write_through(vals.groupBy(*keys).agg(*aggs), "quantiles")
+def _read_off(k: Column) -> Column:
+    """The value of rank ``k`` in the cell that holds it, NULL where the cell
+    has several values and ``k`` is neither the first nor the last of them."""
+    return (F.when(F.col("mn") == F.col("mx"), F.col("mn")).when(k == F.col("before"), F.col("mn"))
+            .when(k == F.col("before") + F.col("c") - 1, F.col("mx")))
+
+
+def _open(number, k: Column) -> Column:
+    return F.struct(F.lit(number).alias("tid") if isinstance(number, int) else number.alias("tid"),
+                    (k - F.col("before")).cast("long").alias("k"), F.col("mn").alias("lo"), F.col("mx").alias("hi"))
+
+
+def _first_round(src: DataFrame, keys: list[str], qs: Sequence[float], targets: list, cap: int, accuracy: int) -> DataFrame:
+    """(keys, n, x of every target) of all groups."""
+    ends = [F.lit(min(1.0, max(0.0, q + d / accuracy))) for q in qs for d in (-2, 2)]
+    real = F.when(~F.isnan(F.col("__v")), F.col("__v"))
+    brackets = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.isnan(F.col("__v"))).alias("n_nan"), F.percentile_approx(
+        real, F.array(*ends), accuracy).alias("b")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        brackets.count()  # its size is known from here on: Spark broadcasts it if it is small
+        gather = F.col("n") * 8 / accuracy + 8 <= cap
+        intervals = F.array(*[F.struct(F.lit(i).alias("i"), F.col("b")[2 * i].alias("lo"), F.col("b")[2 * i + 1].alias("hi"), gather.alias("gather"))
+                              for i in range(len(qs))])
+        cells = _cells(null_safe_join(src, brackets, keys), keys, intervals, ["n", "n_nan"])
+        real_n = F.col("n") - F.col("n_nan")
+        values, searches = [], []
+        for t, i, k in targets:
+            k = k.cast("long")
+            here = (F.col("i") == i) & _hit(k)
+            values.append(F.max(F.when(k >= real_n, float("nan")).when(here, _read_off(k))).alias(f"x{t}"))
+            searches.append(F.when(here & (k < real_n) & _read_off(k).isNull(), _open(t, k)))
+        cells = cells.withColumn("s", F.filter(F.array(*searches), lambda x: x.isNotNull()))
+        found = cells.groupBy(*keys).agg(F.max("n").alias("n"), *values, F.flatten(F.collect_list("s")).alias("open"))
+        seen = Observation()
+        found = write_through(found.observe(seen, F.sum(F.size("open")).alias("open")), "quantiles")
+    finally:
+        brackets.unpersist()
+    if not seen.get.get("open"):
+        return found
+    late = _later_rounds(src, keys, found.select(*keys, F.inline("open")), cap, accuracy)
+    late = late.groupBy(*keys).agg(*[F.max(F.when(F.col("tid") == t, F.col("x"))).alias(f"late{t}") for t, _, _ in targets])
+    return null_safe_join(found, late, keys, "left").select(
+        *keys, "n", *[F.coalesce(f"x{t}", f"late{t}").alias(f"x{t}") for t, _, _ in targets])
+
+
+def _later_rounds(src: DataFrame, keys: list[str], state: DataFrame, cap: int, accuracy: int) -> DataFrame:
+    """(keys, tid, x) of the open searches ``state`` (keys, tid, k, lo, hi):
+    rank ``k`` of the values from lo to hi."""
+    by, done = [*keys, "tid"], []
+    grid = F.array(*[F.lit(g / GRID) for g in range(GRID + 1)])
+    for _ in range(MAX_ROUNDS):
+        state = write_through(state, "quantile-state")
+        rows = null_safe_join(src, state, keys).filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi"))).select(*by, "k", "__v")
+        sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"),
+                                       F.percentile_approx("__v", grid, accuracy).alias("g"))
+        at = F.col("k") / F.col("n") * GRID
+        brackets = write_through(sketch.select(
+            *by, "n", "k", F.element_at("g", F.greatest(F.floor(at) - 1, F.lit(0)).cast("int") + 1).alias("lo"),
+            F.element_at("g", F.least(F.ceil(at) + 2, F.lit(GRID)).cast("int") + 1).alias("hi")), "quantile-state")
+        gather = F.col("n") * 8 / GRID <= cap
+        one = F.array(F.struct(F.lit(0).alias("i"), F.col("lo"), F.col("hi"), gather.alias("gather")))
+        cells = _cells(null_safe_join(rows.drop("k"), brackets, by), by, one, ["k"])
+        k = F.col("k")
+        hits = write_through(cells.where(_hit(k)).select(*by, _read_off(k).alias("x"), _open(F.col("tid"), k).alias("s")), "quantile-state")
+        done.append(hits.where("x is not null").select(*by, "x"))
+        state = hits.where("x is null").select(*keys, "s.*")
+        if state.isEmpty():
+            out = done[0]
+            for d in done[1:]:
+                out = out.unionByName(d)
+            return out
+    raise RuntimeError("quantile search makes no progress")
