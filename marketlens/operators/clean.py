@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import col_
+from .duplicates import drop_repeats
 from .joins import null_safe_join
 
 
@@ -91,11 +92,12 @@ def contains_all(c, words: Sequence[str]) -> Column:
 
 
 def drop_full_duplicates(df: DataFrame) -> DataFrame:
-    """Q9: ``drop_duplicates()`` (hash aggregate on all columns, partial)."""
-    return df.distinct()
+    """Q9: ``drop_duplicates()``: only rows whose digest occurs twice are
+    shuffled and compared (see ``duplicates``). ``df`` is read twice."""
+    return drop_repeats(df)
 
 
-def dedupe_keep_first(df: DataFrame, subset: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def dedupe_keep_first(df: DataFrame, subset: Sequence[str], order_by: Sequence[str], rare: bool = False) -> DataFrame:
     """Q10: ``drop_duplicates(subset, keep='first')`` with "first" made
     deterministic: of the rows of a key, the one with the smallest ``order_by``
     values stays; ties go to the smallest hash of the other columns, equal

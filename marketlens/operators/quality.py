@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .duplicates import distinct_rows
+
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing: bool = False) -> DataFrame:
     """Q1/Q3/Q4: NULL count and percent per column (``isna().sum()``,
@@ -40,13 +42,8 @@ def marker_counts(df: DataFrame, cols: Sequence[str], marker: str) -> DataFrame:
 
 def duplicate_counts(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Q6/Q8: rows, distinct rows (or distinct keys) and the duplicate count.
-    Distinct counting groups equal rows map-side first, so it scales with
-    the number of distinct rows, not with the size of one duplicated group."""
-    src = df.select(*keys) if keys else df
-    distinct_n = src.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
-    return total.crossJoin(distinct_n).select(
-        "rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicates"))
+    Only rows whose digest occurs twice are shuffled and compared."""
+    return distinct_rows(df, keys).select("rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicates"))
 
 
 def duplicated_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

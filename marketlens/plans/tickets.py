@@ -38,7 +38,7 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
     t = Tables(spark, sf_dir)
     raw = S.ticket_orders(t)
     capped = cap_by_group_percentile(raw, "revenue", "currency_code", 0.99, CURRENCIES, accuracy)
-    dedup = dedupe_keep_first(capped, TICKET_DUP_SUBSET, ["order_id"])
+    dedup = dedupe_keep_first(capped, TICKET_DUP_SUBSET, ["order_id"], rare=True)
     j = join_unique(dedup, S.tenge_rates(t), "created_dt_msk", "data", "curs")
     rub = F.when(F.col("currency_code") == "rub", F.col("revenue")).otherwise(
         F.col("revenue") * F.col("curs") / 100)
