@@ -46,10 +46,10 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     page; an empty table stays empty; a column of the caller's named
     ``lines_dropped`` is replaced."""
     rows = with_row_id(docs)
-    found = boilerplate_lines(rows, text_col, host_col, **limits).select(FILE, ROW, F.col("dropped_hashes").alias("__dropped"))
+    found = boilerplate_lines(rows, text_col, host_col, **limits).select(FILE, ROW, F.col("dropped_hashes").alias("__llm_dropped"))
     out = rows.join(found.hint("shuffle_hash"), [FILE, ROW], "left")
-    out = out.withColumn("__clean", F.when(F.col("__dropped").isNull(), quoted(text_col))
-                         .otherwise(without_lines(quoted(text_col), F.col("__dropped"))))
-    gone = F.when(F.col("__dropped").isNull(), 0).otherwise(n_marked_lines(quoted(text_col), F.col("__dropped")))
-    cols = [F.col("__clean").alias(c) if c == text_col else quoted(c) for c in docs.columns if c != "lines_dropped"]
+    out = out.withColumn("__llm_clean", F.when(F.col("__llm_dropped").isNull(), quoted(text_col))
+                         .otherwise(without_lines(quoted(text_col), F.col("__llm_dropped"))))
+    gone = F.when(F.col("__llm_dropped").isNull(), 0).otherwise(n_marked_lines(quoted(text_col), F.col("__llm_dropped")))
+    cols = [F.col("__llm_clean").alias(c) if c == text_col else quoted(c) for c in docs.columns if c != "lines_dropped"]
     return out.select(*cols, gone.cast("long").alias("lines_dropped"))

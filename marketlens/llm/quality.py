@@ -1,16 +1,12 @@
 """Quality rules: base counts of a text, and cross-document line frequency.
 
 A line is hashed in normalised form, and per host the distinct documents that
-hold it are counted. A group of copies is not boilerplate: texts that are equal
-without white space and case count once, and so do near copies. Lines above
-the limits are removed, and a document that is depleted by that is rejected.
-DataFrame functions only.
-
-Near copies matter only among the documents that hold a line of more than the
-allowed number of different texts. Of each such text the smallest hashes of its
-5-word windows are a sketch; a text is compared with the first text that has one
-of its few smallest hashes, and linked if the sketches agree in 7 of 8 hashes.
-The components of the links are the classes that count once.
+hold it are counted; texts that are equal without white space and case are one
+document. A line above the limits stays in the first document that holds it, in
+one fixed order of the documents of all hosts, and is removed from the others;
+a document that is depleted by that is rejected. So a group of near copies,
+however edited, keeps one member whole, while pages that consist of a common
+frame lose it, all but one. DataFrame functions only, and no text moves.
 """
 
 from __future__ import annotations
@@ -18,21 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.operators.joins import heavy_groups, salted_join
 from marketlens.session import write_through
 
 from .common import FILE, ROW, quoted, with_row_id
 from .lines import WHITE, WORD, normal_lines, without_lines
-from .simhash import components
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_DOCS = 30  # a line in at most so many documents of a host is never removed
 MAX_SHARE = 0.001  # nor one in at most this share of the host's documents
+REMOVED, CLEAN = "__llm_removed", "__llm_clean"
 MIN_LEFT = 0.3  # a document keeps at least this share of its words
-SKETCH = 128  # smallest window hashes of a text, and
-KEYS = 8  # how many of them it is compared by
-NEAR = 7 / 8  # share of the sketch that near copies have in common
 
 
 def _window_hashes(words: Column, n: Column) -> Column:
@@ -77,21 +71,10 @@ def base_counts(rows: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.col("__at").isNotNull(), _span(F.col("__at"))), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def near_classes(docs: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text_key, class) of the texts that have near copies among ``texts``
-    (text_key, FILE, ROW: one row of ``docs`` for each text)."""
-    texts = write_through(texts, "candidates")  # its size decides how the join is done
-    found = with_row_id(docs).select(FILE, ROW, F.lower(F.coalesce(quoted(text_col), F.lit(""))).alias("t")).join(texts, [FILE, ROW])
-    found = found.withColumn("w", F.regexp_extract_all("t", F.lit(WORD + "+"), F.lit(0))).withColumn("n", F.size("w"))
-    hashes = F.array_distinct(_window_hashes(F.col("w"), F.col("n")))
-    nodes = write_through(found.select("text_key", F.slice(F.sort_array(hashes), 1, SKETCH).alias("sketch")), "sketches")
-    keys = nodes.select("text_key", F.explode(F.slice("sketch", 1, KEYS)).alias("k"))
-    first = keys.groupBy("k").agg(F.min("text_key").alias("v"))
-    pairs = keys.join(first, "k").where("text_key != v").select(F.col("text_key").alias("u"), "v").distinct()
-    pairs = (pairs.join(nodes.select(F.col("text_key").alias("u"), F.col("sketch").alias("a")), "u")
-             .join(nodes.select(F.col("text_key").alias("v"), F.col("sketch").alias("b")), "v"))
-    near = F.size(F.array_intersect("a", "b")) >= NEAR * F.greatest(F.size("a"), F.size("b"))
-    return components(pairs.where(near).select("u", "v")).select(F.col("node").alias("text_key"), F.col("label").alias("class"))
+def text_key(text: Column) -> Column:
+    """60 bits of a digest of the text without white space and case: the same
+    for texts that count as one document, and their fixed order."""
+    return F.conv(F.substring(F.md5(F.lower(F.regexp_replace(text, WHITE, "")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -100,11 +83,14 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base_failed, kept, words_left, removed_lines).
 
     Null text has no words and fails the base rule; a null host is the host
-    named by the empty string. A line is removed when more than ``max_docs``
-    different documents of its host hold it, and more than ``max_share`` of
-    them; copies and near copies are one document. ``removed_lines`` holds the hashes of the document's
+    named by the empty string. A line is over the limits when more than
+    ``max_docs`` different documents of its host hold it, and more than
+    ``max_share`` of them. It stays where the document with the smallest
+    ``text_key`` of those holders stands (in all its copies) and is removed
+    from the rest. ``removed_lines`` holds the hashes of the document's
     removed lines (null: none). Repeated rows get the same verdict; an empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored, but names that
+    begin with ``__llm_`` are the operator's.
     """
     docs = with_row_id(docs)
     rows = docs.select(
@@ -113,23 +99,17 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prof = base_counts(rows)
     lines = F.transform(normal_lines(F.col("__text")), lambda x: F.struct(
         F.xxhash64(x).alias("h"), F.size(F.split(x, " ", -1)).alias("w")))
-    key = F.xxhash64(F.lower(F.regexp_replace("__text", WHITE, "")))
-    prof = write_through(prof.withColumn("lines", lines).withColumn("text_key", key).drop("__text"), "profile")
+    prof = write_through(prof.withColumn("lines", lines).withColumn("text_key", text_key(F.col("__text"))).drop("__text"), "profile")
 
     held = prof.select(FILE, ROW, "host", "text_key", F.inline("lines"))
-    texts_of_line = held.select("host", "h", "text_key").distinct().groupBy("host", "h").agg(F.count("*").alias("n_texts"))
-    frequent = write_through(texts_of_line.where(F.col("n_texts") > max_docs).select("host", "h"), "frequent")
-    holders = write_through(held.select("host", "h", "text_key", FILE, ROW).join(frequent, ["host", "h"], "left_semi")
-                            .groupBy("host", "h", "text_key").agg(F.min(F.struct(FILE, ROW)).alias("at")), "holders")
-    one = holders.groupBy("text_key").agg(F.min("at").alias("at"))
-    near = near_classes(docs, one.select("text_key", F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{ROW}").alias(ROW)), text_col)
-    class_of = F.coalesce("class", "text_key").alias("class")
-    docs_of_line = (holders.join(near, "text_key", "left").select("host", "h", class_of).distinct()
-                    .groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs))
-    hosts = (prof.select("host", "text_key").distinct().join(near, "text_key", "left").select("host", class_of).distinct()
-             .groupBy("host").agg(F.count("*").alias("host_docs")))
-    above = (docs_of_line.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h"))
-    lost = (held.join(above, ["host", "h"]).groupBy(FILE, ROW)
+    # one row per document and line, then one per line: a line that every page has is combined before it moves
+    per_line = held.groupBy("host", "h", "text_key").agg(F.count("*").alias("n")).groupBy("host", "h").agg(
+        F.count("*").alias("n_docs"), F.sum("n").alias("n_rows"), F.min("text_key").alias("first")).where(F.col("n_docs") > max_docs)
+    hosts = prof.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    above = write_through(per_line.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs"))
+                          .select("host", "h", "first", "n_rows"), "frequent")
+    hot = heavy_groups(above, ["host", "h"], "n_rows")
+    lost = (salted_join(held, above.drop("n_rows"), ["host", "h"], hot=hot).where("text_key != first").groupBy(FILE, ROW)
             .agg(F.sum("w").alias("lost"), F.collect_set("h").alias("removed_lines")))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
@@ -142,15 +122,17 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   chars_col: str = "n_chars", **limits) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; lines above
-    the limits are gone from the text (and from ``chars_col``, if there is one)."""
+    the limits are gone from the text (and from ``chars_col``, if there is one).
+    Null, empty and repeated rows as in ``quality_verdicts``; names of columns
+    that begin with ``__llm_`` are the operator's."""
     rows = with_row_id(docs)
     verdict = (quality_verdicts(rows, id_col, text_col, host_col, **limits).where("kept")
-               .select(FILE, ROW, F.col("removed_lines").alias("__removed")))
+               .select(FILE, ROW, F.col("removed_lines").alias(REMOVED)))
     out = rows.join(verdict.hint("shuffle_hash"), [FILE, ROW])
-    out = out.withColumn("__clean", F.when(F.col("__removed").isNull(), quoted(text_col))
-                         .otherwise(without_lines(quoted(text_col), F.col("__removed"))))
-    cols = [F.col("__clean").alias(c) if c == text_col
-            else F.when(F.col("__removed").isNull(), quoted(c)).otherwise(
-                F.length("__clean").cast(docs.schema[c].dataType)).alias(c) if c == chars_col else quoted(c)
+    out = out.withColumn(CLEAN, F.when(F.col(REMOVED).isNull(), quoted(text_col))
+                         .otherwise(without_lines(quoted(text_col), F.col(REMOVED))))
+    cols = [F.col(CLEAN).alias(c) if c == text_col
+            else F.when(F.col(REMOVED).isNull(), quoted(c)).otherwise(
+                F.length(CLEAN).cast(docs.schema[c].dataType)).alias(c) if c == chars_col else quoted(c)
             for c in docs.columns]
     return out.select(*cols)

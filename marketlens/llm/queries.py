@@ -148,11 +148,14 @@ SQL = {
                  coalesce(n_repeat_words, 0) AS n_repeat_words
           FROM w LEFT JOIN span USING (doc_id) LEFT JOIN dup USING (doc_id)),
         lines AS ({_NORMAL_LINES}),
-        hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-        above AS (SELECT l.host, l.line FROM lines l JOIN hosts h USING (host) GROUP BY l.host, l.line, h.n
-                  HAVING count(DISTINCT l.text) > 30 AND count(DISTINCT l.text) > 0.001 * h.n),
+        keys AS (SELECT doc_id, host, ('0x' || substr(md5(lower(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))), 1, 15))::BIGINT AS key FROM d),
+        hosts AS (SELECT host, count(DISTINCT key) AS n FROM keys GROUP BY host),
+        above AS (SELECT l.host, l.line, min(key) AS first FROM lines l JOIN keys USING (doc_id) JOIN hosts h ON h.host = l.host
+                  GROUP BY l.host, l.line, h.n
+                  HAVING count(DISTINCT key) > 30 AND count(DISTINCT key) > 0.001 * h.n),
         lost AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS lost
-                 FROM lines l JOIN above a ON l.host = a.host AND l.line = a.line GROUP BY l.doc_id),
+                 FROM lines l JOIN above a ON l.host = a.host AND l.line = a.line JOIN keys k ON k.doc_id = l.doc_id AND k.key <> a.first
+                 GROUP BY l.doc_id),
         v AS (SELECT base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                      (n_words - coalesce(lost, 0))::BIGINT AS words_left FROM base LEFT JOIN lost USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
