@@ -6,15 +6,18 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_round
 from ..operators.clean import normalize_headers, replace_text, to_number, to_timestamp_text
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_through
 from ..sources import standins as S
 from ..sources.files import read_csv, read_dirty_csv, read_table, row_count
+from ..sources.infer import read_csv_inferred
 from ..sources.tables import Tables
+from ..sources.zipped import read_zip_csv
 
 
 def _as_csv(spark: SparkSession, df: DataFrame, **options) -> str:
@@ -62,6 +65,59 @@ def csv_gzip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .alias("hour")).agg(F.count(F.lit(1)).alias("events"))
 
 
+def zip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: zip archives, one per part of the events, each with two CSV members
+    whose timestamp column is parsed while reading: events and first event per
+    kind of member and hour."""
+    src = Tables(spark, sf_dir).events.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_dt"), "event_type", "user_id")
+    rows = read_zip_csv(spark, _as_zips(spark, src), "event_dt timestamp, event_type string, user_id bigint",
+                        timestamp_format="yyyy-MM-dd HH:mm:ss")
+    return rows.groupBy(F.element_at(F.split("member", "/"), -1).alias("member"), F.hour("event_dt").cast("bigint").alias("hour")).agg(
+        F.count("event_dt").alias("events"), F.count_distinct("user_id").alias("users"),
+        F.date_format(F.min("event_dt"), "yyyy-MM-dd HH:mm:ss").alias("first_event"))
+
+
+def _as_zips(spark: SparkSession, df: DataFrame) -> list[str]:
+    """The rows as zip archives under the checkpoint folder, written by the
+    tasks: members ``even.csv`` and ``odd.csv`` by user."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketlens-tmp/{spark.sparkContext.applicationId}/zip-{uuid.uuid4().hex}"
+
+    def write(batches):
+        import io
+        import zipfile
+
+        from pyarrow import csv, fs
+        from pyarrow import compute as pc
+        system, place = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
+        system.create_dir(place, recursive=True)
+        for b in batches:
+            name = f"{uuid.uuid4().hex}.zip"
+            odd = pc.equal(pc.bit_wise_and(b.column("user_id"), 1), 1)
+            with system.open_output_stream(f"{place}/{name}", compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for member, keep in (("even", pc.invert(odd)), ("odd", odd)):
+                    text = io.BytesIO()
+                    csv.write_csv(b.filter(keep), text)
+                    z.writestr(f"{member}.csv", text.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    return [r["path"] for r in write_through(df.mapInArrow(write, "path string"), "zips").collect()]
+
+
+def csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of a header CSV of text, found in one scan: per column its
+    type and the cells that it does not read, strictly and with 5 % tolerated."""
+    o, k = Tables(spark, sf_dir).orders, F.col("o_orderkey")
+    src = o.select(
+        k, "o_totalprice", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("moment"),
+        F.when(k % 50 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise((k % 2 == 0).cast("string")).alias("even"))
+    path = _as_csv(spark, src)
+    strict, loose = (read_csv_inferred(spark, path, tolerate=x)[1] for x in (0.0, 0.05))
+    return strict.join(loose.select("position", F.col("type").alias("type_loose"), F.col("n_bad").alias("n_bad_loose")), "position").select(
+        "position", "column", "type", "n_rows", "n_null", "n_bad", "type_loose", "n_bad_loose")
+
+
 def csv_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to timestamp without a format (bad text is NULL): orders per
     month, and those whose text is no date."""

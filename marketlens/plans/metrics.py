@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import numeric_round
+from ..operators import bitmaps as B
 from ..operators import metrics as M
+from ..session import shared_table
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -53,6 +55,35 @@ def retention_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
                     numeric_round("retention_rate", 6).alias("retention_rate"))
 
 
+def _food_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users per day as bitmaps, written once for all three reports below."""
+    return shared_table(spark, f"food_bitmaps:{sf_dir}", lambda: B.day_bitmaps(_food(spark, sf_dir), "user_id", "ts"))
+
+
+def dau_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 from the bitmaps: distinct users per day, and of the seven days up to it."""
+    bits = _food_bitmaps(spark, sf_dir)
+    week = bits.select("bucket", "bits", F.explode(F.sequence("day", F.date_add("day", 6))).alias("day")).join(
+        bits.select("day").distinct(), "day", "left_semi")
+    d = B.dau_of(bits).join(B.users_of(week, ["day"], "wau"), "day")
+    return d.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "dau", "wau")
+
+
+def retention_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5/M6 from the bitmaps, one common cohort and calendar months."""
+    bits = _food_bitmaps(spark, sf_dir)
+    r = B.retention_of(bits).unionByName(B.retention_of(bits, "month"))
+    return r.select("cohort", "day_offset", "cohort_size", "retained_users",
+                    numeric_round("retention_rate", 6).alias("retention_rate"))
+
+
+def overlap_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U2/U3/X2 from bitmaps per event type: viewers and buyers."""
+    bits = shared_table(spark, f"event_bitmaps:{sf_dir}",
+                        lambda: B.day_bitmaps(_food(spark, sf_dir), "user_id", "ts", ["event"]))
+    return B.overlap_of(bits, "event", "view", "purchase")
+
+
 # ------------------------------------------------------------------ conference talks
 
 def _talks(spark, sf_dir) -> DataFrame:

@@ -111,6 +111,9 @@ def all_queries() -> dict[str, QueryFn]:
         "ltv_top_dishes": metrics.ltv_top_dishes,
         "retention": metrics.retention,
         "retention_monthly": metrics.retention_monthly,
+        "dau_bitmaps": metrics.dau_bitmaps,
+        "retention_bitmaps": metrics.retention_bitmaps,
+        "overlap_bitmaps": metrics.overlap_bitmaps,
         "talk_counts": metrics.talk_counts,
         "talk_by_conference": metrics.talk_by_conference,
         "talk_filter": metrics.talk_filter,
@@ -122,6 +125,8 @@ def all_queries() -> dict[str, QueryFn]:
         "csv_row_counts": intake.csv_row_counts,
         "csv_dirty_funding": intake.csv_dirty_funding,
         "csv_gzip_events": intake.csv_gzip_events,
+        "zip_events": intake.zip_events,
+        "csv_inferred": intake.csv_inferred,
         "csv_text_dates": intake.csv_text_dates,
         "catalog_orders": intake.catalog_orders,
     }
