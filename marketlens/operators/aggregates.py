@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import safe_div
 
 
+MAX_PIVOT = 2000  # columns of a wide table
+
+
 def _keys(by) -> list[str]:
     if by is None:
         return []
@@ -117,9 +120,16 @@ def sorted_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def pivot_sum(df: DataFrame, index: str | Sequence[str], columns: str, values: str,
-              column_values: Sequence, fill: float = 0.0) -> DataFrame:
-    """``pivot_table(index, columns, values, 'sum', fill_value=0)``.
-    The column values are passed in, so Spark runs no extra job to find them."""
+              column_values: Sequence | None = None, fill: float = 0.0) -> DataFrame:
+    """``pivot_table(index, columns, values, 'sum', fill_value=0)``. The
+    columns are the values found in the data, in order (one more job, which
+    reads that column alone; more than ``MAX_PIVOT`` of them are an error), or
+    those passed in. NULL is no column."""
+    if column_values is None:
+        found = df.select(columns).where(F.col(columns).isNotNull()).distinct().limit(MAX_PIVOT + 1).collect()
+        if len(found) > MAX_PIVOT:
+            raise ValueError(f"more than {MAX_PIVOT} values of {columns}")
+        column_values = sorted(r[0] for r in found)
     return (df.groupBy(*_keys(index)).pivot(columns, list(column_values)).agg(F.sum(values))
               .na.fill(fill, subset=[str(v) for v in column_values]))
 

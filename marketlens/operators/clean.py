@@ -93,7 +93,8 @@ def contains_all(c, words: Sequence[str]) -> Column:
 
 def drop_full_duplicates(df: DataFrame) -> DataFrame:
     """Q9: ``drop_duplicates()``: only rows whose digest occurs twice are
-    shuffled and compared (see ``duplicates``). ``df`` is read twice."""
+    shuffled and compared (see ``duplicates``). ``df`` is read more than once:
+    pass a scan or a written table."""
     return drop_repeats(df)
 
 

@@ -63,7 +63,9 @@ def marked_repeats(df: DataFrame, cols: Sequence[str], out: str = "maybe_repeate
 def drop_repeats(df: DataFrame, cols: Sequence[str] | None = None, pick=None) -> DataFrame:
     """Rows without duplicates in ``cols`` (default all columns). ``pick``
     takes the rows that may repeat and returns those that stay; by default
-    equal rows become one. A row no wider than its digest is not digested."""
+    equal rows become one. A row no wider than its digest is not digested.
+    ``df`` is read three times, the last two times only where it is kept or
+    compared: pass a scan or a written table."""
     cols = list(cols or df.columns)
     pick = pick or (lambda rows: rows.distinct())
     if _width(df, cols) <= DIGEST_BYTES:

@@ -417,12 +417,19 @@ CTE["s_clean"] = """s_raw AS (
                 THEN strftime(CAST(o.o_orderdate AS DATE) + CAST(l.l_partkey % 60 AS INTEGER), '%Y-%m-%d') END
              AS mid_funding_at,
            strftime(l.l_shipdate, '%Y-%m-%d') AS last_funding_at,
-           CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN l_extendedprice ELSE 0.0 END AS seed,
-           CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS venture,
-           CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN l_extendedprice ELSE 0.0 END AS angel,
-           CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS debt_financing,
-           CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN l_extendedprice ELSE 0.0 END AS private_equity,
-           CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS grant
+           CASE WHEN l_suppkey % 13 = 0 THEN l_extendedprice ELSE 0.0 END AS seed,
+           CASE WHEN l_suppkey % 13 = 1 THEN l_extendedprice ELSE 0.0 END AS venture,
+           CASE WHEN l_suppkey % 13 = 2 THEN l_extendedprice ELSE 0.0 END AS equity_crowdfunding,
+           CASE WHEN l_suppkey % 13 = 3 THEN l_extendedprice ELSE 0.0 END AS undisclosed,
+           CASE WHEN l_suppkey % 13 = 4 THEN l_extendedprice ELSE 0.0 END AS convertible_note,
+           CASE WHEN l_suppkey % 13 = 5 THEN l_extendedprice ELSE 0.0 END AS debt_financing,
+           CASE WHEN l_suppkey % 13 = 6 THEN l_extendedprice ELSE 0.0 END AS angel,
+           CASE WHEN l_suppkey % 13 = 7 THEN l_extendedprice ELSE 0.0 END AS "grant",
+           CASE WHEN l_suppkey % 13 = 8 THEN l_extendedprice ELSE 0.0 END AS private_equity,
+           CASE WHEN l_suppkey % 13 = 9 THEN l_extendedprice ELSE 0.0 END AS post_ipo_equity,
+           CASE WHEN l_suppkey % 13 = 10 THEN l_extendedprice ELSE 0.0 END AS post_ipo_debt,
+           CASE WHEN l_suppkey % 13 = 11 THEN l_extendedprice ELSE 0.0 END AS secondary_market,
+           CASE WHEN l_suppkey % 13 = 12 THEN l_extendedprice ELSE 0.0 END AS product_crowdfunding
     FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
 s_typed AS (
     SELECT DISTINCT lower(coalesce(name, 'unknown')) AS name, lower(coalesce(market, 'unknown')) AS market,
@@ -432,7 +439,8 @@ s_typed AS (
            try_strptime(first_funding_at, '%Y-%m-%d') AS first_funding_at,
            try_strptime(mid_funding_at, '%Y-%m-%d') AS mid_funding_at,
            try_strptime(last_funding_at, '%Y-%m-%d') AS last_funding_at,
-           seed, venture, angel, debt_financing, private_equity, grant
+           seed, venture, equity_crowdfunding, undisclosed, convertible_note, debt_financing, angel, "grant",
+           private_equity, post_ipo_equity, post_ipo_debt, secondary_market, product_crowdfunding
     FROM s_raw),
 s_clean AS (
     SELECT * REPLACE (coalesce(mid_funding_at, first_funding_at + (last_funding_at - first_funding_at) / 2)
@@ -480,7 +488,8 @@ SELECT name, market, status, funding_total_usd, funding_rounds,
        strftime(first_funding_at, '%Y-%m-%d %H:%M:%S') AS first_funding_at,
        strftime(mid_funding_at, '%Y-%m-%d %H:%M:%S') AS mid_funding_at,
        strftime(last_funding_at, '%Y-%m-%d %H:%M:%S') AS last_funding_at,
-       seed, venture, angel, debt_financing, private_equity, grant
+       seed, venture, equity_crowdfunding, undisclosed, convertible_note, debt_financing, angel, "grant",
+           private_equity, post_ipo_equity, post_ipo_debt, secondary_market, product_crowdfunding
 FROM s_clean"""
 
 SQL["funding_terms"] = with_("s_clean") + f"""
@@ -502,18 +511,17 @@ SELECT year, CAST(SUM(funding_rounds) AS BIGINT) AS rounds, COUNT(DISTINCT month
        array_to_string(list_sort(list_distinct(list(month(mid_funding_at)))), ',') AS months
 FROM s_final GROUP BY year"""
 
-_TYPES = ("seed", "venture", "angel", "debt_financing", "private_equity", "grant")
-SQL["funding_types"] = with_("s_clean", "s_returns") + """
-, money AS (
-""" + "\n  UNION ALL ".join(
-    f"SELECT '{t}' AS funding_type, SUM({t}) AS total_money, COUNT(*) FILTER (WHERE {t} > 0) AS popularity FROM s_final"
-    for t in _TYPES) + """),
-ret AS (
-""" + "\n  UNION ALL ".join(
-    f"SELECT '{t}' AS funding_type, SUM({t}) AS total_returns FROM s_returns" for t in _TYPES if t != "grant") + f""")
+_RETURNED = ("seed", "venture", "angel", "debt_financing", "private_equity")
+SQL["funding_types"] = with_("s_clean", "s_returns") + f"""
+, long AS (UNPIVOT (SELECT * FROM s_final) ON
+    seed, venture, equity_crowdfunding, undisclosed, convertible_note, debt_financing, angel, "grant", private_equity,
+    post_ipo_equity, post_ipo_debt, secondary_market, product_crowdfunding INTO NAME funding_type VALUE money),
+m AS (SELECT funding_type, SUM(money) AS total_money, COUNT(*) FILTER (WHERE money > 0) AS popularity FROM long GROUP BY 1),
+ret AS (SELECT funding_type, SUM(money) AS total_returns
+        FROM (UNPIVOT s_returns ON {', '.join(_RETURNED)} INTO NAME funding_type VALUE money) GROUP BY 1)
 SELECT m.funding_type, {R('m.total_money', 2)} AS total_money, m.popularity,
        {R('r.total_returns', 6)} AS total_returns
-FROM money m LEFT JOIN ret r ON m.funding_type = r.funding_type"""
+FROM m LEFT JOIN ret r ON m.funding_type = r.funding_type"""
 
 SQL["yearly_rounds"] = with_("s_clean") + f"""
 SELECT year, {R('median(funding_total_usd / funding_rounds)', 4)} AS avg_round_median,
@@ -528,17 +536,16 @@ SQL["growth_segments"] = with_("s_clean") + f"""
 SELECT market, {R('total_from', 2)} AS total_from, {R('total_to', 2)} AS total_to FROM pv
 WHERE total_to > total_from AND market NOT IN ('mid', 'niche', 'unknown')"""
 
-_YEARS = range(1995, 2003)
-SQL["segment_year_matrix"] = with_("s_clean") + "\nSELECT market, " + ", ".join(
-    R(f"coalesce(SUM(funding_total_usd) FILTER (WHERE year = {y}), 0)", 2) + f" AS y{y}" for y in _YEARS) + """
-FROM s_final WHERE market IS NOT NULL AND year BETWEEN 1995 AND 2002 GROUP BY market"""
+SQL["segment_year_matrix"] = with_("s_clean") + f"""
+, money AS (SELECT market, 'y' || year AS y, {R('SUM(funding_total_usd)', 2)} AS total FROM s_final WHERE market IS NOT NULL GROUP BY ALL)
+SELECT market, coalesce(COLUMNS('^(y[0-9]+)$'), 0) AS '\1' FROM (PIVOT money ON y USING first(total) GROUP BY market)"""
 
 SQL["growing_segments_by_year"] = with_("s_clean") + f"""
 , money AS (SELECT market, year, SUM(funding_total_usd) AS total FROM s_final GROUP BY ALL),
 grown AS (
   SELECT market FROM money WHERE market NOT IN ('mid', 'niche', 'unknown') GROUP BY market
   HAVING coalesce(SUM(total) FILTER (WHERE year = 2000), 0) > coalesce(SUM(total) FILTER (WHERE year = 1999), 0)),
-years AS (SELECT unnest(range(1995, 2003)) AS year)
+years AS (SELECT DISTINCT year FROM s_final)
 SELECT g.market, y.year, {R('coalesce(m.total, 0)', 2)} AS total
 FROM grown g CROSS JOIN years y LEFT JOIN money m ON m.market = g.market AND m.year = y.year"""
 
@@ -1047,6 +1054,21 @@ SQL["retention"] = _F + _RET.format(cohort="'all'", sel="")
 SQL["retention_monthly"] = _F + _RET.format(cohort="strftime(date_trunc('month', f.first_day), '%Y-%m-%d')",
                                             sel="g.cohort,")
 
+SQL["dau_bitmaps"] = _F + """
+, days AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM food)
+SELECT strftime(a.day, '%Y-%m-%d') AS day, (SELECT COUNT(*) FROM days d WHERE d.day = a.day AND user_id IS NOT NULL) AS dau,
+       (SELECT COUNT(DISTINCT user_id) FROM days d WHERE d.day BETWEEN a.day - 6 AND a.day) AS wau
+FROM (SELECT DISTINCT day FROM days) a"""
+
+SQL["retention_bitmaps"] = f"""
+SELECT 'all' AS cohort, * FROM ({SQL['retention']}) UNION ALL BY NAME SELECT * FROM ({SQL['retention_monthly']})"""
+
+SQL["overlap_bitmaps"] = _F + f"""
+, u AS (SELECT user_id, bool_or(event = 'view') AS a, bool_or(event = 'purchase') AS b FROM food
+        WHERE event IN ('view', 'purchase') AND user_id IS NOT NULL GROUP BY 1)
+SELECT COUNT(*) FILTER (WHERE a) AS users_a, COUNT(*) FILTER (WHERE b) AS users_b, COUNT(*) FILTER (WHERE a AND b) AS users_both,
+       COUNT(*) AS users_any, {R('(COUNT(*) FILTER (WHERE a AND b)) * 100.0 / COUNT(*)', 4)} AS overlap_pct FROM u"""
+
 CTE["talks"] = """talks AS (
     SELECT l.l_orderkey * 10 + l.l_linenumber AS talk_id, o.o_orderpriority AS conference, n.n_name AS country,
            c.c_name AS speaker, c.c_mktsegment AS occupation, string_split(p.p_name, ' ') AS tags,
@@ -1099,6 +1121,18 @@ SELECT status, COUNT(*) AS companies, COUNT(*) FILTER (WHERE funding_total_usd <
 FROM s_raw GROUP BY status"""
 SQL["csv_gzip_events"] = """
 SELECT strftime(ts, '%Y-%m-%d') AS day, hour(ts) AS hour, COUNT(*) AS events FROM events GROUP BY ALL"""
+SQL["zip_events"] = """
+SELECT CASE WHEN user_id % 2 = 1 THEN 'odd.csv' ELSE 'even.csv' END AS member, hour(ts) AS hour, COUNT(*) AS events,
+       COUNT(DISTINCT user_id) AS users, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_event
+FROM events GROUP BY 1, 2"""
+
+SQL["csv_inferred"] = """
+WITH n AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE o_orderkey % 50 = 0) AS na, COUNT(*) FILTER (WHERE o_orderkey % 3 = 0) AS third FROM orders)
+SELECT t.position::BIGINT AS position, t.column, t.type, n.n AS n_rows, CASE t.position WHEN 6 THEN n.third ELSE 0 END AS n_null, 0::BIGINT AS n_bad,
+       CASE t.position WHEN 5 THEN 'bigint' ELSE t.type END AS type_loose, CASE t.position WHEN 5 THEN n.na ELSE 0 END AS n_bad_loose
+FROM n CROSS JOIN (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_totalprice', 'double'), (2, 'o_orderstatus', 'string'), (3, 'day', 'date'),
+                          (4, 'moment', 'timestamp'), (5, 'customer', 'string'), (6, 'even', 'boolean')) t(position, "column", type)"""
+
 SQL["csv_text_dates"] = """
 SELECT CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%Y-%m') END AS month, COUNT(*) AS orders
 FROM orders GROUP BY 1"""

@@ -34,10 +34,10 @@ def clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None =
 
 
 def build_clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
-    """Listings without outliers (limits over all listings), of the city type,
-    published in the year window."""
-    listings = S.real_estate_listings(Tables(spark, sf_dir))
-    kept = filter_by_global_percentiles(listings, LISTING_BOUNDS, accuracy=accuracy)
+    """Listings without outliers, of the city type, published in the year
+    window. The limits are those of all flats, a scan without the joins."""
+    t = Tables(spark, sf_dir)
+    kept = filter_by_global_percentiles(S.real_estate_listings(t), LISTING_BOUNDS, S.real_estate_flats(t), accuracy)
     lo, hi = S.REAL_ESTATE_YEARS
     return kept.filter((F.col("type") == S.REAL_ESTATE_CITY_TYPE)
                        & F.year("first_day_exposition").between(lo, hi))

@@ -13,7 +13,7 @@ from ..operators.aggregates import (measure_totals, pivot_sum, ratio_capped, tot
 from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint_date, lower_columns, narrow,
                                normalize_headers, replace_text, sentinel_to_null, to_number, to_timestamp_text)
 from ..operators.outliers import flagged_share, iqr_flag, iqr_quartiles, keep_groups_over_threshold
-from ..session import shared_table
+from ..session import shared_table, write_through
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -24,8 +24,6 @@ DATE_COLUMNS = ("founded_at", "first_funding_at", "mid_funding_at", "last_fundin
 MASS_ABOVE = 120
 MID_FROM = 35
 MIN_YEAR_ROUNDS = 50
-# The years of the segment-by-year table.
-MATRIX_YEARS = tuple(range(1995, 2003))
 RATIO_TYPES = ("venture", "debt_financing", "private_equity", "seed", "angel")
 
 
@@ -45,7 +43,8 @@ def build_funding_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         **{c: to_timestamp_text(c, "yyyy-MM-dd") for c in DATE_COLUMNS},
     })
     filled = lower_columns(fill_nulls(typed, {c: "unknown" for c in TEXT_COLUMNS}), TEXT_COLUMNS)
-    dedup = drop_full_duplicates(filled)
+    # written once: the duplicates are found in a scan of it, and only they move
+    dedup = drop_full_duplicates(write_through(filled, "startups-typed"))
     named = dedup.withColumn("name", sentinel_to_null("name", "unknown")).na.drop(subset=["name"])
     kept = named.na.drop(subset=["funding_total_usd", "first_funding_at", "last_funding_at"])
     return kept.withColumn("mid_funding_at",
@@ -167,11 +166,17 @@ def growth_segments(spark: SparkSession, sf_dir: str, year_from: int = 1999, yea
 
 
 def segment_year_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total funding per market and year as a wide table, missing = 0. The
-    years are the fixed window of the stand-in, so no job looks for them."""
-    fd = final_data(spark, sf_dir).filter(F.col("market").isNotNull())
-    wide = pivot_sum(fd, "market", "year", "funding_total_usd", MATRIX_YEARS)
-    return wide.select("market", *[numeric_round(F.col(str(y)), 2).alias(f"y{y}") for y in MATRIX_YEARS])
+    """Total funding per market and year as a wide table, missing = 0, with
+    a column for every year of the data."""
+    wide = _year_matrix(final_data(spark, sf_dir))
+    return wide.select("market", *[numeric_round(F.col(y), 2).alias(f"y{y}") for y in wide.columns[1:]])
+
+
+def _year_matrix(fd: DataFrame) -> DataFrame:
+    """The money per market and year is summed once; the wide table and its
+    years come from these few rows."""
+    money = fd.filter(F.col("market").isNotNull()).groupBy("market", "year").agg(F.sum("funding_total_usd").alias("total"))
+    return pivot_sum(write_through(money, "segment-years"), "market", "year", "total")
 
 
 def growing_segments_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +184,10 @@ def growing_segments_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     long form (the transposed table), years without money = 0."""
     wide = segment_year_matrix(spark, sf_dir)
     grown = wide.join(growth_segments(spark, sf_dir).select("market"), "market", "left_semi")
-    return grown.unpivot(["market"], [f"y{y}" for y in MATRIX_YEARS], "y", "total").select(
-        "market", F.substring("y", 2, 4).cast("bigint").alias("year"), "total")
+    if len(wide.columns) == 1:  # no year at all
+        return grown.select("market", F.lit(None).cast("bigint").alias("year"), F.lit(None).cast("double").alias("total"))
+    return grown.unpivot(["market"], wide.columns[1:], "y", "total").select(
+        "market", F.substring("y", 2, 9).cast("bigint").alias("year"), "total")
 
 
 def return_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

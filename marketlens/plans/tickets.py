@@ -14,7 +14,7 @@ from ..operators.experiments import overlap_summary, welch_test
 from ..operators.joins import join_unique
 from ..operators.outliers import cap_by_group_percentile, group_caps
 from ..operators.windows import days_since_previous
-from ..session import shared_table
+from ..session import shared_table, write_through
 from ..sources import standins as S
 from ..sources.tables import Tables
 
@@ -36,7 +36,8 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
     daily rate join, revenue in roubles, revenue per ticket, month, season,
     days since the user's previous order."""
     t = Tables(spark, sf_dir)
-    raw = S.ticket_orders(t)
+    # the joined orders are written once; caps, filter and duplicates are scans of them
+    raw = write_through(S.ticket_orders(t).filter(F.col("currency_code").isin(*CURRENCIES)), "ticket-orders")
     capped = cap_by_group_percentile(raw, "revenue", "currency_code", 0.99, CURRENCIES, accuracy)
     dedup = dedupe_keep_first(capped, TICKET_DUP_SUBSET, ["order_id"], rare=True)
     j = join_unique(dedup, S.tenge_rates(t), "created_dt_msk", "data", "curs")
@@ -53,7 +54,7 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
 def revenue_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F4 report: the p99 revenue cap of each currency and the orders kept and
     cut by it (the printed caps and cut count of the cleaning step)."""
-    raw = S.ticket_orders(Tables(spark, sf_dir)).filter(F.col("currency_code").isin(*CURRENCIES))
+    raw = S.ticket_orders(Tables(spark, sf_dir)).filter(F.col("currency_code").isin(*CURRENCIES)).select("currency_code", "revenue")
     caps = group_caps(raw, "revenue", "currency_code", 0.99)
     j = raw.join(caps, "currency_code")
     return j.groupBy("currency_code", "cap").agg(

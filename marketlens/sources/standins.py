@@ -56,6 +56,29 @@ REAL_ESTATE_CITY_TYPE = "F"
 REAL_ESTATE_YEARS = (1996, 1999)
 
 
+def _flat_columns() -> list:
+    """The measures of a flat: columns of its order line alone."""
+    return [(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            F.col("l_quantity").alias("total_area"),
+            F.nullif(F.col("l_linenumber"), F.lit(7)).alias("rooms"),
+            F.nullif(F.col("l_linenumber") % 3, F.lit(0)).alias("balcony"),
+            (F.lit(2.4) + F.col("l_discount") * 10).alias("ceiling_height"),
+            (F.lit(5) + F.col("l_suppkey") % 20).alias("floors_total"),
+            (F.lit(1) + F.col("l_partkey") % 10).alias("floor"),
+            F.when(F.col("l_partkey") % 9 == 0, 1).otherwise(0).alias("open_plan"),
+            (F.col("l_suppkey") % 4).alias("parks_around3000"),
+            (F.col("l_partkey") % 3).alias("ponds_around3000"),
+            (F.col("l_quantity") * 0.6).alias("living_area"),
+            F.when(F.col("l_tax") == 0, 1).otherwise(0).alias("is_apartment"),
+            (F.col("l_quantity") * 0.2).alias("kitchen_area"),
+            (F.col("l_extendedprice") / 10).alias("airports_nearest")]
+
+
+def real_estate_flats(t: Tables) -> DataFrame:
+    """The flats alone, one per order line."""
+    return t.lineitem.select(*_flat_columns())
+
+
 def real_estate_listings(t: Tables) -> DataFrame:
     """Flats + advertisement + city + type in one frame at order-line grain."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -67,27 +90,12 @@ def real_estate_listings(t: Tables) -> DataFrame:
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(c, F.col("o_custkey") == F.col("c_custkey"))
               .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-              .select(
-                  (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-                  F.col("n_name").alias("city"),
-                  F.col("o_orderstatus").alias("type"),
-                  F.col("l_quantity").alias("total_area"),
-                  F.nullif(F.col("l_linenumber"), F.lit(7)).alias("rooms"),
-                  F.nullif(F.col("l_linenumber") % 3, F.lit(0)).alias("balcony"),
-                  (F.lit(2.4) + F.col("l_discount") * 10).alias("ceiling_height"),
-                  (F.lit(5) + F.col("l_suppkey") % 20).alias("floors_total"),
-                  (F.lit(1) + F.col("l_partkey") % 10).alias("floor"),
-                  F.when(F.col("l_partkey") % 9 == 0, 1).otherwise(0).alias("open_plan"),
-                  (F.col("l_suppkey") % 4).alias("parks_around3000"),
-                  (F.col("l_partkey") % 3).alias("ponds_around3000"),
-                  (F.col("l_quantity") * 0.6).alias("living_area"),
-                  F.when(F.col("l_tax") == 0, 1).otherwise(0).alias("is_apartment"),
-                  (F.col("l_quantity") * 0.2).alias("kitchen_area"),
-                  (F.col("l_extendedprice") / 10).alias("airports_nearest"),
-                  F.col("l_extendedprice").alias("last_price"),
-                  F.col("o_orderdate").alias("first_day_exposition"),
-                  F.when(days >= 0, days).alias("days_exposition"),
-              ))
+              .select(*_flat_columns(),
+                      F.col("n_name").alias("city"),
+                      F.col("o_orderstatus").alias("type"),
+                      F.col("l_extendedprice").alias("last_price"),
+                      F.col("o_orderdate").alias("first_day_exposition"),
+                      F.when(days >= 0, days).alias("days_exposition")))
 
 
 # ---------------------------------------------------------------- ticket sales
@@ -133,13 +141,11 @@ def tenge_rates(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- startups
 
-# Fixed values of the stand-in: funding types carried by the six
-# (return flag, line status) combinations of an order line.
-FUNDING_TYPE_OF = {
-    ("A", "F"): "seed", ("A", "O"): "venture", ("N", "F"): "angel",
-    ("N", "O"): "debt_financing", ("R", "F"): "private_equity", ("R", "O"): "grant",
-}
-FUNDING_TYPES = tuple(FUNDING_TYPE_OF.values())
+# The funding types, in the order of the source's list. An order
+# line of the stand-in carries the type of its supplier number.
+FUNDING_TYPES = (
+    "seed", "venture", "equity_crowdfunding", "undisclosed", "convertible_note", "debt_financing", "angel", "grant",
+    "private_equity", "post_ipo_equity", "post_ipo_debt", "secondary_market", "product_crowdfunding")
 # Returns per type come from the order priority.
 RETURN_PRIORITY_OF = {"seed": "1-URGENT", "venture": "2-HIGH", "angel": "3-MEDIUM",
                       "debt_financing": "4-NOT SPECIFIED", "private_equity": "5-LOW"}
@@ -149,16 +155,13 @@ def startup_investments_raw(t: Tables) -> DataFrame:
     """Raw startup records as text, like the ``;`` separated source: amounts
     with thousands separators or ``-``, dates as text (some unparsable),
     missing names and mixed-case text."""
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
-                           "l_returnflag", "l_linestatus", "l_shipdate")
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate")
     p = t.part.select("p_partkey", "p_name", "p_type", "p_size")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, F.col("l_partkey") == F.col("p_partkey"))
     amount = F.floor(F.col("l_extendedprice") * 10).cast("bigint")
-    types = {}
-    for (rf, ls), name in FUNDING_TYPE_OF.items():
-        types[name] = F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls),
-                             F.col("l_extendedprice")).otherwise(F.lit(0.0))
+    types = {name: F.when(F.col("l_suppkey") % len(FUNDING_TYPES) == i, F.col("l_extendedprice")).otherwise(F.lit(0.0))
+             for i, name in enumerate(FUNDING_TYPES)}
     return j.select(
         F.when(F.col("l_orderkey") % 53 == 0, F.lit(None).cast("string"))
          .when(F.col("l_linenumber") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"),

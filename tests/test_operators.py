@@ -273,3 +273,13 @@ def test_histogram_keeps_empty_bins(spark):
     assert [x["count"] for x in histogram(df.where("g = 'a'"), "v", 10).orderBy("bin").collect()] == [1] + [0] * 8 + [1]
     by = histogram(df, "v", 4, by="g").collect()
     assert len(by) == 8 and sum(x["count"] for x in by if x["g"] is None) == 1
+
+
+def test_year_matrix_has_every_year_of_the_data(spark):
+    from marketlens.plans.startups import _year_matrix
+    df = spark.createDataFrame([("a", 1980, 1.0), ("a", 2031, 2.0), ("a", 2031, 4.0), ("b", 1999, 3.0), (None, 1700, 1.0), ("c", None, 9.0)],
+                               "market string, year long, funding_total_usd double")
+    wide = _year_matrix(df)
+    assert wide.columns == ["market", "1980", "1999", "2031"]
+    assert sorted(map(tuple, wide.collect())) == [("a", 1.0, 0.0, 6.0), ("b", 0.0, 3.0, 0.0), ("c", 0.0, 0.0, 0.0)]
+    assert _year_matrix(df.limit(0)).columns == ["market"]
