@@ -5,7 +5,8 @@ a multiplicity (combined before the shuffle: a text that a third of the rows
 share is one row per task). Each distinct text is encoded by both tokenizers;
 byte offsets where a token of either ends cut both into groups, and all tokens
 of a group are linked. The pair counts of the corpus are sums of
-multiplicities.
+multiplicities. Both tokenizers part a text at single spaces between words, so
+a worker remembers how the words it met were aligned.
 
 The way back from the counts to the texts goes by blocks of texts. A block is
 closed when its texts hold ``BLOCK_PAIRS`` distinct pairs (counted per text),
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,11 +33,13 @@ from pyspark.sql import functions as F
 from marketlens.operators.joins import heavy_groups, salted_join
 from marketlens.session import write_through
 
-from .bpe import prefix_bpe
+from .bpe import LONG, chunks, prefix_bpe
 from .common import quoted
 
 BLOCK_PAIRS = 1 << 19
 TEXTS = 200  # encoded at a time
+WORDS = 600_000  # chunks of a text a worker remembers
+SHORT = 32  # tokens up to which a chunk is aligned token by token
 WIDE = 64  # links of a group from which its ids are counted before they are paired
 ALIGNED = ("digest binary, copies long, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
            "pairs array<long>, links array<long>")
@@ -59,9 +63,12 @@ class Pair:
                         else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 31:
             raise ValueError("ids of more than 31 bits")
+        self.a_len, self.b_len = ([len(x) for x in t] for t in (self.a_bytes, self.b_bytes))
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.a_text = [f"{i}|" for i in range(len(self.a_bytes))]
-        self.b_text = [str(i) for i in range(len(self.b_bytes))]
+        # no piece goes on over a space, so no merge of B crosses the cuts; A's pieces end there anyway
+        pieces = map(self.b.id_to_piece, range(self.b.get_piece_size()))
+        self.parts = (lambda t: [t]) if any(x != "▁" == y for p in pieces for x, y in zip(p, p[1:])) else chunks
+        self.young, self.old = {}, {}  # aligned chunks, in two generations of half the size
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both, and none for a text whose bytes either does not give back."""
@@ -80,6 +87,92 @@ class Pair:
         other = np.searchsorted(ends_b, ends_a[at])
         return np.diff(at, prepend=-1), np.diff(other, prepend=-1)
 
+    def _short(self, a: list[int], b: list[int]) -> tuple[int, str, list[int]]:
+        """Groups, their text and the pair of every link, token by token."""
+        a_len, b_len, out, codes, i, j, n = self.a_len, self.b_len, [], [], 0, 0, len(a)
+        while i < n:
+            x, y = a[i], b[j]
+            gap = a_len[x] - b_len[y]
+            i, j = i + 1, j + 1
+            if not gap:
+                out.append(f"{x}|{y}")
+                codes.append(x << 32 | y)
+                continue
+            g, h = [x], [y]
+            while gap:
+                if gap < 0:
+                    x = a[i]
+                    g.append(x)
+                    gap += a_len[x]
+                    i += 1
+                else:
+                    y = b[j]
+                    h.append(y)
+                    gap -= b_len[y]
+                    j += 1
+            out.append(",".join(map(str, g)) + "|" + ",".join(map(str, h)))
+            codes += [x << 32 | y for x in g for y in h]
+        return len(out), ";".join(out), codes
+
+    def _aligned(self, parts: list[str]) -> list[tuple | None]:
+        """Per chunk: n_a, n_b, n_groups, n_links as bytes, the text of the
+        groups, the pair of every link as bytes, and for long chunks instead
+        the distinct pairs and their links. None if its bytes are not given back."""
+        out = []
+        for a, b in self.encode(parts):
+            if not a:
+                out.append(None)
+            elif len(a) <= SHORT >= len(b):
+                n_groups, text, codes = self._short(a, b)
+                out.append((array("q", (len(a), len(b), n_groups, len(codes))).tobytes(), text, array("q", codes).tobytes(), None))
+            else:
+                size_a, size_b = self.groups(a, b)
+                found = links(np.array(a, np.int64), np.array(b, np.int64), size_a, size_b)
+                out.append((array("q", (len(a), len(b), len(size_a), int(found[1].sum()))).tobytes(), groups_text(a, b, size_a, size_b), b"", found))
+        return out
+
+    def align(self, texts: list[str]) -> list[tuple]:
+        """Per text (counts, text of the groups, distinct pairs, their links)."""
+        parts = [self.parts(t) for t in texts]
+        wanted, young, old = set().union(*parts), self.young, self.old
+        here, new = {}, []
+        for c in wanted:
+            got = young.get(c, young)
+            if got is young and (got := old.get(c, young)) is young:
+                new.append(c)
+            else:
+                here[c] = got
+        here.update(zip(new, self._aligned(new)))
+        young.update((c, x) for c, x in here.items() if len(c) <= LONG)
+        if len(young) > WORDS // 2:
+            self.young, self.old = {}, young
+        out = []
+        for p in parts:
+            got = [here[c] for c in p]
+            if None in got:
+                out.append((np.zeros(4, np.int64), "", *[np.zeros(0, np.int64)] * 2))
+                continue
+            counts, texts_of, codes, long = zip(*got)
+            counts = np.frombuffer(b"".join(counts), np.int64).reshape(-1, 4).sum(axis=0)
+            long = [x for x in long if x]
+            out.append((counts, ";".join(texts_of), *summed(np.frombuffer(b"".join(codes), np.int64), long)))
+        return out
+
+
+def summed(codes: np.ndarray, long: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, ascending, with their links: one for each of ``codes``,
+    and the counted ones of ``long``."""
+    if not long:
+        codes = np.sort(codes)
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        return codes[first], np.diff(first, append=len(codes))
+    weights = np.concatenate([np.ones(len(codes), np.int64), *[w for _, w in long]])
+    codes = np.concatenate([codes, *[c for c, _ in long]])
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(weights[order], first)
+
 
 @lru_cache(maxsize=2)
 def pair_of(byte_path: str, piece_path: str) -> Pair:
@@ -110,14 +203,11 @@ def links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray)
     return code[first], np.add.reduceat(weight[order], first) if len(code) else np.zeros(0, np.int64)
 
 
-def groups_text(pair: Pair, a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> str:
+def groups_text(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> str:
     """``a1,a2|b1;a3|b2,b3``: decimal ids in order."""
-    left, right, out, i, j = pair.a_text, pair.b_text, [], 0, 0
+    out, i, j = [], 0, 0
     for x, y in zip(size_a.tolist(), size_b.tolist()):
-        if x == 1 == y:
-            out.append(left[a[i]] + right[b[j]])
-        else:
-            out.append(",".join(map(str, a[i:i + x])) + "|" + ",".join(map(str, b[j:j + y])))
+        out.append(",".join(map(str, a[i:i + x])) + "|" + ",".join(map(str, b[j:j + y])))
         i, j = i + x, j + y
     return ";".join(out)
 
@@ -130,18 +220,12 @@ def _align(byte_path: str, piece_path: str, block_pairs: int):
             for at in range(0, whole.num_rows, TEXTS):
                 rows = whole.slice(at, TEXTS)
                 cols = {c: [] for c in ("block", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links")}
-                for a, b in pair.encode(rows.column("text").to_pylist()):
-                    if a:
-                        size_a, size_b = pair.groups(a, b)
-                        codes, weights = links(np.array(a, np.int64), np.array(b, np.int64), size_a, size_b)
-                        sha = hashlib.sha256(groups_text(pair, a, b, size_a, size_b).encode()).hexdigest()
-                    else:
-                        size_a = codes = weights = np.zeros(0, np.int64)
-                        sha = ""
+                for counts, text, codes, weights in pair.align(rows.column("text").to_pylist()):
+                    sha = hashlib.sha256(text.encode()).hexdigest() if text else ""
                     if held and held + len(codes) > block_pairs:
                         block, held = block + 1, 0
                     held += len(codes)
-                    for c, v in zip(cols, (block, len(a), len(b), len(size_a), int(weights.sum()), sha, codes, weights)):
+                    for c, v in zip(cols, (block, *counts.tolist(), sha, codes, weights)):
                         cols[c].append(v)
                 many = pa.list_(pa.int64())
                 types = [pa.int64()] * 5 + [pa.string(), many, many]

@@ -109,6 +109,25 @@ def test_random_texts_many_copies(spark, both):
     assert run(table(spark, rows)) == brute(rows, both)
 
 
+def test_words_aligned_alone_are_aligned_as_in_their_text(both):
+    """The remembered words against whole texts, with a small memory."""
+    import duckdb
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet' WHERE text != ''").fetchall()]
+    texts += [t.replace("e", "e  ", 3).replace("a", "\u3000a", 2) + " \n" for t in texts[:20]] + [t for _, t in ODD if t]
+    pair, crosstok.WORDS = crosstok.Pair(BYTE, PIECE), 3000
+    try:
+        for at in range(0, len(texts), 7):
+            for text, (counts, out, codes, weights) in zip(texts[at:at + 7], pair.align(texts[at:at + 7])):
+                e = both(text)
+                groups = cut(*e) if e else []
+                linked = Counter(a << 32 | b for g, h in groups for a in g for b in h)
+                assert out == ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
+                assert counts.tolist() == [sum(len(g) for g, _ in groups), sum(len(h) for _, h in groups), len(groups), sum(linked.values())]
+                assert dict(zip(codes.tolist(), weights.tolist())) == linked
+    finally:
+        crosstok.WORDS = 600_000
+
+
 def test_empty_tables(spark):
     assert run(table(spark, ODD).limit(0)) == []
     assert run(table(spark, [(1, None), (2, "")])) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
