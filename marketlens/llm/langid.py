@@ -15,16 +15,21 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_texts, quoted
 
 MAX_ORDER = 3
 SAMPLE_ROWS = 250  # labelled rows a language is learned from, and
+SAMPLE_TOTAL = 4000  # rows of all languages together, and
 SAMPLE_CHARS = 4000  # at most so many characters of each: the bound of the sample
 MIN_COUNT = 3  # a longest context seen less often in the sample is left to its suffix
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 200  # the rarer ones are learned as one, under the name of the most frequent of them
+MODEL_CELLS = 12_000_000  # contexts x bytes x languages of the trees: the bound of the broadcast model
+FOREIGN = 2.2  # a text that costs so many times the usual bits per byte of its language is in none of them;
+SHORT = 100  # one of fewer bytes tells too little for that
 UNKNOWN = "und"
 BLOCK = 1 << 20  # bytes scored at once
 
@@ -47,7 +52,8 @@ def has_letter(text: str | None) -> bool:
 
 
 class ContextTrees:
-    """The trees of all languages over one set of contexts (states)."""
+    """The trees of all languages over one set of contexts (states). Beyond
+    ``MODEL_CELLS`` the contexts seen least often are left to their suffix."""
 
     def __init__(self, samples: dict[str, list[bytes]], max_order: int = MAX_ORDER, min_count: int = MIN_COUNT):
         self.langs = sorted(samples)
@@ -69,19 +75,26 @@ class ContextTrees:
         # order 0 has one state; P: (state, symbol, language)
         below = np.full((1, a, n_lang), 1 / 256)
         self.codes, tables = [], []
+        room = MODEL_CELLS // max(1, a * n_lang) - 1
         for k in range(max_order + 1):
             pairs = [np.unique(context(s, k) * a + s[max_order:], return_counts=True) for s in coded]
             codes = np.unique(np.concatenate([p // a for p, _ in pairs])) if pairs else np.zeros(0, np.int64)
-            if k == max_order and k and len(codes):
+            if k and len(codes):
                 total = np.zeros(len(codes), np.int64)
                 for p, n in pairs:
                     np.add.at(total, np.searchsorted(codes, p // a), n)
-                codes = codes[total >= min_count]
+                if k == max_order:
+                    codes, total = codes[total >= min_count], total[total >= min_count]
+                if len(codes) > room:
+                    codes = np.sort(codes[np.lexsort((codes, -total))[:room]])
             if k == 0:
                 codes = np.zeros(1, np.int64)
                 suffix = np.zeros(1, np.int64)
             else:
+                shorter = codes % a ** (k - 1)
+                codes = codes[np.isin(shorter, self.codes[-1])]
                 suffix = np.searchsorted(self.codes[-1], codes % a ** (k - 1))
+                room -= len(codes)
             table = below[suffix].copy()
             for g, (p, n) in enumerate(pairs):
                 at = np.searchsorted(codes, p // a)
@@ -104,6 +117,12 @@ class ContextTrees:
             view = state.reshape(-1, a ** k)
             view[:, self.codes[k]] = (first[k] + np.arange(len(self.codes[k]))).astype(np.int32)
         self.state, self.max_order = state, max_order
+        # usual bits per byte of each language: the median of its sample
+        self.usual = np.zeros(n_lang)
+        for g, name in enumerate(self.langs):
+            some = [t for t in samples[name] if t][:SAMPLE_TOTAL // 100]
+            if some:
+                self.usual[g] = np.median(self.code_lengths(some)[:, g] / np.array([len(t) for t in some]))
 
     def _costs(self, symbols: np.ndarray) -> np.ndarray:
         """(position, language) code lengths of all symbols after the first max_order."""
@@ -148,23 +167,30 @@ class ContextTrees:
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS,
                  chars: int = SAMPLE_CHARS) -> dict[str, list[bytes]]:
-    """Up to ``rows`` labelled rows of each language that are not held out,
-    ``chars`` characters of each at most, picked by a hash of the id."""
+    """Up to ``rows`` labelled rows of each language that are not held out
+    (fewer if there are many languages), ``chars`` characters of each at most:
+    those with the smallest hash of id and text. Spark bounds them per language
+    before they come to the driver, however often an id or a text repeats."""
     known = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).cast("string").alias("lang"))
     known = known.where("id is not null and text is not null and lang is not null").where(~held_out("id"))
-    pick = F.shiftrightunsigned(F.xxhash64("id"), 33) / float(1 << 31)  # 0 to 1
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(n) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    different = F.approx_count_distinct(F.xxhash64("id", "text")).alias("n")
+    count = known.groupBy("lang").agg(different, F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang")
+    n = {r["lang"]: r["n"] for r in count.limit(MAX_LANGUAGES).collect()}
     if not n:
         return {}
-    share = F.create_map(*[x for g, c in n.items() for x in (F.lit(g), F.lit(min(1.0, 1.5 * rows / c)))])
-    got = (known.where(pick <= share[F.col("lang")])
-           .select("lang", "id", pick.alias("pick"), F.substring("text", 1, chars).alias("text")).collect())
+    if len(n) == MAX_LANGUAGES:  # the last one stands for all rarer ones
+        *own, last = n
+        known = known.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(last))
+        n[last] = known.where(F.col("lang") == last).agg(different).first()["n"]
+    rows = min(rows, max(1, SAMPLE_TOTAL // len(n)))
+    pick = F.shiftrightunsigned(F.xxhash64("id", "text"), 33) / float(1 << 31)  # 0 to 1
+    share = F.create_map(*[x for g, c in n.items() for x in (F.lit(g), F.lit(min(1.0, (1.8 * rows + 20) / c)))])
+    some = known.where(pick <= share[F.col("lang")]).select("lang", "id", pick.alias("pick"), F.substring("text", 1, chars).alias("text"))
+    order = Window.partitionBy("lang").orderBy("pick", F.col("id").cast("string"), "text")
+    got = some.withColumn("i", F.row_number().over(order)).where(F.col("i") <= rows).collect()
     out: dict[str, list[bytes]] = {}
-    for r in sorted(got, key=lambda r: (r["pick"], str(r["id"]), r["text"])):
-        if len(mine := out.setdefault(r["lang"], [])) < rows:
-            mine.append(r["text"].encode())
+    for r in sorted(got, key=lambda r: (r["lang"], r["i"])):
+        out.setdefault(r["lang"], []).append(r["text"].encode())
     return out
 
 
@@ -173,7 +199,7 @@ def _predict(model):
         trees: ContextTrees = model.value
         letters = [has_letter(t) for t in texts]
         raw = [t.encode() if ok else b"" for t, ok in zip(texts, letters)]
-        lang, score, bits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        lang, score, bits, usual = [UNKNOWN] * len(texts), *(np.zeros(len(texts)) for _ in range(3))
         if trees.langs:
             total = trees.code_lengths(raw)
             best = total.argmin(axis=1)
@@ -183,7 +209,9 @@ def _predict(model):
             for i, ok in enumerate(letters):
                 if ok:
                     lang[i], score[i], bits[i] = trees.langs[best[i]], weight[i], low[i] / len(raw[i])
-        return {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "bits_per_byte": pa.array(bits)}
+                    usual[i] = trees.usual[best[i]]
+        return {"__llm_lang": pa.array(lang, pa.string()), "__llm_score": pa.array(score), "__llm_bits": pa.array(bits),
+                "__llm_usual": pa.array(usual)}
     return compute
 
 
@@ -192,18 +220,19 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def predict_languages(docs: DataFrame, trees: ContextTrees, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` plus lang_pred, score and bits_per_byte of every row;
-    no shuffle. The whole text counts. ``und`` (score 0) if it is null or has
-    no letter, or if no language was learned; of equal code lengths the first
-    language by name wins. ``score`` is the language's share of the posterior
-    under equal priors."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
+    """Columns ``keep`` plus __llm_lang, __llm_score, __llm_bits (bits per byte)
+    and __llm_usual (that of the language) of every row; no shuffle. The whole
+    text counts. ``und`` (score 0) if it is null or has no letter, or if no
+    language was learned; of equal code lengths the first language by name
+    wins. The score is the language's share of the posterior under equal
+    priors. Columns of ``docs`` may have any name but those."""
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by MODEL_CELLS
     names = {c: "text" if c == text_col else f"__keep{i}" for i, c in enumerate(keep)}
     rows = docs.select(*[quoted(c).alias(x) for c, x in ({text_col: "text"} | names).items()])
-    schema = ", ".join(f"{x} {docs.schema[c].dataType.simpleString()}" for c, x in names.items())
-    out = map_texts(rows, list(names.values()), _predict(model),
-                    (schema + ", " if schema else "") + "lang_pred string, score double, bits_per_byte double")
-    return out.select(*[F.col(x).alias(c) for c, x in names.items()], "lang_pred", "score", "bits_per_byte")
+    found = [T.StructField("__llm_lang", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("__llm_score", "__llm_bits", "__llm_usual")]]
+    schema = T.StructType([T.StructField(x, docs.schema[c].dataType) for c, x in names.items()] + found)
+    out = map_texts(rows, list(names.values()), _predict(model), schema)
+    return out.select(*[F.col(x).alias(c) for c, x in names.items()], *[f.name for f in found])
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -213,13 +242,19 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     predicted; an empty table gives an empty result."""
     trees = fit_languages(docs, id_col, text_col, lang_col)
     out = predict_languages(docs, trees, [id_col], text_col)
-    return out.select(quoted(id_col).alias("id"), held_out(id_col).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return out.select(quoted(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col("__llm_lang").alias("lang_pred"),
+                      F.col("__llm_score").alias("score"), F.col("__llm_bits").alias("bits_per_byte"))
 
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                  min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language
-    (not ``und``) that holds at least ``min_score`` of the posterior."""
+    (not ``und``) that holds at least ``min_score`` of the posterior, and that
+    costs less than ``FOREIGN`` times the usual bits per byte of it: a text in a
+    language that was not learned costs more (texts under ``SHORT`` bytes are
+    not judged by that). Null and empty texts go; repeated
+    rows are each judged; an empty table stays empty."""
     trees = fit_languages(docs, id_col, text_col, lang_col)
     out = predict_languages(docs, trees, docs.columns, text_col)
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[quoted(c) for c in docs.columns])
+    own = (F.col("__llm_bits") < FOREIGN * F.col("__llm_usual")) | (F.octet_length(quoted(text_col)) < SHORT)
+    return out.where((F.col("__llm_lang") != UNKNOWN) & (F.col("__llm_score") >= min_score) & own).select(*[quoted(c) for c in docs.columns])
