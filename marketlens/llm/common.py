@@ -42,7 +42,7 @@ def with_row_id(df: DataFrame) -> DataFrame:
                             F.col("_metadata.row_index").alias(ROW))
 
 
-def map_texts(df: DataFrame, keep: list[str], compute: Callable[[list], dict], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], compute: Callable[[list], dict], schema) -> DataFrame:
     """Columns ``keep`` unchanged plus the columns ``compute`` derives from the
     texts of each Arrow batch (a column named ``text`` of ``df``); one output
     row per input row, no shuffle. Ids never pass through pandas, so null or

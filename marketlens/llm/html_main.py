@@ -3,7 +3,9 @@
 A page is a sequence of tags and words. Words score by the element they stand
 in, tags by their name; the weights are log odds of lying within or outside
 the main content, counted on labelled pages (pages that mark it up themselves
-with ``article`` or ``main``). One linear scan finds the contiguous run of
+with ``article`` or ``main``). Elements that by their name, or by a word of
+their class, id or role (``NEVER``, ``MEDIA``, ``NOT_CONTENT``: fixed lists), are
+never content are taken out before anything is scored. One linear scan finds the contiguous run of
 tokens with the highest sum: the content region. Its blocks, without the parts
 that are never content, are the text.
 """
@@ -18,6 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_texts, quoted
 
@@ -28,7 +31,9 @@ MAX_WEIGHT = 6.0
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe svg math textarea select option object canvas audio video".split()
+RAW = "script style noscript template iframe textarea".split()
+# never content either, but with tags inside, and no end of a paragraph
+MEDIA = frozenset("svg canvas object audio video select datalist option optgroup annotation annotation-xml".split())
 NEVER = frozenset("nav header footer aside form button dialog menu head title".split()) | frozenset(RAW)
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 "
                   "h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | NEVER
@@ -39,13 +44,17 @@ NOT_CONTENT = frozenset("ad ads advert adverts advertisement banner breadcrumb b
                         "promo promotion related reply replies respond share sharing sidebar signup social sponsor sponsored "
                         "subscribe toolbar widget complementary contentinfo search".split())
 
+# Attributes up to the tag's end: a quoted value, which may hold one, begins
+# after "=". A quote without its partner is an ordinary character.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?![\w:-])" + _ATTRIBUTES + r">.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)("
+    + _ATTRIBUTES + r")(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile("[-_]+")
 DEFAULT = {"w:p": 1.0, "w:h1": 1.0, "w:h2": 1.0, "w:article": 1.0, "w:main": 1.0, "t:p": -0.1}
-TAG_DEFAULT, WORD_DEFAULT = -0.5, 0.2
+TAG_DEFAULT, INLINE_DEFAULT, WORD_DEFAULT = -0.5, -0.05, 0.2
 
 
 def _not_content(attributes: str) -> tuple[bool, bool]:
@@ -65,9 +74,11 @@ def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, s
     """(feature, text, words, never, inside) in page order. Tags have an empty text;
     ``never`` marks what stands in a part that is no content, ``inside`` what
     stands in ``article`` or ``main`` (their outermost tags do not). Elements left
-    open are closed as HTML does for paragraphs and list items. A class, id or
-    role does not take away an element that holds the page's first ``article``
-    or ``main``: such elements (their places are ``spared``) are read again."""
+    open are closed as HTML does for paragraphs, list items and options; media
+    left open end where ``article`` or ``main`` begins. A class, id or role does
+    not take away an element that holds the page's first ``article`` or ``main``,
+    unless that lies in the other one: such elements (their places are
+    ``spared``) are read again."""
     out: list[tuple[str, str, int, bool, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each begins or lies in a never part
     never, depth = False, 0
@@ -80,7 +91,7 @@ def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, s
             if n:
                 inner = "a" if any(x == "a" for x, _ in stack) else next((x for x, _ in reversed(stack) if x in BLOCK), "")
                 out.append(("w:" + inner, text, n, never, depth > 0))
-            elif out and out[-1][1]:
+            elif out and out[-1][0] != "s:":
                 out.append(("s:", text, 0, never, depth > 0))  # white space between inline elements
             continue
         name = m[3]
@@ -88,6 +99,27 @@ def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, s
             continue
         name = name.lower()
         apart, above = never, depth
+        if name in MEDIA:
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if at is not None and (m[2] or name == "option"):
+                del stack[at:]
+                named = [x for x in named if x[0] < at]
+            if not m[2] and not m[4].endswith("/"):
+                stack.append((name, True))
+            never = bool(stack) and stack[-1][1]
+            continue
+        media = next((i for i, (x, _) in enumerate(stack) if x in MEDIA), None) if never else None
+        if media is not None and name not in LABEL:
+            at = next((i for i in range(len(stack) - 1, media, -1) if stack[i][0] == name), None)
+            if m[2] and at is not None:
+                del stack[at:]
+                continue
+            if m[2] and not any(x == name for x, _ in stack):
+                continue
+            if not m[2] and not (name in BLOCK and stack[-1][0] == "option"):
+                if name not in VOID and not m[4].endswith("/"):
+                    stack.append((name, True))
+                continue
         if m[2]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
@@ -96,6 +128,14 @@ def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, s
                 named = [x for x in named if x[0] < at]
                 never = bool(stack) and stack[-1][1]
         else:
+            if name in LABEL:
+                at = next((i for i, (x, _) in enumerate(stack) if x in MEDIA), None)
+            else:  # no block stands in an option
+                at = len(stack) - 1 if name in BLOCK and stack and stack[-1][0] == "option" else None
+            if at is not None:
+                del stack[at:]
+                named = [x for x in named if x[0] < at]
+                never = apart = bool(stack) and stack[-1][1]
             if name in BLOCK or name == "li":
                 # a block closes an open paragraph, an item an open item, with what is open in them
                 ends = ("p", "li") if name == "li" else ("p",)
@@ -109,7 +149,7 @@ def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[str, s
                 if name in LABEL and name not in seen:
                     seen.add(name)
                     holders = {at for i, at in named if i < len(stack)}
-                    if holders:
+                    if holders and not depth:
                         return tokens(page, spared | holders)
                 apart = never or (name in NEVER and not (name == "header" and any(x in ("article", "main") for x, _ in stack)))
                 if m[4] and name not in ("html", "body", "article", "main"):
@@ -156,7 +196,9 @@ def region(found: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
     for i, (feature, _, n, never, *_) in enumerate(found):
         if never or feature[0] == "s":
             continue
-        w = weights.get(feature, WORD_DEFAULT if n else TAG_DEFAULT)
+        w = weights.get(feature)
+        if w is None:
+            w = WORD_DEFAULT if n else TAG_DEFAULT if feature[2:] in BLOCK else INLINE_DEFAULT
         if score <= 0:
             score, begin = 0.0, i
         score += w * (n or 1)
@@ -217,6 +259,7 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return {"main": pa.array(out, pa.string()), "n_chars": pa.array(list(map(len, out)), pa.int64())}
 
     rows = pages.select(quoted(id_col).alias("id"), quoted(url_col).alias("url"), quoted(html_col).alias("text"))
-    types = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
-    return (map_texts(rows, ["id", "url"], compute, f"id {types[id_col]}, url {types[url_col]}, main string, n_chars long")
+    schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType),
+                           T.StructField("main", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return (map_texts(rows, ["id", "url"], compute, schema)
             .withColumnRenamed("main", "text"))
