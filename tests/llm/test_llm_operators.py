@@ -75,6 +75,38 @@ def test_exact_groups(spark, odd, fan_in):
     assert exact.drop_exact_copies(df).count() == len(per_group)
 
 
+def test_merge_of_sorted_blocks():
+    """Runs of several blocks come out as one sorted sequence, though only
+    blocks that overlap are open; nothing is sorted on the way."""
+    import heapq
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = to_arrow_schema(exact._schema(T.LongType()))
+    r = np.random.default_rng(4)
+    runs, blocks = [], []
+    for k in range(7):
+        rows = [(bytes(r.integers(0, 4, 3).astype(np.uint8)) + bytes(29), 5, 6, int(r.integers(0, 3)), int(r.integers(0, 9)) if i % 5 else None, k, i, 1)
+                for i in range(60)]
+        rows.sort(key=exact._place)
+        runs.append(rows)
+        blocks += [b for b in exact._blocks([(0, rows[i:i + 13]) for i in range(0, 60, 13)], 2, 0, schema)]
+    packed = sorted((b.column("first")[0].as_py(), b.column("rows")[0].as_py()) for b in blocks)
+    got = list(exact.merged_rows(packed))
+    assert got == list(heapq.merge(*runs, key=exact._place))
+    once = list(exact.combined(got))
+    assert [x[0] for x in once] == sorted({x[0] for x in got}) and sum(x[-1] for x in once) == 7 * 60
+    with pytest.raises(ValueError, match="different texts"):
+        list(exact.combined([got[0], (*got[0][:2], 99, *got[0][3:])]))
+
+
+def test_only_runs_and_block_heads_are_sorted(spark, odd):
+    plan = exact.exact_groups(odd[1])._jdf.queryExecution().optimizedPlan().toString()
+    sorts = [x for x in plan.splitlines() if re.search(r"\bSort\b", x)]
+    assert len(sorts) >= 2 and all("first" in x for x in sorts)  # the blocks, in at least two rounds
+
+
 def test_exact_groups_over_many_batches(spark):
     """A group of copies longer than an Arrow batch, among other texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
