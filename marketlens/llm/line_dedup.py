@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.operators.joins import heavy_groups, salted_join
 from marketlens.session import write_through
 
 from .common import FILE, ROW, quoted, with_row_id
@@ -27,7 +28,8 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "
     It is boilerplate when at least ``min_pages`` pages and more than
     ``max_ratio`` of the pages of its host hold it. Null text has no lines but
     its row is a page of its host; a null host is the host named by the empty
-    string.
+    string. Copies are pages of their own, as the ratio says: a group of copies
+    over the ratio loses its lines in every copy.
     """
     rows = with_row_id(docs).select(
         FILE, ROW, F.coalesce(quoted(host_col).cast("string"), F.lit("")).alias("host"),
@@ -36,8 +38,9 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "
     held = rows.select(FILE, ROW, "host", F.explode("hs").alias("h"))
     pages = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     per_line = held.groupBy("host", "h").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    boiler = per_line.join(pages, "host").where(F.col("pages") > max_ratio * F.col("host_pages")).select("host", "h")
-    return held.join(boiler, ["host", "h"]).groupBy(FILE, ROW).agg(F.collect_set("h").alias("dropped_hashes"))
+    boiler = write_through(per_line.join(pages, "host").where(F.col("pages") > max_ratio * F.col("host_pages")).select("host", "h", "pages"), "boilerplate")
+    hot = heavy_groups(boiler, ["host", "h"], "pages")  # a line that a third of all pages hold
+    return salted_join(held, boiler.drop("pages"), ["host", "h"], hot=hot).groupBy(FILE, ROW).agg(F.collect_set("h").alias("dropped_hashes"))
 
 
 def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.operators.joins import heavy_keys, salted_join
 from marketlens.session import write_through
 
 from .common import FILE, ROW, map_texts, quoted, with_row_id
@@ -198,14 +199,17 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of its component, for all nodes of
     ``links`` (u > v), by alternating large-star and small-star contraction.
     Each step is partial minima and joins, and is written, so that neither
-    the lineage nor a lost executor's work grows with the steps."""
+    the lineage nor a lost executor's work grows with the steps. The links of a
+    hub, a node with a large share of all links, are dealt over all tasks. No
+    link gives no row; repeated links count once. Nodes are not null."""
     edges, before = write_through(links, "links"), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = salted_join(both.where("v > u"), low, ["u"], hot=heavy_keys(both, ["u"]))
+        large = write_through(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = salted_join(large, low, ["u"])
         small = (joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct())
         edges = write_through(small, "links")
