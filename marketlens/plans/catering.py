@@ -14,14 +14,15 @@ from ..operators.outliers import rows_at_or_above_percentile
 from ..operators.quantiles import exact_quantiles
 from ..session import shared_table
 from ..sources import standins as S
-from ..sources.tables import Tables
+from ..sources.tables import Tables, inputs
 
 TEXT_COLUMNS = ("name", "category", "address", "district", "hours", "price")
 
 
 def venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z23, shared by all venue reports (written once per application)."""
-    return shared_table(spark, f"venues_clean:{sf_dir}", lambda: build_venues_clean(spark, sf_dir))
+    return shared_table(spark, f"venues_clean:{sf_dir}", lambda: build_venues_clean(spark, sf_dir),
+                        inputs(sf_dir, "documents", "labels"))
 
 
 def build_venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import bitmaps as B
 from ..operators import metrics as M
 from ..session import shared_table
 from ..sources import standins as S
-from ..sources.tables import Tables
+from ..sources.tables import Tables, inputs
 
 
 def _food(spark, sf_dir) -> DataFrame:
@@ -57,7 +57,8 @@ def retention_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _food_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users per day as bitmaps, written once for all three reports below."""
-    return shared_table(spark, f"food_bitmaps:{sf_dir}", lambda: B.day_bitmaps(_food(spark, sf_dir), "user_id", "ts"))
+    return shared_table(spark, f"food_bitmaps:{sf_dir}", lambda: B.day_bitmaps(_food(spark, sf_dir), "user_id", "ts"),
+                        inputs(sf_dir, "events"))
 
 
 def dau_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,8 @@ def retention_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U2/U3/X2 from bitmaps per event type: viewers and buyers."""
     bits = shared_table(spark, f"event_bitmaps:{sf_dir}",
-                        lambda: B.day_bitmaps(_food(spark, sf_dir), "user_id", "ts", ["event"]))
+                        lambda: B.day_bitmaps(_food(spark, sf_dir), "user_id", "ts", ["event"]),
+                        inputs(sf_dir, "events"))
     return B.overlap_of(bits, "event", "view", "purchase")
 
 

@@ -774,7 +774,9 @@ deduped AS (SELECT DISTINCT user_id, event_id, created_ts_msk, tickets_count, re
 n AS (SELECT (SELECT COUNT(*) FROM t_orders WHERE currency_code IN ('rub', 'kzt')) AS rows_before,
              (SELECT COUNT(*) FROM capped) AS rows_capped, (SELECT COUNT(*) FROM deduped) AS rows_after)
 SELECT rows_before, rows_before - rows_capped AS removed_cap, rows_capped - rows_after AS removed_duplicates,
-       rows_after, {R('(rows_before - rows_after) * 100.0 / rows_before', 4)} AS removed_pct
+       rows_after, {R('(rows_before - rows_after) * 100.0 / rows_before', 4)} AS removed_pct,
+       (SELECT COUNT(*) FROM deduped WHERE currency_code <> 'rub' AND CAST(created_ts_msk AS DATE) NOT IN
+          (SELECT CAST(o_orderdate AS DATE) FROM orders)) AS unmatched_rates
 FROM n"""
 
 SQL["event_value_describe"] = f"""

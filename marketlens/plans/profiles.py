@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import numeric_round
 from ..operators.aggregates import describe
 from ..operators.experiments import boxplot_stats, histogram
-from ..operators.outliers import group_caps
 from ..operators.quality import duplicate_counts, duplicated_rows, marker_counts, null_profile, null_totals
 from ..sources import standins as S
 from ..sources.tables import Tables
-from .tickets import CURRENCIES, TICKET_DUP_SUBSET
 
 LINE_KEY = ("l_orderkey", "l_linenumber")
 
@@ -57,24 +55,6 @@ def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicated_rows(li.select(*LINE_KEY, "l_partkey", "l_suppkey", "l_quantity"), LINE_KEY)
 
 
-def cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q11: rows before, removed by the p99 cap, removed as duplicates, after,
-    and percent removed, for the ticket cleaning, in one aggregate over one
-    flagged frame."""
-    raw = S.ticket_orders(Tables(spark, sf_dir)).filter(F.col("currency_code").isin(*CURRENCIES))
-    caps = group_caps(raw, "revenue", "currency_code", 0.99)
-    flagged = raw.join(caps, "currency_code", "left").withColumn("__over", F.col("revenue") > F.col("cap"))
-    key = F.struct(*[F.col(c) for c in TICKET_DUP_SUBSET])
-    agg = flagged.agg(F.count(F.lit(1)).alias("rows_before"),
-                      F.count_if("__over").alias("removed_cap"),
-                      F.count_distinct(F.when(~F.col("__over"), key)).alias("rows_after"))
-    return agg.select("rows_before", "removed_cap",
-                      (F.col("rows_before") - F.col("removed_cap") - F.col("rows_after")).alias("removed_duplicates"),
-                      "rows_after",
-                      numeric_round((F.col("rows_before") - F.col("rows_after")) * 100.0 / F.col("rows_before"), 4)
-                      .alias("removed_pct"))
-
-
 def event_value_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: describe() of the event value per event type."""
     d = describe(Tables(spark, sf_dir).events, "value", by="event_type")

@@ -13,7 +13,7 @@ from ..operators.joins import full_outer_on
 from ..operators.outliers import Bound, filter_by_global_percentiles
 from ..session import shared_table
 from ..sources import standins as S
-from ..sources.tables import Tables
+from ..sources.tables import Tables, inputs
 
 # Outlier bounds of the listing analyses (limits CTE): p99 area (interpolated),
 # p99 rooms and balconies (discrete), ceiling height inside (p1, p99).
@@ -30,7 +30,8 @@ def clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None =
     """Listings without outliers, shared by the activity and seasonality
     reports (written once per application)."""
     return shared_table(spark, f"city_listings:{sf_dir}:{accuracy}",
-                        lambda: build_clean_city_listings(spark, sf_dir, accuracy))
+                        lambda: build_clean_city_listings(spark, sf_dir, accuracy),
+                        inputs(sf_dir, "lineitem", "orders", "customer", "nation"))
 
 
 def build_clean_city_listings(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:

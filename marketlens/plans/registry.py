@@ -78,7 +78,7 @@ def all_queries() -> dict[str, QueryFn]:
         "marker_profile": profiles.marker_profile,
         "duplicate_profile": profiles.duplicate_profile,
         "duplicate_lines": profiles.duplicate_lines,
-        "cleaning_audit": profiles.cleaning_audit,
+        "cleaning_audit": tickets.cleaning_audit,
         "event_value_describe": profiles.event_value_describe,
         "event_value_summary": profiles.event_value_summary,
         "event_value_histogram": profiles.event_value_histogram,

@@ -15,7 +15,7 @@ from ..operators.clean import (drop_full_duplicates, fill_nulls, impute_midpoint
 from ..operators.outliers import flagged_share, iqr_flag, iqr_quartiles, keep_groups_over_threshold
 from ..session import shared_table, write_through
 from ..sources import standins as S
-from ..sources.tables import Tables
+from ..sources.tables import Tables, inputs
 
 TEXT_COLUMNS = ("name", "market", "status")
 DATE_COLUMNS = ("founded_at", "first_funding_at", "mid_funding_at", "last_funding_at")
@@ -29,7 +29,8 @@ RATIO_TYPES = ("venture", "debt_financing", "private_equity", "seed", "angel")
 
 def funding_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Z15, shared by all startup reports (written once per application)."""
-    return shared_table(spark, f"funding_clean:{sf_dir}", lambda: build_funding_clean(spark, sf_dir))
+    return shared_table(spark, f"funding_clean:{sf_dir}", lambda: build_funding_clean(spark, sf_dir),
+                        inputs(sf_dir, "lineitem", "orders", "part"))
 
 
 def build_funding_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,8 @@ def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     and ratio reports; the flag is derived from them in each."""
     labelled = relabelled(spark, sf_dir)
     quartiles = shared_table(spark, f"startup_quartiles:{sf_dir}",
-                             lambda: iqr_quartiles(labelled, "funding_total_usd", "market"))
+                             lambda: iqr_quartiles(labelled, "funding_total_usd", "market"),
+                             inputs(sf_dir, "lineitem", "orders", "part"))
     return iqr_flag(labelled, "funding_total_usd", "market", 1.5, "is_outlier", quartiles)
 
 

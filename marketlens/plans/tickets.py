@@ -3,7 +3,7 @@ device tests (Z9-Z14, A14, U2-U3, W6)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_type, season, weekday0, weekday_name
@@ -14,9 +14,9 @@ from ..operators.experiments import overlap_summary, welch_test
 from ..operators.joins import join_unique
 from ..operators.outliers import cap_by_group_percentile, group_caps
 from ..operators.windows import days_since_previous
-from ..session import shared_table, write_through
+from ..session import shared_metrics, shared_table, write_through
 from ..sources import standins as S
-from ..sources.tables import Tables
+from ..sources.tables import Tables, inputs
 
 # The key columns of the duplicate check of ticket orders.
 TICKET_DUP_SUBSET = ("user_id", "event_id", "created_ts_msk", "tickets_count", "revenue",
@@ -24,21 +24,40 @@ TICKET_DUP_SUBSET = ("user_id", "event_id", "created_ts_msk", "tickets_count", "
 CURRENCIES = ("rub", "kzt")
 
 
+def _tickets_shared(reader, spark: SparkSession, sf_dir: str, accuracy: int | None) -> DataFrame:
+    return reader(spark, f"tickets_clean:{sf_dir}:{accuracy}", lambda: build_tickets_clean(spark, sf_dir, accuracy),
+                  inputs(sf_dir, "lineitem", "orders", "part"))
+
+
 def tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
     """Z9, the cleaned ticket orders shared by all ticket reports (written
-    once per application, see ``session.shared_table``)."""
-    return shared_table(spark, f"tickets_clean:{sf_dir}:{accuracy}",
-                        lambda: build_tickets_clean(spark, sf_dir, accuracy))
+    once per application and state of its inputs, see ``session.shared_table``)."""
+    return _tickets_shared(shared_table, spark, sf_dir, accuracy)
+
+
+def cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows before, removed by the p99 cap, removed as duplicates,
+    after, percent removed, and orders in a foreign currency on a day without a
+    rate: observed by the run that cleaned the orders, none is read again."""
+    m = _tickets_shared(shared_metrics, spark, sf_dir, None)
+    return m.select(
+        "rows_before", (F.col("rows_before") - F.col("rows_capped")).alias("removed_cap"),
+        (F.col("rows_capped") - F.col("rows_after")).alias("removed_duplicates"), "rows_after",
+        numeric_round((F.col("rows_before") - F.col("rows_after")) * 100.0 / F.nullif("rows_before", F.lit(0)), 4).alias("removed_pct"),
+        "unmatched_rates")
 
 
-def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> DataFrame:
+def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None = None) -> tuple[DataFrame, list]:
     """p99 revenue cap per currency, duplicate removal (first by order id),
     daily rate join, revenue in roubles, revenue per ticket, month, season,
-    days since the user's previous order."""
+    days since the user's previous order; and the metrics of the audit."""
     t = Tables(spark, sf_dir)
     # the joined orders are written once; caps, filter and duplicates are scans of them
-    raw = write_through(S.ticket_orders(t).filter(F.col("currency_code").isin(*CURRENCIES)), "ticket-orders")
+    seen = Observation()
+    raw = write_through(S.ticket_orders(t).filter(F.col("currency_code").isin(*CURRENCIES)).observe(
+        seen, F.count(F.lit(1)).alias("rows")), "ticket-orders")
     capped = cap_by_group_percentile(raw, "revenue", "currency_code", 0.99, CURRENCIES, accuracy)
+    n_capped = capped.count()  # two columns of the written orders
     dedup = dedupe_keep_first(capped, TICKET_DUP_SUBSET, ["order_id"], rare=True)
     j = join_unique(dedup, S.tenge_rates(t), "created_dt_msk", "data", "curs")
     rub = F.when(F.col("currency_code") == "rub", F.col("revenue")).otherwise(
@@ -47,8 +66,12 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
         "*", (F.col("revenue_rub") / F.col("tickets_count")).alias("one_ticket_revenue_rub"),
         F.month("created_dt_msk").alias("month"), season(F.month("created_dt_msk")).alias("season"))
     # after the dedupe these columns identify a row within a user: a total order
-    return days_since_previous(feat, "user_id", "created_ts_msk",
+    done = days_since_previous(feat, "user_id", "created_ts_msk",
                                ["order_id", "event_id", "tickets_count", "revenue", "event_type_description"])
+    return done, [F.coalesce(F.max(F.lit(seen.get["rows"])), F.lit(seen.get["rows"])).cast("long").alias("rows_before"),
+                  F.coalesce(F.max(F.lit(n_capped)), F.lit(n_capped)).cast("long").alias("rows_capped"),
+                  F.count(F.lit(1)).alias("rows_after"),
+                  F.count_if((F.col("currency_code") != "rub") & F.col("curs").isNull()).alias("unmatched_rates")]
 
 
 def revenue_caps(spark: SparkSession, sf_dir: str) -> DataFrame:

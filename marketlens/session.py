@@ -7,10 +7,15 @@ settings; ``get_session`` only fills in values that are unset, so a shared
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import sys
 import tempfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 
 # Settings every analysis relies on. AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is small), coalesces tiny shuffle
@@ -67,37 +72,97 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-_SHARED: dict[tuple[str, str], str] = {}
+_SHARED: dict[tuple, str] = {}
 
 
-def shared_table(spark: SparkSession, key: str, build) -> DataFrame:
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def source_version(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(modification time, bytes, files) of an input folder or file: three
+    calls to its file system, whatever the number of files. Files added to or
+    removed from the folder, or replaced by others, change it."""
+    system, p = _hadoop_path(spark, path)
+    summary = system.getContentSummary(p)
+    return system.getFileStatus(p).getModificationTime(), summary.getLength(), summary.getFileCount()
+
+
+def shared_table(spark: SparkSession, key: str, build, inputs: Sequence[str] = ()) -> DataFrame:
     """A cleaned intermediate that many reports read (cleaned ticket orders,
     cleaned startups, cleaned venues) is computed once per application and
     written as parquet under the shared ``spark.checkpoint.dir``; every
     consumer then scans it with column pruning and filter pushdown instead
     of re-running the joins, dedupes and percentile caps. The written table
     cuts the lineage, so a lost executor re-reads files rather than
-    recomputing the cleaning."""
-    app = spark.sparkContext.applicationId
-    memo = (app, key)
-    path = _SHARED.get(memo)
-    if path is None:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
-        path = f"{base}/marketlens-shared/{app}/{safe}"
-        build().write.mode("overwrite").parquet(path)
-        _SHARED[memo] = path
+    recomputing the cleaning. ``inputs`` are the paths it is built from: when
+    one of them has changed the table is built again.
+
+    ``build`` returns a frame, or a frame and metrics (aggregate columns) that
+    are observed while it is written and stored beside it, for
+    ``shared_metrics``."""
+    path, fresh = _shared_path(spark, key, inputs)
+    if fresh:
+        built = build()
+        if isinstance(built, tuple):
+            seen = Observation()
+            built[0].observe(seen, *built[1]).write.mode("overwrite").parquet(path)
+            spark.createDataFrame([Row(**seen.get)]).coalesce(1).write.mode("overwrite").parquet(f"{path}.metrics")
+        else:
+            built.write.mode("overwrite").parquet(path)
+        _SHARED[_shared_memo(spark, key, inputs)] = path
     return spark.read.parquet(path)
 
 
+def shared_metrics(spark: SparkSession, key: str, build, inputs: Sequence[str] = ()) -> DataFrame:
+    """The one row of metrics observed when the shared table was written."""
+    shared_table(spark, key, build, inputs)
+    return spark.read.parquet(f"{_shared_path(spark, key, inputs)[0]}.metrics")
+
+
+def _shared_memo(spark: SparkSession, key: str, inputs: Sequence[str]) -> tuple:
+    return (spark.sparkContext.applicationId, key, *(source_version(spark, p) for p in inputs))
+
+
+def _shared_path(spark: SparkSession, key: str, inputs: Sequence[str]) -> tuple[str, bool]:
+    """Where the table of the present inputs is, and whether it is to be built."""
+    memo = _shared_memo(spark, key, inputs)
+    if memo in _SHARED:
+        return _SHARED[memo], False
+    safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in key)
+    version = hashlib.sha256(repr(memo).encode()).hexdigest()[:16]
+    return f"{_scratch(spark, 'marketlens-shared')}/{safe}-{version}", True
+
+
+def _scratch(spark: SparkSession, kind: str) -> str:
+    """The application's folder of one kind under the checkpoint folder. It is
+    removed when the Python process ends with the session still open."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # stopped: the folder stays
+        try:
+            system, p = _hadoop_path(spark, folder)
+            system.delete(p, True)
+        except Exception as e:  # noqa: BLE001 - the JVM may be gone already
+            print(f"scratch folder {folder} stays: {type(e).__name__}", file=sys.stderr)
+
+
 def write_through(df: DataFrame, tag: str = "tmp") -> DataFrame:
     """Compute ``df`` once, write it as parquet under the shared checkpoint
     folder and return a frame reading it back: the lineage is cut (a lost
     executor re-reads the files) at the cost of one computation, where
     ``checkpoint()`` computes twice without a cache."""
-    import uuid
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/marketlens-tmp/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark, 'marketlens-tmp')}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

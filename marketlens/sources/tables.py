@@ -39,3 +39,8 @@ class Tables:
     @cached_property
     def names(self) -> tuple[str, ...]:
         return TABLE_NAMES
+
+
+def inputs(sf_dir: str, *names: str) -> list[str]:
+    """Paths of driver tables, for tables that are built from them."""
+    return [f"{sf_dir}/{n}.parquet" for n in names]
