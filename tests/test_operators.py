@@ -233,7 +233,7 @@ def test_exact_quantiles_multi_pass_hot_group(spark):
     con = duckdb.connect()
     con.register("t", pdf)
     for kind, fn in (("cont", "quantile_cont"), ("disc", "quantile_disc")):
-        got = exact_quantiles(df, "v", qs, by="g", kind=kind, buckets=8, cap=50).toPandas().set_index("g").sort_index()
+        got = exact_quantiles(df, "v", qs, by="g", kind=kind, accuracy=50, cap=50).toPandas().set_index("g").sort_index()
         exp = con.execute("SELECT g, " + ", ".join(f"{fn}(v, {q})" for q in qs) + " FROM t GROUP BY g ORDER BY g") \
             .fetchdf().set_index("g")
         assert np.allclose(got.values, exp.values, rtol=1e-12, atol=1e-9), (kind, got, exp)
