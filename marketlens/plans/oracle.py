@@ -538,7 +538,7 @@ WHERE total_to > total_from AND market NOT IN ('mid', 'niche', 'unknown')"""
 
 SQL["segment_year_matrix"] = with_("s_clean") + f"""
 , money AS (SELECT market, 'y' || year AS y, {R('SUM(funding_total_usd)', 2)} AS total FROM s_final WHERE market IS NOT NULL GROUP BY ALL)
-SELECT market, coalesce(COLUMNS('^(y[0-9]+)$'), 0) AS '\1' FROM (PIVOT money ON y USING first(total) GROUP BY market)"""
+SELECT market, coalesce(COLUMNS('^(y[0-9]+)$'), 0) AS '\\1' FROM (PIVOT money ON y USING first(total) GROUP BY market)"""
 
 SQL["growing_segments_by_year"] = with_("s_clean") + f"""
 , money AS (SELECT market, year, SUM(funding_total_usd) AS total FROM s_final GROUP BY ALL),
