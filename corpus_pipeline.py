@@ -49,7 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written under the checkpoint folder and read again."""
+    """The stages over ``documents`` (doc_id, text, lang, source, n_chars and
+    any other columns), each written under the checkpoint folder and read again.
+
+    Null or empty texts fail the quality rules; a null source is a host of its
+    own; null lang teaches nothing, and without any lang no document has a
+    language and none is left. Null and repeated ids are kept apart by file and
+    row. An empty table gives an empty result."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-pipeline/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
