@@ -28,8 +28,8 @@ SAMPLE_CHARS = 4000  # at most so many characters of each: the bound of the samp
 MIN_COUNT = 3  # a longest context seen less often in the sample is left to its suffix
 MAX_LANGUAGES = 200  # the rarer ones are learned as one, under the name of the most frequent of them
 MODEL_CELLS = 12_000_000  # contexts x bytes x languages of the trees: the bound of the broadcast model
-FOREIGN = 2.2  # a text that costs so many times the usual bits per byte of its language is in none of them;
-SHORT = 100  # one of fewer bytes tells too little for that
+FOREIGN = 2.5  # a text that costs so many times the usual bits per byte of its language is in none of them;
+SHORT = 500  # one of fewer bytes tells too little for that
 UNKNOWN = "und"
 BLOCK = 1 << 20  # bytes scored at once
 

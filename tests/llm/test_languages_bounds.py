@@ -49,9 +49,10 @@ def test_an_id_or_a_text_that_repeats_is_bounded_on_spark(spark, monkeypatch):
 
 
 def test_unlearned_languages_go(spark):
-    rows = [(i, t, "known") for i, t in enumerate(texts(0, 60))] + [(500 + i, t, None) for i, t in enumerate(texts(5, 20) + texts(1, 20))]
+    rows = [(i, t, "known") for i, t in enumerate(texts(0, 60, 120))] + [(500 + i, t, None) for i, t in enumerate(texts(5, 20, 120) + texts(1, 20, 120))]
+    rows += [(900, texts(5, 1, 10)[0], None)]  # too short to tell
     left = {r["doc_id"] for r in langid.drop_unknown(table(spark, rows)).collect()}
-    assert left == set(range(60))
+    assert left == {*range(60), 900}
 
 
 def test_columns_of_any_name_and_type(spark):
