@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import heavy_keys
+
 
 def count_over_partition_distinct(df: DataFrame, part: str, counted: str, out: str) -> DataFrame:
     """``SELECT DISTINCT k, COUNT(x) OVER (PARTITION BY k)``: one count per
@@ -25,7 +27,7 @@ def count_over_partition_distinct(df: DataFrame, part: str, counted: str, out: s
 
 def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[str],
                         out: str = "days_since_prev", skew_safe: bool = True,
-                        partitions: int | None = None) -> DataFrame:
+                        partitions: int | None = None, hot: dict[int, float] | None = None) -> DataFrame:
     """Whole days since the same key's previous row (NULL on the first).
 
     Rows are ordered by (ts, *tie) inside a key; ``tie`` must make the order
@@ -33,19 +35,34 @@ def days_since_previous(df: DataFrame, key: str, ts: str, tie: str | Sequence[st
 
     ``lag`` over ``partitionBy(key)`` puts every row of a key in one task, so
     a user with a third of all orders would be one straggler. The skew-safe
-    form range-partitions the rows on (key, ts, *tie) - the sampled bounds
-    split a hot key into several balanced ranges - freezes the range number
-    by writing the rows once, takes ``lag`` inside (range, key), and repairs
-    the first row of a key in each range with the last row of the previous
-    range (a table of one row per range, broadcast: its size is the
-    partition count).
+    form takes it for the keys that are not heavy alone: their rows move once.
+    The rows of the heavy keys (``hot``, by default ``heavy_keys`` of ``df``;
+    pass those of a scan where ``df`` is costly) are split by ranges. ``df`` is
+    read again for each of the two parts if there are heavy keys.
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
     order = [ts, *ties]
-    from ..session import write_through
-    if not skew_safe:
+
+    def whole(rows: DataFrame) -> DataFrame:
         prev = F.lag(ts).over(Window.partitionBy(key).orderBy(*order))
-        return df.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
+        return rows.withColumn(out, F.datediff(F.to_date(ts), F.to_date(prev)).cast("bigint"))
+
+    if skew_safe and hot is None:
+        hot = heavy_keys(df, [key])
+    if not (skew_safe and hot):
+        return whole(df)
+    heavy = F.xxhash64(F.col(key)).isin(list(hot))
+    return whole(df.filter(~heavy)).unionByName(_lag_over_ranges(df.filter(heavy), key, ts, order, out, partitions))
+
+
+def _lag_over_ranges(df: DataFrame, key: str, ts: str, order: list[str], out: str, partitions: int | None) -> DataFrame:
+    """``days_since_previous`` of keys with many rows each: the rows are
+    range-partitioned on (key, *order) - the sampled bounds split a hot key into
+    several balanced ranges - the range number is frozen by writing them once,
+    ``lag`` is taken inside (range, key), and the first row of a key in each
+    range is repaired with the last row of the previous range (a table of one
+    row per range, broadcast: its size is the partition count)."""
+    from ..session import write_through
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = write_through(df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()),

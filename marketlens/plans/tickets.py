@@ -11,10 +11,10 @@ from ..functions.numeric import numeric_round, pct_change, safe_div
 from ..operators.aggregates import with_exact_quantiles
 from ..operators.clean import dedupe_keep_first
 from ..operators.experiments import overlap_summary, welch_test
-from ..operators.joins import join_unique
+from ..operators.joins import heavy_keys, join_unique
 from ..operators.outliers import cap_by_group_percentile, group_caps
 from ..operators.windows import days_since_previous
-from ..session import shared_metrics, shared_table, write_through
+from ..session import DENSE, shared_metrics, shared_table, write_through
 from ..sources import standins as S
 from ..sources.tables import Tables, inputs
 
@@ -55,19 +55,24 @@ def build_tickets_clean(spark: SparkSession, sf_dir: str, accuracy: int | None =
     # the joined orders are written once; caps, filter and duplicates are scans of them
     seen = Observation()
     raw = write_through(S.ticket_orders(t).filter(F.col("currency_code").isin(*CURRENCIES)).observe(
-        seen, F.count(F.lit(1)).alias("rows")), "ticket-orders")
+        seen, F.count(F.lit(1)).alias("rows")), "ticket-orders", DENSE)
     capped = cap_by_group_percentile(raw, "revenue", "currency_code", 0.99, CURRENCIES, accuracy)
     n_capped = capped.count()  # two columns of the written orders
     dedup = dedupe_keep_first(capped, TICKET_DUP_SUBSET, ["order_id"], rare=True)
-    j = join_unique(dedup, S.tenge_rates(t), "created_dt_msk", "data", "curs")
+    # the previous order before the rates and what follows from them: its rows move narrow.
+    # after the dedupe these columns identify a row within a user: a total order
+    gaps = days_since_previous(dedup, "user_id", "created_ts_msk",
+                               ["order_id", "event_id", "tickets_count", "revenue", "event_type_description"],
+                               hot=heavy_keys(raw, ["user_id"]))
+    # a row per day, written: its size is known, so no order moves to meet it
+    rates = write_through(S.tenge_rates(t), "rates")
+    j = join_unique(gaps, rates, "created_dt_msk", "data", "curs")
     rub = F.when(F.col("currency_code") == "rub", F.col("revenue")).otherwise(
         F.col("revenue") * F.col("curs") / 100)
     feat = j.select("*", rub.alias("revenue_rub")).select(
         "*", (F.col("revenue_rub") / F.col("tickets_count")).alias("one_ticket_revenue_rub"),
         F.month("created_dt_msk").alias("month"), season(F.month("created_dt_msk")).alias("season"))
-    # after the dedupe these columns identify a row within a user: a total order
-    done = days_since_previous(feat, "user_id", "created_ts_msk",
-                               ["order_id", "event_id", "tickets_count", "revenue", "event_type_description"])
+    done = feat.select(*[c for c in feat.columns if c != "days_since_prev"], "days_since_prev")
     return done, [F.coalesce(F.max(F.lit(seen.get["rows"])), F.lit(seen.get["rows"])).cast("long").alias("rows_before"),
                   F.coalesce(F.max(F.lit(n_capped)), F.lit(n_capped)).cast("long").alias("rows_capped"),
                   F.count(F.lit(1)).alias("rows_after"),
