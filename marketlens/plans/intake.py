@@ -15,7 +15,7 @@ from ..operators.clean import normalize_headers, replace_text, to_number, to_tim
 from ..session import ensure_checkpoint_dir, write_through
 from ..sources import standins as S
 from ..sources.files import read_csv, read_dirty_csv, read_table, row_count
-from ..sources.infer import read_csv_inferred
+from ..sources.infer import read_csv_inferred, read_csv_text, type_counts
 from ..sources.tables import Tables
 from ..sources.zipped import read_zip_csv
 
@@ -113,7 +113,8 @@ def csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 50 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("customer"),
         F.when(k % 3 == 0, F.lit(None)).otherwise((k % 2 == 0).cast("string")).alias("even"))
     path = _as_csv(spark, src)
-    strict, loose = (read_csv_inferred(spark, path, tolerate=x)[1] for x in (0.0, 0.05))
+    counts = type_counts(read_csv_text(spark, path))  # one scan for both tolerances
+    strict, loose = (read_csv_inferred(spark, path, tolerate=x, counts=counts)[1] for x in (0.0, 0.05))
     return strict.join(loose.select("position", F.col("type").alias("type_loose"), F.col("n_bad").alias("n_bad_loose")), "position").select(
         "position", "column", "type", "n_rows", "n_null", "n_bad", "type_loose", "n_bad_loose")
 
