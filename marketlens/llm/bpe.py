@@ -21,6 +21,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import kept
+
 # The pre-tokenizer pattern of the vocabulary, and its special string.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -86,7 +88,8 @@ class PrefixBPE:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.longest = max(map(len, self.ids))
+        # every beginning of a token: its id if it is one, else -1
+        self.begins = {w[:k]: -1 for w in self.ids for k in range(1, len(w))} | self.ids
         self.fits: dict[int, bool] = {}
         self.pattern = regex.compile(PATTERN)
         self.stop = re.compile("|".join(map(re.escape, self.special))) if self.special else None
@@ -96,15 +99,22 @@ class PrefixBPE:
 
     def merge(self, piece: bytes) -> list[int]:
         """Encoding by definition: the best-ranked pair first, leftmost on ties."""
-        out = [self.ids[piece[i:i + 1]] for i in range(len(piece))]
-        while len(out) > 1:
-            best = min((self.merges[p][0], i) if (p := (out[i], out[i + 1])) in self.merges else (len(self.merges), i)
-                       for i in range(len(out) - 1))
-            if best[0] == len(self.merges):
-                break
-            i = best[1]
-            out[i:i + 2] = [self.merges[out[i], out[i + 1]][1]]
-        return out
+        out, merges = [self.ids[piece[i:i + 1]] for i in range(len(piece))], self.merges.get
+        # the merge of each pair of neighbours; only those beside a merged pair change
+        found = [merges(p) for p in zip(out, out[1:])]
+        while True:
+            best, at = None, -1
+            for i, m in enumerate(found):
+                if m is not None and (best is None or m[0] < best[0]):
+                    best, at = m, i
+            if best is None:
+                return out
+            out[at:at + 2] = [best[1]]
+            del found[at]
+            if at:
+                found[at - 1] = merges((out[at - 1], out[at]))
+            if at < len(found):
+                found[at] = merges((out[at], out[at + 1]))
 
     def fit(self, u: int, t: int) -> bool:
         """Whether t may follow u; u = -1: whether t may begin a piece."""
@@ -120,19 +130,21 @@ class PrefixBPE:
 
     def piece_counts(self, piece: bytes) -> list[int]:
         """Token count of every prefix of one pre-tokenizer piece."""
-        n, ids, fits, fit, longest = len(piece), self.ids, self.fits, self.fit, self.longest
+        n, begins, fits, fit = len(piece), self.begins.get, self.fits, self.fit
         last, count = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(j - longest if j > longest else 0, j):
-                t = ids.get(piece[i:j])
-                if t is not None:
-                    u = last[i]
-                    ok = fits.get(u * 65536 + t)
+        for i in range(n):  # the last token of piece[:i] is known here
+            u, size = last[i], count[i] + 1
+            row = u * 65536
+            for j in range(i + 1, n + 1):
+                t = begins(piece[i:j])
+                if t is None:
+                    break
+                if t >= 0 and not count[j]:
+                    ok = fits.get(row + t)
                     if ok is None:
                         ok = fit(u, t)
                     if ok:
-                        last[j], count[j] = t, count[i] + 1
-                        break
+                        last[j], count[j] = t, size
         return count
 
     def pieces(self, text: str) -> list[str | int]:
@@ -192,12 +204,12 @@ class PrefixBPE:
         return out
 
 
-@lru_cache(maxsize=4)
+@kept(4)
 def prefix_bpe(path: str) -> PrefixBPE:
     return PrefixBPE(path)
 
 
-@lru_cache(maxsize=4)
+@kept(4)
 def library(path: str):
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,7 +217,7 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=4)
+@kept(4)
 def id_cache(path: str) -> ChunkCache:
     """Chunk -> its ids as little-endian 32-bit numbers, by the library's
     model. Only a piece that is not remembered is encoded."""
@@ -244,7 +256,7 @@ def id_cache(path: str) -> ChunkCache:
     return cache
 
 
-@lru_cache(maxsize=4)
+@kept(4)
 def count_cache(path: str) -> ChunkCache:
     """Chunk -> its token count, by prefix dynamic programming."""
     bpe = prefix_bpe(path)
