@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from marketlens.session import write_through
 
 from .bpe import chunks, id_cache, library
-from .common import quoted
+from .common import begin, quoted
 
 WINDOW = 1024
 END_ID = 0
@@ -97,6 +97,7 @@ def _slots(counts: dict[int, int], window: int) -> list[tuple]:
 
 def _pieces(path: str, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         known, end = id_cache(path), np.array([END_ID], "<u4").tobytes()

@@ -11,14 +11,12 @@ the path that remains is the encoding by merges.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import LONG
-from .common import map_texts, quoted
+from .common import kept, map_texts, quoted
 
 SPACE = "▁"
 WINDOW = 1 << 18  # positions indexed at once
@@ -222,7 +220,7 @@ def word_ids(parts: list[str]) -> list[str]:
     return out + [SPACE * (run - 1)] if run > 1 else out
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def encoder(path: str) -> SuffixEncoder:
     return SuffixEncoder(path)
 
@@ -250,7 +248,7 @@ class WordCache(dict):
             del self[c]
 
 
-@lru_cache(maxsize=2)
+@kept(2)
 def word_cache(path: str) -> WordCache:
     enc = encoder(path)
     known: dict[str, bytes] = {}
