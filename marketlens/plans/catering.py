@@ -12,11 +12,11 @@ from ..operators.clean import contains_all, dedupe_keep_first, fill_nulls, lower
 from ..operators.experiments import chi_square_association
 from ..operators.outliers import rows_at_or_above_percentile
 from ..operators.quantiles import exact_quantiles
-from ..session import shared_table
+from ..session import shared_table, write_through
 from ..sources import standins as S
 from ..sources.tables import Tables, inputs
 
-TEXT_COLUMNS = ("name", "category", "address", "district", "hours", "price")
+TEXT_COLUMNS = ("name", "category", "address", "district", "price")
 
 
 def venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +29,19 @@ def build_venues_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain to boolean, seats to integer, 'unknown' for missing hours and
     price, lower-case text, duplicates on (name, address) removed keeping the
     smallest id. The opening-hours text becomes its two flags (24/7, exactly
-    the 24/7 phrase) before the dedupe, so the long text is never shuffled."""
-    m = S.venues_merged(Tables(spark, sf_dir))
+    the 24/7 phrase) where it is read, before the prices are joined, and the
+    narrow rows are written before the dedupe, which reads them twice: the long
+    text is read once and never shuffled."""
+    t = Tables(spark, sf_dir)
+    hours = lower_columns(fill_nulls(S.venue_info(t), {"hours": "unknown"}), ["hours"])
+    info = hours.withColumns({"is_24_7": contains_all("hours", S.HOURS_WORDS),
+                              "hours_exact": F.col("hours") == F.lit(" ".join(S.HOURS_WORDS))}).drop("hours")
+    m = S.venues_merged(t, info)
     typed = m.withColumns({"chain": narrow("chain", "boolean"), "seats": narrow("seats", "bigint")})
-    filled = lower_columns(fill_nulls(typed, {"hours": "unknown", "price": "unknown"}), TEXT_COLUMNS)
-    flagged = filled.withColumns({"is_24_7": contains_all("hours", S.HOURS_WORDS),
-                                  "hours_exact": F.col("hours") == F.lit(" ".join(S.HOURS_WORDS))}).drop("hours")
-    return dedupe_keep_first(flagged, ["name", "address"], ["id"])
+    filled = lower_columns(fill_nulls(typed, {"price": "unknown"}), TEXT_COLUMNS)
+    flags = ["is_24_7", "hours_exact"]
+    narrowed = filled.select(*[c for c in filled.columns if c not in flags], *flags)
+    return dedupe_keep_first(write_through(narrowed, "venues"), ["name", "address"], ["id"])
 
 
 def venues_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
