@@ -3,14 +3,17 @@
 The code points of a batch's unknown words are concatenated and their suffixes
 sorted, as far as the longest piece. A binary search finds every vocabulary
 piece's range of suffixes, hence all its occurrences: edges from one position
-to another. The edges are sorted by position and relaxed: an edge extends the
-best path to its start if its piece fits after that path's last one, that is,
-if the two encode to themselves. Exactly one edge into each position fits, so
-the path that remains is the encoding by merges.
+to another. The edges are sorted by position in their word and relaxed, those at
+the same position of all words at once: an edge extends the best path to its
+start if its piece fits after that path's last one, that is, if the two encode
+to themselves. Exactly one edge into each position fits, so the path that
+remains is the encoding by merges.
 """
 
 from __future__ import annotations
 
+from itertools import filterfalse
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +27,9 @@ KNOWN = 450_000  # words, word parts and pairs of tokens a worker remembers of e
 _END = 0x110000  # stands between words; no code point
 _BITS = 22  # a token in a pair: a piece's id, or _CHAR + code point of a character without a piece
 _CHAR = 1 << 21
+_UNMET = -2  # a position that no path has reached; -1: a word begins
+_FEW = 64  # positions of a word relaxed with those of other words, and words worth it
+_SLOTS = 20  # bits of the number of recent answers of ``fit`` looked up at once
 
 
 class SuffixEncoder:
@@ -51,7 +57,9 @@ class SuffixEncoder:
         self.text = {i: p for p, i in self.ids.items()}
         self.fits: dict[int, bool] = {}
         # neighbours that some piece holds; between others no merge ever crosses
-        self.joined = {x for p in self.ids for x in zip(p, p[1:])}
+        self.joined = np.array(sorted({(ord(a) << 21) | ord(b) for p in self.ids for a, b in zip(p, p[1:])}), np.int64)
+        self.slot_key = np.full(1 << _SLOTS, np.iinfo(np.int64).min)
+        self.slot_fits = np.zeros(1 << _SLOTS, bool)
         # pieces as rows of code points, in the order of their strings
         order = sorted(self.ids)
         self.longest = max(map(len, order))
@@ -100,7 +108,7 @@ class SuffixEncoder:
 
     def _edges(self, cp: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, token) of every occurrence of a piece that starts in
-        cp[:n], sorted by position. cp[n:] is what the last ones look ahead to."""
+        cp[:n]. cp[n:] is what the last ones look ahead to."""
         size = len(cp)
         # suffixes in order of their first ``longest`` code points, by doubling
         _, rank = np.unique(cp, return_inverse=True)
@@ -140,56 +148,126 @@ class SuffixEncoder:
         start = np.concatenate([start, lone])
         length = np.concatenate([length, np.ones(len(lone), np.int64)])
         token = np.concatenate([token, _CHAR + cp[lone]])
-        order = np.argsort(start, kind="stable")
-        return start[order], length[order], token[order]
-
-    def parts(self, word: str) -> list[str]:
-        """The word cut wherever no piece holds the two characters: the parts
-        encode independently and recur more often than words."""
-        cuts = [i for i, x in enumerate(zip(word, word[1:]), 1) if x not in self.joined]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+        return start, length, token
+
+    def parts(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """The words cut wherever no piece holds the two characters, and how
+        many parts each has: the parts encode independently and recur more
+        often than words."""
+        joined = "".join(words)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        cp = _code_points(joined)
+        inner = np.ones(len(cp), bool)  # whether a position is inside its part
+        if len(cp) > 1:
+            pair = (cp[:-1] << 21) | cp[1:]
+            at = np.minimum(np.searchsorted(self.joined, pair), max(len(self.joined) - 1, 0))
+            inner[1:] = self.joined[at] == pair if len(self.joined) else False
+        inner[0:1] = False
+        inner[ends[ends < len(cp)]] = False
+        begins = np.flatnonzero(~inner)
+        upto = np.searchsorted(begins, ends)
+        cuts = [*begins.tolist(), len(joined)]
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:])], np.diff(upto, prepend=0).tolist()
+
+    def _fitting(self, key: np.ndarray) -> np.ndarray:
+        """``fit`` of many pairs: the recent answers first."""
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
+        out = self.slot_fits[slot]
+        miss = np.flatnonzero(self.slot_key[slot] != key)
+        if len(miss):
+            asked, back = np.unique(key[miss], return_inverse=True)
+            get = self.fits.get
+            got = []
+            for k in asked.tolist():
+                ok = get(k)
+                got.append(self.fit(k >> _BITS, k & ((1 << _BITS) - 1)) if ok is None else ok)
+            out[miss] = np.array(got)[back]
+            # of pairs that share a slot the same one is kept in both arrays
+            last, which = np.unique(slot[miss], return_index=True)
+            self.slot_key[last], self.slot_fits[last] = key[miss][which], out[miss][which]
+        return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (spaces already as U+2581)."""
-        joined = "".join(w + "\x00" for w in words)
-        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1 if words else np.zeros(0, np.int64)
+    def _relax(self, edges: tuple, at: int, offset: np.ndarray, last: np.ndarray, back: np.ndarray) -> None:
+        """Extend the paths (last token and its start, by position) along the
+        edges of a window that begins at ``at``; ``offset`` is the place of
+        every edge's start in its word."""
+        start, size, token = edges
+        start = start + at
+        place = np.minimum(offset, _FEW).astype(np.uint8)
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(_FEW + 2))
+        for a, b in zip(bounds[:_FEW].tolist(), bounds[1:].tolist()):
+            e = order[a:b]
+            e = e[last[start[e]] != _UNMET]
+            if len(e):
+                s, t = start[e], token[e]
+                ok = self._fitting((last[s] << _BITS) | t)
+                s, t, to = s[ok], t[ok], (s + size[e])[ok]
+                last[to], back[to] = t, s
+        rest = order[bounds[_FEW]:]  # the ends of long words, one by one
+        rest = rest[np.argsort(start[rest], kind="stable")]
+        last_, back_, fits, fit = memoryview(last), memoryview(back), self.fits, self.fit
+        for k in range(0, len(rest), 1 << 16):
+            some = rest[k:k + (1 << 16)]
+            for s, n, t in zip(start[some].tolist(), size[some].tolist(), token[some].tolist()):
+                u = last_[s]
+                if u == _UNMET:
+                    continue
+                ok = fits.get((u << _BITS) | t)
+                if ok is None:
+                    ok = fit(u, t)
+                if ok:
+                    last_[s + n], back_[s + n] = t, s
+
+    def encode_joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (spaces already as U+2581) one after the other, and
+        how many each word has."""
+        cp = _code_points("".join(w + "\x00" for w in words))
+        ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64) - 1
         cp[ends] = _END
         total = len(cp)
-        last, back = [None] * (total + 1), [0] * (total + 1)
-        for e in [0, *(ends + 1).tolist()]:
-            last[e] = -1
-        fits, fit = self.fits, self.fit
+        begins = np.concatenate([[0], ends + 1])
+        last, back = np.full(total + 1, _UNMET), np.zeros(total + 1, np.int64)
+        last[begins] = -1
+        place = np.arange(total) - np.repeat(begins[:-1], np.diff(begins))
         for at in range(0, total, WINDOW):
             n = min(WINDOW, total - at)
             edges = self._edges(cp[at:at + n + self.longest], n)
-            for k in range(0, len(edges[0]), 1 << 16):
-                for s, size, t in zip(*(x[k:k + (1 << 16)].tolist() for x in edges)):
-                    s += at
-                    u = last[s]
-                    if u is None:
-                        continue
-                    ok = fits.get((u << _BITS) | t)
-                    if ok is None:
-                        ok = fit(u, t)
-                    if ok:
-                        last[s + size], back[s + size] = t, s
-        out, begin = [], 0
-        for e in ends.tolist():
-            ids: list[int] = []
-            k = e
-            while k > begin:
-                t = last[k]
-                if t < _CHAR:
-                    ids.append(t)
-                elif self.byte_id:
-                    ids += [self.byte_id[x] for x in reversed(chr(t - _CHAR).encode("utf-8", "surrogatepass"))]
-                else:
-                    ids.append(self.unknown)
-                k = back[k]
-            out.append(ids[::-1])
-            begin = e + 1
-        return out
+            self._relax(edges, at, place[at + edges[0]], last, back)
+        # back along the paths, of all words at once and then of the longest few
+        met = np.zeros(total + 1, bool)
+        here = ends[ends > begins[:-1]]
+        while len(here) > _FEW:
+            met[here] = True
+            here = back[here]
+            here = here[last[here] != -1]
+        last_, back_, met_ = memoryview(last), memoryview(back), memoryview(met)
+        for k in here.tolist():
+            while last_[k] != -1:
+                met_[k] = True
+                k = back_[k]
+        at = np.flatnonzero(met)
+        ids = last[at]
+        size = np.ones(len(ids), np.int64)
+        lone = ids >= _CHAR
+        if lone.any():
+            unknown = [[self.byte_id[x] for x in chr(t - _CHAR).encode("utf-8", "surrogatepass")] if self.byte_id else [self.unknown]
+                       for t in ids[lone].tolist()]
+            size[lone] = [len(x) for x in unknown]
+            ids = np.repeat(ids, size)
+            ids[np.repeat(lone, size)] = np.concatenate(unknown)
+        count = np.bincount(np.searchsorted(ends, at), weights=size, minlength=len(words)).astype(np.int64)
+        return ids.astype("<i4"), count
+
+    def encode_raw(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit numbers."""
+        ids, count = self.encode_joined(words)
+        raw, upto = ids.tobytes(), (4 * np.cumsum(count)).tolist()
+        return [raw[a:b] for a, b in zip([0, *upto], upto)]
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word (spaces already as U+2581)."""
+        return [np.frombuffer(x, "<i4").tolist() for x in self.encode_raw(words)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, without the space that encoding puts first."""
@@ -201,6 +279,10 @@ class SuffixEncoder:
         return text[1:] if text.startswith(" ") else text
 
 
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
 def words_of(text: str) -> list[str]:
     """The text, with the space put first that encoding adds, cut before every
     run of spaces: no piece holds a space after another character. Word 0 is
@@ -231,7 +313,7 @@ class WordCache(dict):
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.long = make, size, []
 
     def fill(self, parts: list[list[str]]) -> None:
         if len(self) > self.size:
@@ -239,13 +321,14 @@ class WordCache(dict):
         new: set[str] = set()
         for p in parts:
             new.update(p)
-        new.difference_update(self.keys())
-        new = list(new)
-        self.update(zip(new, self.make([" " + c for c in new])))
+        new = list(filterfalse(self.__contains__, new))
+        self.update(zip(new, self.make(new)))
+        self.long = [c for c in new if len(c) > LONG]
 
     def trim(self) -> None:
-        for c in [c for c in self if len(c) > LONG]:
+        for c in self.long:
             del self[c]
+        self.long = []
 
 
 @kept(2)
@@ -254,13 +337,15 @@ def word_cache(path: str) -> WordCache:
     known: dict[str, bytes] = {}
 
     def make(words: list[str]) -> list[bytes]:
-        # WordCache puts one space before each word
-        cut = [enc.parts(SPACE + w[1:]) for w in words]
+        parts, count = enc.parts([SPACE + w for w in words])
         if len(known) > KNOWN:
             known.clear()
-        new = list({p for c in cut for p in c}.difference(known))
-        known.update(zip(new, (np.array(x, "<i4").tobytes() for x in enc.encode_words(new))))
-        out = [b"".join([known[p] for p in c]) for c in cut]
+        new = list(set(parts).difference(known))
+        known.update(zip(new, enc.encode_raw(new)))
+        value, out, at = list(map(known.__getitem__, parts)), [], 0
+        for n in count:
+            out.append(value[at] if n == 1 else b"".join(value[at:at + n]))
+            at += n
         for p in new:
             if len(p) > LONG:
                 del known[p]
@@ -272,14 +357,13 @@ def encode_batch(texts: list, path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers; null and empty: none."""
     known, enc = word_cache(path), encoder(path)
     parts = [words_of(t) if t else [] for t in texts]
-    odd = {i for i, p in enumerate(parts) if p and "" in p}  # runs of spaces, or one at an end
+    # runs of spaces, or one at an end: their words are not remembered
+    odd = {i: word_ids(p) for i, p in enumerate(parts) if p and "" in p}
     known.fill([p for i, p in enumerate(parts) if i not in odd])
-    value, out = known.__getitem__, []
-    for i, p in enumerate(parts):
-        if i in odd:
-            out.append(b"".join(np.array(x, "<i4").tobytes() for x in enc.encode_words(word_ids(p))))
-        else:
-            out.append(b"".join(map(value, p)))
+    once = list({w for p in odd.values() for w in p})
+    spaced = dict(zip(once, enc.encode_raw(once))).__getitem__
+    value = known.__getitem__
+    out = [b"".join(map(spaced, odd[i]) if i in odd else map(value, p)) for i, p in enumerate(parts)]
     known.trim()
     return out
 
